@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, decontam, near_dup, token_counts, token_store
+from . import bpe_codec, decontam, html_extract, license_scan, near_dup, quality_pu, quality_rules, substring_dedup, token_counts, token_store
 from .common import table
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).drop("path")
+
+
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_decode(table(spark, sf_dir, "documents"), ids=False)
 
@@ -17,6 +21,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_store.store_path(spark)
     token_store.write_store(table(spark, sf_dir, "documents"), path)
@@ -27,16 +35,33 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.scan(table(spark, sf_dir, "documents")))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_pu.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_counts.prefix_counts(table(spark, sf_dir, "documents"), vectors=False)
     return found.withColumn("over_limit", F.col("n_tokens") > token_counts.LIMIT)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_bpe_codec": op2_bpe_codec,
     "op3_decontamination": op3_decontamination,
+    "op4_quality_rules": op4_quality_rules,
     "op5_token_store": op5_token_store,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_license_scan": op7_license_scan,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_token_counts": op9_token_counts,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLES: dict[str, str] = {}
