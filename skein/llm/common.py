@@ -108,6 +108,32 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def plain(text: str, without: bytes) -> bool:
+    """Whether a text is of Latin-1 characters, none of them in ``without``."""
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return len(raw.translate(None, without)) == len(raw)
+
+
+#: White space other than space and line feed, and what only some take for white space.
+ODD_SPACE = b"\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0"
+
+
+def single_spaced(text: str) -> bool:
+    """Whether a Latin-1 text has only single spaces and line feeds, each before a character of another kind."""
+    return plain(text, ODD_SPACE) and text[-1:] not in (" ", "\n") and not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text)
+
+
+def units(text: str) -> list[str]:
+    """Runs of non-space with the space before them, and line feeds, of a single-spaced text.
+
+    A piece of the byte-level pattern never spans two of them.
+    """
+    return [u for u in text.replace(" ", "\x1f ").replace("\n", "\x1f\n\x1f").split("\x1f") if u]
+
+
 def blocks(texts: list[str | None], chars: int) -> Iterator[slice]:
     """Slices of at most ``chars`` characters each, or of one text."""
     start = size = 0

@@ -28,7 +28,6 @@ an empty table gives empty files; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import re
 import uuid
 import zlib
 
@@ -37,14 +36,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import library, tokenizer_path
-from .common import arrow_map, blocks, mix64, shared_dir
-from .token_counts import units
+from .common import arrow_map, blocks, mix64, shared_dir, single_spaced, units
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 #: Ids in the rolling window; one cut in MEAN ids on average, none before LEAST or after MOST.
 WINDOW, MEAN, LEAST, MOST = 16, 256, 64, 2048
 KEPT_UNITS, BLOCK_CHARS = 400_000, 4_000_000
-_ODD = re.compile(r"\s\s|[^\S \n]|[\x1c-\x1f\x85\xa0ƀ-\U0010ffff]|\s\Z|<\|")
 
 
 class Encoder:
@@ -60,7 +57,7 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.units) > KEPT_UNITS:
             self.units.clear()
-        plain = [None if not t or _ODD.search(t) else units(t) for t in texts]
+        plain = [units(t) if t and "<|" not in t and single_spaced(t) else None for t in texts]
         new = list(set().union(*(x for x in plain if x)).difference(self.units))
         self.units.update(zip(new, self._library(new), strict=True))
         whole = iter(self._library([t or "" for t, x in zip(texts, plain, strict=True) if x is None]))
