@@ -1 +1,306 @@
-"""Queries."""
+"""Graph features, truth and retrieval (families F, I, H)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import confidence
+from ..operators import metrics, retrieval, truth
+from ..operators.lookup import layer
+from ..plans import traverse
+from ..plans.fixture import edges, nodes, view
+from ..registry import query
+from ..session import table
+from .graph import IMPACT, impact
+
+DEGREE = """dg AS (SELECT n.id, coalesce(b.c, 0) AS n_callers, coalesce(a.c, 0) AS n_callees FROM nodes n
+LEFT JOIN (SELECT from_id, count(DISTINCT to_id) AS c FROM edges GROUP BY 1) a ON a.from_id = n.id LEFT JOIN (SELECT to_id, count(DISTINCT from_id) AS c FROM edges GROUP BY 1) b ON b.to_id = n.id)"""
+CENTRAL = DEGREE + ", ce AS (SELECT id, round(least((n_callers + n_callees) / greatest(3 * (SELECT greatest(max(n_callers), max(n_callees)) FROM dg), 1)::DOUBLE, 1.0), 6) AS centrality FROM dg)"
+DEPTH = """fw AS (SELECT id, 0 AS d FROM nodes WHERE entry_point UNION SELECT e.to_id, fw.d + 1 FROM fw JOIN edges e ON e.from_id = fw.id WHERE fw.d < 15),
+bw AS (SELECT id, 0 AS d FROM nodes WHERE kind = 'entity' UNION SELECT e.from_id, bw.d + 1 FROM bw JOIN edges e ON e.to_id = bw.id WHERE bw.d < 10),
+ly AS (SELECT id, CASE WHEN entry_point OR route IS NOT NULL THEN 'route' WHEN kind = 'entity' THEN 'entity' WHEN class_name LIKE '%Controller' THEN 'controller' WHEN class_name LIKE '%Service' THEN 'service' WHEN class_name LIKE '%Repository' THEN 'repository' ELSE 'method' END AS layer FROM nodes),
+dp AS (SELECT ly.id, layer, CAST(CASE layer WHEN 'route' THEN 0 WHEN 'controller' THEN 1 WHEN 'service' THEN 2 WHEN 'repository' THEN 3 WHEN 'entity' THEN 4 WHEN 'table' THEN 5 ELSE 3 END AS INT) AS layer_depth,
+CAST(coalesce((SELECT min(d) FROM fw WHERE fw.id = ly.id), -1) AS INT) AS entry_distance, CAST(coalesce((SELECT min(d) FROM bw WHERE bw.id = ly.id), -1) AS INT) AS data_distance FROM ly)"""
+FEATURES = (
+    "WITH RECURSIVE "
+    + CENTRAL
+    + ", "
+    + DEPTH
+    + """, fa AS (SELECT n.*, dg.n_callers, dg.n_callees, ce.centrality, dp.layer, dp.layer_depth, dp.entry_distance, dp.data_distance, EXISTS (SELECT 1 FROM edges e WHERE e.from_id = n.id AND e.kind = 'entity-access') AS has_access FROM nodes n JOIN dg ON dg.id = n.id JOIN ce ON ce.id = n.id JOIN dp ON dp.id = n.id),
+fb AS (SELECT *, round(least(((CASE WHEN entry_distance BETWEEN 0 AND 5 THEN greatest(0.0, 2 - 0.4 * entry_distance) ELSE 0.0 END) + (CASE WHEN data_distance BETWEEN 0 AND 3 THEN greatest(0.0, 2 - 0.6 * data_distance) ELSE 0.0 END) + (CASE WHEN entry_point THEN 2.0 ELSE 0.0 END) + (CASE WHEN has_access THEN 1.5 ELSE 0.0 END)) / 5.0::DOUBLE, 1.0), 6) AS business FROM fa),
+fc AS (SELECT *, round(10 * round(0.2::DOUBLE * centrality + 0.25::DOUBLE * business + 0.15::DOUBLE * least((n_callers + n_callees) / 50.0::DOUBLE, 1.0) + 0.2::DOUBLE * entry_point::INT + 0.15::DOUBLE * has_access::INT + 0.05::DOUBLE * ((CASE WHEN entry_distance BETWEEN 0 AND 2 THEN 0.5 ELSE 0.0 END) + (CASE WHEN data_distance BETWEEN 0 AND 2 THEN 0.5 ELSE 0.0 END)), 3), 2) AS importance FROM fb)"""
+)
+
+
+@query("F01_degrees", f"WITH {DEGREE} SELECT id, n_callers, n_callees FROM dg")
+def degrees(spark, d):
+    return metrics.degrees(nodes(spark, d), edges(spark, d))
+
+
+def fan_sql(a: str, b: str) -> str:
+    return f"""WITH RECURSIVE cl AS (SELECT id AS start, id, 0 AS d FROM nodes UNION SELECT cl.start, e.{b}, cl.d + 1 FROM cl JOIN edges e ON e.{a} = cl.id WHERE cl.d < 6),
+m AS (SELECT start, id, min(d) AS d FROM cl WHERE id <> start GROUP BY 1, 2), f AS (SELECT start, count(*) AS reach, count(*) FILTER (WHERE d = 1) AS direct FROM m GROUP BY 1)
+SELECT n.id, CAST(coalesce(CASE WHEN direct >= 199 THEN direct ELSE least(reach, 199) END, 0) AS BIGINT) AS fan FROM nodes n LEFT JOIN f ON f.start = n.id"""
+
+
+@query("F02_fan_out", fan_sql("from_id", "to_id"))
+def fan_out(spark, d):
+    return metrics.fans(nodes(spark, d), edges(spark, d))
+
+
+@query("F02_fan_in", fan_sql("to_id", "from_id"))
+def fan_in(spark, d):
+    return metrics.fans(nodes(spark, d), edges(spark, d), "backward")
+
+
+@query("F03_distances", f"WITH RECURSIVE {DEPTH} SELECT id, entry_distance, data_distance FROM dp")
+def distances(spark, d):
+    return metrics.dependency(nodes(spark, d), edges(spark, d)).select("id", "entry_distance", "data_distance")
+
+
+@query("F04_layer_depth", f"WITH RECURSIVE {DEPTH} SELECT layer, layer_depth, count(*) AS n FROM dp GROUP BY 1, 2")
+def layer_depth(spark, d):
+    return metrics.dependency(nodes(spark, d), edges(spark, d)).groupBy("layer", "layer_depth").agg(F.count("*").alias("n"))
+
+
+@query("F05_dependency_depth", f"WITH RECURSIVE {DEPTH} SELECT id, CAST(CASE WHEN entry_distance >= 0 AND data_distance >= 0 THEN entry_distance + data_distance WHEN entry_distance >= 0 THEN entry_distance ELSE data_distance END AS INT) AS depth FROM dp")
+def dependency_depth(spark, d):
+    return metrics.dependency(nodes(spark, d), edges(spark, d)).select("id", "depth")
+
+
+@query("F06_centrality", f"WITH {CENTRAL} SELECT id, centrality FROM ce")
+def centrality(spark, d):
+    return metrics.centrality(metrics.degrees(nodes(spark, d), edges(spark, d)))
+
+
+@query("F07_path_frequency", f"WITH RECURSIVE {IMPACT}, s AS (SELECT path_id, unnest(string_split(path_id, '|')) AS node FROM paths) SELECT node, round(count(DISTINCT path_id) / (SELECT count(*) FROM paths)::DOUBLE, 6) AS share FROM s GROUP BY node")
+def path_frequency(spark, d):
+    return metrics.path_frequency(impact(spark, d))
+
+
+@query("F08_business_score", f"{FEATURES} SELECT id, business FROM fc")
+def business_score(spark, d):
+    return metrics.features(nodes(spark, d), edges(spark, d)).select("id", "business")
+
+
+@query("F09_related_tables", "SELECT n.class_name, n.project_name, count(DISTINCT m.table_name) AS n_tables, min(m.table_name) AS first_table FROM nodes n JOIN edges e ON e.from_id = n.id JOIN nodes m ON m.id = e.to_id WHERE m.kind = 'entity' GROUP BY 1, 2")
+def related_tables(spark, d):
+    n = nodes(spark, d)
+    tables = n.filter("kind = 'entity'").select(F.col("id").alias("to_id"), "table_name")
+    own = n.select(F.col("id").alias("from_id"), "class_name", "project_name")
+    return edges(spark, d).join(tables, "to_id").join(own, "from_id").groupBy("class_name", "project_name").agg(F.countDistinct("table_name").alias("n_tables"), F.min("table_name").alias("first_table"))
+
+
+@query("F10_class_metadata", f"""{FEATURES} SELECT project_name, namespace, class_name, count(*) AS n, CAST(sum(n_callers) AS BIGINT) AS n_callers, CAST(sum(n_callees) AS BIGINT) AS n_callees, coalesce(min(entry_distance) FILTER (WHERE entry_distance >= 0), -1) AS entry_distance,
+coalesce(min(data_distance) FILTER (WHERE data_distance >= 0), -1) AS data_distance, max(layer_depth) AS layer_depth, bool_or(entry_point) AS is_entry, bool_or(has_access) AS has_access, round(avg(centrality), 3) AS centrality, max(business) AS business FROM fc WHERE NOT is_external GROUP BY 1, 2, 3 HAVING count(*) >= 2""")
+def class_metadata(spark, d):
+    return metrics.class_metadata(metrics.features(nodes(spark, d), edges(spark, d)))
+
+
+@query("F11_importance", f"{FEATURES} SELECT id, importance FROM fc")
+def importance(spark, d):
+    return metrics.features(nodes(spark, d), edges(spark, d)).select("id", "importance")
+
+
+@query("F12_layers", f"WITH RECURSIVE {DEPTH} SELECT id, layer FROM ly")
+def layers(spark, d):
+    return nodes(spark, d).select("id", layer().alias("layer"))
+
+
+@query("F13_edge_layers", "SELECT CASE kind WHEN 'call' THEN 'execution' WHEN 'entity-access' THEN 'data' ELSE 'structure' END AS layer, count(*) AS n FROM edges GROUP BY 1")
+def edge_layers(spark, d):
+    return edges(spark, d).groupBy(truth.edge_layer(F.col("kind")).alias("layer")).agg(F.count("*").alias("n"))
+
+
+TRUTH = """tr AS (SELECT e.*, CASE e.evidence WHEN 'semantic' THEN 1.0 WHEN 'syntax' THEN 0.8 WHEN 'analyzer' THEN CASE e.confidence WHEN 'exact' THEN 0.9 WHEN 'high' THEN 0.75 WHEN 'medium' THEN 0.55 ELSE 0.3 END ELSE 0.1 END::DOUBLE * CASE WHEN a.project_name <> 'P3' OR b.project_name <> 'P3' THEN 1.0 ELSE 0.5 END::DOUBLE AS truth, (a.project_name <> 'P3' OR b.project_name <> 'P3') AS grounded FROM edges e JOIN nodes a ON a.id = e.from_id JOIN nodes b ON b.id = e.to_id)"""
+
+
+def truths(spark, d):
+    return truth.edge_truth(edges(spark, d), nodes(spark, d).withColumn("grounded", F.col("project_name") != "P3"))
+
+
+@query("I01_edge_truth", f"WITH {TRUTH} SELECT from_id, to_id, kind, round(truth, 6) AS truth FROM tr")
+def edge_truth(spark, d):
+    return truths(spark, d).select("from_id", "to_id", "kind", F.round("truth", 6).alias("truth"))
+
+
+@query("I02_truth_decay", f"WITH {TRUTH} SELECT kind, s AS steps, round(avg(truth * pow(0.7, s)), 6) AS mean_truth, pow(0.7, s) > 0.3 AS grounded FROM tr CROSS JOIN (SELECT CAST(unnest([0, 1, 2, 3, 4]) AS INT) AS s) GROUP BY 1, 2")
+def truth_decay(spark, d):
+    s = spark.range(5).select(F.col("id").cast("int").alias("steps"))
+    rows = truths(spark, d).crossJoin(F.broadcast(s))
+    return rows.groupBy("kind", "steps").agg(F.round(F.avg(confidence.decayed(F.col("truth"), F.col("steps"))), 6).alias("mean_truth")).withColumn("grounded", F.pow(F.lit(0.7), F.col("steps")) > 0.3)
+
+
+@query("I03_truth_classes", f"WITH {TRUTH} SELECT CASE WHEN grounded AND truth >= 0.8 THEN 'fact' WHEN truth >= 0.4 THEN 'inferred' ELSE 'uncertain' END AS class, count(*) AS n, count(*) FILTER (WHERE truth >= 0.5) AS n_context, count(*) FILTER (WHERE truth >= 0.4) AS n_propagate FROM tr GROUP BY 1")
+def truth_classes(spark, d):
+    rows = truths(spark, d)
+    return rows.groupBy(confidence.truth_class(F.col("truth"), F.col("grounded")).alias("class")).agg(F.count("*").alias("n"), F.count_if(F.col("truth") >= 0.5).alias("n_context"), F.count_if(F.col("truth") >= 0.4).alias("n_propagate"))
+
+
+@query("I04_propagation_filter", f"WITH {TRUTH} SELECT kind, count(*) AS n FROM tr WHERE grounded AND truth >= 0.4 GROUP BY 1")
+def propagation_filter(spark, d):
+    return truth.may_propagate(truths(spark, d).withColumn("depth", F.lit(1))).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("I05_entity_grounding", "SELECT n.id, count(e.from_id) AS n_evidence, coalesce(CAST(sum(e.weight) AS BIGINT), 0) AS weight, CASE WHEN count(e.from_id) FILTER (WHERE e.confidence IN ('exact','high')) > 0 THEN 'grounded' WHEN count(e.from_id) > 0 THEN 'partial' ELSE 'ungrounded' END AS state FROM nodes n LEFT JOIN edges e ON e.to_id = n.id AND e.kind = 'entity-access' WHERE n.kind = 'entity' GROUP BY n.id")
+def entity_grounding(spark, d):
+    return truth.entity_grounding(nodes(spark, d), edges(spark, d))
+
+
+@query("I06_graph_drift", f"""WITH {TRUTH} SELECT 'ungrounded-edge' AS finding, from_id || '>' || to_id AS subject, 0.5::DOUBLE AS severity FROM tr WHERE NOT grounded
+UNION ALL SELECT 'orphan-entity', id, 0.6 FROM nodes WHERE kind = 'entity' AND id NOT IN (SELECT to_id FROM edges) UNION ALL SELECT 'orphan-node', id, 0.4 FROM nodes WHERE kind = 'method' AND id NOT IN (SELECT to_id FROM edges) AND id NOT IN (SELECT from_id FROM edges)""")
+def graph_drift(spark, d):
+    return truth.drift(truths(spark, d), nodes(spark, d))
+
+
+@query("I08_decay_policy", "SELECT kind, count(*) AS n, CASE kind WHEN 'call' THEN 0.95 WHEN 'entity-access' THEN 0.88 ELSE 0.7 END::DOUBLE AS keep FROM edges GROUP BY kind")
+def decay_policy(spark, d):
+    return edges(spark, d).groupBy("kind").agg(F.count("*").alias("n")).withColumn("keep", traverse.decay(F.col("kind")))
+
+
+@query("I09_decay_kind", "SELECT kind, evidence, CASE WHEN kind <> 'call' THEN kind WHEN evidence = 'semantic' THEN 'call' ELSE 'inferred' END AS decay_kind, count(*) AS n FROM edges GROUP BY 1, 2, 3")
+def decay_kind(spark, d):
+    return edges(spark, d).groupBy("kind", "evidence", truth.decay_kind(F.col("kind"), F.col("evidence")).alias("decay_kind")).agg(F.count("*").alias("n"))
+
+
+TOP = """vq AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q, label AS query_label FROM embeddings WHERE vec_id % 50 = 0),
+sc AS (SELECT query_id, vec_id AS chunk_id, round(list_cosine_similarity(q, embedding::DOUBLE[]), 6) AS similarity FROM embeddings, vq),
+tk AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS INT) AS place FROM sc)"""
+GRAPH = "least((CASE WHEN entry_distance BETWEEN 0 AND 2 THEN 0.5 WHEN entry_distance <= 5 THEN 0.25 ELSE 0.0 END + CASE WHEN data_distance BETWEEN 0 AND 1 THEN 0.5 WHEN data_distance <= 3 THEN 0.25 ELSE 0.0 END + CASE WHEN max_fan > 20 THEN 0.3 WHEN max_fan > 5 THEN 0.15 ELSE 0.0 END)::DOUBLE, 1.0)"
+SYMBOL = "CASE WHEN n_grounded / n_nodes::DOUBLE >= 0.8 THEN 1.0 WHEN n_grounded / n_nodes::DOUBLE >= 0.5 THEN 0.7 WHEN n_grounded / n_nodes::DOUBLE >= 0.2 THEN 0.4 ELSE 0.1 END::DOUBLE"
+FUSED = f"fu AS (SELECT query_id, c.*, similarity, place, round(round(0.35::DOUBLE * (similarity + 1) / 2 + 0.25::DOUBLE * {GRAPH} + 0.15::DOUBLE * {SYMBOL} + 0.05::DOUBLE + 0.1::DOUBLE * least(importance / 20 + 0.15 * is_entry::INT + 0.1 * has_access::INT, 1.0) + 0.05::DOUBLE * (0.4 * is_entry::INT + 0.3 * has_access::INT + CASE WHEN entry_distance BETWEEN 0 AND 2 THEN 0.3 ELSE 0.0 END)::DOUBLE, 9), 4) AS score FROM tk JOIN chunks c USING (chunk_id) WHERE tk.place <= 30 AND confidence >= 0.3)"
+
+
+def vectors(spark, d):
+    rows = table(spark, d, "embeddings")
+    queries = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return queries, rows.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v"))
+
+
+@query("H01_vector_top_k", f"WITH {TOP} SELECT query_id, chunk_id, round(similarity, 4) AS similarity, place FROM tk WHERE place <= 10")
+def vector_top_k(spark, d):
+    return retrieval.vector_top_k(*vectors(spark, d), 10).withColumn("similarity", F.round("similarity", 4))
+
+
+@query("H04_evidence_fusion", f"WITH {TOP}, {FUSED} SELECT query_id, chunk_id, round(score, 3) AS score FROM fu")
+def evidence_fusion(spark, d):
+    rows = retrieval.scored(retrieval.vector_top_k(*vectors(spark, d), 30), view(spark, d, "chunks"))
+    return rows.select("query_id", "chunk_id", F.round("score", 3).alias("score"))
+
+
+@query("H02_hybrid_search", f"""WITH {TOP}, {FUSED}, b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM fu), t AS (SELECT query_id, chunk_id, score, table_name FROM b WHERE r <= 10),
+m AS (SELECT x.query_id, c.chunk_id, c.table_name, round(c.importance / 10 * 0.5, 4) AS score, row_number() OVER (PARTITION BY x.query_id ORDER BY c.table_name, c.chunk_id) AS r FROM (SELECT DISTINCT query_id, table_name FROM t) x JOIN chunks c ON c.table_name = x.table_name WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.query_id = x.query_id AND t.chunk_id = c.chunk_id)),
+u AS (SELECT query_id, chunk_id, score FROM t UNION ALL SELECT query_id, chunk_id, score FROM m WHERE r <= 10), w AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS place FROM u)
+SELECT query_id, chunk_id, place FROM w WHERE place <= 10""")
+def hybrid_search(spark, d):
+    return retrieval.hybrid(*vectors(spark, d), view(spark, d, "chunks")).select("query_id", "chunk_id", "place")
+
+
+@query("H03_expansion", f"""WITH {TOP} SELECT tk.query_id, c.chunk_id, min(c.table_name) AS table_name FROM tk JOIN chunks o ON o.chunk_id = tk.chunk_id JOIN chunks c ON c.table_name = o.table_name
+WHERE tk.place <= 3 AND NOT EXISTS (SELECT 1 FROM tk z WHERE z.query_id = tk.query_id AND z.chunk_id = c.chunk_id AND z.place <= 3) GROUP BY 1, 2""")
+def expansion(spark, d):
+    chunks = view(spark, d, "chunks").select("chunk_id", "table_name")
+    top = retrieval.vector_top_k(*vectors(spark, d), 3).select("query_id", "chunk_id")
+    tables = top.join(chunks, "chunk_id").select("query_id", "table_name").distinct()
+    return tables.join(chunks, "table_name").join(top, ["query_id", "chunk_id"], "left_anti").select("query_id", "chunk_id", "table_name")
+
+
+@query("H05_linear_fusion", f"WITH {TOP} SELECT query_id, chunk_id, round(round(0.35::DOUBLE * similarity + 0.25::DOUBLE * {GRAPH} + 0.2::DOUBLE * (0.5 * is_entry::INT + 0.5 * has_access::INT) + 0.2::DOUBLE * importance / 10, 9), 4) AS score FROM tk JOIN chunks USING (chunk_id) WHERE place <= 10")
+def linear_fusion(spark, d):
+    return retrieval.linear(retrieval.vector_top_k(*vectors(spark, d), 10), view(spark, d, "chunks"))
+
+
+@query("H06_running_grounded", f"WITH {TOP}, g AS (SELECT query_id, chunk_id, place, sum(n_grounded) OVER w AS a, sum(n_nodes) OVER w AS b FROM tk JOIN chunks USING (chunk_id) WHERE place <= 10 WINDOW w AS (PARTITION BY query_id ORDER BY place)) SELECT query_id, chunk_id, place, CAST(a AS BIGINT) AS grounded_so_far, CASE WHEN a / b::DOUBLE >= 0.8 THEN 'semantic' WHEN a / b::DOUBLE >= 0.5 THEN 'analyzer' ELSE 'pattern' END AS evidence FROM g")
+def running_grounded(spark, d):
+    return retrieval.running_grounded(retrieval.vector_top_k(*vectors(spark, d), 10), view(spark, d, "chunks"))
+
+
+@query("H07_graph_aware_ranking", f"WITH {TOP}, {FUSED} SELECT query_id, chunk_id, round(round(0.25::DOUBLE * score + 0.15::DOUBLE * CASE WHEN entry_distance BETWEEN 0 AND 2 THEN 1.0 WHEN entry_distance <= 5 THEN 0.5 ELSE 0.2 END + 0.2::DOUBLE * {SYMBOL} + 0.075::DOUBLE + 0.15::DOUBLE * CASE WHEN n_grounded > 0 THEN 1.0 ELSE 0.3 END + 0.1::DOUBLE * CASE WHEN max_fan > 30 THEN 1.0 WHEN max_fan > 15 THEN 0.7 WHEN max_fan > 5 THEN 0.4 ELSE 0.1 END, 9), 4) AS composite FROM fu")
+def graph_aware(spark, d):
+    rows = retrieval.scored(retrieval.vector_top_k(*vectors(spark, d), 30), view(spark, d, "chunks"))
+    return retrieval.graph_aware(rows)
+
+
+WORDS = "wq AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: length(w) > 1)) AS words FROM benchmark WHERE item_id % 10 = 0 UNION ALL SELECT -1, ['supplier', 'find', 'france', 'loadfrance'])"
+KEYWORD = f"""{WORDS}, pool AS (SELECT id, method_name, class_name, lower(method_name) AS m, lower(class_name) AS c FROM nodes WHERE NOT regexp_matches(class_name, '^(Base|Framework)') ORDER BY id LIMIT 500), ww AS (SELECT query_id, unnest(words) AS w, len(words) AS total FROM wq),
+kw AS (SELECT query_id, id, round(least(sum(CASE WHEN m = w THEN 1.0 WHEN contains(m, w) THEN 0.6 ELSE 0.4 END::DOUBLE) / any_value(total), 1.0), 6) AS score FROM ww JOIN pool ON contains(m, w) OR contains(c, w) GROUP BY 1, 2)"""
+
+
+def questions(spark, d):
+    more = spark.createDataFrame([(-1, "Supplier find France LoadFrance")], "query_id bigint, text string")
+    return table(spark, d, "benchmark").filter("item_id % 10 = 0").select(F.col("item_id").alias("query_id"), "text").unionByName(more)
+
+
+@query("H10_keyword_scores", f"WITH {KEYWORD} SELECT query_id, id, score FROM kw")
+def keyword_scores(spark, d):
+    return retrieval.keyword_scores(questions(spark, d), nodes(spark, d))
+
+
+@query("H13_noise_rescoring", f"""WITH {KEYWORD}, r AS (SELECT kw.*, n.method_name, n.class_name, wq.words FROM kw JOIN nodes n USING (id) JOIN wq USING (query_id)),
+p AS (SELECT query_id, id, round(score * (1 - least((CASE WHEN method_name IN ('Save','Update','Delete','Remove','Get','Load','LoadAll','Flush','Evict','Find') AND NOT list_contains(words, lower(method_name)) THEN 0.3 ELSE 0.0 END + CASE WHEN regexp_matches(class_name, '^Base.*(BLL|DAO|Dao|NHB)') THEN 0.4 ELSE 0.0 END + CASE WHEN length(method_name) <= 5 OR regexp_matches(method_name, '^[a-z0-9]+$') THEN 0.15 ELSE 0.0 END)::DOUBLE, 0.7)), 6) AS adjusted FROM r),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY adjusted DESC, id) AS INT) AS place FROM p) SELECT * FROM o WHERE place <= 10""")
+def noise_rescoring(spark, d):
+    return retrieval.rescored(with_words(spark, d))
+
+
+def with_words(spark, d):
+    words = questions(spark, d).select("query_id", retrieval.split_words("text").alias("words"))
+    return keyword_scores(spark, d).join(nodes(spark, d).select("id", "method_name", "class_name"), "id").join(words, "query_id")
+
+
+@query("H14_noise_report", f"""WITH {KEYWORD}, r AS (SELECT n.method_name, n.class_name, wq.words FROM kw JOIN nodes n USING (id) JOIN wq USING (query_id)) SELECT 'LowBusinessContext' AS rule, count(*) AS n, round(count(*) * 0.15::DOUBLE, 6) AS total FROM r WHERE length(method_name) <= 5 OR regexp_matches(method_name, '^[a-z0-9]+$') HAVING count(*) > 0""")
+def noise_report(spark, d):
+    return retrieval.noise_report(with_words(spark, d))
+
+
+@query("H11_reverse_index", "WITH k AS (SELECT DISTINCT 'http' AS category, regexp_extract(url, '//([^/]*)', 1) AS key, page_id FROM pages), w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower('example net blog'), ' ')) AS word) SELECT page_id AS id, max(0.6::DOUBLE) AS score FROM k JOIN w ON contains(lower(key), word) OR contains(word, lower(key)) GROUP BY 1")
+def reverse_index(spark, d):
+    from ..operators import text
+
+    keys = table(spark, d, "pages").select(F.lit("http").alias("category"), F.regexp_extract("url", "//([^/]*)", 1).alias("key"), F.col("page_id").alias("id")).distinct()
+    return text.search_index(keys, ["example", "net", "blog"])
+
+
+@query("H09_three_way_search", f"""WITH {KEYWORD}, {TOP}, v AS (SELECT CAST(-1 AS BIGINT) AS query_id, 'supplier:' || CAST(chunk_id + 1 AS STRING) AS id, similarity AS s FROM tk WHERE query_id = 0 AND place <= 20), g AS (SELECT query_id, id, score AS s FROM kw WHERE query_id = -1)
+SELECT query_id, id, round(0.6 * coalesce(v.s, 0) + 0.3 * coalesce(g.s, 0), 6) AS score FROM v FULL JOIN g USING (query_id, id)""")
+def three_way_search(spark, d):
+    q, v = vectors(spark, d)
+    top = retrieval.vector_top_k(q.filter("query_id = 0"), v, 20)
+    by_vector = top.select(F.lit(-1).cast("bigint").alias("query_id"), F.concat(F.lit("supplier:"), (F.col("chunk_id") + 1).cast("string")).alias("id"), F.col("similarity").alias("s"))
+    by_graph = keyword_scores(spark, d).filter("query_id = -1").select("query_id", "id", F.col("score").alias("s"))
+    return retrieval.merged(by_vector, by_graph, by_graph.limit(0))
+
+
+@query("H12_profiles", "SELECT * FROM (VALUES ('Database', 0.2::DOUBLE, 0.1::DOUBLE, 0.7::DOUBLE), ('DTO', 0.4, 0.2, 0.4), ('Exception', 0.3, 0.2, 0.5), ('HTTP', 0.3, 0.3, 0.4), ('Architecture', 0.3, 0.6, 0.1), ('BugAnalysis', 0.5, 0.4, 0.1), ('CodeModification', 0.6, 0.3, 0.1), ('BusinessWorkflow', 0.4, 0.4, 0.2)) t(profile, embedding, graph, keyword)")
+def profiles(spark, d):
+    from ..functions.fusion import PROFILES
+
+    return spark.createDataFrame([(k, *v) for k, v in PROFILES.items()], "profile string, embedding double, graph double, keyword double")
+
+
+@query("H15_symbol_locator", "SELECT id, 1 AS tier FROM nodes WHERE lower(method_name) = 'loadkenya' ORDER BY id LIMIT 10")
+def symbol_locator(spark, d):
+    return retrieval.locate(nodes(spark, d), "LoadKenya")
+
+
+@query("I11_claim_validation", """WITH c AS (SELECT s.statement_id, n.id AS node, s.claim, s.score, (SELECT count(*) FROM evidence v WHERE v.statement_id = s.statement_id) AS n_evidence FROM statements s LEFT JOIN nodes n ON n.id = 'supplier:' || split_part(s.subject_id, ':', 2)),
+f AS (SELECT statement_id, node IS NULL AS no_subject, n_evidence = 0 AS no_evidence, regexp_matches(claim, 'inferred from|primary workflow|probable pattern') AS forbidden, score FROM c)
+SELECT statement_id, CAST(no_subject::INT + no_evidence::INT + forbidden::INT AS INT) AS n_failures, CAST(CASE WHEN no_subject THEN 3 WHEN forbidden THEN 3 WHEN no_evidence THEN 2 WHEN score >= 0.6 THEN 0 ELSE 1 END AS INT) AS class FROM f""")
+def claim_validation(spark, d):
+    return truth.claims(claim_rows(spark, d), view(spark, d, "evidence"), nodes(spark, d)).select("statement_id", "n_failures", "class")
+
+
+def claim_rows(spark, d):
+    return view(spark, d, "statements").withColumn("subject", F.concat(F.lit("supplier:"), F.split_part("subject_id", F.lit(":"), F.lit(2))))
+
+
+@query("I12_classification_counts", """WITH c AS (SELECT s.statement_id, n.id AS node, s.score, (SELECT count(*) FROM evidence v WHERE v.statement_id = s.statement_id) AS n_evidence FROM statements s LEFT JOIN nodes n ON n.id = 'supplier:' || split_part(s.subject_id, ':', 2))
+SELECT CAST(CASE WHEN node IS NULL THEN 3 WHEN n_evidence = 0 THEN 2 WHEN score >= 0.6 THEN 0 ELSE 1 END AS INT) AS class, count(*) AS n FROM c GROUP BY 1""")
+def classification_counts(spark, d):
+    return truth.claims(claim_rows(spark, d), view(spark, d, "evidence"), nodes(spark, d)).groupBy("class").agg(F.count("*").alias("n"))
+
+
+@query("I13_block_decision", """WITH c AS (SELECT s.statement_id, s.score, n.id IS NULL AS lost, (SELECT count(*) FROM evidence v WHERE v.statement_id = s.statement_id) = 0 AS bare FROM statements s LEFT JOIN nodes n ON n.id = 'supplier:' || split_part(s.subject_id, ':', 2))
+SELECT statement_id, concat_ws(',', CASE WHEN lost THEN 'subject' END, CASE WHEN bare THEN 'evidence' END, CASE WHEN score < 0.4 THEN 'confidence' END) AS reasons, lost OR bare OR score < 0.4 AS blocked FROM c""")
+def block_decision(spark, d):
+    return truth.blocked(truth.claims(claim_rows(spark, d), view(spark, d, "evidence"), nodes(spark, d)))

@@ -1 +1,240 @@
-"""Queries."""
+"""Text functions, chunks, documents and embeddings (families S, G)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import confidence
+from ..functions import fusion
+from ..functions import text as t
+from ..operators import metrics, text
+from ..plans.fixture import edges, nodes, view
+from ..registry import query
+from ..session import table
+from .graph import IMPACT, impact
+from .metrics import DEGREE
+
+
+@query("S01_method_ids", "SELECT id, 'method:' || project_name || '::' || namespace || '.' || class_name || '.' || method_name || '()' AS method_id, lower(trim(replace(' C:\\App\\' || project_name || ' ', '\\', '/'))) AS path FROM nodes WHERE NOT is_external")
+def method_ids(spark, d):
+    n = nodes(spark, d).filter("not is_external")
+    name = t.qualified_name(F.col("namespace"), F.col("class_name"), F.col("method_name"), F.array().cast("array<string>"))
+    return n.select("id", t.method_id(F.col("project_name"), name).alias("method_id"), t.project_path(F.concat(F.lit(" C:\\App\\"), "project_name", F.lit(" "))).alias("path"))
+
+
+@query("S02_qualified_names", "SELECT id, concat_ws('.', nullif(namespace, ''), nullif(class_name, ''), method_name) || '(int, string)' AS name FROM nodes WHERE kind = 'method'")
+def qualified_names(spark, d):
+    return nodes(spark, d).filter("kind = 'method'").select("id", t.qualified_name(F.col("namespace"), F.col("class_name"), F.col("method_name"), F.array(F.lit("int"), F.lit("string"))).alias("name"))
+
+
+@query("S03_handles", "SELECT vec_id, substr(h, 1, 1) AS kind, split_part(h, ':', 2) AS doc FROM (SELECT vec_id, CASE vec_id % 3 WHEN 0 THEN 'M:' WHEN 1 THEN 'T:' ELSE 'P:' END || 'doc' || vec_id AS h FROM embeddings)")
+def handles(spark, d):
+    h = F.concat(F.element_at(F.array(F.lit("asm|M:"), F.lit("asm|T:"), F.lit("asm|P:")), (F.col("vec_id") % 3 + 1).cast("int")), F.lit("doc"), F.col("vec_id").cast("string"))
+    doc = F.substring_index(h, "|", -1)
+    return table(spark, d, "embeddings").select("vec_id", F.substr(doc, F.lit(1), F.lit(1)).alias("kind"), F.substring_index(doc, ":", -1).alias("doc"))
+
+
+@query("S04_short_ids", "SELECT id, string_split(id, '::')[-1] AS short FROM units")
+def short_ids(spark, d):
+    return view(spark, d, "units").select("id", t.short_id(F.col("id")).alias("short"))
+
+
+@query("S05_called_names", "SELECT id, string_split(string_split(string_split(content, '(')[1], '<')[1], '.')[-1] AS name FROM units")
+def called_names(spark, d):
+    return view(spark, d, "units").select("id", t.called_name(F.col("content")).alias("name"))
+
+
+@query("S06_camel_words", "SELECT DISTINCT class_name, trim(regexp_replace(class_name, '([A-Z][a-z])', ' \\1', 'g')) AS words FROM nodes WHERE kind = 'method'")
+def camel_words(spark, d):
+    return nodes(spark, d).filter("kind = 'method'").select("class_name", F.array_join(t.camel_words(F.col("class_name")), " ").alias("words")).distinct()
+
+
+@query("S09_confidence_values", "SELECT confidence, CASE confidence WHEN 'exact' THEN 1.0 WHEN 'high' THEN 0.75 WHEN 'medium' THEN 0.5 WHEN 'low' THEN 0.25 ELSE 0 END::DOUBLE AS value, count(*) AS n FROM edges GROUP BY 1")
+def confidence_values(spark, d):
+    from ..plans.traverse import confidence_value
+
+    return edges(spark, d).groupBy("confidence").agg(F.count("*").alias("n")).withColumn("value", confidence_value(F.col("confidence")))
+
+
+@query("S10_type_parameters", "SELECT * FROM (VALUES ('T', true), ('T1', true), ('TEntity', false), ('Order', false), ('T22', true)) v(name, is_parameter)")
+def type_parameters(spark, d):
+    names = spark.createDataFrame([(x,) for x in ("T", "T1", "TEntity", "Order", "T22")], "name string")
+    return names.select("name", t.type_parameter(F.col("name")).alias("is_parameter"))
+
+
+@query("S12_vector_norms", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 4) AS norm, round((list_cosine_similarity(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]) + 1) / 2, 4) AS mirror FROM embeddings")
+def vector_norms(spark, d):
+    rows = table(spark, d, "embeddings")
+    norm = F.sqrt(F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x))
+    return rows.select("vec_id", F.round(norm, 4).alias("norm"), F.round((fusion.cosine(F.col("embedding"), F.reverse("embedding")) + 1) / 2, 4).alias("mirror"))
+
+
+@query("S13_extractors", "SELECT page_id, len(list_distinct(regexp_extract_all(html, 'https?://[^\\s\"''<]+'))) AS n_urls, len(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS n_links FROM pages")
+def extractors(spark, d):
+    return table(spark, d, "pages").select("page_id", F.size(t.urls_of(F.col("html"))).cast("long").alias("n_urls"), F.size(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), 1)).cast("long").alias("n_links"))
+
+
+@query("S14_sql_tables", "SELECT id, CASE WHEN contains(content, 'FROM supplier') THEN 'supplier' ELSE '' END AS tables FROM units")
+def sql_tables(spark, d):
+    return view(spark, d, "units").select("id", F.array_join(t.tables_of(F.col("content")), ",").alias("tables"))
+
+
+@query("S15_name_tests", "SELECT p_partkey, regexp_matches(p_name, '^[a-z0-9]+$') AS all_lower, regexp_matches(p_type, '(Dto|DTO|Model|Request|Response)$') AS dto FROM part")
+def name_tests(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.col("p_name").rlike("^[a-z0-9]+$").alias("all_lower"), F.col("p_type").rlike("(Dto|DTO|Model|Request|Response)$").alias("dto"))
+
+
+@query("S16_normalized_questions", "SELECT item_id, lower(replace(replace(replace(trim(text), '?', ''), ',', ' '), '.', '')) AS text FROM benchmark")
+def normalized_questions(spark, d):
+    from ..operators.cognition import normalized
+
+    return table(spark, d, "benchmark").select("item_id", normalized(F.col("text")).alias("text"))
+
+
+@query("S17_truncation", "SELECT doc_id, CASE WHEN length(text) > 80 THEN substr(text, 1, 80) || '...' ELSE text END AS head FROM documents")
+def truncation(spark, d):
+    return table(spark, d, "documents").select("doc_id", t.truncated(F.col("text"), 80).alias("head"))
+
+
+@query("S18_hashes", "SELECT doc_id, upper(substr(sha256(text), 1, 16)) AS short_hash, sha256(text) AS full_hash FROM documents")
+def hashes(spark, d):
+    return table(spark, d, "documents").select("doc_id", t.content_hash(F.col("text")).alias("short_hash"), F.sha2("text", 256).alias("full_hash"))
+
+
+@query("S19_rounding", "SELECT p_partkey, round(p_retailprice / 7, 2) AS two, round(p_retailprice / 7, 4) AS four FROM part")
+def rounding(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.round(F.col("p_retailprice") / 7, 2).alias("two"), F.round(F.col("p_retailprice") / 7, 4).alias("four"))
+
+
+@query("S20_clamp", "SELECT c_custkey, greatest(0.0, least(1.0, round(c_acctbal / 5000, 6))) AS value FROM customer")
+def clamp(spark, d):
+    return table(spark, d, "customer").select("c_custkey", confidence.clamp(F.round(F.col("c_acctbal") / 5000, 6)).alias("value"))
+
+
+@query("S21_folders", "SELECT DISTINCT class_name, CASE WHEN class_name LIKE '%Controller' THEN 'Controllers' WHEN class_name LIKE '%Service' THEN 'Services' WHEN class_name LIKE '%Repository' THEN 'Repositories' ELSE 'Helpers' END AS folder FROM nodes")
+def folders(spark, d):
+    return nodes(spark, d).select("class_name", t.folder_of(F.col("class_name")).alias("folder")).distinct()
+
+
+@query("S22_progress", "SELECT n_nationkey, CAST(CASE WHEN n_regionkey = 0 THEN 0 ELSE least(100, n_nationkey * 100 // 24) END AS BIGINT) AS percent FROM nation")
+def progress(spark, d):
+    done = F.when(F.col("n_regionkey") == 0, 0).otherwise(F.least(F.lit(100), F.floor(F.col("n_nationkey") * 100 / 24)))
+    return table(spark, d, "nation").select("n_nationkey", done.cast("long").alias("percent"))
+
+
+@query("S31_confidence_levels", "SELECT statement_id, CAST(CASE WHEN s >= 0.95 THEN 0 WHEN s >= 0.8 THEN 1 WHEN s >= 0.6 THEN 2 WHEN s >= 0.4 THEN 3 WHEN s >= 0.2 THEN 4 ELSE 5 END AS INT) AS level FROM (SELECT statement_id, CASE WHEN speculative_ancestor THEN least(score, 0.55) ELSE score END AS s FROM statements)")
+def confidence_levels(spark, d):
+    return view(spark, d, "statements").select("statement_id", confidence.level(F.col("score"), F.col("speculative_ancestor")).alias("level"))
+
+
+@query("S32_truth_from_level", "SELECT confidence, CASE confidence WHEN 'exact' THEN 1.0 WHEN 'high' THEN 0.85 WHEN 'medium' THEN 0.6 ELSE 0.3 END::DOUBLE AS truth FROM (SELECT DISTINCT confidence FROM edges)")
+def truth_from_level(spark, d):
+    return edges(spark, d).select("confidence").distinct().withColumn("truth", confidence.truth_from_level(F.col("confidence")))
+
+
+@query("G01_method_chunks", f"WITH {DEGREE} SELECT n.id, n.label AS title, least(2.0 + CASE WHEN route IS NOT NULL THEN 3.0 ELSE 0.0 END + CASE WHEN entry_point THEN 2.0 ELSE 0.0 END + least(0.5 * n_callers, 3.0), 10.0)::DOUBLE AS importance FROM nodes n JOIN dg ON dg.id = n.id WHERE NOT is_external")
+def method_chunks(spark, d):
+    n = nodes(spark, d)
+    return text.method_chunks(n, metrics.degrees(n, edges(spark, d))).select("id", "title", "importance")
+
+
+@query("G02_class_chunks", "SELECT project_name, class_name, count(*) AS n, round(least(2 + 0.3 * count(*) + CASE WHEN bool_or(entry_point) THEN 3.0 ELSE 0.0 END, 10.0)::DOUBLE, 4) AS importance FROM nodes WHERE NOT is_external GROUP BY project_name, namespace, class_name HAVING count(*) >= 2")
+def class_chunks(spark, d):
+    return text.class_chunks(nodes(spark, d))
+
+
+@query("G03_path_chunks", f"WITH RECURSIVE {IMPACT} SELECT path_id, length, (6.0 + least(0.5 * length, 4.0))::DOUBLE AS importance FROM paths")
+def path_chunks(spark, d):
+    return text.path_chunks(impact(spark, d))
+
+
+GROUPED = "s AS (SELECT root, leaf, path_id, unnest(string_split(path_id, '|')) AS node FROM paths)"
+
+
+@query("G04_entity_chunks", f"WITH RECURSIVE {IMPACT}, {GROUPED} SELECT root, count(DISTINCT path_id) AS n_paths, count(DISTINCT node) AS n_nodes, round(7.0 + least(0.5 * count(DISTINCT path_id), 3.0), 4)::DOUBLE AS importance FROM s GROUP BY root")
+def entity_chunks(spark, d):
+    return text.group_chunks(impact(spark, d), "root", 7.0, 0.5, 3.0)
+
+
+@query("G05_route_chunks", f"WITH RECURSIVE {IMPACT}, {GROUPED} SELECT leaf, count(DISTINCT path_id) AS n_paths, count(DISTINCT node) AS n_nodes, round(8.0 + least(0.3 * count(DISTINCT path_id), 2.0), 4)::DOUBLE AS importance FROM s GROUP BY leaf")
+def route_chunks(spark, d):
+    return text.group_chunks(impact(spark, d), "leaf", 8.0, 0.3, 2.0)
+
+
+@query("G06_contents", "SELECT n.id, '# ' || n.label || coalesce(chr(10) || array_to_string(list_transform(list_slice(list_sort(c.l), 1, 20), lambda x: '- ' || x), chr(10)), '') AS content FROM nodes n LEFT JOIN (SELECT from_id, list(DISTINCT to_id) AS l FROM edges GROUP BY 1) c ON c.from_id = n.id")
+def contents(spark, d):
+    return text.content(nodes(spark, d), edges(spark, d))
+
+
+@query("G07_keywords", "SELECT id, array_to_string(list_sort(list_distinct(list_filter(['app', lower(split_part(namespace, '.', 2)), lower(class_name), split_part(lower(regexp_replace(class_name, '([A-Z][a-z]+)', '\\1 ', 'g')), ' ', 1), split_part(lower(regexp_replace(class_name, '([A-Z][a-z]+)', '\\1 ', 'g')), ' ', 2)], lambda w: length(w) > 1))), ',') AS words FROM nodes WHERE kind = 'method'")
+def keyword_lists(spark, d):
+    return nodes(spark, d).filter("kind = 'method'").select("id", F.array_join(t.keywords(F.concat_ws(".", "namespace", "class_name")), ",").alias("words"))
+
+
+@query("G09_word_estimates", "SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '[ \\n\\r\\t]'), lambda w: length(trim(w)) > 0)) + 3 * 2 AS INT) AS tokens FROM documents")
+def word_estimates(spark, d):
+    return table(spark, d, "documents").select("doc_id", t.word_estimate(F.col("text"), F.lit(2)).alias("tokens"))
+
+
+@query("G10_token_estimates", "SELECT doc_id, CAST(CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, c + (length(text) - c) // 4 + m // 2) END AS INT) AS tokens FROM (SELECT doc_id, text, len(regexp_extract_all(text, '[\\x{4e00}-\\x{9fff}]')) AS c, len(regexp_extract_all(text, '[(){};.,><  /\\\\_:]')) AS m FROM documents)")
+def token_estimates(spark, d):
+    return table(spark, d, "documents").select("doc_id", t.token_estimate(F.col("text")).cast("int").alias("tokens"))
+
+
+@query("G11_batches")
+def batches(spark, d):
+    rows = table(spark, d, "documents").select("source", F.col("doc_id").alias("id"), t.token_estimate(F.col("text")).alias("tokens"))
+    return text.batches(rows, "source")
+
+
+@query("G12_content_hashes", "SELECT upper(substr(sha256(text), 1, 16)) AS content_hash, count(*) AS n FROM documents GROUP BY 1")
+def content_hashes(spark, d):
+    return table(spark, d, "documents").groupBy(t.content_hash(F.col("text")).alias("content_hash")).agg(F.count("*").alias("n"))
+
+
+@query("G13_embedding_texts", "SELECT id, concat_ws(chr(10), nullif(label, ''), nullif(route, ''), nullif(table_name, '')) AS text FROM nodes")
+def embedding_texts(spark, d):
+    return nodes(spark, d).select("id", F.concat_ws("\n", F.nullif("label", F.lit("")), F.nullif("route", F.lit("")), F.nullif("table_name", F.lit(""))).alias("text"))
+
+
+@query("G14_hash_embeddings", """WITH h AS (SELECT item_id, sha256(text) AS s FROM benchmark), r AS (SELECT item_id, list_transform(range(0, 384), lambda i: (('0x' || substr(s, CAST(2 * (i % 30) + 1 AS INT), 4))::INT - 32768) / 32768.0::DOUBLE) AS v FROM h)
+SELECT item_id, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS first, round(v[384] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS last, len(v) AS dims FROM r""")
+def hash_embeddings(spark, d):
+    v = t.hash_embedding(F.col("text"))
+    rows = table(spark, d, "benchmark").select("item_id", v.alias("v"))
+    return rows.select("item_id", F.round(F.element_at("v", 1), 6).alias("first"), F.round(F.element_at("v", -1), 6).alias("last"), F.size("v").cast("long").alias("dims"))
+
+
+@query("G15_embedding_cache", "SELECT item_id AS id, upper(substr(sha256(text), 1, 16)) AS content_hash, item_id % 3 = 0 AS cached FROM benchmark")
+def embedding_cache(spark, d):
+    rows = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
+    cache = text.embed(rows.filter("id % 3 = 0"))
+    return text.embed(rows, cache).select("id", "content_hash", "cached")
+
+
+def docs(spark, d):
+    units = view(spark, d, "units")
+    return text.semantic_docs(units.select("id", F.col("method_name").alias("name"), F.concat_ws(" ", "content", F.lit("https://api.example.com/x")).alias("text")))
+
+
+DOCS = "dc AS (SELECT id, method_name, CASE WHEN contains(content, 'FROM supplier') THEN 'supplier' END AS tbl FROM units)"
+
+
+@query("G16_semantic_docs", f"WITH {DOCS} SELECT id, coalesce(tbl, '') AS tables, 'https://api.example.com/x' AS urls, 'query' AS action FROM dc")
+def semantic_docs(spark, d):
+    return docs(spark, d).select("id", F.array_join("tables", ",").alias("tables"), F.array_join("urls", ",").alias("urls"), "action")
+
+
+@query("G18_enhanced_texts", f"WITH {DOCS} SELECT id, concat_ws(chr(10), 'action: query', 'tables: ' || tbl, 'urls: https://api.example.com/x') AS text FROM dc")
+def enhanced_texts(spark, d):
+    return text.enhanced(docs(spark, d))
+
+
+@query("G19_reverse_index", f"WITH {DOCS} SELECT 'table' AS category, tbl AS key, id FROM dc WHERE tbl IS NOT NULL UNION SELECT 'http', 'https://api.example.com/x', id FROM dc")
+def reverse_index(spark, d):
+    return text.reverse_index(docs(spark, d))
+
+
+@query("G20_summaries", f"WITH {DOCS} SELECT id, concat_ws('; ', 'query', 'accesses:' || tbl, 'endpoint:https://api.example.com/x', 'api-entrypoint') AS summary FROM dc")
+def summaries(spark, d):
+    return text.summaries(docs(spark, d))

@@ -38,6 +38,16 @@ UNION ALL SELECT from_id, to_id, 'entity-access', CASE WHEN weight >= 40 THEN 'e
 SELECT event_type AS from_id, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS to_id FROM {events}""",
     "cyclic": """
 SELECT from_id, to_id, 'call' AS kind, count(*) AS weight FROM {steps} WHERE to_id IS NOT NULL GROUP BY from_id, to_id""",
+    # a chunk for each vector; its features follow from its id
+    "chunks": """
+SELECT vec_id AS chunk_id, 'chunk:' || CAST(vec_id AS STRING) AS title, CAST(label AS INT) AS label, CAST(vec_id % 7 AS INT) - 1 AS entry_distance, CAST(vec_id % 5 AS INT) - 1 AS data_distance, CAST(vec_id * 7 % 30 AS INT) AS max_fan,
+       CAST(1 + vec_id % 4 AS INT) AS n_nodes, CAST(vec_id % 3 AS INT) AS n_grounded, vec_id % 6 = 0 AS is_entry, vec_id % 4 = 0 AS has_access, 'T' || CAST(label AS STRING) AS table_name, 'E' || CAST(vec_id % 8 AS STRING) AS entity_name,
+       CAST(vec_id * 37 % 100 AS DOUBLE) / 10 AS importance, CAST(vec_id % 10 AS DOUBLE) / 10 AS confidence FROM {embeddings}""",
+    # code units: a loader for each nation that calls its suppliers' finders by name
+    "units": """
+SELECT 'method:P' || CAST(n_regionkey AS STRING) || '::app.NationService.Load' || CAST(n_nationkey AS STRING) || '()' AS id, 'P' || CAST(n_regionkey AS STRING) AS project_name, 'app' AS namespace, 'NationService' AS class_name, 'Load' || CAST(n_nationkey AS STRING) AS method_name,
+       'call Load' || CAST((n_nationkey + 5) % 25 AS STRING) || '(); TryFind' || CAST(n_nationkey + 1 AS STRING) || '(x); Find' || CAST(n_nationkey * 3 + 1 AS STRING) || '(y)' AS content FROM {nation}
+UNION ALL SELECT 'method:P' || CAST(n_regionkey AS STRING) || '::app.SupplierRepository.Find' || CAST(s_suppkey AS STRING) || '()', 'P' || CAST(n_regionkey AS STRING), 'app', 'SupplierRepository', 'Find' || CAST(s_suppkey AS STRING), 'FROM supplier; Find' || CAST(s_suppkey AS STRING) || '(z)' FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey""",
     # statements: a conversation's turns; subject and confidence follow from the ids
     "statements": """
 SELECT CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING) AS statement_id, 'conv:' || CAST(conv_id % 40 AS STRING) AS subject_id, lower(text) AS claim, role AS tone,
