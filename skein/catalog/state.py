@@ -1 +1,139 @@
-"""Queries."""
+"""Statements and their state (family J)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import state
+from ..plans.fixture import view
+from ..registry import query
+
+PAIRS = "FROM statements x JOIN statements y ON x.subject_id = y.subject_id AND x.statement_id < y.statement_id"
+COUNTED = """ct AS (SELECT s.*, (SELECT count(*) FROM evidence v WHERE v.statement_id = s.statement_id) AS n_evidence, CASE WHEN c >= 0.95 THEN 0 WHEN c >= 0.8 THEN 1 WHEN c >= 0.6 THEN 2 WHEN c >= 0.4 THEN 3 WHEN c >= 0.2 THEN 4 ELSE 5 END AS level FROM (SELECT *, CASE WHEN speculative_ancestor THEN least(score, 0.55) ELSE score END AS c FROM statements) s)"""
+ABSTRACT = "regexp_matches(claim, 'business logic abstraction|core domain concept|primary workflow|enterprise pattern|architectural pattern|ontology completion|auto-generated summary|smart compression')"
+RULES = "(VALUES (' does ', ' does not '), (' is ', ' is not '), (' has ', ' does not have '), (' supports ', ' does not support '), ('increases', 'decreases'), ('enables', 'disables'), ('valid', 'invalid'), ('correct', 'incorrect'), ('true', 'false')) r(p, q)"
+DIRECT = f"SELECT DISTINCT x.statement_id AS a, y.statement_id AS b {PAIRS} JOIN {RULES} ON (contains(x.claim, p) AND contains(y.claim, q)) OR (contains(y.claim, p) AND contains(x.claim, q))"
+
+
+def both(spark, d):
+    return view(spark, d, "statements"), view(spark, d, "evidence")
+
+
+@query("J01_direct_conflicts", DIRECT)
+def direct_conflicts(spark, d):
+    return state.direct_conflicts(view(spark, d, "statements"))
+
+
+@query("J02_shadow_abstractions", f"WITH {COUNTED} SELECT statement_id AS a FROM ct WHERE level >= 4 AND n_evidence = 0 AND {ABSTRACT}")
+def shadow_abstractions(spark, d):
+    return state.shadow_abstractions(*both(spark, d))
+
+
+@query("J03_unsupported", f"WITH {COUNTED} SELECT statement_id AS a FROM ct WHERE level >= 3 AND n_evidence = 0 AND NOT {ABSTRACT}")
+def unsupported(spark, d):
+    return state.unsupported(*both(spark, d))
+
+
+@query("J04_confidence_conflicts", f"SELECT x.statement_id AS a, y.statement_id AS b {PAIRS} WHERE round(abs(x.score - y.score), 9) >= 0.4")
+def confidence_conflicts(spark, d):
+    return state.confidence_conflicts(view(spark, d, "statements"))
+
+
+@query("J05_divergent_sources", f"SELECT x.statement_id AS a, y.statement_id AS b {PAIRS} WHERE EXISTS (SELECT 1 FROM evidence e WHERE e.statement_id = x.statement_id) AND EXISTS (SELECT 1 FROM evidence e WHERE e.statement_id = y.statement_id) AND NOT EXISTS (SELECT 1 FROM evidence e JOIN evidence f ON e.source_file = f.source_file WHERE e.statement_id = x.statement_id AND f.statement_id = y.statement_id)")
+def divergent(spark, d):
+    return state.divergent(*both(spark, d))
+
+
+@query("J06_stale_grounding", "SELECT DISTINCT statement_id AS a FROM evidence WHERE score < 0.6 AND speculative_ancestor")
+def stale(spark, d):
+    return state.stale(*both(spark, d))
+
+
+@query("J07_tone_drift", f"SELECT x.statement_id AS a, y.statement_id AS b {PAIRS} WHERE x.tone <> y.tone")
+def tone_drift(spark, d):
+    return state.tone_drift(view(spark, d, "statements"))
+
+
+@query("J09_shared_evidence", f"""WITH sy AS (SELECT statement_id, list_distinct(list(symbol)) AS s FROM evidence GROUP BY 1)
+SELECT x.statement_id AS a, y.statement_id AS b, CAST(len(list_intersect(p.s, q.s)) AS INT) AS n_shared, CAST(len(p.s) + len(q.s) - 2 * len(list_intersect(p.s, q.s)) AS INT) AS n_divergent {PAIRS} JOIN sy p ON p.statement_id = x.statement_id JOIN sy q ON q.statement_id = y.statement_id""")
+def shared_evidence(spark, d):
+    return state.shared_evidence(*both(spark, d))
+
+
+FOUND = f"""fd AS (SELECT 'direct' AS kind, a, b FROM ({DIRECT}) UNION ALL SELECT 'shadow', statement_id, '' FROM ct WHERE level >= 4 AND n_evidence = 0 AND {ABSTRACT} UNION ALL SELECT 'unsupported', statement_id, '' FROM ct WHERE level >= 3 AND n_evidence = 0 AND NOT {ABSTRACT}
+UNION ALL SELECT 'confidence', x.statement_id, y.statement_id {PAIRS} WHERE round(abs(x.score - y.score), 9) >= 0.4
+UNION ALL SELECT 'divergent', x.statement_id, y.statement_id {PAIRS} WHERE EXISTS (SELECT 1 FROM evidence e WHERE e.statement_id = x.statement_id) AND EXISTS (SELECT 1 FROM evidence e WHERE e.statement_id = y.statement_id) AND NOT EXISTS (SELECT 1 FROM evidence e JOIN evidence f ON e.source_file = f.source_file WHERE e.statement_id = x.statement_id AND f.statement_id = y.statement_id)
+UNION ALL SELECT DISTINCT 'stale', statement_id, '' FROM evidence WHERE score < 0.6 AND speculative_ancestor UNION ALL SELECT 'drift', x.statement_id, y.statement_id {PAIRS} WHERE x.tone <> y.tone)"""
+
+
+@query("J10_numbered_findings", f"WITH {COUNTED}, {FOUND} SELECT CASE kind WHEN 'direct' THEN 'dc' WHEN 'shadow' THEN 'sa' WHEN 'unsupported' THEN 'ui' WHEN 'confidence' THEN 'cc' WHEN 'divergent' THEN 'di' WHEN 'stale' THEN 'sg' ELSE 'sd' END || '-' || lpad(CAST(row_number() OVER (PARTITION BY kind ORDER BY a, b) - 1 AS STRING), 5, '0') AS finding_id, a, b FROM fd")
+def numbered(spark, d):
+    return state.numbered(state.findings(*both(spark, d))).select("finding_id", "a", "b")
+
+
+@query("J11_severity_gates", f"WITH {COUNTED}, {FOUND}, sv AS (SELECT CAST(CASE WHEN kind = 'direct' THEN 3 WHEN kind IN ('shadow', 'stale') THEN 2 WHEN kind IN ('confidence', 'divergent') THEN 1 ELSE 0 END AS INT) AS severity FROM fd) SELECT severity, count(*) AS n, severity >= 3 AS suppress, severity >= 1 AS qualify FROM sv GROUP BY 1")
+def gates(spark, d):
+    return state.gates(state.findings(*both(spark, d)))
+
+
+@query("J12_consistency", """SELECT 'escalated' AS "check", count(*) AS n FROM statements s JOIN (SELECT statement_id, max(score) AS best FROM evidence GROUP BY 1) b USING (statement_id) WHERE s.score > b.best + 1e-9
+UNION ALL SELECT 'bare', count(*) FROM statements s WHERE NOT EXISTS (SELECT 1 FROM evidence e WHERE e.statement_id = s.statement_id) UNION ALL SELECT 'shared_symbols', count(*) FROM (SELECT symbol FROM evidence GROUP BY 1 HAVING count(DISTINCT statement_id) > 1)""")
+def consistency(spark, d):
+    return state.consistency(*both(spark, d))
+
+
+ROLLUP = f"WITH {COUNTED} SELECT count(*) AS n, count(*) FILTER (WHERE level <= 2) AS n_grounded, count(*) FILTER (WHERE level = 4) AS n_speculative, count(*) FILTER (WHERE suppressed) AS n_suppressed, round(avg(score), 6) AS mean_score, round(min(score), 6) AS least_score FROM ct"
+
+
+@query("J13_state_rollup", ROLLUP)
+def rollup(spark, d):
+    return state.rollup(view(spark, d, "statements"))
+
+
+@query("J14_provenance", "SELECT count(*) AS n, count(DISTINCT symbol) AS n_symbols, count(DISTINCT source_file) AS n_files, round(avg(score), 6) AS mean_score, round(min(score), 6) AS least_score FROM evidence")
+def provenance(spark, d):
+    return view(spark, d, "evidence").agg(F.count("*").alias("n"), F.countDistinct("symbol").alias("n_symbols"), F.countDistinct("source_file").alias("n_files"), F.round(F.avg("score"), 6).alias("mean_score"), F.round(F.min("score"), 6).alias("least_score"))
+
+
+PRINT = f"{COUNTED}, fp AS (SELECT subject_id, sha256(array_to_string(list_sort(list(statement_id || ':' || printf('%.6f', round(score, 6)) || ':' || level || ':' || suppressed)), '|')) AS fingerprint FROM ct GROUP BY 1)"
+
+
+@query("J15_fingerprints", f"WITH {PRINT} SELECT subject_id, fingerprint FROM fp")
+def fingerprints(spark, d):
+    return state.fingerprint(view(spark, d, "statements"))
+
+
+@query("J15_state_fingerprint", f"WITH {PRINT}, bk AS (SELECT substr(sha256(subject_id), 1, 2) AS b, sha256(array_to_string(list_sort(list(subject_id || '=' || fingerprint)), '|')) AS f FROM fp GROUP BY 1) SELECT sha256(array_to_string(list_sort(list(f)), '|')) AS fingerprint FROM bk")
+def state_fingerprint(spark, d):
+    return state.state_fingerprint(view(spark, d, "statements"))
+
+
+@query("J16_invariants", f"""WITH {COUNTED}, ev AS (SELECT statement_id, bool_and(CASE WHEN speculative_ancestor THEN least(score, 0.55) ELSE score END < 0.4) AS weak FROM evidence GROUP BY 1), al AS (SELECT ct.*, ev.weak FROM ct LEFT JOIN ev USING (statement_id))
+SELECT 'ConfidenceMonotonicity' AS invariant, count(*) AS n FROM al WHERE speculative_ancestor AND score >= 0.4 UNION ALL SELECT 'NoSpeculativeEscalation', count(*) FROM al WHERE NOT suppressed AND weak AND score >= 0.6
+UNION ALL SELECT 'NoUnsupportedInfluence', count(*) FROM al WHERE NOT suppressed AND level = 5 UNION ALL SELECT 'ConfidenceDecayOnly', count(*) FROM al WHERE NOT suppressed AND (score > 1 OR score < 0)""")
+def invariants(spark, d):
+    return state.invariants(*both(spark, d))
+
+
+@query("J17_transition", """WITH j AS (SELECT s.score AS x, l.score AS y FROM statements s FULL JOIN later l USING (statement_id))
+SELECT 'inflated' AS "check", count(*) AS n FROM j WHERE y > x + 0.001 UNION ALL SELECT 'lost', count(*) FROM j WHERE y IS NULL UNION ALL SELECT 'new', count(*) FROM j WHERE x IS NULL UNION ALL SELECT 'mean_inflated', CAST(avg(y) > avg(x) + 0.05 AS BIGINT) FROM j""")
+def transition(spark, d):
+    return state.transition(view(spark, d, "statements"), view(spark, d, "later"))
+
+
+@query("J18_runtime_drift", """WITH v AS (SELECT (SELECT avg(score) FROM later) - (SELECT avg(score) FROM statements) AS i, (SELECT count(*) FROM statements s WHERE statement_id NOT IN (SELECT statement_id FROM later)) AS g, (SELECT count(*) FROM statements) - (SELECT count(*) FROM later) AS k)
+SELECT 'inflation' AS signal, round(i, 6) AS value, i > 0.05 AS drifting FROM v UNION ALL SELECT 'flux', g::DOUBLE, g > 3 FROM v UNION ALL SELECT 'shrinkage', k::DOUBLE, k > 0 FROM v""")
+def runtime_drift(spark, d):
+    return state.runtime_drift(view(spark, d, "statements"), view(spark, d, "later"))
+
+
+@query("J19_governance")
+def governance(spark, d):
+    s, e = both(spark, d)
+    verdict, totals = state.governance({"invariants": state.invariants(s, e), "transition": state.transition(s, view(spark, d, "later"))})
+    return spark.createDataFrame([(verdict, k, v) for k, v in sorted(totals.items())], "verdict string, area string, n bigint")
+
+
+@query("J20_response_tones", "SELECT tone, count(*) AS n, round(avg(score), 6) AS mean_score FROM statements WHERE NOT suppressed GROUP BY tone")
+def tones(spark, d):
+    return state.tones(view(spark, d, "statements"))

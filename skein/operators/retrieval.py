@@ -89,7 +89,7 @@ def graph_aware(rows: DataFrame) -> DataFrame:
         0.25 * F.col("score") + 0.15 * near + 0.20 * fusion.symbol_score(F.col("n_grounded"), F.col("n_nodes")) + 0.15 * F.lit(0.5)
         + 0.15 * F.when(F.col("n_grounded") > 0, 1.0).otherwise(0.3) + 0.10 * cover
     )
-    return rows.select("query_id", "chunk_id", F.round(F.round(parts, 9), 4).alias("composite"))
+    return rows.select("query_id", "chunk_id", F.round(parts, 6).alias("composite"))
 
 
 def split_words(text: Column | str) -> Column:

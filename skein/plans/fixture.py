@@ -50,10 +50,15 @@ SELECT 'method:P' || CAST(n_regionkey AS STRING) || '::app.NationService.Load' |
 UNION ALL SELECT 'method:P' || CAST(n_regionkey AS STRING) || '::app.SupplierRepository.Find' || CAST(s_suppkey AS STRING) || '()', 'P' || CAST(n_regionkey AS STRING), 'app', 'SupplierRepository', 'Find' || CAST(s_suppkey AS STRING), 'FROM supplier; Find' || CAST(s_suppkey AS STRING) || '(z)' FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey""",
     # statements: a conversation's turns; subject and confidence follow from the ids
     "statements": """
-SELECT CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING) AS statement_id, 'conv:' || CAST(conv_id % 40 AS STRING) AS subject_id, lower(text) AS claim, role AS tone,
+SELECT CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING) AS statement_id, 'conv:' || CAST(conv_id % 40 AS STRING) AS subject_id, CASE WHEN turn % 6 = 0 THEN 'it is valid ' WHEN turn % 6 = 1 THEN 'it is not valid ' WHEN turn % 6 = 2 THEN 'enables cache ' WHEN turn % 6 = 3 THEN 'disables cache ' WHEN turn % 6 = 4 THEN 'primary workflow ' ELSE '' END || lower(text) AS claim, role AS tone,
        CAST((conv_id * 7 + turn * 13) % 100 AS DOUBLE) / 100 AS score, CAST(turn % 4 AS INT) AS hop, turn % 5 = 0 AS speculative_ancestor, turn % 7 = 6 AS suppressed FROM {conversations} WHERE conv_id IS NOT NULL AND turn IS NOT NULL""",
+    # the same statements later: some gone, some changed
+    "later": """
+SELECT statement_id, subject_id, claim, tone, CASE WHEN hop = 1 THEN least(1.0, score + 0.1) ELSE score * 0.95 END AS score, hop, speculative_ancestor, suppressed FROM {statements} WHERE NOT (hop = 3 AND suppressed)""",
+    "calls": """
+SELECT id AS unit_id, project_name, class_name, 'app.SupplierRepository.Find' || CAST(n AS STRING) AS target, 'app' AS target_namespace, n % 5 = 0 AS external FROM {units} CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 5 UNION ALL SELECT 5 UNION ALL SELECT 999) x WHERE class_name = 'NationService'""",
     "evidence": """
-SELECT statement_id, statement_id || '/' || CAST(seq AS STRING) AS evidence_id, CAST(seq AS INT) AS seq, 'symbol:' || CAST(CAST(score * 100 AS INT) % 9 + seq AS STRING) AS symbol, 'file' || CAST((CAST(score * 100 AS INT) + seq) % 6 AS STRING) AS source_file,
+SELECT statement_id, subject_id, statement_id || '/' || CAST(seq AS STRING) AS evidence_id, CAST(seq AS INT) AS seq, 'symbol:' || CAST(CAST(round(score * 100) AS INT) % 9 + seq AS STRING) AS symbol, 'file' || CAST((CAST(round(score * 100) AS INT) + seq) % 6 AS STRING) AS source_file,
        score * 0.9 AS score, CAST(seq AS INT) AS hop, speculative_ancestor FROM {statements} CROSS JOIN (SELECT 0 AS seq UNION ALL SELECT 1) x WHERE hop > 0""",
 }
 
