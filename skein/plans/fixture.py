@@ -57,6 +57,26 @@ SELECT CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING) AS statement_id, '
 SELECT statement_id, subject_id, claim, tone, CASE WHEN hop = 1 THEN least(1.0, score + 0.1) ELSE score * 0.95 END AS score, hop, speculative_ancestor, suppressed FROM {statements} WHERE NOT (hop = 3 AND suppressed)""",
     "calls": """
 SELECT id AS unit_id, project_name, class_name, 'app.SupplierRepository.Find' || CAST(n AS STRING) AS target, 'app' AS target_namespace, n % 5 = 0 AS external FROM {units} CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 5 UNION ALL SELECT 5 UNION ALL SELECT 999) x WHERE class_name = 'NationService'""",
+    # small tables of a code base's declarations
+    "actions": """
+SELECT * FROM (VALUES ('OrderController', 'ControllerBase', 'GetOrder', '', 'api/[controller]', 'byid', true, false), ('OrderController', 'ControllerBase', 'CreateOrder', '', 'api/[controller]', '', true, false), ('OrderController', 'ControllerBase', 'Helper', 'NonAction', 'api/[controller]', '', true, false),
+ ('StockController', 'ControllerBase', 'Remove', 'HttpPost', '', 'stock/[action]/', true, false), ('StockController', 'ControllerBase', 'Patchwork', '', '', '', true, false), ('StockController', 'ControllerBase', 'Hidden', '', '', '', false, false), ('PriceService', 'object', 'GetPrice', '', '', '', true, false), ('HomeController', 'Controller', 'Index', 'HttpGet', 'home', '/', true, true)) AS t(class_name, base_type, method_name, attribute, class_route, method_route, is_public, is_static)""",
+    "beans": """
+SELECT * FROM (VALUES ('orderService', 'app.OrderService', 'orderDao', 'beans.xml'), ('orderDao', 'app.OrderDao', '', 'beans.xml'), ('stockService', 'app.StockService', 'orderDao', 'beans.xml'), ('stockService', 'app.StockService', 'missing', 'beans.xml')) AS t(bean_id, type_name, ref, file)""",
+    "methods": """
+SELECT * FROM (VALUES ('IOrderService', 'Get', 'int', true), ('IOrderService', 'Save', 'Order', true), ('OrderService', 'Get', 'int', false), ('OrderService', 'Get', 'string', false), ('OrderService', 'Save', 'Order', false), ('OrderDao', 'Find', 'int', false), ('StockService', 'Count', '', false)) AS t(class_name, method_name, params, is_interface)""",
+    "bases": """
+SELECT * FROM (VALUES ('OrderService', 'IOrderService', 0, ''), ('OrderService', 'BaseService', 1, 'Order'), ('BaseService', 'RootService', 0, 'T'), ('StockService', 'BaseService', 0, 'Stock'), ('OrderDao', 'BaseDaoNHB', 0, 'Order'), ('Loop', 'Loop2', 0, ''), ('Loop2', 'Loop', 0, '')) AS t(class_name, base_name, ord, argument)""",
+    "type_parameters": """
+SELECT * FROM (VALUES ('BaseService', 'T', 0), ('RootService', 'T', 0)) AS t(class_name, parameter, ord)""",
+    "mappings": """
+SELECT * FROM (VALUES ('Order', 'ORDERS', 'a.hbm.xml'), ('Order', 'T_ORDERS', 'b.hbm.xml'), ('Item', '', 'b.hbm.xml')) AS t(class_name, table_name, file)""",
+    "accesses": """
+SELECT * FROM (VALUES (1, 'OrderDao.Find', 'session', 'Get', 'Order', ''), (2, 'OrderDao.All', 'hibernateSession', 'CreateQuery', '', 'from Order o where o.id = 1'), (3, 'OrderDao.Drop', 'session', 'CreateQuery', '', 'delete from Item'), (4, 'OrderDao.Trace', 'session', 'CreateQuery', '', 'hql'), (5, 'Other.Get', 'cache', 'Get', 'Order', ''), (6, 'StockDao.Up', 'Session', 'CreateQuery', '', 'update Stock set n = 1'), (7, 'StockDao.Up', 'Session', 'CreateQuery', '', 'update Stock set n = 2'), (8, 'X.Y', 'session', 'Get', '', '')) AS t(access_id, method, receiver, api, generic, argument)""",
+    "assignments": """
+SELECT * FROM (VALUES ('OrderDao.Trace', 'hql', 10, 'from Order'), ('OrderDao.Trace', 'hql', 20, 'from Item i join Order'), ('OrderDao.Trace', 'hql', 90, 'from Late'), ('OrderDao.Trace', 'x', 30, 'from X')) AS t(method, variable, pos, expression)""",
+    "facts": """
+SELECT * FROM (VALUES ('routes', 'n1', 'route', 'a.cs', '/a'), ('routes', 'n2', 'route', 'b.cs', '/b'), ('orm', 'n1', 'access', 'a.cs', 'Order'), ('orm', 'n3', 'access', 'c.cs', 'Item'), ('routes', 'n1', 'route', 'd.cs', '/z')) AS t(analyzer, subject_id, fact_type, source_file, value)""",
     "evidence": """
 SELECT statement_id, subject_id, statement_id || '/' || CAST(seq AS STRING) AS evidence_id, CAST(seq AS INT) AS seq, 'symbol:' || CAST(CAST(round(score * 100) AS INT) % 9 + seq AS STRING) AS symbol, 'file' || CAST((CAST(round(score * 100) AS INT) + seq) % 6 AS STRING) AS source_file,
        score * 0.9 AS score, CAST(seq AS INT) AS hop, speculative_ancestor FROM {statements} CROSS JOIN (SELECT 0 AS seq UNION ALL SELECT 1) x WHERE hop > 0""",
