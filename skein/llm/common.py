@@ -6,6 +6,7 @@ others, so extra or clashing columns in an input never reach its result.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
@@ -14,7 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-MASK64 = (1 << 64) - 1
+#: Odd factors of a shingle's words.
+PLACES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +40,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle and checkpoint files of steps that nothing refers to any more.
+
+    It does so when the driver's JVM collects their owners, which a driver with
+    free memory may put off until disks are full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[dict]], Iterable[dict]], schema: str) -> DataFrame:
     """``fn`` over dicts of column lists; each dict it yields becomes one Arrow batch of ``schema``."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -102,10 +114,10 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for j in range(k):
-        out = mix64(out + words[j : j + n] + np.uint64(j + 1))
-    return out
+    out = words[:n] * np.uint64(PLACES[0])
+    for j in range(1, k):
+        out += words[j : j + n] * np.uint64(PLACES[j % len(PLACES)] + 2 * j)
+    return mix64(out)
 
 
 def plain(text: str, without: bytes) -> bool:
@@ -145,3 +157,17 @@ def blocks(texts: list[str | None], chars: int) -> Iterator[slice]:
         size += n
     if len(texts) > start:
         yield slice(start, len(texts))
+
+
+def looked_up(known: dict, lists: list[list[str]], learn: Callable[[set[str]], None]) -> list[list]:
+    """The values of words in ``known``; ``learn`` is called once with those it does not have."""
+    rows = [list(map(known.get, x)) for x in lists]
+    open_ = [i for i, r in enumerate(rows) if None in r]
+    new: set[str] = set()
+    for i in open_:
+        new.update([w for w, v in zip(lists[i], rows[i], strict=True) if v is None])
+    if new:
+        learn(new)
+        for i in open_:
+            rows[i] = list(map(known.get, lists[i]))
+    return rows
