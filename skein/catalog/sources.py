@@ -1 +1,179 @@
-"""Queries."""
+"""Sources, sinks and sessions (family A, K-20 to K-22)."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..operators import session_state
+from ..plans.fixture import edges, nodes, view
+from ..registry import query
+from ..session import shared_dir, table
+from ..sources import code, graphs
+
+
+def place(spark) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/sink-{uuid.uuid4().hex}"
+
+
+SOLUTION = """Project("{F}") = "App", "src\\App\\App.csproj", "{1}"
+Project("{F}") = "Data", "src\\Data\\Data.csproj", "{2}"
+Project("{F}") = "Again", "SRC\\app\\App.csproj", "{3}"
+Project("{F}") = "Out", "src\\obj\\Gone.csproj", "{4}"
+"""
+
+
+@query("A01_projects", "SELECT * FROM (VALUES ('SRC/app/App.csproj'), ('src/Data/Data.csproj')) t(path)")
+def projects(spark, d):
+    return code.projects(spark.createDataFrame([("a.sln", SOLUTION)], "path string, text string"))
+
+
+@query("A02_source_files", "SELECT 'Load' || CAST(n_nationkey AS STRING) AS method_name FROM nation WHERE n_nationkey < 5")
+def source_files(spark, d):
+    at = place(spark)
+    text = F.concat(F.lit("class A { public int Load"), F.col("n_nationkey").cast("string"), F.lit("(int x) { } }"))
+    table(spark, d, "nation").filter("n_nationkey < 5").select(text.alias("value")).write.text(at)
+    return code.methods(code.files(spark, at, "*.txt")).select("method_name")
+
+
+@query("A07_xml_beans", "SELECT DISTINCT bean_id, type_name, ref FROM beans")
+def xml_beans(spark, d):
+    at = place(spark)
+    rows = view(spark, d, "beans").groupBy("bean_id", "type_name").agg(F.array_sort(F.collect_set("ref")).alias("refs"))
+    props = F.array_join(F.transform(F.filter("refs", lambda r: r != ""), lambda r: F.concat(F.lit('<property name="p" ref="'), r, F.lit('"/>'))), "")
+    rows.select(F.concat(F.lit('<objects><object id="'), "bean_id", F.lit('" type="'), "type_name", F.lit('">'), props, F.lit("</object></objects>")).alias("value")).write.text(at)
+    return code.beans(spark, at)
+
+
+@query("A08_xml_mappings", "SELECT class_name, table_name FROM mappings")
+def xml_mappings(spark, d):
+    at = place(spark)
+    line = F.concat(F.lit('<hibernate-mapping><class name="app.'), "class_name", F.lit(', app" table="'), "table_name", F.lit('"/></hibernate-mapping>'))
+    view(spark, d, "mappings").select(line.alias("value")).write.text(at)
+    return code.mappings(spark, at).select("class_name", "table_name")
+
+
+@query("A09_graph_cache", "SELECT id, kind, label FROM nodes")
+def graph_cache(spark, d):
+    at = place(spark)
+    graphs.save_cache({"nodes": nodes(spark, d), "edges": edges(spark, d)}, at)
+    found = graphs.load_cache(spark, at)
+    assert found is not None
+    return found["nodes"].select("id", "kind", "label")
+
+
+@query("A10_embedding_cache", "SELECT count(*) AS n, count(DISTINCT upper(substr(sha256(text), 1, 16))) AS n_hashes FROM benchmark")
+def embedding_cache(spark, d):
+    from ..operators import text
+
+    at = place(spark)
+    rows = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
+    text.embed(rows).select("content_hash", "vector").dropDuplicates(["content_hash"]).write.parquet(at)
+    again = text.embed(rows, spark.read.parquet(at)).filter("cached")
+    return again.agg(F.count("*").alias("n"), F.countDistinct("content_hash").alias("n_hashes"))
+
+
+@query("A11_scan_sink", "SELECT project_name, count(*) AS n FROM units GROUP BY 1")
+def scan_sink(spark, d):
+    at = place(spark)
+    graphs.write_scan(view(spark, d, "units"), at)
+    rows = spark.read.schema("project_name string, items array<struct<class_name: string, method_name: string>>").json(at)
+    return rows.select("project_name", F.size("items").cast("long").alias("n"))
+
+
+@query("A12_graph_json", "SELECT from_id AS \"from\", to_id AS \"to\", kind, confidence FROM edges")
+def graph_json(spark, d):
+    at = place(spark)
+    e = edges(spark, d).select(F.col("from_id").alias("from"), F.col("to_id").alias("to"), "kind", F.create_map(F.lit("confidence"), F.col("confidence")).alias("attributes"))
+    n = nodes(spark, d).select("id", "kind", "label", F.col("project_name").alias("projectName"))
+    facts = view(spark, d, "facts").select("analyzer", F.col("subject_id").alias("subjectId"))
+    graphs.write_graph_json(n, e, facts, at)
+    _, back, _ = graphs.read_graph_parts(spark, at)
+    return back.select("from", "to", "kind", F.col("attributes")["confidence"].alias("confidence"))
+
+
+@query("A13_chunk_sink", "SELECT vec_id AS chunk_id, 'chunk:' || CAST(vec_id AS STRING) AS title FROM embeddings")
+def chunk_sink(spark, d):
+    at = place(spark)
+    graphs.write_chunks(view(spark, d, "chunks").select("chunk_id", "title"), at)
+    return spark.read.schema("chunk_id bigint, title string").json(at)
+
+
+@query("A14_view_sink", "SELECT from_id || '→' || to_id || '|' || kind AS id FROM edges")
+def view_sink(spark, d):
+    from ..operators import views
+
+    at = place(spark)
+    views.edge_projection(edges(spark, d)).write.json(at)
+    return spark.read.schema("id string").json(at)
+
+
+@query("A15_failure_snapshots", "SELECT item_id AS case_id, CASE WHEN item_id % 2 = 0 THEN 'Hybrid' ELSE 'KeywordOnly' END AS mode FROM benchmark")
+def failure_snapshots(spark, d):
+    at = place(spark)
+    mode = F.when(F.col("item_id") % 2 == 0, "Hybrid").otherwise("KeywordOnly")
+    graphs.write_snapshots(table(spark, d, "benchmark").select(F.col("item_id").alias("case_id"), F.lit("A.Save()").alias("label"), mode.alias("mode")), at)
+    return graphs.read_snapshots(spark, at).select("case_id", "mode")
+
+
+@query("A16_history", "SELECT 'repo' || CAST(user_id % 20 AS STRING) AS path, max(event_id) AS last_used FROM events GROUP BY 1")
+def repository_history(spark, d):
+    rows = table(spark, d, "events").select(F.concat(F.lit("repo"), (F.col("user_id") % 20).cast("string")).alias("path"), F.col("event_type").alias("name"), F.col("event_id").alias("last_used"))
+    return graphs.history(rows).select("path", "last_used")
+
+
+@query("K20_follow_ups", "SELECT * FROM (VALUES ('what calls OrderService'), ('who changes OrderService'), ('show StockDao')) t(question)")
+def follow_ups(spark, d):
+    s = session_state.Session()
+    return spark.createDataFrame([(s.resolve(q),) for q in ("what calls OrderService", "who changes it", "show StockDao")], "question string")
+
+
+@query("K21_confidence_bars", "SELECT statement_id, repeat('#', CAST(round(score * 10) AS INT)) || repeat('.', 10 - CAST(round(score * 10) AS INT)) AS bar FROM (SELECT statement_id, round(score, 1) AS score FROM statements)")
+def confidence_bars(spark, d):
+    return view(spark, d, "statements").select("statement_id", session_state.confidence_bar(F.round("score", 1)).alias("bar"))
+
+
+@query("K21_citations", "SELECT source_file, count(*) AS n, string_agg(DISTINCT symbol, ',' ORDER BY symbol) AS symbols FROM evidence GROUP BY 1")
+def citations(spark, d):
+    return session_state.citations(view(spark, d, "evidence"))
+
+
+@query("K22_build_errors", "SELECT 'A.cs' AS file, 12 AS line, 'CS1002' AS code, '; expected' AS message UNION ALL SELECT 'src/B.cs', 3, 'CS0103', 'no x'")
+def build_errors(spark, d):
+    lines = ["A.cs(12,5): error CS1002: ; expected", "warning: fine", "src/B.cs(3,1): error CS0103: no x", "A.cs(1,1): warning CS0168: unused"]
+    return session_state.build_errors(spark.createDataFrame([(x,) for x in lines], "value string"))
+
+
+@query("K22_contexts", "SELECT id, content AS context, false AS changed FROM units WHERE contains(content, 'Find')")
+def contexts(spark, d):
+    rows = view(spark, d, "units")
+    near = session_state.context_lines(F.col("content"), F.lit("Find"))
+    return rows.select("id", near.alias("context"), session_state.signature_changed(F.col("content"), F.concat(F.lit(" "), "content")).alias("changed")).filter("context <> ''")
+
+
+@query("B14_analyzer_pipeline", "SELECT DISTINCT analyzer, count(*) AS n FROM (SELECT 'entries' AS analyzer, id FROM nodes WHERE entry_point UNION ALL SELECT 'entities', id FROM nodes WHERE kind = 'entity') GROUP BY 1")
+def analyzer_pipeline(spark, d):
+    from ..operators import build
+
+    def producer(name, condition):
+        def run(n, e):
+            found = n.filter(condition).select(F.lit(name).alias("analyzer"), F.col("id").alias("subject_id"))
+            return found, found.limit(0), e.select("from_id", "to_id").limit(0)
+
+        return run
+
+    facts, _, _ = build.run_analyzers(nodes(spark, d), edges(spark, d), [producer("entries", "entry_point"), producer("entities", "kind = 'entity'")])
+    return facts.groupBy("analyzer").agg(F.count("*").alias("n"))
+
+
+@query("N_streaming_scope", "SELECT analyzer, count(*) AS n FROM (SELECT analyzer FROM facts WHERE NOT (analyzer = 'routes' AND source_file = 'a.cs') UNION ALL SELECT 'routes' UNION ALL SELECT 'routes') GROUP BY 1")
+def streaming_scope(spark, d):
+    from ..streaming import incremental
+
+    at = place(spark)
+    facts = view(spark, d, "facts")
+    facts.write.parquet(f"{at}/table/v0")
+    spark.createDataFrame([("routes", "n7", "route", "a.cs", "/x"), ("routes", "n8", "route", "a.cs", "/y")], facts.schema).coalesce(1).write.json(f"{at}/in")
+    incremental.keep_current(spark, f"{at}/in", f"{at}/table", f"{at}/state").awaitTermination()
+    return incremental.version(spark, f"{at}/table", 1).groupBy("analyzer").agg(F.count("*").alias("n"))
