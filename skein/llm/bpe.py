@@ -37,10 +37,11 @@ class Bpe:
         self.rank = {p: i for i, p in enumerate(pairs)}
         self.stand_in = byte_alphabet()
         self._fits: dict[tuple[str, str], bool] = {}
-        self._alone: dict[str, bool] = {}
+        #: Tokens that merging can make.
+        self.usable = {t for t in self.vocab if self.merged(self.symbols(t)) == [t]}
         #: By a token's last three symbols, the length of the longest token that ends so.
         self.reach: dict[str, int] = {}
-        for token in self.vocab:
+        for token in self.usable:
             n = len(token) - (len(self.end) if self.end and token.endswith(self.end) else 0)
             if n >= 3:
                 key = token[n - 3 :]
@@ -62,12 +63,6 @@ class Bpe:
             parts[best : best + 2] = [parts[best] + parts[best + 1]]
         return parts
 
-    def alone(self, token: str) -> bool:
-        """Whether merging ever makes this token."""
-        if (known := self._alone.get(token)) is None:
-            known = self._alone[token] = token in self.vocab and self.merged(self.symbols(token)) == [token]
-        return known
-
     def fits(self, left: str, right: str) -> bool:
         """Whether merging leaves ``left`` and ``right`` side by side."""
         key = (left, right)
@@ -78,47 +73,57 @@ class Bpe:
         return known
 
     def last(self, text: str, n: int, lasts: list[str], tail: str = "") -> str:
-        """The last token of ``text[:n]``, given those of its shorter prefixes (``lasts[i]`` of ``text[:i]``)."""
-        vocab, fits = self.vocab, self._fits
+        """The last token of ``text[:n]``, given those of its shorter prefixes (``lasts[i]`` of ``text[:i]``).
+
+        There is only one, so the order of trials is free: first the token before, longer by one symbol.
+        """
+        vocab, fits = self.usable, self._fits
+        grown = n - 1 - len(lasts[n - 1])
+        token = text[grown:n] + tail
+        if token in vocab and (not (left := lasts[grown]) or ((known := fits.get((left, token))) or known is None and self.fits(left, token))):
+            return token
         i = n - self.reach.get(text[max(0, n - 3) : n] + tail, 3)
         if i < 0:
             i = 0
         while i < n:
-            token = text[i:n] + tail
-            if token in vocab and self.alone(token):
-                left = lasts[i]
-                if not left:
-                    return token
-                known = fits.get((left, token))
-                if known or known is None and self.fits(left, token):
-                    return token
+            if i != grown:
+                token = text[i:n] + tail
+                if token in vocab:
+                    left = lasts[i]
+                    if not left:
+                        return token
+                    known = fits.get((left, token))
+                    if known or known is None and self.fits(left, token):
+                        return token
             i += 1
         raise ValueError(f"no token of the vocabulary ends {text[:n]!r}")
 
-    def walk(self, words: Iterable[str], ends: bool) -> Iterator[tuple[str, list[str]]]:
-        """Each distinct word with the last tokens of its prefixes, the empty one first.
+    def walk(self, words: Iterable[str], ends: bool) -> Iterator[tuple[str, list[str], list[int]]]:
+        """Each distinct word with the last tokens and token counts of its prefixes, the empty one first.
 
         The sorted words are their trie laid out depth first: going from one to
         the next, the states of the prefix that both share stay, those below it
         are dropped, and only new nodes are worked out. ``ends``: the last state
-        is that of the whole word with the end-of-word suffix. The list is
-        reused: read it before the next step.
+        is that of the whole word with the end-of-word suffix, without a count.
+        The lists are reused: read them before the next step.
         """
-        lasts, before = [""], ""
+        lasts, counts, before, last = [""], [0], "", self.last
         for word in sorted(words):
-            n, shared = len(word), 0
+            n = len(word)
             for shared in range(min(n - ends, len(lasts) - 1), -1, -1):
                 if word.startswith(before[:shared]):
                     break
-            del lasts[shared + 1 :]
+            del lasts[shared + 1 :], counts[shared + 1 :]
             for k in range(shared + 1, n + 1 - ends):
-                lasts.append(self.last(word, k, lasts))
+                token = last(word, k, lasts)
+                lasts.append(token)
+                counts.append(counts[k - len(token)] + 1)
             if ends:
-                lasts.append(self.last(word, n, lasts, self.end))
-                yield word, lasts
+                lasts.append(last(word, n, lasts, self.end))
+                yield word, lasts, counts
                 lasts.pop()
             else:
-                yield word, lasts
+                yield word, lasts, counts
             before = word
 
 

@@ -20,13 +20,15 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 
 from .bpe import Bpe, library, load, plain_classes, tokenizer_path
-from .common import arrow_map, blocks
+from .common import arrow_map, blocks, looked_up, plain
 
 TOKENIZER = "word_bpe_49k.json"
 #: Words kept encoded per worker, and characters of text in work at once.
 KEPT_WORDS, BLOCK_CHARS = 400_000, 8_000_000
-#: Where Python's own lower-casing and white space agree with the library's, and normalisation changes nothing.
-_PLAIN = re.compile("[\x1c-\x1fƀ-\U0010ffff]")
+#: Python's own lower-casing and white space agree with the library's on Latin-1 without these, and normalisation changes nothing there.
+_CONTROLS = b"\x1c\x1d\x1e\x1f"
+#: Units that the library splits.
+_LIBRARY = re.compile("[\x1c-\x1f\u0180-\U0010ffff]")
 
 
 class TrieCodec:
@@ -45,7 +47,9 @@ class TrieCodec:
 
     def pieces(self, unit: str) -> list[str]:
         """The pieces of a run without white space, in byte stand-ins."""
-        if _PLAIN.search(unit):
+        if unit.isascii() and unit.isalpha():
+            return [unit]
+        if _LIBRARY.search(unit):
             return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(unit)]
         found = self.pattern.findall(unit)
         if unit.isascii():
@@ -56,7 +60,7 @@ class TrieCodec:
     def _learn(self, words: set[str]) -> None:
         """Ids of new words from one walk over their trie: a word's states read backwards are its tokens."""
         names, cut = self.bpe.vocab, len(self.bpe.end)
-        for word, lasts in self.bpe.walk(words, ends=True):
+        for word, lasts, _ in self.bpe.walk(words, ends=True):
             token = lasts[-1]
             tokens, at = [token], len(word) + cut - len(token)
             while at:
@@ -66,13 +70,8 @@ class TrieCodec:
             tokens.reverse()
             self.words[word] = (b"".join([names[t].to_bytes(4, "little") for t in tokens]), " ".join(tokens))
 
-    def _encode_units(self, lists: list[list[str]]) -> None:
-        """Makes sure that every unit (a run without white space) is known."""
+    def _learn_units(self, new: set[str]) -> None:
         units, words = self.units, self.words
-        if len(units) > KEPT_WORDS or len(words) > KEPT_WORDS:
-            units.clear()
-            words.clear()
-        new = set().union(*lists).difference(units)
         parts = {u: self.pieces(u) for u in new}
         self._learn({p for ps in parts.values() for p in ps if p not in words})
         for u, ps in parts.items():
@@ -84,25 +83,22 @@ class TrieCodec:
 
     def split(self, text: str) -> list[str]:
         """The units of a normalised text; no piece of the pattern holds white space."""
-        if _PLAIN.search(text):
+        if not plain(text, _CONTROLS):
             return self.library.normalizer.normalize_str(text).split(" ")
         return text.lower().split()
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[bytes, str]]:
         """Ids (little-endian, 4 bytes each) and decoded text of each text."""
+        if len(self.units) > KEPT_WORDS or len(self.words) > KEPT_WORDS:
+            self.units.clear()
+            self.words.clear()
         parts = [self.special.split(t) if t and self.special and "<|" in t else [t or ""] for t in texts]
-        lists = [[u for u in self.split(p) if u] if i % 2 == 0 else [p] for ps in parts for i, p in enumerate(ps)]
-        marks = [i % 2 for ps in parts for i, _ in enumerate(ps)]
-        self._encode_units([x for x, special in zip(lists, marks, strict=True) if not special])
-        done = iter(zip(lists, marks, strict=True))
+        lists = [[u for u in self.split(p) if u] for ps in parts for p in ps[::2]]  # every second part is a special string
+        done = iter(looked_up(self.units, lists, self._learn_units))
         for ps in parts:
-            found: list[tuple[bytes, str]] = []
-            for _ in ps:
-                units, special = next(done)
-                if special:
-                    found.append((self.bpe.special[units[0]].to_bytes(4, "little"), units[0]))
-                else:
-                    found.extend(map(self.units.__getitem__, units))
+            found = next(done)
+            for special in ps[1::2]:
+                found = [*found, (self.bpe.special[special].to_bytes(4, "little"), special), *next(done)]
             yield b"".join([x for x, _ in found]), " ".join([x for _, x in found if x])
 
     def decode(self, ids: bytes) -> str:
@@ -112,7 +108,10 @@ class TrieCodec:
 
 
 def encode_decode(documents: DataFrame, tokenizer: str = TOKENIZER, ids: bool = True) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row, with ``ids`` and ``decoded`` themselves if asked for."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row.
+
+    With ``ids`` also the ids themselves and the decoded text.
+    """
 
     def run(batches):
         codec = TrieCodec(tokenizer_path(tokenizer))

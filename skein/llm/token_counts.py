@@ -20,22 +20,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .bpe import Bpe, library, load, plain_classes, tokenizer_path
-from .common import arrow_map, blocks
+from .common import arrow_map, blocks, looked_up, single_spaced, units
 
 TOKENIZER, LIMIT = "byte_bpe_50k.json", 512
 #: Characters of cached pieces per worker, and characters of text in work at once.
-KEPT_CHARS, BLOCK_CHARS = 20_000_000, 4_000_000
-#: Texts with other white space than single spaces and line feeds between words are split by the library as a whole.
-_ODD = re.compile(r"\s\s|[^\S \n]|[\x1c-\x1f\x85\xa0ƀ-\U0010ffff]|\s\Z")
+KEPT_CHARS, BLOCK_CHARS = 36_000_000, 4_000_000
 _RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2,}")
 _CONTRACTIONS = {"'re", "'ve", "'ll"}
 
 
-def units(text: str) -> list[str]:
-    """Runs of non-space with the space before them, and line feeds: the pieces of the pattern never span two."""
-    return [u for u in text.replace(" ", "\x1f ").replace("\n", "\x1f\n\x1f").split("\x1f") if u]
-
-
 class PrefixCounter:
     """Token counts of all prefixes of texts, for a byte-level BPE file."""
 
@@ -63,11 +56,8 @@ class PrefixCounter:
                     new[p.replace(" ", space)] = p
                 else:
                     new["".join([stand_in[x] for x in p.encode("utf-8", "replace")])] = p
-        for coded, lasts in self.bpe.walk(new, ends=False):
+        for coded, _, counts in self.bpe.walk(new, ends=False):
             piece = new[coded]
-            counts = [0]
-            for i in range(1, len(lasts)):
-                counts.append(counts[i - len(lasts[i])] + 1)
             if len(piece) == len(coded):
                 found = counts[1:]
             else:
@@ -107,7 +97,7 @@ class PrefixCounter:
         return out
 
     def learn_units(self, new: set[str]) -> None:
-        parts = {u: self.pattern.findall(u) for u in new}
+        parts = {u: [u] if (w := u[u[0] == " " :]).isascii() and w.isalpha() else self.pattern.findall(u) for u in new}
         self.learn({p for ps in parts.values() for p in ps})
         known, unit = self.known, self.unit
         for u, ps in parts.items():
@@ -116,25 +106,22 @@ class PrefixCounter:
                 unit[u] = bytes(own)
                 self.kept += len(u) + 30
 
-    def plain(self, found: list[str]) -> np.ndarray:
-        """A text from its units, which are all known or too long to be kept."""
-        try:
-            vectors = list(map(self.unit.__getitem__, found))
-        except KeyError:
+    def plain(self, found: list[str], vectors: list[bytes | None]) -> np.ndarray:
+        """A text from its units and their counts; those too long to be kept are worked out."""
+        if None in vectors:
             return np.asarray(self._joined([p for u in found for p in self.pattern.findall(u)]), np.int32)
         if not vectors:
             return np.zeros(0, np.int32)
         sizes = np.fromiter(map(len, vectors), np.int64, len(vectors))
         flat = np.frombuffer(b"".join(vectors), np.uint8)
-        totals = flat[np.cumsum(sizes) - 1].astype(np.int64)
-        return (flat + np.repeat(np.cumsum(totals) - totals, sizes)).astype(np.int32)
+        totals = flat[np.cumsum(sizes) - 1].astype(np.int32)
+        return flat + np.repeat(np.cumsum(totals, dtype=np.int32) - totals, sizes)
 
     def segment(self, text: str) -> np.ndarray:
-        if _ODD.search(text):
+        if not single_spaced(text):
             return self.odd(text)
         found = units(text)
-        self.learn_units(set(found).difference(self.unit))
-        return self.plain(found)
+        return self.plain(found, looked_up(self.unit, [found], self.learn_units)[0])
 
     def with_specials(self, text: str) -> np.ndarray:
         """A text with special strings: up to its last character, each is plain text."""
@@ -154,11 +141,11 @@ class PrefixCounter:
             self.known.clear()
             self.unit.clear()
             self.kept = 0
-        plain = [None if not t or "<|" in t or _ODD.search(t) else units(t) for t in texts]
-        self.learn_units(set().union(*(x for x in plain if x)).difference(self.unit))
+        plain = [None if not t or "<|" in t or not single_spaced(t) else units(t) for t in texts]
+        vectors = iter(looked_up(self.unit, [x for x in plain if x is not None], self.learn_units))
         for text, found in zip(texts, plain, strict=True):
             if found is not None:
-                yield self.plain(found)
+                yield self.plain(found, next(vectors))
             elif not text:
                 yield np.zeros(0, np.int32)
             else:
