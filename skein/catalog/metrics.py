@@ -40,7 +40,7 @@ def degrees(spark, d):
 def fan_sql(a: str, b: str) -> str:
     return f"""WITH RECURSIVE cl AS (SELECT id AS start, id, 0 AS d FROM nodes UNION SELECT cl.start, e.{b}, cl.d + 1 FROM cl JOIN edges e ON e.{a} = cl.id WHERE cl.d < 6),
 m AS (SELECT start, id, min(d) AS d FROM cl WHERE id <> start GROUP BY 1, 2), f AS (SELECT start, count(*) AS reach, count(*) FILTER (WHERE d = 1) AS direct FROM m GROUP BY 1)
-SELECT n.id, CAST(coalesce(CASE WHEN direct >= 199 THEN direct ELSE least(reach, 199) END, 0) AS BIGINT) AS fan FROM nodes n LEFT JOIN f ON f.start = n.id"""
+SELECT n.id, CAST(coalesce(CASE WHEN direct >= 199 THEN direct ELSE least(coalesce(reach, 0), 199) END, 0) AS BIGINT) AS fan FROM nodes n LEFT JOIN f ON f.start = n.id"""
 
 
 @query("F02_fan_out", fan_sql("from_id", "to_id"))
