@@ -1,3 +1,3 @@
 """The registered queries, by family."""
 
-from . import code, evaluation, graph, metrics, sources, state, text  # noqa: F401
+from . import code, evaluation, graph, metrics, sources, state, text, understanding  # noqa: F401
