@@ -28,7 +28,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_store.store_path(spark)
     token_store.write_store(table(spark, sf_dir, "documents"), path)
-    return token_store.read_store(spark, path, ids=False)
+    return token_store.verify_store(spark, path)
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
