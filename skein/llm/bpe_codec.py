@@ -24,7 +24,7 @@ from .common import arrow_map, blocks, looked_up, plain
 
 TOKENIZER = "word_bpe_49k.json"
 #: Words kept encoded per worker, and characters of text in work at once.
-KEPT_WORDS, BLOCK_CHARS = 400_000, 8_000_000
+KEPT_WORDS, BLOCK_CHARS = 400_000, 4_000_000
 #: Python's own lower-casing and white space agree with the library's on Latin-1 without these, and normalisation changes nothing there.
 _CONTROLS = b"\x1c\x1d\x1e\x1f"
 #: Units that the library splits.
@@ -110,7 +110,7 @@ class TrieCodec:
 def encode_decode(documents: DataFrame, tokenizer: str = TOKENIZER, ids: bool = True) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row.
 
-    With ``ids`` also the ids themselves and the decoded text.
+    With ``ids`` also the ids themselves (little-endian, 4 bytes each) and the decoded text.
     """
 
     def run(batches):
@@ -125,9 +125,9 @@ def encode_decode(documents: DataFrame, tokenizer: str = TOKENIZER, ids: bool =
                     "decoded_sha256": [hashlib.sha256(d.encode("utf-8", "replace")).hexdigest() for _, d in rows],
                 }
                 if ids:
-                    out |= {"ids": [memoryview(x).cast("I").tolist() for x, _ in rows], "decoded": [d for _, d in rows]}
+                    out |= {"ids": [x for x, _ in rows], "decoded": [d for _, d in rows]}
                 yield out
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return arrow_map(documents.select("doc_id", "text"), run, schema + ", ids array<bigint>, decoded string" * ids)
+    return arrow_map(documents.select("doc_id", "text"), run, schema + ", ids binary, decoded string" * ids)

@@ -6,38 +6,20 @@ others, so extra or clashing columns in an input never reach its result.
 
 from __future__ import annotations
 
+import contextlib
 import gc
-import os
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Odd factors of a shingle's words.
-PLACES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of this machine only where it is unset (tests, local mode)."""
-    sc = spark.sparkContext
-    found = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = os.path.join(tempfile.gettempdir(), f"skein-checkpoints-{os.getpid()}")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(found)
-    return sc.getConf().get("spark.checkpoint.dir") or found
+from ..session import cut, shared_dir, table
 
+__all__ = ["cut", "shared_dir", "table"]
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the shared folder, so that a lost executor loses nothing of it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Odd factors of a shingle's words.
+PLACES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
 def release(spark: SparkSession) -> None:
@@ -50,6 +32,16 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Returns a worker's free memory to the machine: workers outlive their tasks, beside others of the same executor."""
+    import ctypes
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[dict]], Iterable[dict]], schema: str) -> DataFrame:
     """``fn`` over dicts of column lists; each dict it yields becomes one Arrow batch of ``schema``."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -64,6 +56,7 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[dict]], Iterable[dict]], sch
                 [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, target, strict=True)],
                 schema=target,
             )
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -86,7 +79,7 @@ def space_words(text: str | None) -> list[bytes]:
 class WordHash(dict):
     """64-bit hashes of words, remembered; it empties itself before it outgrows a worker."""
 
-    LIMIT = 600_000
+    LIMIT = 300_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
