@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import bpe_codec, decontam, html_extract, license_scan, near_dup, quality_pu, quality_rules, substring_dedup, token_counts, token_store
 from .common import table
+from .oracles import ORACLES as ORACLES
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,4 +65,3 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLES: dict[str, str] = {}
