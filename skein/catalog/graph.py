@@ -9,9 +9,6 @@ from ..plans import traverse
 from ..plans.fixture import edges, nodes, view
 from ..registry import query
 
-SOME = "id IN ('nation:1','nation:7','supplier:3','region:2')"
-
-
 @query("D01_get_node", "SELECT id, kind, label FROM nodes WHERE id = 'nation:3'")
 def get_node(spark, d):
     return lookup.ensure_exists(nodes(spark, d), "nation:3").select("id", "kind", "label")
@@ -22,14 +19,14 @@ def all_nodes(spark, d):
     return nodes(spark, d).select("id", "kind", "label", "project_name", "class_name", "method_name").orderBy("id")
 
 
-@query("D03_callees", f"SELECT DISTINCT from_id AS id, to_id AS neighbour FROM edges WHERE from_{SOME}")
+@query("D03_callees", "SELECT DISTINCT from_id AS id, to_id AS neighbour FROM edges")
 def callees(spark, d):
-    return lookup.neighbours(edges(spark, d), nodes(spark, d).filter(SOME))
+    return lookup.neighbours(edges(spark, d), nodes(spark, d))
 
 
-@query("D03_callers", f"SELECT DISTINCT to_id AS id, from_id AS neighbour FROM edges WHERE to_{SOME}")
+@query("D03_callers", "SELECT DISTINCT to_id AS id, from_id AS neighbour FROM edges")
 def callers(spark, d):
-    return lookup.neighbours(edges(spark, d), nodes(spark, d).filter(SOME), "backward")
+    return lookup.neighbours(edges(spark, d), nodes(spark, d), "backward")
 
 
 def paths_sql(start: str, step: str, depth: int, target: str = "false", kinds: str = "true") -> str:
@@ -52,9 +49,9 @@ paths AS (
 PATH_COLUMNS = ("path_id", "length", "root", "leaf")
 
 
-@query("D04_call_chains", f"WITH RECURSIVE {paths_sql(SOME, 'from_id,to_id', 2)} SELECT path_id AS chain, length FROM paths")
+@query("D04_call_chains", f"WITH RECURSIVE {paths_sql('true', 'from_id,to_id', 2)} SELECT path_id AS chain, length FROM paths")
 def call_chains(spark, d):
-    return traverse.call_chains(edges(spark, d), nodes(spark, d).filter(SOME), 2)
+    return traverse.call_chains(edges(spark, d), nodes(spark, d), 2)
 
 
 CYCLIC_PATHS = """
@@ -74,11 +71,11 @@ def call_chains_cyclic(spark, d):
 
 @query(
     "D05_entry_points",
-    f"""WITH RECURSIVE up AS (SELECT id, id AS entry FROM nodes WHERE {SOME} UNION SELECT u.id, e.from_id FROM up u JOIN edges e ON e.to_id = u.entry)
+    f"""WITH RECURSIVE up AS (SELECT id, id AS entry FROM nodes UNION SELECT u.id, e.from_id FROM up u JOIN edges e ON e.to_id = u.entry)
 SELECT id, entry FROM up WHERE entry NOT IN (SELECT to_id FROM edges)""",
 )
 def entry_points(spark, d):
-    return traverse.entry_points(edges(spark, d), nodes(spark, d).filter(SOME))
+    return traverse.entry_points(edges(spark, d), nodes(spark, d))
 
 
 @query("D06_typed_paths", f"WITH RECURSIVE {paths_sql('entry_point', 'from_id,to_id', 3, kinds=chr(39) + 'call' + chr(39) + ' = kind')} SELECT * FROM paths")
@@ -87,18 +84,13 @@ def typed_paths(spark, d):
     return traverse.typed_paths(n, edges(spark, d), n.filter("entry_point"), kinds=["call"], max_depth=3).select(*PATH_COLUMNS)
 
 
-TABLE = "(SELECT min(table_name) FROM nodes)"
-IMPACT = paths_sql(f"table_name = {TABLE}", "to_id,from_id", 15, "entry_point")
-
-
-def one_table(n):
-    return n.join(n.agg(F.min("table_name").alias("table_name")), "table_name", "left_semi")
+IMPACT = paths_sql("kind = 'entity'", "to_id,from_id", 15, "entry_point")
 
 
 def impact(spark, d):
-    """Backward from a table's entity to the entry points that reach it."""
+    """Backward from each table's entity to the entry points that reach it."""
     n = nodes(spark, d)
-    return traverse.typed_paths(n, edges(spark, d), one_table(n), direction="backward", target=F.col("entry_point"), max_depth=15)
+    return traverse.typed_paths(n, edges(spark, d), n.filter("kind = 'entity'"), direction="backward", target=F.col("entry_point"), max_depth=15)
 
 
 @query("D08_table_impact", f"WITH RECURSIVE {IMPACT} SELECT * FROM paths")
@@ -116,25 +108,25 @@ def apis_by_entity(spark, d):
     return impact(spark, d).filter(F.col("leaf").startswith("region:")).select(F.col("leaf").alias("api"), F.col("root").alias("entity")).distinct()
 
 
-@query("D10_repositories_by_table", f"SELECT DISTINCT e.from_id AS repository, e.to_id AS entity FROM edges e WHERE e.kind = 'entity-access' AND e.to_id IN (SELECT id FROM nodes WHERE table_name = {TABLE}) ORDER BY repository LIMIT 100")
+@query("D10_repositories_by_table", "SELECT DISTINCT e.from_id AS repository, e.to_id AS entity FROM edges e WHERE e.kind = 'entity-access' ORDER BY repository, entity LIMIT 100")
 def repositories_by_table(spark, d):
     n = nodes(spark, d)
-    back = traverse.typed_paths(n, edges(spark, d), one_table(n), direction="backward", kinds=["entity-access"], max_depth=1, max_paths=None)
-    return back.filter("length = 1").select(F.col("leaf").alias("repository"), F.col("root").alias("entity")).distinct().orderBy("repository").limit(100)
+    back = traverse.typed_paths(n, edges(spark, d), n.filter("kind = 'entity'"), direction="backward", kinds=["entity-access"], max_depth=1, max_paths=None)
+    return back.filter("length = 1").select(F.col("leaf").alias("repository"), F.col("root").alias("entity")).distinct().orderBy("repository", "entity").limit(100)
 
 
-@query("D11_impact_by_method", f"WITH RECURSIVE {paths_sql(chr(105) + 'd = ' + chr(39) + 'nation:3' + chr(39), 'from_id,to_id', 8)} SELECT count(*) AS n, CAST(sum(length) AS BIGINT) AS total FROM paths")
+@query("D11_impact_by_method", f"WITH RECURSIVE {paths_sql('class_name = ' + chr(39) + 'NationService' + chr(39), 'from_id,to_id', 8)} SELECT root, count(*) AS n, CAST(sum(length) AS BIGINT) AS total FROM paths GROUP BY root")
 def impact_by_method(spark, d):
     n = nodes(spark, d)
-    found = traverse.typed_paths(n, edges(spark, d), n.filter("id = 'nation:3'"), max_depth=8)
-    return found.agg(F.count("*").alias("n"), F.sum("length").alias("total"))
+    found = traverse.typed_paths(n, edges(spark, d), n.filter("class_name = 'NationService'"), max_depth=8)
+    return found.groupBy("root").agg(F.count("*").alias("n"), F.sum("length").alias("total"))
 
 
-@query("D12_semantic_path", f"WITH RECURSIVE {paths_sql(chr(105) + 'd = ' + chr(39) + 'region:1' + chr(39), 'from_id,to_id', 3)} SELECT * FROM paths WHERE leaf = (SELECT min(id) FROM nodes WHERE kind = 'entity')")
+@query("D12_semantic_path", f"WITH RECURSIVE {paths_sql('entry_point', 'from_id,to_id', 3)} SELECT * FROM paths WHERE leaf = (SELECT min(id) FROM nodes WHERE kind = 'entity')")
 def semantic_path(spark, d):
     n = nodes(spark, d)
     to = n.filter("kind = 'entity'").agg(F.min("id").alias("leaf"))
-    found = traverse.typed_paths(n, edges(spark, d), n.filter("id = 'region:1'"), max_depth=3)
+    found = traverse.typed_paths(n, edges(spark, d), n.filter("entry_point"), max_depth=3)
     return found.join(to, "leaf", "left_semi").select(*PATH_COLUMNS)
 
 
@@ -214,11 +206,10 @@ def impact_summary(spark, d):
     return cognition.riskiest(cognition.downstream(edges(spark, d), n, n.filter("entry_point")), 15)
 
 
-@query("K08_upstream_dependents", """WITH RECURSIVE up AS (SELECT id, id AS entry FROM nodes WHERE id IN ('supplier:1','supplier:2','customer:5') UNION SELECT u.id, e.from_id FROM up u JOIN edges e ON e.to_id = u.entry)
+@query("K08_upstream_dependents", """WITH RECURSIVE up AS (SELECT id, id AS entry FROM nodes UNION SELECT u.id, e.from_id FROM up u JOIN edges e ON e.to_id = u.entry)
 SELECT id, entry, 0.3::DOUBLE AS risk FROM up WHERE entry <> id AND entry NOT IN (SELECT to_id FROM edges)""")
 def upstream_dependents(spark, d):
-    starts = nodes(spark, d).filter("id IN ('supplier:1','supplier:2','customer:5')")
-    return traverse.entry_points(edges(spark, d), starts).filter("entry <> id").withColumn("risk", F.lit(0.3))
+    return traverse.entry_points(edges(spark, d), nodes(spark, d)).filter("entry <> id").withColumn("risk", F.lit(0.3))
 
 
 @query("K05_impact_targets", "SELECT id FROM nodes WHERE lower(label) LIKE '%loadfrance%' OR lower(class_name) LIKE '%repository%' ORDER BY id LIMIT 5")
@@ -270,10 +261,14 @@ def root_cause_targets(spark, d):
     return cognition.root_cause_targets(nodes(spark, d), ["supplier", "of", "india"])
 
 
-@query("K14_failure_paths", """WITH a AS (SELECT from_id, to_id, row_number() OVER (PARTITION BY from_id ORDER BY to_id) AS r FROM (SELECT DISTINCT from_id, to_id FROM edges))
-SELECT x.from_id AS target, x.to_id AS callee, y.to_id AS sub_callee FROM a x JOIN a y ON y.from_id = x.to_id WHERE x.r <= 3 AND y.r <= 2 AND x.from_id IN ('region:0','region:4','nation:6')""")
+TARGETS = ["nation", "load"]
+TARGET_SQL = "tg AS (SELECT id FROM nodes WHERE contains(lower(label), 'nation') AND contains(lower(label), 'load') ORDER BY id LIMIT 5)"
+
+
+@query("K14_failure_paths", f"""WITH {TARGET_SQL}, a AS (SELECT from_id, to_id, row_number() OVER (PARTITION BY from_id ORDER BY to_id) AS r FROM (SELECT DISTINCT from_id, to_id FROM edges))
+SELECT x.from_id AS target, x.to_id AS callee, y.to_id AS sub_callee FROM a x JOIN a y ON y.from_id = x.to_id WHERE x.r <= 3 AND y.r <= 2 AND x.from_id IN (SELECT id FROM tg)""")
 def failure_paths(spark, d):
-    return cognition.failure_paths(edges(spark, d), nodes(spark, d).filter("id IN ('region:0','region:4','nation:6')"))
+    return cognition.failure_paths(edges(spark, d), cognition.root_cause_targets(nodes(spark, d), TARGETS))
 
 
 @query("K15_external_dependencies", "SELECT e.from_id AS target, count(DISTINCT e.to_id) AS n, min(e.to_id) AS first FROM edges e JOIN nodes n ON n.id = e.to_id WHERE n.is_external GROUP BY 1")
@@ -281,10 +276,10 @@ def external_dependencies(spark, d):
     return cognition.external_dependencies(nodes(spark, d), edges(spark, d))
 
 
-@query("K16_interaction_points", """WITH p AS (SELECT DISTINCT from_id, to_id FROM edges), c AS (SELECT to_id AS target, from_id AS caller, row_number() OVER (PARTITION BY to_id ORDER BY from_id) AS r FROM p WHERE to_id IN ('supplier:4','brand:Brand#13'))
+@query("K16_interaction_points", f"""WITH {TARGET_SQL}, p AS (SELECT DISTINCT from_id, to_id FROM edges), c AS (SELECT to_id AS target, from_id AS caller, row_number() OVER (PARTITION BY to_id ORDER BY from_id) AS r FROM p WHERE to_id IN (SELECT id FROM tg))
 SELECT DISTINCT c.target, c.caller, p.to_id AS sibling FROM c JOIN p ON p.from_id = c.caller WHERE c.r <= 5 AND p.to_id <> c.target""")
 def interaction_points(spark, d):
-    return cognition.interaction_points(edges(spark, d), nodes(spark, d).filter("id IN ('supplier:4','brand:Brand#13')"))
+    return cognition.interaction_points(edges(spark, d), cognition.root_cause_targets(nodes(spark, d), TARGETS))
 
 
 @query("K18_query_interpretation", """WITH q AS (SELECT item_id, lower(replace(replace(replace(trim(text), '?', ''), ',', ' '), '.', '')) AS t FROM benchmark)

@@ -163,7 +163,7 @@ def decay_kind(spark, d):
     return edges(spark, d).groupBy("kind", "evidence", truth.decay_kind(F.col("kind"), F.col("evidence")).alias("decay_kind")).agg(F.count("*").alias("n"))
 
 
-TOP = """vq AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q, label AS query_label FROM embeddings WHERE vec_id % 50 = 0),
+TOP = """vq AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q, label AS query_label FROM embeddings WHERE vec_id % 20 = 0),
 sc AS (SELECT query_id, vec_id AS chunk_id, round(list_cosine_similarity(q, embedding::DOUBLE[]), 6) AS similarity FROM embeddings, vq),
 tk AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS INT) AS place FROM sc)"""
 GRAPH = "least((CASE WHEN entry_distance BETWEEN 0 AND 2 THEN 0.5 WHEN entry_distance <= 5 THEN 0.25 ELSE 0.0 END + CASE WHEN data_distance BETWEEN 0 AND 1 THEN 0.5 WHEN data_distance <= 3 THEN 0.25 ELSE 0.0 END + CASE WHEN max_fan > 20 THEN 0.3 WHEN max_fan > 5 THEN 0.15 ELSE 0.0 END)::DOUBLE, 1.0)"
@@ -173,7 +173,7 @@ FUSED = f"fu AS (SELECT query_id, c.*, similarity, place, round(round(0.35::DOUB
 
 def vectors(spark, d):
     rows = table(spark, d, "embeddings")
-    queries = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    queries = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return queries, rows.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v"))
 
 
@@ -182,10 +182,10 @@ def vector_top_k(spark, d):
     return retrieval.vector_top_k(*vectors(spark, d), 10).withColumn("similarity", F.round("similarity", 4))
 
 
-@query("H04_evidence_fusion", f"WITH {TOP}, {FUSED} SELECT query_id, chunk_id, round(score, 3) AS score FROM fu")
+@query("H04_evidence_fusion", f"WITH {TOP}, {FUSED} SELECT query_id, chunk_id, score FROM fu")
 def evidence_fusion(spark, d):
     rows = retrieval.scored(retrieval.vector_top_k(*vectors(spark, d), 30), view(spark, d, "chunks"))
-    return rows.select("query_id", "chunk_id", F.round("score", 3).alias("score"))
+    return rows.select("query_id", "chunk_id", "score")
 
 
 @query("H02_hybrid_search", f"""WITH {TOP}, {FUSED}, b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM fu), t AS (SELECT query_id, chunk_id, score, table_name FROM b WHERE r <= 10),
@@ -221,14 +221,14 @@ def graph_aware(spark, d):
     return retrieval.graph_aware(rows)
 
 
-WORDS = "wq AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: length(w) > 1)) AS words FROM benchmark WHERE item_id % 10 = 0 UNION ALL SELECT -1, ['supplier', 'find', 'france', 'loadfrance'])"
+WORDS = "wq AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: length(w) > 1)) AS words FROM benchmark UNION ALL SELECT -1, ['supplier', 'find', 'france', 'loadfrance'])"
 KEYWORD = f"""{WORDS}, pool AS (SELECT id, method_name, class_name, lower(method_name) AS m, lower(class_name) AS c FROM nodes WHERE NOT regexp_matches(class_name, '^(Base|Framework)') ORDER BY id LIMIT 500), ww AS (SELECT query_id, unnest(words) AS w, len(words) AS total FROM wq),
 kw AS (SELECT query_id, id, round(least(sum(CASE WHEN m = w THEN 1.0 WHEN contains(m, w) THEN 0.6 ELSE 0.4 END::DOUBLE) / any_value(total), 1.0), 6) AS score FROM ww JOIN pool ON contains(m, w) OR contains(c, w) GROUP BY 1, 2)"""
 
 
 def questions(spark, d):
     more = spark.createDataFrame([(-1, "Supplier find France LoadFrance")], "query_id bigint, text string")
-    return table(spark, d, "benchmark").filter("item_id % 10 = 0").select(F.col("item_id").alias("query_id"), "text").unionByName(more)
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text").unionByName(more)
 
 
 @query("H10_keyword_scores", f"WITH {KEYWORD} SELECT query_id, id, score FROM kw")
@@ -261,13 +261,13 @@ def reverse_index(spark, d):
     return text.search_index(keys, ["example", "net", "blog"])
 
 
-@query("H09_three_way_search", f"""WITH {KEYWORD}, {TOP}, v AS (SELECT CAST(-1 AS BIGINT) AS query_id, 'supplier:' || CAST(chunk_id + 1 AS STRING) AS id, similarity AS s FROM tk WHERE query_id = 0 AND place <= 20), g AS (SELECT query_id, id, score AS s FROM kw WHERE query_id = -1)
+@query("H09_three_way_search", f"""WITH {KEYWORD}, {TOP}, v AS (SELECT query_id, 'supplier:' || CAST(chunk_id + 1 AS STRING) AS id, similarity AS s FROM tk WHERE place <= 20), g AS (SELECT query_id, id, score AS s FROM kw)
 SELECT query_id, id, round(0.6 * coalesce(v.s, 0) + 0.3 * coalesce(g.s, 0), 6) AS score FROM v FULL JOIN g USING (query_id, id)""")
 def three_way_search(spark, d):
     q, v = vectors(spark, d)
-    top = retrieval.vector_top_k(q.filter("query_id = 0"), v, 20)
-    by_vector = top.select(F.lit(-1).cast("bigint").alias("query_id"), F.concat(F.lit("supplier:"), (F.col("chunk_id") + 1).cast("string")).alias("id"), F.col("similarity").alias("s"))
-    by_graph = keyword_scores(spark, d).filter("query_id = -1").select("query_id", "id", F.col("score").alias("s"))
+    top = retrieval.vector_top_k(q, v, 20)
+    by_vector = top.select("query_id", F.concat(F.lit("supplier:"), (F.col("chunk_id") + 1).cast("string")).alias("id"), F.col("similarity").alias("s"))
+    by_graph = keyword_scores(spark, d).select("query_id", "id", F.col("score").alias("s"))
     return retrieval.merged(by_vector, by_graph, by_graph.limit(0))
 
 
