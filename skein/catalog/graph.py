@@ -212,9 +212,9 @@ def upstream_dependents(spark, d):
     return traverse.entry_points(edges(spark, d), nodes(spark, d)).filter("entry <> id").withColumn("risk", F.lit(0.3))
 
 
-@query("K05_impact_targets", "SELECT id FROM nodes WHERE lower(label) LIKE '%loadfrance%' OR lower(class_name) LIKE '%repository%' ORDER BY id LIMIT 5")
+@query("K05_impact_targets", "SELECT id FROM nodes WHERE lower(label) LIKE '%loadnation_1%' OR lower(class_name) LIKE '%repository%' ORDER BY id LIMIT 5")
 def impact_targets(spark, d):
-    return cognition.targets(nodes(spark, d), ["LoadFrance", "Repository"])
+    return cognition.targets(nodes(spark, d), ["LoadNATION_1", "Repository"])
 
 
 @query("K01_subsystems", """SELECT project_name, count(*) AS n_nodes, count(*) FILTER (WHERE entry_point) AS n_entry_points, count(*) FILTER (WHERE class_name LIKE '%Service') AS n_services, count(*) FILTER (WHERE class_name LIKE '%Controller') AS n_controllers,
@@ -250,15 +250,15 @@ def capabilities(spark, d):
 
 
 @query("K11_capability_match", """WITH c AS (SELECT id, lower(class_name || ' ' || label) AS t FROM nodes WHERE class_name LIKE '%Service')
-SELECT id, CAST(score AS INT) AS score FROM (SELECT id, 3 * ((CASE WHEN contains(t, 'nation') THEN 1 ELSE 0 END) + (CASE WHEN contains(t, 'china') THEN 1 ELSE 0 END)) AS score FROM c) WHERE score > 0 ORDER BY score DESC, id LIMIT 10""")
+SELECT id, CAST(score AS INT) AS score FROM (SELECT id, 3 * ((CASE WHEN contains(t, 'nation') THEN 1 ELSE 0 END) + (CASE WHEN contains(t, 'nation_3') THEN 1 ELSE 0 END)) AS score FROM c) WHERE score > 0 ORDER BY score DESC, id LIMIT 10""")
 def capability_match(spark, d):
-    return cognition.capability_match(nodes(spark, d), ["nation", "china"])
+    return cognition.capability_match(nodes(spark, d), ["nation", "nation_3"])
 
 
 @query("K13_root_cause_targets", """WITH c AS (SELECT id, lower(label) AS t FROM nodes)
-SELECT id, CAST(s AS INT) AS score FROM (SELECT id, 2 * (CASE WHEN contains(t, 'supplier') THEN 1 ELSE 0 END) + 2 * (CASE WHEN contains(t, 'india') THEN 1 ELSE 0 END) + CASE WHEN regexp_matches(t, 'error|exception|fail|timeout|retry|crash|invalid|check') THEN 1 ELSE 0 END AS s FROM c) WHERE s > 0 ORDER BY s DESC, id LIMIT 5""")
+SELECT id, CAST(s AS INT) AS score FROM (SELECT id, 2 * (CASE WHEN contains(t, 'supplier') THEN 1 ELSE 0 END) + 2 * (CASE WHEN contains(t, '000007') THEN 1 ELSE 0 END) + CASE WHEN regexp_matches(t, 'error|exception|fail|timeout|retry|crash|invalid|check') THEN 1 ELSE 0 END AS s FROM c) WHERE s > 0 ORDER BY s DESC, id LIMIT 5""")
 def root_cause_targets(spark, d):
-    return cognition.root_cause_targets(nodes(spark, d), ["supplier", "of", "india"])
+    return cognition.root_cause_targets(nodes(spark, d), ["supplier", "of", "000007"])
 
 
 TARGETS = ["nation", "load"]

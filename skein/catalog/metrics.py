@@ -221,13 +221,13 @@ def graph_aware(spark, d):
     return retrieval.graph_aware(rows)
 
 
-WORDS = "wq AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: length(w) > 1)) AS words FROM benchmark UNION ALL SELECT -1, ['supplier', 'find', 'france', 'loadfrance'])"
+WORDS = "wq AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: length(w) > 1)) AS words FROM benchmark UNION ALL SELECT -1, ['supplier', 'find', 'nation', 'loadnation'])"
 KEYWORD = f"""{WORDS}, pool AS (SELECT id, method_name, class_name, lower(method_name) AS m, lower(class_name) AS c FROM nodes WHERE NOT regexp_matches(class_name, '^(Base|Framework)') ORDER BY id LIMIT 500), ww AS (SELECT query_id, unnest(words) AS w, len(words) AS total FROM wq),
 kw AS (SELECT query_id, id, round(least(sum(CASE WHEN m = w THEN 1.0 WHEN contains(m, w) THEN 0.6 ELSE 0.4 END::DOUBLE) / any_value(total), 1.0), 6) AS score FROM ww JOIN pool ON contains(m, w) OR contains(c, w) GROUP BY 1, 2)"""
 
 
 def questions(spark, d):
-    more = spark.createDataFrame([(-1, "Supplier find France LoadFrance")], "query_id bigint, text string")
+    more = spark.createDataFrame([(-1, "Supplier, find: nation loadnation")], "query_id bigint, text string")
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text").unionByName(more)
 
 
@@ -278,9 +278,9 @@ def profiles(spark, d):
     return spark.createDataFrame([(k, *v) for k, v in PROFILES.items()], "profile string, embedding double, graph double, keyword double")
 
 
-@query("H15_symbol_locator", "SELECT id, 1 AS tier FROM nodes WHERE lower(method_name) = 'loadkenya' ORDER BY id LIMIT 10")
+@query("H15_symbol_locator", "SELECT id, 1 AS tier FROM nodes WHERE lower(method_name) = 'loadnation_7' ORDER BY id LIMIT 10")
 def symbol_locator(spark, d):
-    return retrieval.locate(nodes(spark, d), "LoadKenya")
+    return retrieval.locate(nodes(spark, d), "LoadNATION_7")
 
 
 @query("I11_claim_validation", """WITH c AS (SELECT s.statement_id, n.id AS node, s.claim, s.score, (SELECT count(*) FROM evidence v WHERE v.statement_id = s.statement_id) AS n_evidence FROM statements s LEFT JOIN nodes n ON n.id = 'supplier:' || split_part(s.subject_id, ':', 2)),

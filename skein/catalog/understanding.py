@@ -13,13 +13,13 @@ from .metrics import TOP, vectors
 
 VOCABULARY = """vb AS (SELECT 'entity' AS kind, class_name AS term FROM nodes WHERE kind = 'entity' UNION SELECT 'table', table_name FROM nodes WHERE table_name IS NOT NULL UNION SELECT 'route', route FROM nodes WHERE route IS NOT NULL
 UNION SELECT 'class', class_name FROM nodes WHERE kind = 'method' UNION SELECT 'method', method_name FROM nodes WHERE kind = 'method' AND method_name <> '' UNION SELECT 'normalized', unnest(string_split(namespace, '.')) FROM nodes)"""
-ASKED = "(VALUES (1, 'supplier'), (1, 'brand'), (2, 'loadfrance'), (2, 'region'), (3, 'zzz')) aw(query_id, word)"
+ASKED = "(VALUES (1, 'supplier'), (1, 'brand'), (2, 'loadnation_3'), (2, 'region'), (3, 'zzz')) aw(query_id, word)"
 EXPANDED = f"""{VOCABULARY}, xp AS (SELECT query_id, word, term, max(CASE WHEN lower(term) = word THEN 1.0 WHEN starts_with(lower(term), word) OR starts_with(word, lower(term)) THEN 0.7 ELSE 0.5 END::DOUBLE) AS score
 FROM {ASKED} JOIN (SELECT DISTINCT term FROM vb) ON contains(lower(term), word) OR starts_with(word, lower(term)) GROUP BY 1, 2, 3)"""
 
 
 def asked(spark):
-    return spark.createDataFrame([(1, "supplier"), (1, "brand"), (2, "loadfrance"), (2, "region"), (3, "zzz")], "query_id int, word string")
+    return spark.createDataFrame([(1, "supplier"), (1, "brand"), (2, "loadnation_3"), (2, "region"), (3, "zzz")], "query_id int, word string")
 
 
 @query("U01_intents", """SELECT * FROM (VALUES ('which table holds data', 'EntityLookup'), ('trace the call path', 'FlowAnalysis'), ('what does a change affect', 'ImpactAnalysis'), ('api route of the table', 'RouteLookup'), ('verify the business rule', 'ValidationLookup'), ('hello', 'EntityLookup')) t(question, intent)""")
