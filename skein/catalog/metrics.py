@@ -177,9 +177,9 @@ def vectors(spark, d):
     return queries, rows.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v"))
 
 
-@query("H01_vector_top_k", f"WITH {TOP} SELECT query_id, chunk_id, round(similarity, 4) AS similarity, place FROM tk WHERE place <= 10")
+@query("H01_vector_top_k", f"WITH {TOP} SELECT query_id, chunk_id, similarity, place FROM tk WHERE place <= 10")
 def vector_top_k(spark, d):
-    return retrieval.vector_top_k(*vectors(spark, d), 10).withColumn("similarity", F.round("similarity", 4))
+    return retrieval.vector_top_k(*vectors(spark, d), 10)
 
 
 @query("H04_evidence_fusion", f"WITH {TOP}, {FUSED} SELECT query_id, chunk_id, score FROM fu")

@@ -80,17 +80,17 @@ def lexical(spark, d):
     return u.bm25(queries, word_lists(table(spark, d, "documents")).select("doc_id", "words"))
 
 
-@query("U08_bm25", f"WITH {BM25} SELECT query_id, doc_id, round(score, 4) AS score, place FROM bp WHERE place <= 10")
+@query("U08_bm25", f"WITH {BM25} SELECT query_id, doc_id, score, place FROM bp WHERE place <= 10")
 def bm25(spark, d):
-    return lexical(spark, d).withColumn("score", F.round("score", 4))
+    return lexical(spark, d)
 
 
 @query("U09_three_way", f"""WITH {TOP}, {BM25}, ds AS (SELECT query_id, chunk_id AS id, similarity AS s FROM tk WHERE place <= 10), lx AS (SELECT query_id, doc_id AS id, score / max(score) OVER (PARTITION BY query_id) AS s FROM bp WHERE place <= 10)
-SELECT query_id, id, round(round(0.4 * coalesce(ds.s, 0) + 0.3 * coalesce(lx.s, 0), 6), 4) AS score FROM ds FULL JOIN lx USING (query_id, id)""")
+SELECT query_id, id, round(0.4 * coalesce(ds.s, 0) + 0.3 * coalesce(lx.s, 0), 6) AS score FROM ds FULL JOIN lx USING (query_id, id)""")
 def three_way(spark, d):
     dense = retrieval.vector_top_k(*vectors(spark, d), 10).select("query_id", F.col("chunk_id").alias("id"), F.col("similarity").alias("s"))
     words = lexical(spark, d).select("query_id", F.col("doc_id").alias("id"), F.col("score").alias("s"))
-    return u.three_way(dense, words, dense.limit(0)).withColumn("score", F.round("score", 4))
+    return u.three_way(dense, words, dense.limit(0))
 
 
 @query("U10_verdicts", """WITH c AS (SELECT s.subject_id, count(*) AS total, count(*) FILTER (WHERE score >= 0.6) AS grounded, count(*) FILTER (WHERE suppressed) AS conflicts FROM statements s GROUP BY 1)
@@ -101,14 +101,14 @@ def verdicts(spark, d):
 
 
 @query("U11_self_scores", """WITH c AS (SELECT subject_id, avg((score >= 0.6)::INT) AS g, avg((hop > 0)::INT) AS c, avg(score) AS k, avg((NOT speculative_ancestor)::INT) AS h, avg((NOT suppressed)::INT) AS u FROM statements GROUP BY 1), s AS (SELECT subject_id, round(0.3 * g + 0.25 * c + 0.2 * k + 0.1 * h + 0.15 * u, 6) AS score FROM c)
-SELECT subject_id, round(score, 4) AS score, CASE WHEN score >= 0.8 THEN 'Approved' WHEN score >= 0.6 THEN 'Qualified' WHEN score >= 0.4 THEN 'NeedsReview' ELSE 'Rejected' END AS state FROM s""")
+SELECT subject_id, score, CASE WHEN score >= 0.8 THEN 'Approved' WHEN score >= 0.6 THEN 'Qualified' WHEN score >= 0.4 THEN 'NeedsReview' ELSE 'Rejected' END AS state FROM s""")
 def self_scores(spark, d):
     share = lambda c: F.avg(c.cast("int"))
     rows = view(spark, d, "statements").groupBy("subject_id").agg(
         share(F.col("score") >= 0.6).alias("grounding"), share(F.col("hop") > 0).alias("coverage"), F.avg("score").alias("calibration"),
         share(~F.col("speculative_ancestor")).alias("hypotheses"), share(~F.col("suppressed")).alias("usability"),
     )
-    return u.self_score(rows).select("subject_id", F.round("score", 4).alias("score"), "state")
+    return u.self_score(rows).select("subject_id", "score", "state")
 
 
 @query("S07_entity_parts", "SELECT id, split_part(id, ':', 1) AS kind, split_part(id, ':', 2) AS name FROM nodes")
