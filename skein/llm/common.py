@@ -22,6 +22,15 @@ __all__ = ["cut", "shared_dir", "table"]
 PLACES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
+#: Rows of documents behind one part of a cut table.
+PART_ROWS = 20_000
+
+
+def parts_for(documents: DataFrame) -> int:
+    """Parts in which tables made of ``documents`` are cut: by their number, two for each core at least."""
+    return max(2 * documents.sparkSession.sparkContext.defaultParallelism, -(-documents.count() // PART_ROWS))
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle and checkpoint files of steps that nothing refers to any more.
 

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, arrow_map, cut, shingle_hashes, space_words
+from .common import WordHash, arrow_map, cut, parts_for, release, shingle_hashes, space_words
 from .components import components
 
 SHINGLE, PERCENT = 3, 85
@@ -101,32 +101,34 @@ def orders(classes: DataFrame) -> DataFrame:
 
 
 def candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b, region) from rows in sorted order: pairs with a null region, and regions left open with null ends."""
+    """(a, b, region) from rows in sorted order: pairs with a null region, and members (a) of regions left open.
+
+    Open are regions of more than SMALL rows, and a partition's first and last one.
+    """
 
     def run(batches):
         run_of, members, long, first = None, [], False, True
         out: dict[str, list] = {}
 
-        def clear():
-            out.update(a=[], b=[], region=[])
+        def put(a, b, region):
+            out["a"].append(a)
+            out["b"].append(b)
+            out["region"].append(region)
 
         def pair(x, y):
             if 100 * min(x[1], y[1]) >= percent * max(x[1], y[1]) and x[0] != y[0]:
-                out["a"].append(max(x[0], y[0]))
-                out["b"].append(min(x[0], y[0]))
-                out["region"].append(None)
+                put(max(x[0], y[0]), min(x[0], y[0]), None)
 
         def close(whole):
-            if long or not whole:
-                out["a"].append(None)
-                out["b"].append(None)
-                out["region"].append(run_of)
-            else:
+            if not whole and not long:
+                for x in members:
+                    put(x[0], None, run_of)
+            if not long:
                 for i in range(len(members)):
                     for j in range(i):
                         pair(members[i], members[j])
 
-        clear()
+        out.update(a=[], b=[], region=[])
         for b in batches:
             for region, i, n in zip(b["region"], b["id"], b["n"], strict=True):
                 if region != run_of:
@@ -138,12 +140,15 @@ def candidates(rows: DataFrame, percent: int) -> DataFrame:
                     members.append((i, n))
                 else:
                     if not long:
+                        for x in members:
+                            put(x[0], None, region)
                         for x, y in zip(members, members[1:], strict=False):
                             pair(x, y)
                     pair(members[-1], (i, n))
+                    put(i, None, region)
                     members, long = [(i, n)], True
             yield dict(out)
-            clear()
+            out.update(a=[], b=[], region=[])
         if run_of is not None:
             close(False)
         yield dict(out)
@@ -222,21 +227,22 @@ def settle(rows: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row."""
-    base = cut(sketches(documents, k))
+    parts = parts_for(documents)
+    base = cut(sketches(documents, k).coalesce(parts))
     linkable = base.filter("digest is not null and doc_id is not null")
-    classes = cut(linkable.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")).withColumnRenamed("digest", "id"))
-    rows = cut(orders(classes).repartitionByRange("region", "deeper", "id").sortWithinPartitions("region", "deeper", "id").drop("deeper"))
-    found = cut(candidates(rows, percent))
+    classes = cut(linkable.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")).withColumnRenamed("digest", "id").coalesce(parts))
+    rows = orders(classes).repartitionByRange("region", "deeper", "id").sortWithinPartitions("region", "deeper", "id").drop("deeper")
+    found = cut(candidates(rows, percent).coalesce(parts))
     pairs = found.filter("region is null").select("a", "b").distinct()
-    loose = cut(rows.join(found.filter("region is not null").select("region").distinct(), "region", "left_semi").select("region", "id"))
+    loose = found.filter("region is not null").select("region", F.col("a").alias("id"))
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(loose.select("id")).distinct()
-    sets = cut(full_sets(documents, classes.select("id", "doc_id").join(ids, "id", "left_semi"), k))
-    links = cut(confirmed(pairs, sets, percent))
-    first = components(links)
+    sets = cut(full_sets(documents, classes.select("id", "doc_id").join(ids, "id", "left_semi"), k).coalesce(parts))
+    first = components(confirmed(pairs, sets, percent), parts)
+    release(documents.sparkSession)
     labelled = loose.join(first.select(F.col("node").alias("id"), F.col("component").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = labelled.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("region")
-    more = cut(settle(labelled.join(mixed, "region", "left_semi").join(sets, "id"), percent))
-    both = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)) if not more.isEmpty() else first
+    more = cut(settle(labelled.join(mixed, "region", "left_semi").join(sets, "id"), percent).coalesce(parts))
+    both = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), parts) if not more.isEmpty() else first
     tops = classes.select("id", "doc_id").join(both.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = tops.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of = tops.join(least, "component").select(F.col("id").alias("digest"), "component_id")
