@@ -160,6 +160,40 @@ def test_repeated_ids_are_one_document(spark):
     assert [(r.doc_id, r.source_id, r.n_words) for r in substring_dedup.passages(df).collect()] == [(2, 1, 80)]
 
 
+def test_whole_passages_whose_parts_are_in_smaller_documents(spark):
+    """Every stretch of 50 equal words is found, whatever fragments other documents hold."""
+    rng = random.Random(7)
+    word = lambda n: [f"v{rng.randrange(9000)}" for _ in range(n)]
+    docs = []
+    for _ in range(6):
+        p = word(60)
+        docs += [p[:30] + word(40), p[30:] + word(40), word(20) + p + word(9), p[:30] + word(33), word(8) + p[30:], p[5:35] + word(8), word(9) + p + word(30), p[:20], p[18:45]]
+    p = word(50)
+    docs += [word(9) + p, p[:28] + word(9), p[22:] + word(9), p[10:40], word(30) + p]
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id bigint, text string")
+    places: dict[tuple, int] = {}
+    want = set()
+    for i, d in enumerate(docs):
+        for x in range(len(d) - 49):
+            if places.setdefault(tuple(d[x : x + 50]), i) < i:
+                want.update((i, y) for y in range(x, x + 50))
+    got = {(r.doc_id, y) for r in substring_dedup.passages(df).collect() for y in range(r.start, r.end)}
+    assert want and want <= got
+
+
+def test_links_of_hot_seeds():
+    """A hot seed is linked in each part, and its first documents over all parts."""
+    row = lambda part: {c: list(v) for c, v in zip(("seed", "doc_id", "at"), zip(*part, strict=True), strict=True)}
+    flat = lambda found: [dict(zip(o, r, strict=True)) for o in found for r in zip(*o.values(), strict=True)]
+    parts = [[(1, 1, 0), (2, 1, 5), (2, 3, 6), (2, 3, 9)], [(2, 4, 1), (2, 5, 2), (2, 6, 2), (2, 7, 2), (3, 1, 1)]]
+    rows = [r for part in parts for r in flat(substring_dedup.near_links([row(part)], 2, frozenset([2])))]
+    edges = sorted((r["seed"], r["doc_id"], r["at"]) for r in rows if r["source"] is None)
+    rows += flat(substring_dedup.near_links([row(edges)], 2))
+    links = {(r["doc_id"], r["source"], r["at"], r["source_at"]) for r in rows if r["source"] is not None}
+    assert {(3, 1, 6, 5), (3, 1, 9, 5), (4, 3, 1, 6), (4, 3, 1, 9), (4, 1, 1, 5), (5, 4, 2, 1), (7, 6, 2, 2), (7, 5, 2, 2), (7, 4, 2, 1)} <= links
+    assert all(d > s for d, s, _, _ in links)
+
+
 def test_seed_places():
     rng = np.random.default_rng(1)
     for w in (3, 5, 8, 10, 16):
