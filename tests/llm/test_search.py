@@ -181,6 +181,24 @@ def test_whole_passages_whose_parts_are_in_smaller_documents(spark):
     assert want and want <= got
 
 
+@pytest.mark.parametrize("edits", [0.1, 0.15, 0.2])
+def test_edited_passages(spark, edits):
+    """Passages of 50 to 110 words with a fifth of them edited at most; each pair is similar enough by construction."""
+    rng = random.Random(8)
+    word = lambda n: [f"v{rng.randrange(9000)}" for _ in range(n)]
+    rows, want = [], {}
+    for i in range(120):
+        p = word(50 + 20 * (i % 4))
+        q = list(p)
+        for y in rng.sample(range(len(p)), int(len(p) * edits)):
+            q[y] = f"e{rng.randrange(10**6)}"
+        rows += [(2 * i, " ".join(word(70) + p + word(70))), (2 * i + 1, " ".join(word(20) + q + word(90)))]
+        want[2 * i + 1] = 2 * i
+    got = {r.doc_id: r for r in substring_dedup.passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(want[d] == r.source_id and r.n_words >= 50 and r.similarity >= 0.8 for d, r in got.items())
+    assert len(got) >= 0.97 * len(want)
+
+
 def test_links_of_hot_seeds():
     """A hot seed is linked in each part, and its first documents over all parts."""
     row = lambda part: {c: list(v) for c, v in zip(("seed", "doc_id", "at"), zip(*part, strict=True), strict=True)}
