@@ -5,9 +5,10 @@
    body down, the page's candidate is the innermost container that still holds
    almost all of it; its generalised path (tags and classes, digits as #) gets
    the page's vote, as heavy as its text.
-2. Votes are summed per host and path; each host has one winning path.
-3. Each page is read again. Its text is that of the containers on the winning
-   path, or of its own candidate where it has none.
+2. Votes are summed per host and path; each host has one winning path. Containers
+   beside it whose text is the same on two pages of the host are furniture too.
+3. Each page is read again. On pages with the winning path, its text is all but
+   that furniture; elsewhere, all that is not furniture.
 
 Furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments
 and what is hidden) is left out wherever it stands; headings in an article's own
@@ -25,6 +26,7 @@ empty one; columns other than page_id, url and html are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from html import unescape
 
@@ -187,14 +189,29 @@ class Page:
                 return node
             node = max(inner, key=lambda k: k.weight)
 
-    def text(self, path: str | None) -> str:
-        """Text of the containers on ``path``, else of the candidate."""
-        if path is not None:
-            found = [t for n, t, _ in self.blocks if _on(n, path)]
-            if found:
-                return " ".join(found)
-        own = self.candidate()
-        return " ".join(t for n, t, _ in self.blocks if _inside(n, own))
+    def beside(self, own: Node) -> dict[str, str]:
+        """Texts of the outermost containers that stand beside ``own``, by path; articles are never beside."""
+        around, found = set(), {}
+        node: Node | None = own
+        while node is not None:
+            around.add(node)
+            node = node.parent
+        for n, text, _ in self.blocks:
+            top, whole = None, False
+            while n is not None and n not in around:
+                whole |= n.tag in ("article", "main")
+                if n.tag in _CONTAINERS:
+                    top = n
+                n = n.parent
+            if top is not None and n is not own and not whole:
+                found[top.path] = f"{found.get(top.path, '')} {text}"
+        return found
+
+    def text(self, path: str | None, repeated: list[str] | None = None) -> str:
+        """All text but that of containers which the host repeats beside its winning ``path``, where the page has that path."""
+        own = path is not None and any(_on(n, path) for n, _, _ in self.blocks)
+        drop = frozenset(repeated or ()) if own else frozenset()
+        return " ".join(t for n, t, _ in self.blocks if not drop or _on(n, path) or not _under(n, drop))
 
 
 def _on(node: Node | None, path: str) -> bool:
@@ -205,9 +222,9 @@ def _on(node: Node | None, path: str) -> bool:
     return False
 
 
-def _inside(node: Node | None, outer: Node) -> bool:
+def _under(node: Node | None, paths: frozenset[str]) -> bool:
     while node is not None:
-        if node is outer:
+        if node.path in paths:
             return True
         node = node.parent
     return False
@@ -218,38 +235,42 @@ def host():
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """(host, path, score): each page's vote."""
+    """(host, path, score, text): each page's vote, and without a score the hashes of what stands beside it."""
 
     def run(batches):
         for b in batches:
-            out: dict[str, list] = {"host": [], "path": [], "score": []}
+            out: dict[str, list] = {"host": [], "path": [], "score": [], "text": []}
             for name, html in zip(b["host"], b["html"], strict=True):
-                best = Page(html).candidate()
+                page = Page(html)
+                best = page.candidate()
                 if best.weight:
-                    out["host"].append(name)
-                    out["path"].append(best.path)
-                    out["score"].append(best.weight)
+                    rows = [(best.path, best.weight, None), *((p, None, hashlib.md5(t.encode("utf-8", "replace")).digest()) for p, t in page.beside(best).items())]
+                    for row in rows:
+                        for c, v in zip(out, (name, *row), strict=True):
+                            out[c].append(v)
             yield out
 
     rows = pages.select(host().alias("host"), "html").filter("host <> '' and html is not null")
-    return arrow_map(rows, run, "host string, path string, score bigint")
+    return arrow_map(rows, run, "host string, path string, score bigint, text binary")
 
 
 def winners(pages: DataFrame) -> DataFrame:
-    """(host, path): the path with the most votes of each host, the smaller one of equals."""
-    summed = votes(pages).groupBy("host", "path").agg(F.sum("score").alias("score"))
-    return summed.groupBy("host").agg(F.min(F.struct((-F.col("score")).alias("s"), "path"))["path"].alias("path"))
+    """(host, path, repeated): each host's path with the most votes, the smaller one of equals, and paths with the same text beside it on two pages."""
+    summed = cut(votes(pages).groupBy("host", "path", "text").agg(F.sum("score").alias("score"), F.count("*").alias("n")))
+    best = summed.filter("text is null").groupBy("host").agg(F.min(F.struct((-F.col("score")).alias("s"), "path"))["path"].alias("path"))
+    same = summed.filter("text is not null and n > 1").groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("repeated"))
+    return best.join(same, "host", "left")
 
 
 def extract(pages: DataFrame, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
     """(page_id, url, text, n_chars, path) of each row; ``path`` is the host's winning one."""
     best = cut(winners(pages))
     side = F.broadcast(best) if best.count() <= broadcast_hosts else best
-    rows = pages.select("page_id", "url", "html", host().alias("host")).join(side, "host", "left").select("page_id", "url", "html", "path")
+    rows = pages.select("page_id", "url", "html", host().alias("host")).join(side, "host", "left").select("page_id", "url", "html", "path", "repeated")
 
     def run(batches):
         for b in batches:
-            texts = [Page(h).text(p) if h else "" for h, p in zip(b["html"], b["path"], strict=True)]
+            texts = [Page(h).text(p, r) if h else "" for h, p, r in zip(b["html"], b["path"], b["repeated"], strict=True)]
             yield {"page_id": b["page_id"], "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts], "path": b["path"]}
 
     kind = pages.schema["page_id"].dataType.simpleString()

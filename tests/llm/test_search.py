@@ -42,6 +42,19 @@ def test_host_path_wins(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def test_nothing_but_furniture_is_dropped(spark):
+    """Titles, leads and sibling articles stay; a scrap on the host's path does not replace a page's article."""
+    body = "long text of an article that goes on and on and on. " * 9
+    page = lambda i: f"<body><h1>Title {i}</h1><p>Lead {i}</p><div><div><p>{i} {body}</p></div></div><div class='tail'><p>Read on</p></div></body>"
+    other = f"<body><div><div>Scrap</div></div><section><p>Other {body}</p></section></body>"
+    twins = f"<body><div class='a'><article><p>One {body}</p></article></div><div class='b'><article><p>Two {body[:200]}</p></article></div></body>"
+    rows = [(i, "http://h.org/a", page(i)) for i in range(4)] + [(8, "http://h.org/b", other), (9, "http://g.org/", twins), (10, "http://g.org/", twins)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(got[i] == f"Title {i} Lead {i} {i} {body.strip()}" for i in range(4))
+    assert got[8] == f"Scrap Other {body.strip()}"
+    assert got[9] == got[10] == f"One {body.strip()} Two {body[:200].strip()}"
+
+
 def test_windows_against_brute_force():
     rng = random.Random(2)
     for _ in range(120):
