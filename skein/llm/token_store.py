@@ -13,7 +13,7 @@ over their hashes. Everything is Parquet below one folder:
   manifest/         a row a recipe file: tokens, documents, Merkle root of its roots
 
 ``read_store`` puts documents together again and checks every digest, length
-and root. ``verify_store`` does so without moving ids: it reads each stored
+and root, and each recipe file against the manifest. ``verify_store`` does so, manifest included, without moving ids: it reads each stored
 chunk once where it lies, checks its digest and takes its CRC; a document's CRC
 follows from those of its chunks.
 
@@ -239,8 +239,7 @@ def write_store(documents: DataFrame, path: str, tokenizer: str = TOKENIZER, end
     numbered = arrow_map(ordered, number, f"doc_id {kind}, key binary, n_tokens bigint, chunks {leaf}, row bigint, at bigint, root binary")
     numbered.drop("key").withColumn("file", F.spark_partition_id()).write.parquet(f"{path}/recipes")
     # a total a file
-    files = spark.read.parquet(f"{path}/recipes").groupBy("file").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("documents"), F.sort_array(F.collect_list(F.struct("row", "root"))).alias("roots"))
-    manifest = arrow_map(files, lambda it: (b | {"root": [merkle([r["root"] for r in x]) for x in b["roots"]]} for b in it), "file int, n_tokens bigint, documents bigint, root binary")
+    manifest = totals(spark.read.parquet(f"{path}/recipes"))
     manifest.write.parquet(f"{path}/manifest")
     release(spark)
 
@@ -250,6 +249,23 @@ def _data(spark: SparkSession, path: str, doc_id: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{path}/data")
 
 
+def totals(recipes: DataFrame) -> DataFrame:
+    """(file, n_tokens, documents, root) of each recipe file."""
+    files = recipes.groupBy("file").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("documents"), F.sort_array(F.collect_list(F.struct("row", "root"))).alias("roots"))
+    return arrow_map(files, lambda it: (b | {"root": [merkle([r["root"] for r in x]) for x in b["roots"]]} for b in it), "file int, n_tokens bigint, documents bigint, root binary")
+
+
+def check_manifest(spark: SparkSession, path: str) -> None:
+    """Fails where recipe files and manifest do not agree; at once, as rows that are lost have no later step that could fail."""
+    m, found = spark.read.parquet(f"{path}/manifest").alias("m"), totals(spark.read.parquet(f"{path}/recipes")).alias("r")
+    same = F.lit(True)
+    for c in ("n_tokens", "documents", "root"):
+        same = same & F.col(f"m.{c}").eqNullSafe(F.col(f"r.{c}"))
+    bad = m.join(found, F.col("m.file") == F.col("r.file"), "full").filter(~same).select(F.coalesce("m.file", "r.file").alias("file")).take(1)
+    if bad:
+        raise ValueError(f"recipe file {bad[0].file} does not match the manifest")
+
+
 def offsets(spark: SparkSession, path: str) -> DataFrame:
     """(file, first): the ids before each recipe file. There are as many rows as files."""
     m = spark.read.parquet(f"{path}/manifest").select("file", "n_tokens")
@@ -258,7 +274,8 @@ def offsets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _stored(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Recipes, and stored chunks (digest, ids)."""
+    """Recipes, and stored chunks (digest, ids), once the manifest holds."""
+    check_manifest(spark, path)
     recipes = spark.read.parquet(f"{path}/recipes")
     kind = recipes.schema["doc_id"].dataType.simpleString()
     return recipes, _data(spark, path, kind).filter("kind = 'chunk'").select(F.col("key").alias("digest"), "ids")

@@ -146,3 +146,17 @@ def test_empty_tables(spark, tmp_path):
     assert bpe_codec.encode_decode(none).count() == 0 and token_counts.prefix_counts(none).count() == 0
     token_store.write_store(none, str(tmp_path / "s"))
     assert token_store.read_store(spark, str(tmp_path / "s")).count() == 0
+
+
+@pytest.mark.parametrize("lost", ["rows", "file", "manifest"])
+def test_store_fails_where_recipes_are_lost(spark, tmp_path, lost):
+    rows = [(i, f"the cat sat on {i} mats") for i in range(40)]
+    token_store.write_store(spark.createDataFrame(rows, "doc_id bigint, text string"), str(tmp_path / "s"))
+    part = "manifest" if lost == "manifest" else "recipes"
+    whole = spark.read.parquet(str(tmp_path / "s" / part))
+    one = whole.agg({"file": "max"}).first()[0]
+    kept = whole.filter("doc_id <> 39" if lost == "rows" else f"file <> {one}").collect()
+    spark.createDataFrame(kept, whole.schema).write.mode("overwrite").parquet(str(tmp_path / "s" / part))
+    for read in (token_store.read_store, token_store.verify_store):
+        with pytest.raises(Exception, match="does not match the manifest"):
+            read(spark, str(tmp_path / "s")).collect()
