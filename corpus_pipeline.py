@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import bpe_codec, decontam, near_dup, quality_pu, substring_dedup
-from skein.llm.common import alnum_words, arrow_map, shared_dir, table
+from skein.llm.common import alnum_words, arrow_map, cut, shared_dir, table
 
 #: Word shingles and percent of similarity of the near-duplicate stage.
 SHINGLE, PERCENT = 5, 80
@@ -49,14 +49,25 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return substring_dedup.remove(docs, substring_dedup.passages(docs))
 
 
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str, block_bytes: int = decontam.BLOCK_BYTES) -> DataFrame:
     """Documents without benchmark passages; those that are nothing else go."""
     benchmark = table(spark, sf_dir, "benchmark")
-    blocks = decontam.item_blocks(benchmark)
-    out = docs
-    for items in blocks:
-        out = _clean(spark, out, items)
-    return out
+    out, held = docs, None
+    while True:  # a later block's cuts can join a window of an earlier one: until a whole round cuts nothing
+        blocks = decontam.item_blocks(benchmark, block_bytes)
+        for items in blocks:
+            out = _clean(spark, out, items)
+        if isinstance(blocks, list):  # a single one, searched until nothing is left
+            return out
+        out, last = cut(out), held or _extent(docs)
+        held = _extent(out)
+        if held == last:
+            return out
+
+
+def _extent(docs: DataFrame) -> tuple:
+    """Rows and characters: every cut takes some."""
+    return tuple(docs.agg(F.count("*"), F.sum(F.length("text"))).first())
 
 
 def _clean(spark: SparkSession, docs: DataFrame, items: list[tuple]) -> DataFrame:
@@ -66,15 +77,15 @@ def _clean(spark: SparkSession, docs: DataFrame, items: list[tuple]) -> DataFram
         phrases = decontam.Phrases(sent.value, decontam.WINDOW)
         for shard in decontam.shards(batches, decontam.SHARD_CHARS):
             texts, todo = list(shard["text"]), list(range(len(shard["text"])))
-            cut: set[int] = set()
+            hit: set[int] = set()
             while todo:  # joined ends can form a window again: until none is left
                 found = decontam.search_shard(phrases, [texts[i] for i in todo])
                 todo = [i for i, (_, spans, _) in zip(todo, found, strict=True) if spans]
                 for i, spans in zip(todo, (s for _, s, _ in found if s), strict=True):
                     texts[i] = decontam.without_spans(texts[i], spans)
-                cut.update(todo)
-            keep = [i for i, t in enumerate(texts) if i not in cut or alnum_words(t)]
-            out = shard | {"text": texts, "n_chars": [len(t) if i in cut else n for i, (t, n) in enumerate(zip(texts, shard["n_chars"], strict=True))]}
+                hit.update(todo)
+            keep = [i for i, t in enumerate(texts) if i not in hit or alnum_words(t)]
+            out = shard | {"text": texts, "n_chars": [len(t) if i in hit else n for i, (t, n) in enumerate(zip(texts, shard["n_chars"], strict=True))]}
             yield {c: [v[i] for i in keep] for c, v in out.items()}
 
     return arrow_map(docs, run, _schema(docs))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from skein.llm import near_dup
+from skein.llm import decontam, near_dup
 from skein.llm.bpe import library, tokenizer_path
 from skein.llm.common import WordHash, alnum_words
 from skein.session import table
@@ -110,3 +110,15 @@ def test_stages_on_odd_rows(spark, small):
             part = run(spark, part, small)
             assert part.filter(F.col("doc_id") == 3).count() <= 2
             part.collect()
+
+
+def test_decontamination_in_blocks_as_in_one(spark, tmp_path):
+    a, b = [f"a{i}" for i in range(10)], [f"b{i}" for i in range(10)]
+    spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b))], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    texts = [["x", *a[:5], *b, *a[5:], "y"], ["x", *b[:5], *a, *b[5:], "y"], ["x", *a[:9], "y"]]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    bench = table(spark, str(tmp_path), "benchmark")
+    assert sum(map(bool, decontam.item_blocks(bench, 8))) == 2
+    for size in (8, 10**6):
+        got = rows(pipeline.decontamination(spark, docs, str(tmp_path), size))
+        assert {i: r.text for i, r in got.items()} == {0: "x y", 1: "x y", 2: " ".join(texts[2])}
