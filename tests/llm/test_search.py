@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 import regex
+from pyspark.sql import functions as F
 
 from skein.llm import decontam, html_extract, license_scan, substring_dedup
 from skein.llm.common import alnum_words
@@ -167,10 +168,27 @@ def test_passages(spark):
     assert substring_dedup.passages(df.limit(0)).count() == 0
 
 
-def test_repeated_ids_are_one_document(spark):
-    long = " ".join(f"x{i}" for i in range(80))
-    df = spark.createDataFrame([(1, long), (1, long), (2, long)], "doc_id bigint, text string")
-    assert [(r.doc_id, r.source_id, r.n_words) for r in substring_dedup.passages(df).collect()] == [(2, 1, 80)]
+def test_rows_that_share_an_id(spark):
+    """Equal rows are one; other texts of the same id are searched and cut each by its own text, with clashing columns beside."""
+    rng = random.Random(9)
+    word = lambda n: " ".join(f"x{rng.randrange(10**6)}" for _ in range(n))
+    long, other, short = word(80), word(70), word(5)
+    rows = [(1, long, "p"), (1, long, "q"), (2, long, "r"), (2, short, "s"), (3, f"{short} {other}", "t"), (3, f"{other} {short}", "u"), (4, f"{other} z", "v")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, spans string").withColumns({c: F.lit(7) for c in ("digest", "source_id", "start", "key", "lead")})
+    found = substring_dedup.passages(df)
+    assert {(r.doc_id, r.source_id, r.n_words) for r in found.collect()} == {(2, 1, 80), (4, 3, 70)}
+    left = substring_dedup.remove(df, found)
+    assert left.columns == df.columns
+    assert sorted((r.doc_id, r.text, r.spans) for r in left.collect()) == sorted([*(r for r in rows if r[0] in (1, 3)), (2, short, "s"), (4, "z", "v")])
+
+
+def test_removal_from_a_long_text(spark):
+    rng = random.Random(10)
+    words = [f"y{rng.randrange(10**6)}" for _ in range(200_000)]
+    df = spark.createDataFrame([("a", " ".join(words[1000:1100])), ("b", " ".join(words))], "doc_id string, text string")
+    found = substring_dedup.passages(df)
+    assert [(r.doc_id, r.source_id, r.start, r.end) for r in found.collect()] == [("b", "a", 1000, 1100)]
+    assert {r.doc_id: r.text for r in substring_dedup.remove(df, found).collect()}["b"] == " ".join(words[:1000] + words[1100:])
 
 
 def test_whole_passages_whose_parts_are_in_smaller_documents(spark):
@@ -237,26 +255,18 @@ def test_chains_against_brute_force():
     rng = random.Random(5)
 
     def best(points):
-        points = sorted(set(points))
-        score = []
+        points, score = sorted(set(points)), []
         for j, (x, a) in enumerate(points):
-            top = 5.0
-            for i in range(j):
-                dx, da = x - points[i][0], a - points[i][1]
-                if dx > 0 and da > 0 and score[i] - 0.1 * (dx + da) > 0:
-                    top = max(top, score[i] - 0.1 * (dx + da) + min(5, dx, da))
-            score.append(top)
+            before = [score[i] - 0.1 * (x - points[i][0] + a - points[i][1]) for i in range(j) if x > points[i][0] and a > points[i][1]]
+            score.append(4 + max([0, *before]))
         return max(score)
 
-    for _ in range(40):
-        points = [(rng.randrange(60), rng.randrange(60)) for _ in range(rng.randint(1, 12))]
+    for _ in range(200):
+        points = [(rng.randrange(60), rng.randrange(60)) for _ in range(rng.randint(1, 25))]
         found = substring_dedup.chains(points)
         assert sorted(p for c in found for p in c) == sorted(set(points))
         for c in found:
             assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(c, c[1:], strict=False))
         top = found[0]
-        value = 5.0
-        for p, q in zip(top, top[1:], strict=False):
-            dx, da = q[0] - p[0], q[1] - p[1]
-            value += min(5, dx, da) - 0.1 * (dx + da)
-        assert value >= best(points) - 5.0  # the tree keeps one predecessor by stored value, a match's worth at most away
+        value = 4 * len(top) - sum(0.1 * (q[0] - p[0] + q[1] - p[1]) for p, q in zip(top, top[1:], strict=False))
+        assert value == pytest.approx(best(points))
