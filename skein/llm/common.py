@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import contextlib
 import gc
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -41,6 +42,28 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+class Tables:
+    """Tables of one run as Parquet below the shared folder.
+
+    They are compressed, which checkpoints are not, and go as soon as a step has no more use for them.
+    """
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.path = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+    def keep(self, name: str, df: DataFrame, parts: int | None = None) -> DataFrame:
+        """``df`` computed once and written, in at most ``parts`` files."""
+        (df if parts is None else df.coalesce(parts)).write.option("compression", "zstd").parquet(f"{self.path}/{name}")
+        release(self.spark)
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Deletes tables, without names all."""
+        for place in [f"{self.path}/{n}" for n in names] or [self.path]:
+            found = self.spark._jvm.org.apache.hadoop.fs.Path(place)
+            found.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def give_back() -> None:
     """Returns a worker's free memory to the machine: workers outlive their tasks, beside others of the same executor."""
     import ctypes
@@ -51,15 +74,15 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[dict]], Iterable[dict]], schema: str) -> DataFrame:
-    """``fn`` over dicts of column lists; each dict it yields becomes one Arrow batch of ``schema``."""
+def arrow_map(df: DataFrame, fn: Callable[[Iterator], Iterable[dict]], schema: str, lists: bool = True) -> DataFrame:
+    """``fn`` over dicts of column lists (or Arrow batches, without ``lists``); each dict it yields becomes one Arrow batch of ``schema``."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     target = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in fn(b.to_pydict() for b in batches if b.num_rows):
+        for out in fn(b.to_pydict() if lists else b for b in batches if b.num_rows):
             columns = [out[f.name] for f in target]
             yield pa.RecordBatch.from_arrays(
                 [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, target, strict=True)],

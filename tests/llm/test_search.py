@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -232,7 +233,7 @@ def test_edited_passages(spark, edits):
 
 def test_links_of_hot_seeds():
     """A hot seed is linked in each part, and its first documents over all parts."""
-    row = lambda part: {c: list(v) for c, v in zip(("seed", "doc_id", "at"), zip(*part, strict=True), strict=True)}
+    row = lambda part: pa.RecordBatch.from_pydict({c: list(v) for c, v in zip(("seed", "doc_id", "at"), zip(*part, strict=True), strict=True)})
     flat = lambda found: [dict(zip(o, r, strict=True)) for o in found for r in zip(*o.values(), strict=True)]
     parts = [[(1, 1, 0), (2, 1, 5), (2, 3, 6), (2, 3, 9)], [(2, 4, 1), (2, 5, 2), (2, 6, 2), (2, 7, 2), (3, 1, 1)]]
     rows = [r for part in parts for r in flat(substring_dedup.near_links([row(part)], 2, frozenset([2])))]
