@@ -49,7 +49,8 @@ class Tables:
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark, self.path = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.name = f"{name}_{uuid.uuid4().hex}"
+        self.spark, self.path, self.named = spark, f"{shared_dir(spark).rstrip('/')}/{self.name}", []
 
     def keep(self, name: str, df: DataFrame, parts: int | None = None) -> DataFrame:
         """``df`` computed once and written, in at most ``parts`` files."""
@@ -57,8 +58,18 @@ class Tables:
         release(self.spark)
         return self.spark.read.parquet(f"{self.path}/{name}")
 
+    def bucketed(self, name: str, df: DataFrame, column: str, buckets: int) -> DataFrame:
+        """``df`` written in buckets of ``column``: joins by it move the other side alone."""
+        self.named.append(f"{self.name}_{name}")
+        parted = df.repartition(min(buckets, 100_000), column)  # Spark takes no more buckets
+        parted.write.bucketBy(min(buckets, 100_000), column).option("compression", "zstd").option("path", f"{self.path}/{name}").format("parquet").saveAsTable(self.named[-1])
+        release(self.spark)
+        return self.spark.table(self.named[-1])
+
     def drop(self, *names: str) -> None:
         """Deletes tables, without names all."""
+        while self.named and not names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.named.pop()}")
         for place in [f"{self.path}/{n}" for n in names] or [self.path]:
             found = self.spark._jvm.org.apache.hadoop.fs.Path(place)
             found.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(found, True)
@@ -184,6 +195,28 @@ def blocks(texts: list[str | None], chars: int) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
+class Recent:
+    """A bounded table that outlives a task: entries of the last rounds, of which those in use move on.
+
+    Look up in ``now``; for what is not there, ``recall`` brings back what ``before`` holds and names the rest.
+    """
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.now, self.before = limit, {}, {}
+
+    def turn(self) -> None:
+        """Between blocks: a full table becomes the old one."""
+        if len(self.now) > self.limit:
+            self.now, self.before = {}, self.now
+
+    def recall(self, keys: set) -> set:
+        if not self.before:
+            return keys
+        held = keys & self.before.keys()
+        self.now.update((k, self.before[k]) for k in held)
+        return keys - held
+
+
 def looked_up(known: dict, lists: list[list[str]], learn: Callable[[set[str]], None]) -> list[list]:
     """The values of words in ``known``; ``learn`` is called once with those it does not have."""
     rows = [list(map(known.get, x)) for x in lists]
