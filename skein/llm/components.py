@@ -4,7 +4,9 @@ Each round replaces the links of a node by links to its smallest neighbour,
 first from the larger neighbours, then from the smaller ones. The number of
 rounds grows with the logarithm of the longest path. Links stay in tables; only
 a sum of their hashes reaches the driver. Each round's table is written in as
-many parts as its links need, which are counted anyway.
+many parts as its links need, which are counted anyway. Smallest neighbours are
+written before they are joined, so that a node with a third of all links can be
+split over tasks.
 """
 
 from __future__ import annotations
@@ -21,12 +23,12 @@ PART = 250_000
 
 def _large(e: DataFrame) -> DataFrame:
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
     return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small(e: DataFrame) -> DataFrame:
-    least = e.groupBy("a").agg(F.min("b").alias("m"))
+    least = cut(e.groupBy("a").agg(F.min("b").alias("m")))
     moved = e.join(least, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 

@@ -2,27 +2,33 @@
 
 1. Each document becomes a set of word shingles, its digest and a MinHash
    signature. Equal sets are one class; only one member of a class goes on.
-2. Each of TREES sorted orders takes the signature from another place on. In a
-   sorted order, a region is a run of rows that agree on the first DEPTH values.
-   Neighbours by longest common prefix are candidates: in a small region all
-   its pairs; in a larger one, each row and the next, whose agreement is as deep
-   as the region is dense.
+2. Each of TREES sorted orders takes the signature from another place on; in a
+   sorted order, rows with a longer common prefix stand closer. A region is a
+   run of rows that agree on the first DEPTH values. Its depth adapts to it:
+   where a run has more than SMALL rows, its parts that agree on one value more
+   take its place, down to DEEPEST. All pairs of a run that is small enough are
+   candidates, and in a larger one each row and the next, its neighbour by
+   longest common prefix.
 3. Candidates are confirmed on full sets and joined into components.
-4. Regions too large for step 2, or cut by a partition's end, are settled
-   exactly: where their members are not yet one component, the members outside
-   its largest one are compared with all others of the region, on full sets, in
-   blocks of bounded size. So no pair of a region is lost; two documents of the
-   least similarity share no region with a probability of
+4. Going deeper can pass by a pair that agrees on DEPTH values and no more. So
+   regions of more than SMALL rows, and those cut by a partition's end, are
+   settled exactly: where their members are not yet one component, the members
+   outside its largest one are compared with all others of the region, on full
+   sets, in blocks of bounded size. So no pair of a region is lost; two documents
+   of the least similarity share no region with a probability of
    (1 - similarity ** DEPTH) ** TREES, below 1e-6 at 0.85.
 
 Scale: orders are sorted by range, so a region that holds a third of all rows
 is spread over tasks; a hot group is settled by its links, not by its pairs.
+What is joined by region or component is written first, so that Spark can split
+hot ones. Settling takes time with the square of the members of a region that are
+outside its largest component, in blocks that are dealt over all tasks.
 
 Defined results: null and empty texts, and texts without words, have no
-shingles and are linked with nothing; rows that share a doc_id are judged row by
-row, each by its own text; a row without doc_id is linked with nothing, has a
-null component and is kept; an empty table gives an empty one; other columns
-are ignored.
+shingles and are linked with nothing; a very long text is read whole; rows that
+share a doc_id are judged row by row, each by its own text; a row without doc_id
+is linked with nothing, has a null component and is kept; an empty table gives an
+empty one; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -100,6 +106,60 @@ def orders(classes: DataFrame) -> DataFrame:
     return arrow_map(classes.select("id", "n", "sig"), run, "region binary, deeper binary, id binary, n bigint")
 
 
+class Descent:
+    """Candidates of one region, whose rows come in sorted order.
+
+    A level holds the run of rows that agree with the last one on so many values
+    beyond the region's. Pairs of a run of at most SMALL rows wait until it is
+    known whether the level above is small as well, whose pairs contain them.
+    """
+
+    LEVELS = DEEPEST - DEPTH + 1
+
+    def __init__(self, put) -> None:
+        self.put, self.deeper, self.size = put, b"", 0
+        self.runs: list[list] = [[] for _ in range(self.LEVELS)]
+        self.waiting: list[list] = [[] for _ in range(self.LEVELS)]
+
+    def common(self, deeper: bytes) -> int:
+        """Values that a row has in common with the one before."""
+        n = 0
+        while n < self.LEVELS - 1 and deeper[4 * n : 4 * n + 4] == self.deeper[4 * n : 4 * n + 4]:
+            n += 1
+        return n
+
+    def add(self, row, deeper: bytes) -> None:
+        if self.size:
+            self.close(self.common(deeper) + 1)
+            if self.size >= SMALL:
+                if self.size == SMALL:
+                    for pair in zip(self.runs[0], self.runs[0][1:], strict=False):
+                        self.put(*pair)
+                self.put(self.last, row)
+        for level, run in enumerate(self.runs):
+            run.append(row)
+            if len(run) == SMALL + 1:  # too large: what waits below stands, and no more than that is kept
+                for pair in self.waiting[level]:
+                    self.put(*pair)
+                self.waiting[level] = []
+            elif len(run) > SMALL + 1:
+                run.pop()
+        self.deeper, self.last, self.size = deeper, row, self.size + 1
+
+    def close(self, level: int = 0) -> None:
+        """Ends the runs from a level on, the deepest first."""
+        for at in range(self.LEVELS - 1, level - 1, -1):
+            run = self.runs[at]
+            if len(run) <= SMALL:
+                pairs = [(run[i], run[j]) for i in range(len(run)) for j in range(i)]
+                if at and len(self.runs[at - 1]) <= SMALL:
+                    self.waiting[at - 1] += pairs
+                else:
+                    for pair in pairs:
+                        self.put(*pair)
+            self.runs[at], self.waiting[at] = [], []
+
+
 def candidates(rows: DataFrame, percent: int) -> DataFrame:
     """(a, b, region) from rows in sorted order: pairs with a null region, and members (a) of regions left open.
 
@@ -107,8 +167,7 @@ def candidates(rows: DataFrame, percent: int) -> DataFrame:
     """
 
     def run(batches):
-        run_of, members, long, first = None, [], False, True
-        out: dict[str, list] = {}
+        out: dict[str, list] = {"a": [], "b": [], "region": []}
 
         def put(a, b, region):
             out["a"].append(a)
@@ -119,38 +178,30 @@ def candidates(rows: DataFrame, percent: int) -> DataFrame:
             if 100 * min(x[1], y[1]) >= percent * max(x[1], y[1]) and x[0] != y[0]:
                 put(max(x[0], y[0]), min(x[0], y[0]), None)
 
-        def close(whole):
-            if not whole and not long:
-                for x in members:
-                    put(x[0], None, run_of)
-            if not long:
-                for i in range(len(members)):
-                    for j in range(i):
-                        pair(members[i], members[j])
+        def end(whole):
+            if own.size <= SMALL and not whole:
+                for x in own.runs[0]:
+                    put(x[0], None, region_of)
+            own.close()
 
-        out.update(a=[], b=[], region=[])
+        own, region_of, first = None, None, True
         for b in batches:
-            for region, i, n in zip(b["region"], b["id"], b["n"], strict=True):
-                if region != run_of:
-                    if run_of is not None:
-                        close(not first)
+            for region, deeper, i, n in zip(b["region"], b["deeper"], b["id"], b["n"], strict=True):
+                if region != region_of:
+                    if own is not None:
+                        end(not first)
                         first = False
-                    run_of, members, long = region, [(i, n)], False
-                elif len(members) < SMALL and not long:
-                    members.append((i, n))
-                else:
-                    if not long:
-                        for x in members:
-                            put(x[0], None, region)
-                        for x, y in zip(members, members[1:], strict=False):
-                            pair(x, y)
-                    pair(members[-1], (i, n))
+                    own, region_of = Descent(pair), region
+                if own.size == SMALL:
+                    for x in own.runs[0]:
+                        put(x[0], None, region)
+                if own.size >= SMALL:
                     put(i, None, region)
-                    members, long = [(i, n)], True
+                own.add((i, n), deeper)
             yield dict(out)
             out.update(a=[], b=[], region=[])
-        if run_of is not None:
-            close(False)
+        if own is not None:
+            end(False)
         yield dict(out)
 
     return arrow_map(rows, run, "a binary, b binary, region binary")
@@ -196,7 +247,8 @@ def settle(rows: DataFrame, percent: int) -> DataFrame:
     """
     sizes = rows.groupBy("region", "label").agg(F.count("*").alias("c"))
     regions = sizes.groupBy("region").agg(F.sum("c").alias("m"), F.max(F.struct("c", "label"))["label"].alias("main"), F.max("c").alias("top"))
-    regions = regions.filter("m > top").select("region", "main", F.ceil(F.col("m") / BLOCK).alias("mb"), F.ceil((F.col("m") - F.col("top")) / BLOCK).alias("qb"))
+    regions = regions.filter("m > top")
+    regions = cut(regions.select("region", "main", F.ceil(F.col("m") / BLOCK).alias("mb"), F.ceil((F.col("m") - F.col("top")) / BLOCK).alias("qb")))
     held = rows.join(regions, "region").withColumn("h", F.abs(F.xxhash64("id") % 1_000_000_007))
     members = held.select("region", "id", "label", "shingles", (F.col("h") % F.col("mb")).alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("qb") - 1)).alias("y"), F.lit(0).alias("asks"))
     asking = held.filter("label <> main").select("region", "id", "label", "shingles", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mb") - 1)).alias("x"), (F.col("h") % F.col("qb")).alias("y"), F.lit(1).alias("asks"))
@@ -231,7 +283,7 @@ def near_duplicates(documents: DataFrame, k: int = SHINGLE, percent: int = PERCE
     base = cut(sketches(documents, k).coalesce(parts))
     linkable = base.filter("digest is not null and doc_id is not null")
     classes = cut(linkable.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")).withColumnRenamed("digest", "id").coalesce(parts))
-    rows = orders(classes).repartitionByRange("region", "deeper", "id").sortWithinPartitions("region", "deeper", "id").drop("deeper")
+    rows = orders(classes).repartitionByRange("region", "deeper", "id").sortWithinPartitions("region", "deeper", "id")
     found = cut(candidates(rows, percent).coalesce(parts))
     pairs = found.filter("region is null").select("a", "b").distinct()
     loose = found.filter("region is not null").select("region", F.col("a").alias("id"))
@@ -240,11 +292,11 @@ def near_duplicates(documents: DataFrame, k: int = SHINGLE, percent: int = PERCE
     first = components(confirmed(pairs, sets, percent), parts)
     release(documents.sparkSession)
     labelled = loose.join(first.select(F.col("node").alias("id"), F.col("component").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = labelled.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("region")
+    mixed = cut(labelled.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("region"))
     more = cut(settle(labelled.join(mixed, "region", "left_semi").join(sets, "id"), percent).coalesce(parts))
     both = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), parts) if not more.isEmpty() else first
     tops = classes.select("id", "doc_id").join(both.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    least = tops.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    least = cut(tops.groupBy("component").agg(F.min("doc_id").alias("component_id")))
     of = tops.join(least, "component").select(F.col("id").alias("digest"), "component_id")
     own = base.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
     component = F.coalesce("component_id", "doc_id")
