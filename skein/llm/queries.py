@@ -15,7 +15,7 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_codec.encode_decode(table(spark, sf_dir, "documents"), ids=False)
+    return bpe_codec.encode_decode(table(spark, sf_dir, "documents"), ids=False, decoded=False)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = token_counts.prefix_counts(table(spark, sf_dir, "documents"), vectors=False)
+    found = token_counts.prefix_counts(table(spark, sf_dir, "documents"))
     return found.withColumn("over_limit", F.col("n_tokens") > token_counts.LIMIT)
 
 

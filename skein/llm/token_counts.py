@@ -6,25 +6,32 @@ of the pieces (see ``bpe``): a prefix's count is one more than that of the
 prefix without its last token. Truncation ("how much of this text fits N
 tokens") and budget questions are then lookups, without encoding again.
 
-The vectors of distinct pieces are kept in a bounded table per worker; nothing
-is shuffled. A null text counts as empty; empty texts have no tokens; repeated
-rows give repeated results; other columns are ignored.
+The vectors are stored as steps from prefix to prefix, a byte each where all of
+a text's steps fit (``steps``, ``read_steps``), and the figures of a row are
+read from what is stored. Vectors of distinct pieces are kept in a bounded table
+per worker; nothing is shuffled.
+
+Defined results: a null text counts as empty; empty texts have no tokens and
+empty vectors; a very long text is a block of its own; repeated rows give
+repeated results; an empty table gives an empty one; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 
 from .bpe import Bpe, library, load, plain_classes, tokenizer_path
-from .common import arrow_map, blocks, looked_up, single_spaced, units
+from .common import Recent, arrow_map, blocks, looked_up, single_spaced, units
 
 TOKENIZER, LIMIT = "byte_bpe_50k.json", 512
-#: Characters of cached pieces per worker, and characters of text in work at once.
-KEPT_CHARS, BLOCK_CHARS = 36_000_000, 4_000_000
+#: Units kept per worker and round, pieces kept per worker, and characters of text in work at once.
+KEPT_UNITS, KEPT_PIECES, BLOCK_CHARS = 250_000, 100_000, 4_000_000
 _RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2,}")
 _CONTRACTIONS = {"'re", "'ve", "'ll"}
 
@@ -42,8 +49,7 @@ class PrefixCounter:
         self.pattern = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^\\s{letters}{numbers}]+|\\s+")
         self.known: dict[str, list[int]] = {}
         #: By unit, its counts at one byte each; units of more than 255 tokens have none.
-        self.unit: dict[str, bytes] = {}
-        self.kept = 0
+        self.unit = Recent(KEPT_UNITS)
 
     def learn(self, pieces: Iterable[str]) -> None:
         """Counts after each code point of new pieces of the pattern, by one walk over their trie."""
@@ -68,7 +74,6 @@ class PrefixCounter:
             if piece in _CONTRACTIONS:  # cut short, it is a quote and a letter
                 found[1] = 2
             known[piece] = found
-            self.kept += len(piece) + 30
 
     def _joined(self, pieces: list[str]) -> list[int]:
         """Counts over consecutive pieces, each raised by the totals before it."""
@@ -97,19 +102,20 @@ class PrefixCounter:
         return out
 
     def learn_units(self, new: set[str]) -> None:
-        parts = {u: [u] if (w := u[u[0] == " " :]).isascii() and w.isalpha() else self.pattern.findall(u) for u in new}
+        parts = {u: [u] if (w := u[u[0] == " " :]).isascii() and w.isalpha() else self.pattern.findall(u) for u in self.unit.recall(new)}
         self.learn({p for ps in parts.values() for p in ps})
-        known, unit = self.known, self.unit
+        known, unit = self.known, self.unit.now
         for u, ps in parts.items():
             own = known[ps[0]] if len(ps) == 1 else self._joined(ps)
             if own[-1] < 250 and max(own) < 256:
                 unit[u] = bytes(own)
-                self.kept += len(u) + 30
 
     def plain(self, found: list[str], vectors: list[bytes | None]) -> np.ndarray:
         """A text from its units and their counts; those too long to be kept are worked out."""
         if None in vectors:
-            return np.asarray(self._joined([p for u in found for p in self.pattern.findall(u)]), np.int32)
+            pieces = [p for u in found for p in self.pattern.findall(u)]
+            self.learn(pieces)
+            return np.asarray(self._joined(pieces), np.int32)
         if not vectors:
             return np.zeros(0, np.int32)
         sizes = np.fromiter(map(len, vectors), np.int64, len(vectors))
@@ -121,7 +127,7 @@ class PrefixCounter:
         if not single_spaced(text):
             return self.odd(text)
         found = units(text)
-        return self.plain(found, looked_up(self.unit, [found], self.learn_units)[0])
+        return self.plain(found, looked_up(self.unit.now, [found], self.learn_units)[0])
 
     def with_specials(self, text: str) -> np.ndarray:
         """A text with special strings: up to its last character, each is plain text."""
@@ -137,12 +143,11 @@ class PrefixCounter:
 
     def counts(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """For each text, tokens of ``text[:i + 1]`` at ``i``."""
-        if self.kept > KEPT_CHARS:
+        self.unit.turn()
+        if len(self.known) > KEPT_PIECES:  # units keep their own counts
             self.known.clear()
-            self.unit.clear()
-            self.kept = 0
         plain = [None if not t or "<|" in t or not single_spaced(t) else units(t) for t in texts]
-        vectors = iter(looked_up(self.unit, [x for x in plain if x is not None], self.learn_units))
+        vectors = iter(looked_up(self.unit.now, [x for x in plain if x is not None], self.learn_units))
         for text, found in zip(texts, plain, strict=True):
             if found is not None:
                 yield self.plain(found, next(vectors))
@@ -152,31 +157,62 @@ class PrefixCounter:
                 yield self.with_specials(text) if "<|" in text else self.segment(text)
 
 
+@lru_cache(maxsize=1)
+def counter(path: str) -> PrefixCounter:
+    """One counter a worker: its tables serve all the worker's tasks."""
+    return PrefixCounter(path)
+
+
+def steps(counts: np.ndarray) -> bytes:
+    """Counts by their steps: a signed byte each, or where one does not fit, all counts in 4 bytes each."""
+    own = np.diff(counts, prepend=0)
+    small = own.astype(np.int8)
+    return small.tobytes() if (small == own).all() else counts.astype("<i4").tobytes()
+
+
+def read_steps(raw: bytes, chars: int) -> np.ndarray:
+    """The counts of a text of ``chars`` code points from its stored steps."""
+    return np.cumsum(np.frombuffer(raw, np.int8), dtype=np.int64) if len(raw) == chars else np.frombuffer(raw, "<i4").astype(np.int64)
+
+
 def truncate(counts: np.ndarray, budget: int) -> int:
     """Code points of the longest prefix of at most ``budget`` tokens."""
     fits = np.flatnonzero(counts <= budget)
     return int(fits[-1]) + 1 if len(fits) else 0
 
 
-def prefix_counts(documents: DataFrame, tokenizer: str = TOKENIZER, limit: int = LIMIT, vectors: bool = True) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, fit_chars) of each row, with ``counts`` (little-endian, 4 bytes a prefix) if asked for.
+def prefix_counts(documents: DataFrame, tokenizer: str = TOKENIZER, limit: int = LIMIT) -> DataFrame:
+    """(doc_id, n_bytes, n_chars, n_tokens, fit_chars, counts) of each row.
 
-    ``fit_chars``: code points of the longest prefix of at most ``limit`` tokens.
+    ``counts``: the stored vector; ``fit_chars``: code points of the longest prefix of at most ``limit`` tokens.
     """
 
     def run(batches):
-        counter = PrefixCounter(tokenizer_path(tokenizer))
+        own = counter(tokenizer_path(tokenizer))
         for b in batches:
             for part in blocks(b["text"], BLOCK_CHARS):
-                found = [(int(v[-1]) if len(v) else 0, truncate(v, limit), v.astype("<i4").tobytes() if vectors else None) for v in counter.counts(b["text"][part])]
+                texts = [t or "" for t in b["text"][part]]
+                stored = [steps(v) for v in own.counts(texts)]
+                read = [read_steps(v, len(t)) for v, t in zip(stored, texts, strict=True)]
                 yield {
                     "doc_id": b["doc_id"][part],
-                    "n_bytes": [len((t or "").encode("utf-8", "replace")) for t in b["text"][part]],
-                    "n_tokens": [x for x, _, _ in found],
-                    "fit_chars": [x for _, x, _ in found],
-                    "counts": [x for _, _, x in found],
+                    "n_bytes": [len(t.encode("utf-8", "replace")) for t in texts],
+                    "n_chars": [len(t) for t in texts],
+                    "n_tokens": [int(v[-1]) if len(v) else 0 for v in read],
+                    "fit_chars": [truncate(v, limit) for v in read],
+                    "counts": stored,
                 }
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_bytes bigint, n_tokens bigint, fit_chars bigint"
-    return arrow_map(documents.select("doc_id", "text"), run, schema + ", counts binary" * vectors)
+    return arrow_map(documents.select("doc_id", "text"), run, f"doc_id {kind}, n_bytes bigint, n_chars bigint, n_tokens bigint, fit_chars bigint, counts binary")
+
+
+def truncated(found: DataFrame, budget: int) -> DataFrame:
+    """(doc_id, fit_chars) for another budget, from stored vectors alone."""
+
+    def run(batches):
+        for b in batches:
+            yield {"doc_id": b["doc_id"], "fit_chars": [truncate(read_steps(v, n), budget) for v, n in zip(b["counts"], b["n_chars"], strict=True)]}
+
+    kind = found.schema["doc_id"].dataType.simpleString()
+    return arrow_map(found.select("doc_id", "n_chars", "counts"), run, f"doc_id {kind}, fit_chars bigint")

@@ -32,19 +32,20 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import library, plain_classes, tokenizer_path
-from .common import arrow_map, blocks, looked_up, mix64, release, shared_dir, single_spaced, units
+from .common import Recent, arrow_map, blocks, looked_up, mix64, release, shared_dir, single_spaced, units
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 #: Ids in the rolling window; one cut in MEAN ids on average, none before LEAST or after MOST.
 WINDOW, MEAN, LEAST, MOST = 16, 256, 64, 2048
-KEPT_UNITS, BLOCK_CHARS = 700_000, 4_000_000
+#: Runs kept encoded per worker and round, and characters of text in work at once.
+KEPT_UNITS, BLOCK_CHARS = 250_000, 4_000_000
 
 
 class Encoder:
@@ -52,37 +53,43 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         self.library = library(path)
-        self.units: dict[str, bytes] = {}
+        self.units = Recent(KEPT_UNITS)
         letters, _ = plain_classes()
         self.letters = frozenset(letters)
         self.feed = self._library(["\n"])[0]
         self.marks = {c: self._library([c])[0] for c in ".,"}
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: set[str]) -> None:
         """Ids of new runs. A mark after a letter is a piece of its own, and a line feed between two runs is one token."""
+        new, known = self.units.recall(new), self.units.now
         ends = {u for u in new if u[-1] in self.marks and u[-2:-1] in self.letters}
-        words = list({u[:-1] if u in ends else u for u in new}.difference(self.units))
+        words = list({u[:-1] if u in ends else u for u in new}.difference(known))
         for i in range(0, len(words), 50_000):
             part = [w for w in words[i : i + 50_000] if w != "\n"]
             raw = self._library(["\n".join(part)])[0]
             at = np.flatnonzero(np.frombuffer(raw, "<u4") == int.from_bytes(self.feed, "little")).tolist()
             bounds = zip([0, *(4 * x + 4 for x in at)], [*(4 * x for x in at), len(raw)], strict=True)
-            self.units.update(zip(part, [raw[a:b] for a, b in bounds], strict=True))
-        self.units["\n"] = self.feed
-        self.units.update((u, self.units[u[:-1]] + self.marks[u[-1]]) for u in ends)
+            known.update(zip(part, [raw[a:b] for a, b in bounds], strict=True))
+        known["\n"] = self.feed
+        known.update((u, known[u[:-1]] + self.marks[u[-1]]) for u in ends)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.units) > KEPT_UNITS:
-            self.units.clear()
+        self.units.turn()
         plain = [units(t) if t and "<|" not in t and single_spaced(t) else None for t in texts]
-        joined = iter(looked_up(self.units, [x for x in plain if x is not None], self._learn))
+        joined = iter(looked_up(self.units.now, [x for x in plain if x is not None], self._learn))
         whole = iter(self._library([t or "" for t, x in zip(texts, plain, strict=True) if x is None]))
         return [next(whole) if x is None else b"".join(next(joined)) for x in plain]
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One encoder a worker: its table serves all the worker's tasks."""
+    return Encoder(path)
+
+
 def cuts(ids: np.ndarray) -> list[int]:
     """Ends of the chunks of a stream, the last one its length."""
     n = len(ids)
@@ -167,12 +174,12 @@ def rows_of(documents: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_
     """(kind, key, doc_id, n_tokens, chunks, ids): a recipe of each document and the chunks that are new to the task."""
 
     def run(batches):
-        encoder, seen = Encoder(tokenizer_path(tokenizer)), set()
+        own, seen = encoder(tokenizer_path(tokenizer)), set()
         tail = end_id.to_bytes(4, "little")
         for b in batches:
             for part in blocks(b["text"], BLOCK_CHARS):
                 out: dict[str, list] = {k: [] for k in ("kind", "key", "doc_id", "n_tokens", "chunks", "ids")}
-                for doc_id, raw in zip(b["doc_id"][part], encoder.encode(b["text"][part]), strict=True):
+                for doc_id, raw in zip(b["doc_id"][part], own.encode(b["text"][part]), strict=True):
                     raw += tail
                     chunks, start = [], 0
                     for end in cuts(np.frombuffer(raw, "<u4")):
