@@ -7,17 +7,20 @@ All test windows are searched backwards at once through wavelet-tree ranks; the
 rows found walk back to sampled positions, which gives each occurrence's place.
 Overlapping occurrences merge into the spans to remove.
 
-Words that occur in no test item cannot be inside an occurrence. They are
-separators, so only the stretches between them that are at least as long as the
-shortest window are indexed. This loses nothing and keeps the index small.
+Before that, a prefilter: words that occur in no test item cannot be inside an
+occurrence. They are separators, so only the stretches between them that are at
+least as long as the shortest window are put into the index; a shard made of
+benchmark words is indexed whole. This loses nothing and keeps the index small.
 
 Nothing is shuffled. The windows go to the executors in blocks of items whose
 text is bounded (BLOCK_BYTES); a larger benchmark takes more passes.
 
 Defined results: null and empty texts have no words; null or empty items have
-no windows; repeated items and documents each get their result; items with the
-same words are both named; an empty table on either side gives n_hit 0 or no
-rows; other columns are ignored.
+no windows; an item without item_id hits like any other, but has no id to be
+counted or named by; repeated items and documents each get their result; items
+with the same words are both named; a very long text is a shard of its own; an
+empty table on either side gives n_hit 0 or no rows; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -141,7 +144,7 @@ class Phrases:
     def __init__(self, items: list[tuple], window: int) -> None:
         self.symbol: dict[bytes, int] = {}
         windows: dict[tuple, list[int]] = {}
-        self.items = [str(i) for i, _ in items]
+        self.items = [None if i is None else str(i) for i, _ in items]
         for k, (_, text) in enumerate(items):
             words = [self.symbol.setdefault(w, len(self.symbol) + 2) for w in alnum_words(text)]
             for i in range(max(0, len(words) - window) + 1 if words else 0):
@@ -242,7 +245,7 @@ def find_items(documents: DataFrame, items: list[tuple], window: int = WINDOW) -
                 "row": shard["row"],
                 "n_words": [n for n, _, _ in found],
                 "spans": [[{"start": a, "end": b} for a, b in s] for _, s, _ in found],
-                "items": [sorted({phrases.items[k] for k in i}) for _, _, i in found],
+                "items": [sorted({phrases.items[k] for k in i} - {None}) for _, _, i in found],
             }
 
     kind = documents.schema["doc_id"].dataType.simpleString()

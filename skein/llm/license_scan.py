@@ -13,12 +13,15 @@ else 0.
 Nothing is shuffled; memory is that of one batch of texts.
 
 Defined results: null and empty texts have no words and no places (first_word
-and last_word null, labels "", score 0); repeated rows give repeated results;
-an empty table gives an empty one; other columns are ignored.
+and last_word null, labels "", score 0); a very long text is searched whole; of
+notices that overlap with equal shares of errors the longer one stands, then the
+first by place and label; repeated rows give repeated results; an empty table
+gives an empty one; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,7 +52,22 @@ NOTICES = (
     ("released under the mit license", "mit"),
     ("permission is hereby granted free of charge to any person obtaining a copy", "mit"),
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
+    ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products", "bsd-3-clause"),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+    ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("this software is provided as is without any express or implied warranty", "zlib"),
     ("subject to the terms of the mozilla public license", "mpl"),
+    ("made available under the terms of the eclipse public license", "epl"),
+    ("licensed under the european union public licence", "eupl"),
+    ("released under the boost software license", "bsl-1.0"),
+    ("to the extent possible under law the author has waived all copyright", "cc0-1.0"),
+    ("spdx license identifier apache 2 0", "apache-2.0"),
+    ("spdx license identifier gpl 2 0", "gpl-2.0"),
+    ("spdx license identifier gpl 3 0", "gpl-3.0"),
+    ("spdx license identifier lgpl 2 1", "lgpl"),
+    ("spdx license identifier mpl 2 0", "mpl"),
+    ("spdx license identifier bsd 3 clause", "bsd-3-clause"),
+    ("spdx license identifier mit", "mit"),
     ("all rights reserved", "all-rights-reserved"),
 )
 #: Share of a notice's characters that may be wrong.
@@ -113,10 +131,11 @@ class Scanner:
         """(word index, label) of each place; ``words`` has a space before, between and after the words."""
         out = []
         for phrase, label in self.phrases:
-            at = words.find(phrase)
+            at, before, word = words.find(phrase), 0, -1
             while at >= 0:
                 if words[at - 1] == words[at + len(phrase)] == 32:
-                    out.append((words.count(b" ", 0, at) - 1, label))
+                    before, word = at, word + words.count(b" ", before, at)
+                    out.append((word, label))
                 at = words.find(phrase, at + 1)
         return out
 
@@ -157,11 +176,12 @@ class Scanner:
             for a, b in joined:
                 found += self._within(n, text, a, min(b, len(text)))
         found.sort(key=lambda f: (f.share, f.start - f.end, f.start, f.label))
-        kept: list[Found] = []
+        kept: list[Found] = []  # in order of place
         for f in found:
-            if all(f.end <= x.start or x.end <= f.start for x in kept):
-                kept.append(f)
-        return sorted(kept, key=lambda f: f.start)
+            at = bisect_left(kept, f.end, key=lambda x: x.start)  # those before begin before its end
+            if not at or kept[at - 1].end <= f.start:
+                kept.insert(at, f)
+        return kept
 
 
 def scan(documents: DataFrame, phrases=PHRASES, notices=NOTICES, errors: float = ERRORS) -> DataFrame:

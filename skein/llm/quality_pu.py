@@ -9,14 +9,18 @@ R-(unlabelled) - prior * R-(positives). It is additive: each property of a text
 is cut at quantiles, each piece has a weight.
 
 Properties come from the text alone. The fit reads at most SAMPLE positives and
-SAMPLE unlabelled rows, the first by a hash of doc_id, never those held out
-(crc32 of the doc_id as text, modulo 5, is 0). Scoring maps over all rows and
-shuffles nothing. ``SAMPLE`` is the documented bound of what reaches the driver.
-
-Defined results: null and empty texts are scored by their (empty) properties;
-without any usable positive or unlabelled row every score is 0.5; a document
-labelled both ways counts as not trusted; a null doc_id is not held out and
-never learnt from; repeated rows are scored alike; other columns are ignored.
+SAMPLE unlabelled documents, the first by a hash of doc_id, one row each, never
+those held out (crc32 of the doc_id as text, modulo 5, is 0). Scoring maps over
+all rows and shuffles nothing. ``SAMPLE`` is the documented bound of what reaches
+the driver.
+
+Defined results: null and empty texts are scored by their (empty) properties; a
+very long text is read whole; without any usable positive or unlabelled row
+every score is 0.5; a document labelled both ways counts as not trusted; a null
+doc_id is not held out and never learnt from; rows that share a doc_id are
+scored each by its own text and learnt from as one, the one with the smallest
+properties; an empty table gives an empty one; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -158,7 +162,8 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
         for b in batches:
             yield {"kind": b["kind"], "doc_id": b["doc_id"], "x": [properties(t) for t in b["text"]]}
 
-    rows = arrow_map(documents.select("doc_id", "text").join(chosen, "doc_id"), run, f"doc_id {kind}, kind int, x array<double>").collect()
+    read = arrow_map(documents.select("doc_id", "text").join(chosen, "doc_id"), run, f"doc_id {kind}, kind int, x array<double>")
+    rows = read.groupBy("doc_id", "kind").agg(F.min("x").alias("x")).collect()  # as many as were chosen, whatever repeats
     rows.sort(key=lambda r: (r.doc_id, r.x))
     x = np.array([r.x for r in rows]).reshape(-1, len(PROPERTIES))
     kind_of = np.array([r.kind for r in rows], int)

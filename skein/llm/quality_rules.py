@@ -15,9 +15,11 @@ Scale: counts per stratum combine before their shuffle; the table of cutoffs has
 one row a stratum, broadcast up to BROADCAST_STRATA, which is counted first.
 
 Defined results: null and empty texts have no words and fail the base; a null
-lang is a stratum of its own; labels other than 1 and null doc_ids are not in a
+lang belongs to the stratum of the empty one; a very long text is counted whole
+inside its row; labels other than 1 and null doc_ids are not in a
 holdout, and a document labelled both ways is not good; repeated rows get
-repeated results; an empty table gives an empty one; other columns are ignored.
+repeated results; an empty table gives an empty one; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations

@@ -157,3 +157,42 @@ def test_class_prior():
     rng = np.random.default_rng(0)
     pos, neg = rng.normal(2, 1, 6000), rng.normal(-2, 1, 2000)
     assert abs(quality_pu.class_prior(pos[:3000], np.r_[pos[3000:], neg[:1000]]) - 0.75) < 0.08
+
+
+def test_descent_by_common_prefix():
+    """Candidates of a region against a reading of it as a tree of prefixes."""
+    rng, small, levels = random.Random(3), near_dup.SMALL, near_dup.Descent.LEVELS
+
+    def want(rows, level, out):
+        if len(rows) <= small:
+            out.update((max(x, y), min(x, y)) for x, _ in rows for y, _ in rows if x != y)
+        elif level < levels - 1:
+            groups = collections.defaultdict(list)
+            for row in rows:
+                groups[row[1][4 * level : 4 * level + 4]].append(row)
+            for group in groups.values():
+                want(group, level + 1, out)
+        return out
+
+    for n in (1, 2, small, small + 1, 30, 200):
+        for values in (1, 2, 5, 40):
+            rows = sorted((b"".join(rng.randrange(values).to_bytes(4, "big") for _ in range(levels - 1)), i) for i in range(n))
+            rows = [(i, deeper) for deeper, i in rows]
+            got = []
+            own = near_dup.Descent(lambda x, y, got=got: got.append((max(x, y), min(x, y))))
+            for i, deeper in rows:
+                own.add(i, deeper)
+            own.close()
+            near = {(max(x, y), min(x, y)) for (x, _), (y, _) in zip(rows, rows[1:], strict=False)} if n > small else set()
+            assert set(got) == want(rows, 0, set()) | near
+
+
+def test_classifier_bound_holds_where_ids_repeat(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(quality_pu, "fit", lambda pos, unl: seen.update(pos=len(pos), unl=len(unl)))
+    rows = [(i % 7 + 1, f"text {i} " * (i % 5 + 1)) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({c: F.lit("clash") for c in ("kind", "score", "held_out", "q", "x")})
+    labels = spark.createDataFrame([(i, 1) for i in range(1, 8)] * 3, "doc_id bigint, quality int").withColumn("kind", F.lit(1))
+    quality_pu.learn(docs, labels, sample=3)
+    assert seen == {"pos": 3, "unl": 3}
+    assert quality_pu.classify(docs, labels).count() == 900

@@ -140,6 +140,39 @@ def test_places(spark):
     assert got[1].score >= license_scan.PHRASE_SCORE
 
 
+def test_scan_against_plain_reading(spark, small):
+    """Base figures and labels of whole documents, odd rows among them, against a plain reading of the words."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    rng = random.Random(12)
+    parts = ["mit license", "MIT", "license", "apache license", "Apache", "gnu general public license", "cc by", "CC-BY", "released under the mit license", "é", "x1", "all rights reserved"]
+    odd = [(-i, " ".join(rng.choices(parts, k=rng.randint(1, 30)))) for i in range(1, 60)] + [(-70, "apache license " * 20_000), (-71, None), (-72, ""), (-1, "again"), (None, "mit license")]
+    rows = docs.unionByName(spark.createDataFrame(odd, "doc_id bigint, text string"))
+    got = license_scan.digest(license_scan.scan(rows.withColumns({c: F.lit("clash") for c in ("label", "places", "notices", "n_words")})))
+    read = {(r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got.collect()}
+    phrases, want = [(p.encode().split(), label) for p, label in license_scan.PHRASES], set()
+    for r in rows.collect():
+        words = alnum_words(r.text)
+        places = [(i, label) for p, label in phrases for i in range(len(words) - len(p) + 1) if words[i : i + len(p)] == p]
+        at = [i for i, _ in places]
+        want.add((r.doc_id, len(words), len(places), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places}))))
+    assert read == want
+    for r in got.collect():
+        assert set(r.base_labels.split(",")) <= set(r.labels.split(",")) | {""} and 0 <= r.score <= 1 and (r.score > 0) == bool(r.labels)
+    assert license_scan.digest(license_scan.scan(rows.limit(0))).count() == 0
+
+
+def test_decontamination_of_odd_items(spark):
+    """Items without an id hit without being named; clashing columns and repeats change nothing."""
+    a, b = " ".join(f"a{i}" for i in range(12)), " ".join(f"b{i}" for i in range(10))
+    items = spark.createDataFrame([(None, a), ("x", b), ("y", b), ("z", None), ("w", ""), ("v", "solo")], "item_id string, text string").withColumn("doc_id", F.lit(1))
+    rows = [(1, f"q {a} {b}"), (2, a), (2, a), (3, None), (4, ""), (5, "a0 a1"), (None, b), (6, "the solo one"), (7, "q " * 300_000 + b)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({c: F.lit(0) for c in ("row", "items", "spans", "n_words", "item_id")})
+    for size in (10**6, 8):
+        found = decontam.digest(decontam.decontaminate(docs, items, block_bytes=size)).collect()
+        got = sorted(((r.doc_id or 0, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in found))
+        assert got == [(0, 10, 10, 2, True), (1, 23, 22, 2, True), (2, 12, 12, 0, True), (2, 12, 12, 0, True), (3, 0, 0, 0, False), (4, 0, 0, 0, False), (5, 2, 0, 0, False), (6, 3, 1, 1, True), (7, 300_010, 10, 2, True)]
+
+
 def passage_rows(rng):
     word = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
     docs, want = [word(rng.randint(60, 300)) for _ in range(40)], set()

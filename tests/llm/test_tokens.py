@@ -31,11 +31,30 @@ def test_every_token_is_usable():
 
 
 def test_encodings_and_decodings(texts):
-    lib, codec = library(WORDS), bpe_codec.TrieCodec(WORDS)
-    for text, (ids, decoded) in zip(texts, codec.encode(texts), strict=True):
+    lib, codec, rng = library(WORDS), bpe_codec.TrieCodec(WORDS), random.Random(8)
+    every = [chr(i) for i in range(0x180)]  # control characters among them
+    odd = [*every, *(f"x{c}y{c}" for c in every), *("".join(rng.choices(every, k=rng.randint(2, 30))) for _ in range(1500))]
+    for text, ids in zip(texts + odd, codec.encode(texts + odd), strict=True):
         want = lib.encode(text or "", add_special_tokens=False).ids
         assert np.frombuffer(ids, "<u4").tolist() == want, text
-        assert decoded == lib.decode(want, skip_special_tokens=False) == codec.decode(ids)
+        assert codec.decode(ids) == lib.decode(want, skip_special_tokens=False)
+
+
+def test_tables_that_turn_over(texts, monkeypatch):
+    """Small tables give the same results as large ones."""
+    for module in (bpe_codec, token_counts, token_store):
+        monkeypatch.setattr(module, "KEPT_UNITS", 5)
+    monkeypatch.setattr(token_counts, "KEPT_PIECES", 3)
+    for make, run in ((bpe_codec.TrieCodec, "encode"), (token_counts.PrefixCounter, "counts"), (token_store.Encoder, "encode")):
+        path = WORDS if make is bpe_codec.TrieCodec else BYTES
+        little, whole = make(path), list(getattr(make(path), run)(texts))
+        parts = [x for i in range(0, len(texts), 40) for x in getattr(little, run)(texts[i : i + 40])]
+        assert all(bytes(a) == bytes(b) for a, b in zip(parts, whole, strict=True))
+
+
+def test_stored_steps(texts):
+    for counts in [*token_counts.PrefixCounter(BYTES).counts(texts), np.array([300, 1, 2]), np.zeros(0, np.int32)]:
+        assert token_counts.read_steps(token_counts.steps(counts), len(counts)).tolist() == counts.tolist()
 
 
 def test_counts_at_every_prefix(texts):
@@ -97,7 +116,12 @@ def test_operators_on_odd_rows(spark):
     assert rows[3, 0].decoded == rows[4, 0].decoded == ""
     counts = {(r.doc_id, r.n_bytes): r for r in token_counts.prefix_counts(table(spark)).collect()}
     assert counts[3, 0].n_tokens == 0 and counts[2, 48000].n_tokens == len(library(BYTES).encode("the cat sat " * 4000, add_special_tokens=False))
-    assert np.frombuffer(counts[2, 48000].counts, "<i4")[counts[2, 48000].fit_chars - 1] <= token_counts.LIMIT
+    long, stored = counts[2, 48000], token_counts.prefix_counts(table(spark))
+    vector = token_counts.read_steps(long.counts, long.n_chars)
+    assert vector[-1] == long.n_tokens and vector[long.fit_chars - 1] <= token_counts.LIMIT < vector[long.fit_chars]
+    for budget in (0, 2, 100):
+        fits = {r.doc_id: r.fit_chars for r in token_counts.truncated(stored, budget).collect()}
+        assert fits[3] == fits[4] == 0 and fits[2] == token_counts.truncate(vector, budget)
 
 
 def test_store_round_trip(spark, tmp_path):
