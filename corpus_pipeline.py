@@ -93,7 +93,7 @@ def _clean(spark: SparkSession, docs: DataFrame, items: list[tuple]) -> DataFram
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the hashes of ids and of the decoded text."""
-    return bpe_codec.encode_decode(docs).drop("decoded")
+    return bpe_codec.encode_decode(docs, decoded=False)
 
 
 def _schema(docs: DataFrame) -> str:
