@@ -11,17 +11,26 @@
    that furniture; elsewhere, all that is not furniture.
 
 Furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments
-and what is hidden) is left out wherever it stands; headings in an article's own
-header stay. Scripts, styles and markup are never text.
+and what is hidden) is left out wherever it stands, inline elements included;
+headings in an article's own header stay. Tags, roles and hidden ones are
+furniture at once. A class or id is, if it has a word that marks nothing else, or
+all its words are words of furniture and its parts ("related-posts", but not
+"related-work"); unless the element holds
+most of the page's text, and for names that articles use as well (_SOFT, alone)
+only outside an article or where links make up most of it. Scripts, styles and markup
+are never text.
 
 Scale: votes combine before their shuffle, so a host that holds a third of all
 pages sends one row a path and task. Winners, one row a host, are broadcast up
 to BROADCAST_HOSTS hosts, which is counted first; beyond it they are joined by
 host, and Spark splits hot hosts.
 
-Defined results: a null or empty html has the text ""; a page without a host
-votes for itself; repeated rows give repeated results; an empty table gives an
-empty one; columns other than page_id, url and html are ignored.
+Defined results: a null or empty html has the text ""; a page without a host has
+no winning path; a null page_id is carried along; a very long page is read
+whole; a tag whose quote is never closed ends at the next ">"; of paths with as
+many votes the smaller one wins; repeated rows vote again and give repeated
+results; an empty table gives an empty one; columns other than page_id, url and
+html are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,8 +48,9 @@ BROADCAST_HOSTS, HOLDS, HOLDS_ARTICLE = 50_000, 0.8, 0.5
 
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|title|math|object|xmp)\b[^>]*?(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
+    r"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|title|annotation|annotation-xml)\b[^>]*?(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
     r"|</?(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)"
+    r"|</?(?P<cut>[a-zA-Z][^\s/>]*)(?P<open>[^>]*)(?:>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|(?P<text>[^<]+|<)",
     re.DOTALL | re.IGNORECASE,
@@ -48,7 +58,7 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_CONTAINERS = frozenset("html body div section article main td th tr tbody table center blockquote ul ol dl figure details span-block".split())
+_CONTAINERS = frozenset("html body div section article main td th tr tbody table center blockquote ul ol dl figure details xmp".split())
 _BLOCKS = _CONTAINERS | _HEADINGS | frozenset("p li dt dd pre address hr nav header footer aside form fieldset menu dialog caption figcaption summary thead tfoot option select button hgroup search legend label".split())
 #: What may not stand inside the tag that it closes.
 _CLOSES = {
@@ -59,25 +69,44 @@ _CLOSES = {
 _WALLS = {"li": {"ul", "ol", "menu"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "dt": {"dl"}, "dd": {"dl"}}
 _FURNITURE = frozenset("nav footer aside form menu dialog select button search fieldset header label".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form tooltip".split())
-#: Words of a class or id that mark furniture.
-_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu menus breadcrumb breadcrumbs sidebar "
-    "footer masthead topbar toolbar cookie cookies consent gdpr notice notices newsletter subscribe subscription signup signin login popup modal overlay dialog share sharing "
-    "social related recommended recommendations comment comments commentlist reply replies respond disqus widget widgets pagination pager paywall search alert toast skip".split()
+#: Words of a class or id that mark furniture, those that mark inline elements as well, and those that are also found in articles.
+_INLINE = frozenset(
+    "ad ads advert adverts advertisement advertising adsense adsbygoogle sponsor sponsored promo promotion share sharing social cookie cookies consent gdpr newsletter subscribe "
+    "subscription signup signin login popup breadcrumb breadcrumbs pagination pager paywall disqus".split()
+)
+_COMMENTS = frozenset("comment comments commentlist reply replies respond disqus".split())
+_SOFT = frozenset("dialog alert search menu menus modal overlay toast header skip related social promotion banner widget widgets".split())
+_WORDS = _INLINE | _COMMENTS | _SOFT | frozenset("nav navbar navigation sidebar footer masthead topbar toolbar notice notices recommended recommendations".split())
+#: Words that no article's own part is named by, whatever stands beside them.
+_SURE = frozenset(
+    "advert adverts advertisement advertising adsense adsbygoogle sponsored cookie cookies consent gdpr newsletter breadcrumb breadcrumbs navbar sidebar footer masthead pagination "
+    "paywall disqus commentlist".split()
+)
+#: What stands beside them in a name.
+_PARTS = frozenset(
+    "site page global top bottom left right main primary secondary post posts article articles story stories link links list lists item items box form container wrapper wrap "
+    "block area section content inner outer bar button buttons btn icon icons panel message text title image unit slot module group row col column float floating sticky fixed "
+    "footer header nav menu body holder zone region widget widgets count author thread by to us more read also news policy google banner user users reader readers "
+    "visitor visitors new latest recent all add leave submit id js fb facebook wp x".split()
 )
 _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "path", "out", "heading_only", "weight", "kids")
+    """A block element. ``why``: 0 for text, HARD for furniture at once, else by the words of its class and id."""
+
+    __slots__ = ("tag", "parent", "path", "why", "out", "heading_only", "weight", "links", "kids")
 
-    def __init__(self, tag: str, parent: Node | None, path: str, out: bool, heading_only: bool) -> None:
-        self.tag, self.parent, self.path, self.out, self.heading_only = tag, parent, path, out, heading_only
-        self.weight, self.kids = 0, []
+    def __init__(self, tag: str, parent: Node | None, path: str, why: int, heading_only: bool) -> None:
+        self.tag, self.parent, self.path, self.why, self.heading_only = tag, parent, path, why, heading_only
+        self.out, self.weight, self.links, self.kids = False, 0, 0, []
         if parent is not None:
             parent.kids.append(self)
 
 
+HARD, NAMED, SOFT = 1, 2, 3
+
+
 def _marks(rest: str) -> tuple[str, str, bool]:
     """Class, all words of class and id, and whether the attributes hide the element or make it furniture."""
     if "=" not in rest and "hidden" not in rest.lower():
@@ -90,13 +119,19 @@ def _marks(rest: str) -> tuple[str, str, bool]:
     return a.get("class", ""), f"{a.get('class', '')} {a.get('id', '')}", hidden or a.get("role", "").lower() in _ROLES
 
 
-def _furniture(words: str) -> bool:
-    """Whether a class or an id names furniture; "with-sidebar" names what stands beside it."""
-    for name in words.split():
-        parts = set(_SPLIT.sub(" ", name).lower().split())
-        if not parts & {"with", "has", "no", "without"} and (parts & _WORDS or "header" in parts and (parts == {"header"} or parts & {"site", "page", "global", "top", "main"})):
-            return True
-    return False
+def _furniture(names: str, marks: frozenset[str] = _WORDS) -> int:
+    """Whether a class or an id names furniture, and how; "with-sidebar" names what stands beside it."""
+    found = 0
+    for name in names.split():
+        words = set(_SPLIT.sub(" ", name).lower().split())
+        own = words & marks
+        if not own or words & {"with", "has", "no", "without"} or own == {"header"} and not words <= {"header", "site", "page", "global", "top", "main"}:
+            continue
+        if own & _SURE or words <= _WORDS | _PARTS:
+            if own & _COMMENTS:
+                return HARD
+            found = NAMED if words - _SOFT or found == NAMED else SOFT
+    return found
 
 
 def general(tag: str, classes: str) -> str:
@@ -109,11 +144,12 @@ class Page:
     """Blocks of text in page order with their nodes, and the tree of containers."""
 
     def __init__(self, html: str) -> None:
-        self.root = self.body = Node("", None, "", False, False)
+        self.root = self.body = Node("", None, "", 0, False)
         self.blocks: list[tuple[Node, str, int]] = []
         stack = [self.root]
         held: list[str] = []
         linked = link = 0
+        gone: list[tuple[str, int]] = []  # open inline elements from a furnished one on, and the blocks around each
 
         def flush():
             nonlocal held, linked
@@ -126,14 +162,15 @@ class Page:
         for m in _TOKEN.finditer(html):
             text = m["text"]
             if text is not None:
-                text = unescape(text)
-                held.append(text)
-                if link:
-                    linked += len(text)
+                if not gone:
+                    text = unescape(text)
+                    held.append(text)
+                    if link:
+                        linked += len(text)
                 continue
-            if m["tag"] is None:
+            tag, rest = (m["tag"] or m["cut"] or "").lower(), m["rest"] or m["open"] or ""
+            if not tag:
                 continue
-            tag = m["tag"].lower()
             if tag == "br":
                 held.append(" ")
             elif m.group().startswith("</"):
@@ -144,33 +181,71 @@ class Page:
                     flush()
                     if at:
                         del stack[at:]
-            elif tag == "a":
-                link = 1
+                        gone = [g for g in gone if g[1] <= at]
+                elif (at := next((i for i in range(len(gone) - 1, -1, -1) if gone[i][0] == tag), -1)) >= 0:
+                    del gone[at:]
             elif tag in _BLOCKS or tag == "head":
                 flush()
                 closes, walls = _CLOSES.get(tag, ()), _WALLS.get(tag, ())
                 while len(stack) > 1 and stack[-1].tag in closes and stack[-1].tag not in walls:
                     stack.pop()
+                gone = [g for g in gone if g[1] <= len(stack)]
                 if tag == "hr":
                     continue
                 parent = stack[-1]
-                classes, words, hidden = _marks(m["rest"])
-                article = tag in ("article", "main", "body", "html")
+                classes, names, hidden = _marks(rest)
                 own_header = tag == "header" and any(n.tag in ("article", "main") for n in stack)
-                out = hidden or (tag in _FURNITURE and not own_header) or tag == "head" or (not article and tag not in _HEADINGS and bool(words.strip()) and _furniture(words))
-                node = Node(tag, parent, f"{parent.path}/{general(tag, classes)}", parent.out or out, parent.heading_only or own_header)
+                why = HARD if gone or hidden or (tag in _FURNITURE and not own_header) or tag == "head" else 0
+                if not why and names.strip() and tag not in ("article", "main", "body", "html") and tag not in _HEADINGS:
+                    why = _furniture(names)
+                node = Node(tag, parent, f"{parent.path}/{general(tag, classes)}", why, parent.heading_only or own_header)
                 if tag == "body" and self.body is self.root:
                     self.body = node
-                if not m["rest"].rstrip().endswith("/") or tag not in _VOID:
-                    stack.append(node)
+                stack.append(node)
+            else:
+                if tag == "a":
+                    link = 1
+                if tag not in _VOID and not rest.endswith("/"):
+                    _, names, hidden = _marks(rest)
+                    if gone or hidden or (names.strip() and _furniture(names, _INLINE)):
+                        gone.append((tag, len(stack)))
         flush()
+        self._judge()
         self.blocks = [b for b in self.blocks if not b[0].out and (not b[0].heading_only or b[0].tag in _HEADINGS)]
+        for node in self._nodes():
+            node.weight = 0
+        self._weigh()
+
+    def _nodes(self) -> list[Node]:
+        """All nodes, parents first."""
+        out = [self.root]
+        for node in out:
+            out += node.kids
+        return out
+
+    def _weigh(self) -> None:
         for node, text, links in self.blocks:
             weight = max(0, len(text) - links)
             while node is not None:
                 node.weight += weight
+                node.links += min(links, len(text))
                 node = node.parent
 
+    def _judge(self) -> None:
+        """What is out: by tags at once, by names where neither the share of text nor, for soft ones, the place speaks against it."""
+        self._weigh()
+        nodes = self._nodes()
+        for node in nodes[1:]:
+            node.out = node.parent.out or node.why == HARD
+        total = sum(max(0, len(text) - links) for node, text, links in self.blocks if not node.out)
+        inside = {self.root: False}
+        for node in nodes[1:]:
+            up = node.parent
+            inside[node] = inside[up] or node.tag in ("article", "main")
+            most = 2 * node.weight > total
+            soft = inside[node] and node.links <= node.weight
+            node.out = up.out or node.why == HARD or (node.why == NAMED and not most) or (node.why == SOFT and not most and not soft)
+
     def candidate(self) -> Node:
         """The innermost container with almost all of the text; an article or main part with half of it comes first."""
         total = self.root.weight

@@ -140,6 +140,52 @@ def test_places(spark):
     assert got[1].score >= license_scan.PHRASE_SCORE
 
 
+def test_inline_furniture_and_unlucky_names():
+    read = lambda body: html_extract.Page(f"<html><body>{body}</body></html>").text(None)
+    long = "The article says this and that at some length, so that it holds most of the text. " * 3
+    for inline in ('<span class="advert">Buy</span>', '<ins class="adsbygoogle">Buy</ins>', '<a class="share-button" href=x>Share</a>', "<span hidden>x</span>", '<span style="display: none">x <b>y</b></span>', '<b class="ad"><i>x</i></b>'):
+        assert read(f"<article><p>One{inline} two.</p><p>{long}</p></article>") == f"One two. {long.strip()}", inline
+    assert read(f'<div>One<b class="ad"><i>x</i><div>y</div></b> two.<p>{long}</div>') == f"One two. {long.strip()}"
+    for block in ('<p class="related-work">Kept.</p>', '<section id="search-methods">Kept.</section>', '<div class="comment-free">Kept.</div>', '<div class="dialog">Kept.</div>', '<p><math><mi>Kept.</mi></math></p>', '<p><span class="comment">Kept.</span></p>', '<div class="with-sidebar">Kept.</div>'):
+        assert read(f"<article>{block}<p>{long}</p></article>") == f"Kept. {long.strip()}", block
+    for block in ('<div class="related-posts">Gone.</div>', '<div id="cookie-notice">Gone.</div>', '<div class="comments"><p>Gone.</p></div>', '<div class="user-comments">Gone.</div>', '<div class="dialog" hidden>Gone.</div>', '<ul class="social"><li><a href=x>Gone</a></ul>', '<div role="search">Gone.</div>', '<label>Gone.</label>'):
+        assert read(f"<article><p>{long}</p>{block}</article>") == long.strip(), block
+    assert read(f'<div class="sidebar-content"><p>{long}</p></div><div class="sidebar">Gone.</div>') == long.strip()
+    assert read(f'<article><p>{long}</p></article><section class="comments">{"<p>I say so. " * 90}</section>') == long.strip()
+    assert read('<p title="foo>bar</p><p>next</p>') == "bar next"
+    assert read("<article><p>a<p>b") == "a b" and read("") == ""
+
+
+def test_pages_against_their_making(spark):
+    """Pages made of known blocks with furniture between them; rows of several hosts, repeats and odd ones."""
+    rng, rows, want = random.Random(6), [], []
+    words = "alpha beta gamma delta eta theta iota kappa lambda omega".split()
+    say = lambda n: " ".join(rng.choices(words, k=n))
+    junk = ['<nav><ul><li><a href=x>Home</a></ul></nav>', '<div class="ad">Buy now</div>', '<aside>Aside</aside>', '<footer>Foot</footer>', '<div class="cookie-notice">Cookies</div>', '<form>Find <input></form>', '<script>var a = "<p>x</p>";</script>', '<section id="comments"><p>Nice!</p></section>', '<!-- <p>c</p> -->', '<div hidden>h</div>']
+    for i in range(150):
+        host, parts, texts = i % 7, [], []
+        for _ in range(rng.randint(1, 8)):
+            t = say(rng.randint(3, 40))
+            kind = rng.randrange(5)
+            half = len(t.split()) // 2
+            a, b = " ".join(t.split()[:half]), " ".join(t.split()[half:])
+            parts.append([f"<p>{t}</p>", f"<p>{t}", f"<h2>{t}</h2>", f"<ul><li>{a}<li>{b}</ul>", f"<p>{a} <b>{b}</b><br>&eacute;&#33;"][kind])
+            texts.append(t + " é!" if kind == 4 else t)
+            if rng.random() < 0.5:
+                parts.append(rng.choice(junk))
+        html = f"<html><head><title>T</title></head><body>{rng.choice(junk)}<div class='post-{i}'><article>{' '.join(parts)}</article></div>{rng.choice(junk)}</body></html>"
+        rows.append((i, f"http://h{host}.example/{i}", html))
+        want.append((i, " ".join(" ".join(texts).split())))
+    rows += [rows[0], (None, "u", "<p>no id</p>"), (900, None, "<p>no url</p>"), (901, "", None), (902, "http://h1.example/", ""), (903, "x://y/", "<div>" * 3000 + "deep")]
+    want += [want[0], (None, "no id"), (900, "no url"), (901, ""), (902, ""), (903, "deep")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumns({c: F.lit("clash") for c in ("host", "path", "text", "n_chars", "repeated")})
+    for broadcast_hosts in (100, 0):
+        got = html_extract.extract(df, broadcast_hosts).collect()
+        assert sorted(((r.page_id or -1, r.text) for r in got)) == sorted((i or -1, t) for i, t in want)
+        assert all(r.n_chars == len(r.text) for r in got)
+    assert html_extract.extract(df.limit(0)).count() == 0
+
+
 def test_scan_against_plain_reading(spark, small):
     """Base figures and labels of whole documents, odd rows among them, against a plain reading of the words."""
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
