@@ -58,11 +58,11 @@ class Tables:
         release(self.spark)
         return self.spark.read.parquet(f"{self.path}/{name}")
 
-    def bucketed(self, name: str, df: DataFrame, column: str, buckets: int) -> DataFrame:
-        """``df`` written in buckets of ``column``: joins by it move the other side alone."""
+    def bucketed(self, name: str, df: DataFrame, column: str) -> DataFrame:
+        """``df`` written in buckets of ``column``, as many as shuffles have parts: joins by it move the other side alone."""
         self.named.append(f"{self.name}_{name}")
-        parted = df.repartition(min(buckets, 100_000), column)  # Spark takes no more buckets
-        parted.write.bucketBy(min(buckets, 100_000), column).option("compression", "zstd").option("path", f"{self.path}/{name}").format("parquet").saveAsTable(self.named[-1])
+        buckets = min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 100_000)  # Spark takes no more
+        df.repartition(buckets, column).write.bucketBy(buckets, column).option("compression", "zstd").option("path", f"{self.path}/{name}").format("parquet").saveAsTable(self.named[-1])
         release(self.spark)
         return self.spark.table(self.named[-1])
 

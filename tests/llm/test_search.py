@@ -331,6 +331,17 @@ def test_seed_places():
             assert substring_dedup.seed_places(h, w).tolist() == sorted({int(np.argmin(h[i : i + w])) + i for i in range(max(1, n - w + 1))})
 
 
+def test_pairs_with_chains():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        sizes = rng.integers(1, 6, rng.integers(1, 8))
+        runs = [np.sort(rng.integers(0, 120, n)) for n in sizes]
+        x, starts, sure = np.concatenate(runs), np.r_[0, np.cumsum(sizes)[:-1]], rng.random(sizes.sum()) < 0.1
+        got = substring_dedup.pairs_with_chains(x, sure, starts, 50, 4)
+        want = [bool(sure[i : i + len(r)].any()) or any(4 <= q - p <= 46 for p in r for q in r) for i, r in zip(starts, runs, strict=True)]
+        assert got.tolist() == want == [bool(sure[i : i + len(r)].any()) or substring_dedup._close(r, 50, 4) for i, r in zip(starts, runs, strict=True)]
+
+
 def test_chains_against_brute_force():
     rng = random.Random(5)
 
