@@ -10,6 +10,7 @@ import contextlib
 import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -219,13 +220,7 @@ class Recent:
 
 def looked_up(known: dict, lists: list[list[str]], learn: Callable[[set[str]], None]) -> list[list]:
     """The values of words in ``known``; ``learn`` is called once with those it does not have."""
-    rows = [list(map(known.get, x)) for x in lists]
-    open_ = [i for i, r in enumerate(rows) if None in r]
-    new: set[str] = set()
-    for i in open_:
-        new.update([w for w, v in zip(lists[i], rows[i], strict=True) if v is None])
+    new = set(chain.from_iterable(lists)).difference(known)
     if new:
         learn(new)
-        for i in open_:
-            rows[i] = list(map(known.get, lists[i]))
-    return rows
+    return [list(map(known.get, x)) for x in lists]
