@@ -80,6 +80,16 @@ SELECT * FROM (VALUES ('routes', 'n1', 'route', 'a.cs', '/a'), ('routes', 'n2',
     "evidence": """
 SELECT statement_id, subject_id, statement_id || '/' || CAST(seq AS STRING) AS evidence_id, CAST(seq AS INT) AS seq, 'symbol:' || CAST(CAST(round(score * 100) AS INT) % 9 + seq AS STRING) AS symbol, 'file' || CAST((CAST(round(score * 100) AS INT) + seq) % 6 AS STRING) AS source_file,
        score * 0.9 AS score, CAST(seq AS INT) AS hop, speculative_ancestor FROM {statements} CROSS JOIN (SELECT 0 AS seq UNION ALL SELECT 1) x WHERE hop > 0""",
+    # what is left of it later, and the global chain, which misses some
+    "later_evidence": """
+SELECT * FROM {evidence} WHERE statement_id IN (SELECT statement_id FROM {later}) AND NOT (hop = 1 AND symbol = 'symbol:4')""",
+    "chain": """
+SELECT evidence_id FROM {evidence} WHERE symbol <> 'symbol:7'""",
+    # states without violations: grounded statements of assistants, one tone and no opposites
+    "calm": """
+SELECT statement_id, subject_id, 'turn ' || statement_id AS claim, 'assistant' AS tone, 0.8 + score / 10 AS score, hop, false AS speculative_ancestor, false AS suppressed FROM {statements}""",
+    "calm_evidence": """
+SELECT statement_id, subject_id, statement_id || '/0' AS evidence_id, CAST(0 AS INT) AS seq, 'symbol:' || statement_id AS symbol, 'file0' AS source_file, CAST(0.9 AS DOUBLE) AS score, CAST(1 AS INT) AS hop, false AS speculative_ancestor FROM {calm}""",
 }
 
 

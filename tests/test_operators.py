@@ -98,8 +98,19 @@ def test_fingerprint_does_not_depend_on_partitions(spark):
 
 def test_symbols_of_two_statements_are_flagged(spark):  # Q-29
     s = spark.createDataFrame([("a", "c", "", "t", 0.5, 0, False, False), ("b", "c", "", "t", 0.5, 0, False, False)], "statement_id string, subject_id string, claim string, tone string, score double, hop int, speculative_ancestor boolean, suppressed boolean")
-    e = spark.createDataFrame([("a", "1", "sym", "f", 0.5), ("b", "2", "sym", "g", 0.5)], "statement_id string, evidence_id string, symbol string, source_file string, score double")
-    assert {r.check: r.n for r in state.consistency(s, e).collect()}["shared_symbols"] == 1
+    e = spark.createDataFrame([("a", "1", "sym", "f", 0.5, False), ("b", "2", "sym", "g", 0.5, False)], "statement_id string, evidence_id string, symbol string, source_file string, score double, speculative_ancestor boolean")
+    assert {r.check: r.n for r in state.consistency(s, e, e).collect()}["shared_symbols"] == 1
+
+
+def test_governance_trail(spark):
+    s = spark.createDataFrame([(f"s{i}", "c", f"claim {i}", "t", 0.9, 0, False, False) for i in range(4)], "statement_id string, subject_id string, claim string, tone string, score double, hop int, speculative_ancestor boolean, suppressed boolean")
+    e = spark.createDataFrame([(f"s{i}", str(i), f"sym{i}", "f", 0.9, False) for i in range(4)], "statement_id string, evidence_id string, symbol string, source_file string, score double, speculative_ancestor boolean")
+    trail = lambda *x, **k: [(r.step, r.decision) for r in state.governance(*x, **k).orderBy("seq").collect()]
+    assert trail((s, e, e), (s, e, e)) == [("invariants-before", "Allow"), ("invariants-after", "Allow"), ("transition", "Allow"), ("drift", "Allow"), ("verdict", "Allow")]
+    up = s.withColumn("score", F.lit(0.99))
+    assert trail((s, e, e), (up, e, e))[-2:] == [("transition", "Reject"), ("verdict", "Reject")]
+    assert trail((s, e, e), (up, e, e), reject_transition=False)[-3:] == [("transition", "Warn"), ("drift", "Warn"), ("verdict", "Warn")]
+    assert trail((s, e, e.limit(0)), (s, e, e))[-2:] == [("invariants-before", "Reject"), ("verdict", "Reject")]
 
 
 def test_truth_halves_without_grounding(spark):
