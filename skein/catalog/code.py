@@ -158,15 +158,22 @@ def implementations(spark, d):
     return analyzers.implementations(view(spark, d, "methods"), view(spark, d, "bases"))
 
 
-@query("C05_bean_anchors", "SELECT DISTINCT bean_id, (SELECT min(method_name) FROM methods m WHERE m.class_name = string_split(type_name, '.')[-1]) AS anchor FROM beans")
+@query("C04_bean_anchors", "SELECT DISTINCT bean_id, (SELECT min(method_name) FROM methods m WHERE m.class_name = string_split(type_name, '.')[-1]) AS anchor FROM beans")
 def bean_anchors(spark, d):
     return analyzers.anchors(view(spark, d, "beans"), view(spark, d, "methods"))
 
 
+@query("C05_interface_namespaces", """WITH bn AS (SELECT DISTINCT string_split(type_name, '.')[-1] AS class_name, regexp_replace(type_name, '\\.?[^.]*$', '') AS home FROM beans), bs AS (SELECT DISTINCT class_name, base_name AS written, string_split(base_name, '.')[-1] AS interface FROM bases WHERE starts_with(string_split(base_name, '.')[-1], 'I')),
+us AS (SELECT class_name, string_split(name, '.')[-1] AS interface, min(regexp_replace(name, '\\.?[^.]*$', '')) AS used FROM usings WHERE contains(name, '.') GROUP BY 1, 2)
+SELECT DISTINCT class_name, interface, CASE WHEN contains(written, '.') THEN regexp_replace(written, '\\.?[^.]*$', '') ELSE coalesce(used, home) END AS namespace FROM bs JOIN bn USING (class_name) LEFT JOIN us USING (class_name, interface)""")
+def interface_namespaces(spark, d):
+    return analyzers.interface_namespaces(view(spark, d, "bases"), view(spark, d, "usings"), view(spark, d, "beans"))
+
+
 LAST = "mp AS (SELECT class_name, coalesce(nullif(max_by(table_name, file), ''), class_name || 's') AS table_name FROM mappings GROUP BY 1)"
 HQL = "coalesce(nullif(regexp_extract({0}, '(?i)delete\\s+from\\s+(\\w+)', 1), ''), nullif(regexp_extract({0}, '(?i)update\\s+(\\w+)', 1), ''), nullif(regexp_extract({0}, '(?i)from\\s+(\\w+)', 1), ''), nullif(regexp_extract({0}, '(?i)join\\s+(\\w+)', 1), ''))"
-ACCESS = f"""{LAST}, tr AS (SELECT access_id, max_by(s.expression, s.pos) AS expression FROM accesses a JOIN assignments s ON s.method = a.method AND s.variable = a.argument AND s.pos < 50 GROUP BY 1),
-ea AS (SELECT a.*, {HQL.format('argument')} AS by_text, coalesce(nullif(generic, ''), {HQL.format('argument')}, {HQL.format('expression')}) AS entity FROM accesses a LEFT JOIN tr USING (access_id) WHERE contains(lower(receiver), 'session') AND api IN ('Get','Load','Save','Update','Delete','SaveOrUpdate','CreateQuery','CreateCriteria','QueryOver')),
+ACCESS = f"""{LAST}, tr AS (SELECT access_id, max_by(s.expression, s.pos) AS expression FROM accesses a JOIN assignments s ON s.method = a.method AND s.variable = a.argument AND s.pos < a.pos GROUP BY 1),
+ea AS (SELECT a.*, {HQL.format('argument')} AS by_text, coalesce(nullif(generic, ''), {HQL.format('argument')}, {HQL.format('expression')}) AS entity FROM accesses a LEFT JOIN tr USING (access_id) WHERE contains(lower(receiver), 'session') AND api IN ('Query','Get','Save','Update','Delete','SaveOrUpdate','CreateQuery','CreateSQLQuery','CreateCriteria')),
 ac AS (SELECT access_id, method, entity, coalesce(mp.table_name, entity || 's') AS table_name, CASE WHEN mp.table_name IS NOT NULL AND generic <> '' THEN 'exact' WHEN mp.table_name IS NOT NULL THEN 'high' WHEN generic <> '' OR by_text IS NOT NULL THEN 'medium' ELSE 'low' END AS confidence FROM ea LEFT JOIN mp ON mp.class_name = entity WHERE entity IS NOT NULL)"""
 
 
@@ -189,7 +196,7 @@ def hql_entities(spark, d):
     return view(spark, d, "accesses").select("access_id", analyzers.hql_entity(F.col("argument")).alias("entity"))
 
 
-@query("C09_traced_variables", "SELECT access_id, max_by(s.expression, s.pos) AS expression FROM accesses a JOIN assignments s ON s.method = a.method AND s.variable = a.argument AND s.pos < 50 GROUP BY 1")
+@query("C09_traced_variables", "SELECT access_id, max_by(s.expression, s.pos) AS expression FROM accesses a JOIN assignments s ON s.method = a.method AND s.variable = a.argument AND s.pos < a.pos GROUP BY 1")
 def traced_variables(spark, d):
     return analyzers.traced(view(spark, d, "accesses"), view(spark, d, "assignments"))
 
@@ -199,36 +206,60 @@ def table_inference(spark, d):
     return analyzers.last_mappings(view(spark, d, "mappings"))
 
 
-@query("C12_type_bindings", "SELECT 'OrderService' AS class_name, 'BaseService' AS base_name, 'Order' AS argument, 1 AS depth UNION ALL SELECT 'OrderService', 'RootService', 'Order', 2 UNION ALL SELECT 'StockService', 'BaseService', 'Stock', 1 UNION ALL SELECT 'StockService', 'RootService', 'Stock', 2 UNION ALL SELECT 'OrderDao', 'BaseDaoNHB', 'Order', 1")
+BOUND = """inn AS (SELECT b.class_name AS mid, p.ord AS place, b.base_name AS top, b.arg AS top_arg FROM bases b JOIN type_parameters p ON p.class_name = b.class_name AND p.parameter = b.argument WHERE b.argument <> ''),
+bw AS (SELECT class_name, base_name, arg, argument, 1 AS depth FROM bases WHERE argument <> '' UNION ALL SELECT x.class_name, i.top, i.top_arg, x.argument, x.depth + 1 FROM bw x JOIN inn i ON i.mid = x.base_name AND i.place = x.arg WHERE x.depth < 10),
+bd AS (SELECT class_name, base_name, arg, argument, min(depth) AS depth FROM bw WHERE NOT regexp_matches(argument, '^T\\d*$') GROUP BY 1, 2, 3, 4)"""
+
+
+@query("C12_type_bindings", f"WITH RECURSIVE {BOUND} SELECT class_name, base_name, arg, argument, CAST(depth AS INT) AS depth FROM bd")
 def type_bindings(spark, d):
     return analyzers.bindings(view(spark, d, "bases"), view(spark, d, "type_parameters"))
 
 
-@query("C11_inheritance", "SELECT class_name, count(DISTINCT base_name) AS n_bases, min(base_name) AS first_base FROM bases GROUP BY 1")
+@query("C11_inheritance", """WITH RECURSIVE w AS (SELECT DISTINCT class_name AS src, base_name AS dst FROM bases), up AS (SELECT src AS c, dst AS a FROM w UNION SELECT c, w.dst FROM up JOIN w ON w.src = up.a)
+SELECT src AS class_name, count(DISTINCT dst) AS n_bases, min(dst) AS first_base, (SELECT count(*) FROM type_parameters p WHERE p.class_name = src) AS n_parameters, (SELECT count(DISTINCT a) FROM up WHERE c = src AND a <> src) AS n_ancestors FROM w GROUP BY 1""")
 def inheritance(spark, d):
-    return view(spark, d, "bases").groupBy("class_name").agg(F.countDistinct("base_name").alias("n_bases"), F.min("base_name").alias("first_base"))
+    b = view(spark, d, "bases")
+    up = analyzers.base_chain(b).groupBy("class_name").agg(F.countDistinct("ancestor").alias("n_ancestors"))
+    own = view(spark, d, "type_parameters").groupBy("class_name").agg(F.count("*").alias("n_parameters"))
+    rows = b.groupBy("class_name").agg(F.countDistinct("base_name").alias("n_bases"), F.min("base_name").alias("first_base"))
+    return rows.join(own, "class_name", "left").join(up, "class_name", "left").na.fill(0)
 
 
-@query("C13_generic_arguments", "SELECT b.class_name, b.base_name, p.parameter, b.argument FROM bases b JOIN type_parameters p ON p.class_name = b.base_name AND p.ord = 0 WHERE b.argument <> ''")
+@query("C13_generic_arguments", f"""WITH RECURSIVE {BOUND}, al AS (SELECT class_name, base_name, arg, argument, CASE WHEN depth = 1 THEN 'exact' ELSE 'high' END AS confidence FROM bd UNION ALL SELECT class_name, base_name, arg, argument, 'medium' FROM bases WHERE regexp_matches(argument, '^T\\d*$'))
+SELECT DISTINCT al.class_name, al.base_name, coalesce(p.parameter, '') AS parameter, argument, confidence FROM al LEFT JOIN type_parameters p ON p.class_name = al.base_name AND p.ord = al.arg""")
 def generic_arguments(spark, d):
-    p = view(spark, d, "type_parameters").filter("ord = 0").select(F.col("class_name").alias("base_name"), "parameter")
-    return view(spark, d, "bases").filter("argument <> ''").join(p, "base_name").select("class_name", "base_name", "parameter", "argument")
+    return analyzers.generic_arguments(view(spark, d, "bases"), view(spark, d, "type_parameters"))
 
 
-@query("C14_entity_registry", "SELECT class_name, min_by(argument, ord) AS entity, 'dao' AS role FROM bases WHERE base_name IN ('BaseDaoNHB', 'HibernateDaoSupport', 'IDBaseDao') AND argument <> '' GROUP BY 1")
+@query("C14_entity_registry", "SELECT class_name, min_by(argument, ord * 100 + arg) AS entity, min(CASE WHEN base_name IN ('BaseBLL', 'IBGenericManager') THEN 'bll' ELSE 'dao' END) AS role FROM bases WHERE base_name IN ('BaseBLL', 'IBGenericManager', 'BaseDaoNHB', 'HibernateDaoSupport', 'IDBaseDao') AND argument <> '' AND NOT regexp_matches(argument, '^T\\d*$') GROUP BY 1")
 def entity_registry(spark, d):
     return analyzers.entity_registry(view(spark, d, "bases"))
 
 
-@query("C15_names_to_entities", "SELECT DISTINCT class_name, CASE class_name WHEN 'IOrderService' THEN 'Order' WHEN 'OrderService' THEN 'Order' WHEN 'OrderDao' THEN 'Order' WHEN 'StockService' THEN 'Stock' END AS entity FROM methods")
+ENDINGS = {"repository": "['Repository','Repo','Dao','DAO','Dal','DataAccess','DataProvider','QueryProvider']", "service": "['Service','ServiceImpl','Manager','Handler','Provider','Processor','Controller']"}
+GENERIC = "('repository','baserepository','genericrepository','dao','basedao','genericdao','baseservice','genericservice','crudrepository','pagingandsortingrepository','jparepository','mongorepository')"
+
+
+def ending(kind: str) -> str:
+    return f"list_filter({ENDINGS[kind]}, lambda x: ends_with(lower(s), lower(x)))[1]"
+
+
+@query("C15_names_to_entities", f"""WITH n AS (SELECT DISTINCT class_name, string_split(class_name, '.')[-1] AS s FROM methods), e AS (SELECT *, {ending('repository')} AS rp, {ending('service')} AS sv FROM n),
+k AS (SELECT class_name, CASE WHEN lower(s) IN {GENERIC} THEN 'generic-repository' WHEN starts_with(s, 'I') AND lower(substr(s, 2)) IN {GENERIC} THEN 'generic-repository-interface' WHEN lower(s) IN ('irepository','idao','ireadrepository','iwriterepository','icrudservice','ientityservice') THEN 'interface-repository'
+ WHEN rp IS NOT NULL THEN 'repository-suffix:' || rp WHEN sv IS NOT NULL THEN 'service-suffix:' || sv END AS kind, s, coalesce(rp, sv) AS x FROM e)
+SELECT class_name, kind, CASE WHEN contains(kind, 'suffix') AND length(s) > length(x) THEN regexp_replace(substr(s, 1, length(s) - length(x)), '(?i)Impl$', '') END AS entity FROM k WHERE kind IS NOT NULL""")
 def names_to_entities(spark, d):
-    return view(spark, d, "methods").select("class_name", analyzers.entity_by_name(F.col("class_name")).alias("entity")).distinct()
+    rows = view(spark, d, "methods").select("class_name", analyzers.name_pattern(F.col("class_name")).alias("p")).distinct()
+    return rows.filter("p is not null").select("class_name", "p.kind", "p.entity")
 
 
-@query("C16_first_arguments", "SELECT * FROM (VALUES ('Repo<Order>', 'Order'), ('Map<List<A, B>, C>', 'List<A, B>'), ('Plain', '')) t(type_name, argument)")
+@query("C16_first_arguments", "SELECT DISTINCT base_name || '<' || argument || ', List<A, B>>' AS type_name, argument FROM bases WHERE argument <> '' UNION SELECT 'Map<List<' || argument || ', B>, C>', 'List<' || argument || ', B>' FROM bases WHERE argument <> '' UNION SELECT class_name, '' FROM bases")
 def first_arguments(spark, d):
-    rows = spark.createDataFrame([("Repo<Order>",), ("Map<List<A, B>, C>",), ("Plain",)], "type_name string")
-    return rows.select("type_name", analyzers.first_argument(F.col("type_name")).alias("argument"))
+    b = view(spark, d, "bases")
+    own = b.filter("argument <> ''")
+    rows = own.select(F.concat("base_name", F.lit("<"), "argument", F.lit(", List<A, B>>")).alias("type_name")).union(own.select(F.concat(F.lit("Map<List<"), "argument", F.lit(", B>, C>")))).union(b.select("class_name"))
+    return rows.distinct().select("type_name", analyzers.first_argument(F.col("type_name")).alias("argument"))
 
 
 @query("C17_resolved_types", f"WITH {ACCESS} SELECT method, min_by(entity, p) AS entity FROM (SELECT method, entity, CASE confidence WHEN 'exact' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 ELSE 4 END AS p FROM ac) GROUP BY 1")
@@ -237,9 +268,28 @@ def resolved_types(spark, d):
     return analyzers.by_priority(found(spark, d).select("method", "entity", rank.alias("priority")), ["method"]).select("method", "entity")
 
 
-@query("C20_name_hints", "SELECT DISTINCT m.class_name, m.method_name, e.entity FROM methods m JOIN (VALUES ('Order'), ('Stock')) e(entity) ON contains(lower(m.method_name), lower(e.entity)) OR contains(lower(m.class_name), lower(e.entity))")
+TYPED = """iv AS (SELECT DISTINCT method, split_part(method, '.', 1) AS class_name, receiver AS raw, regexp_replace(receiver, '^this\\.', '') AS receiver, api FROM accesses),
+mt AS (SELECT iv.method, iv.raw, iv.receiver, iv.api, arg_max(type, CASE scope WHEN 'param' THEN 3 WHEN 'local' THEN 2 ELSE 1 END) AS type FROM iv JOIN declared d ON d.class_name = iv.class_name AND d.name = iv.receiver AND (d.method = '' OR d.method = iv.method AND NOT starts_with(raw, 'this.')) GROUP BY 1, 2, 3, 4)"""
+
+
+def invocations(spark, d):
+    return view(spark, d, "accesses").select("access_id", "method", F.substring_index("method", ".", 1).alias("class_name"), "receiver", "api")
+
+
+@query("C18_typed_invocations", f"WITH {TYPED} SELECT DISTINCT method, receiver || '.' || api AS expression, trim(regexp_extract(type, '^[^<]*<([^,>]*)', 1)) AS entity FROM mt WHERE regexp_extract(type, '^[^<]*<([^,>]*)', 1) <> '' AND NOT regexp_matches(regexp_extract(type, '^[^<]*<([^,>]*)', 1), '^T\\d*$')")
+def typed_invocations(spark, d):
+    return analyzers.typed_invocations(invocations(spark, d), view(spark, d, "declared"))
+
+
+@query("C19_dao_call_sites", """SELECT access_id, d.type AS dao, trim(regexp_extract(d.type, '^[^<]*<([^,>]*)', 1)) AS entity FROM accesses a JOIN declared d ON d.class_name = split_part(a.method, '.', 1) AND d.scope = 'field' AND (a.receiver = d.name OR a.receiver = 'this.' || d.name) WHERE contains(lower(d.type), 'basedao')""")
+def dao_call_sites(spark, d):
+    return analyzers.dao_call_sites(invocations(spark, d), view(spark, d, "declared"))
+
+
+@query("C20_name_hints", "SELECT DISTINCT m.class_name, m.method_name, e.entity FROM methods m JOIN (SELECT DISTINCT class_name AS entity FROM mappings UNION SELECT 'Stock') e ON contains(lower(m.method_name), lower(e.entity)) OR contains(lower(m.class_name), lower(e.entity))")
 def name_hints(spark, d):
-    return analyzers.name_hints(view(spark, d, "methods"), spark.createDataFrame([("Order",), ("Stock",)], "entity string"))
+    known = view(spark, d, "mappings").select(F.col("class_name").alias("entity")).union(spark.createDataFrame([("Stock",)], "entity string")).distinct()
+    return analyzers.name_hints(view(spark, d, "methods"), known)
 
 
 @query("C21_access_edges", f"WITH {ACCESS} SELECT DISTINCT method, 'ext::entity::' || entity || '::' || table_name AS to_id FROM ac WHERE confidence <> 'low'")

@@ -166,7 +166,7 @@ def edge_summaries(spark, d):
 
 
 PROPAGATED = """
-WITH RECURSIVE way AS (SELECT from_id AS src, to_id AS dst, max(CASE kind WHEN 'call' THEN 0.95 WHEN 'entity-access' THEN 0.88 ELSE 0.7 END::DOUBLE) AS keep FROM edges WHERE confidence <> 'low' GROUP BY 1, 2),
+WITH RECURSIVE way AS (SELECT from_id AS src, to_id AS dst, max(CASE kind WHEN 'call' THEN CASE evidence WHEN 'semantic' THEN 0.95 WHEN 'syntax' THEN 0.92 ELSE 0.6 END WHEN 'entity-access' THEN 0.90 ELSE 0.6 END::DOUBLE) AS keep FROM edges WHERE confidence <> 'low' GROUP BY 1, 2),
 walk AS (SELECT id AS start, id, 1.0::DOUBLE AS score, 0 AS hop FROM nodes WHERE entry_point
   UNION ALL SELECT w.start, y.dst, w.score * y.keep, w.hop + 1 FROM walk w JOIN way y ON y.src = w.id WHERE w.hop < 5 AND w.score >= 0.2),
 best AS (SELECT start, id, max(round(score, 6)) AS score, min(hop) AS hop FROM walk WHERE score >= 0.2 GROUP BY 1, 2)"""
@@ -256,13 +256,13 @@ def capability_match(spark, d):
 
 
 @query("K13_root_cause_targets", """WITH c AS (SELECT id, lower(label) AS t FROM nodes)
-SELECT id, CAST(s AS INT) AS score FROM (SELECT id, 2 * (CASE WHEN contains(t, 'supplier') THEN 1 ELSE 0 END) + 2 * (CASE WHEN contains(t, '000007') THEN 1 ELSE 0 END) + CASE WHEN regexp_matches(t, 'error|exception|fail|timeout|retry|crash|invalid|check') THEN 1 ELSE 0 END AS s FROM c) WHERE s > 0 ORDER BY s DESC, id LIMIT 5""")
+SELECT id, CAST(s AS INT) AS score FROM (SELECT id, 2 * (CASE WHEN contains(t, 'supplier') THEN 1 ELSE 0 END) + 2 * (CASE WHEN contains(t, '000007') THEN 1 ELSE 0 END) + CASE WHEN regexp_matches(t, 'fail|retry|timeout|exception|error|reconnect|sync|lock') THEN 1 ELSE 0 END AS s FROM c) WHERE s > 0 ORDER BY s DESC, id LIMIT 5""")
 def root_cause_targets(spark, d):
     return cognition.root_cause_targets(nodes(spark, d), ["supplier", "of", "000007"])
 
 
-TARGETS = ["nation", "load"]
-TARGET_SQL = "tg AS (SELECT id FROM nodes WHERE contains(lower(label), 'nation') AND contains(lower(label), 'load') ORDER BY id LIMIT 5)"
+TARGETS = ["region", "get"]
+TARGET_SQL = "tg AS (SELECT id FROM nodes WHERE contains(lower(label), 'region') AND contains(lower(label), 'get') ORDER BY id LIMIT 5)"
 
 
 @query("K14_failure_paths", f"""WITH {TARGET_SQL}, a AS (SELECT from_id, to_id, row_number() OVER (PARTITION BY from_id ORDER BY to_id) AS r FROM (SELECT DISTINCT from_id, to_id FROM edges))
@@ -282,12 +282,18 @@ def interaction_points(spark, d):
     return cognition.interaction_points(edges(spark, d), cognition.root_cause_targets(nodes(spark, d), TARGETS))
 
 
-@query("K18_query_interpretation", """WITH q AS (SELECT item_id, lower(replace(replace(replace(trim(text), '?', ''), ',', ' '), '.', '')) AS t FROM benchmark)
-SELECT item_id, CASE WHEN regexp_matches(t, 'architecture|structure|subsystem|layer|dependency') THEN 'architecture' WHEN regexp_matches(t, 'what breaks|impact of|who calls|affected by') THEN 'impact' WHEN regexp_matches(t, 'why does|debug|fail|error|exception|timeout') THEN 'debug' WHEN regexp_matches(t, 'where is|how does|implement|how to|the and') THEN 'capability' ELSE 'unknown' END AS intent, length(t) AS n FROM q""")
-def query_interpretation(spark, d):
-    from ..session import table
+def phrases_sql(intent: str) -> str:
+    return " OR ".join("contains(lower(t), '" + p.replace("'", "''") + "')" for p in cognition.INTENTS[intent])
+
 
-    return cognition.interpret(table(spark, d, "benchmark"))
+READ = f"""nq AS (SELECT item_id, replace(replace(replace(replace(replace(trim(text), '  ', ' '), '?', ''), ',', ' '), chr(39), ''), '"', '') AS t FROM questions),
+ni AS (SELECT item_id, t, CASE {' '.join(f"WHEN {phrases_sql(i)} THEN '{i}'" for i in cognition.INTENTS)} ELSE 'general' END AS intent, list_filter(list_slice(list_filter(string_split(t, ' '), lambda w: w <> ''), 1, 10), lambda w: (regexp_matches(w, '^\\p{{Lu}}') AND length(w) > 2) OR (contains(w, '.') AND length(w) > 3)) AS names FROM nq),
+ne AS (SELECT item_id, t, intent, list_sort(list_filter(names, lambda w, i: list_position(list_transform(names, lambda x: lower(x)), lower(w)) = i)) AS entities FROM ni)"""
+
+
+@query("K18_query_interpretation", f"WITH {READ} SELECT item_id, t AS question, intent, array_to_string(entities, ',') AS entities, CAST((intent <> 'general')::INT + (len(entities) > 0)::INT AS INT) AS confidence FROM ne")
+def query_interpretation(spark, d):
+    return cognition.interpret(view(spark, d, "questions")).select("item_id", F.col("t").alias("question"), "intent", F.array_join("entities", ",").alias("entities"), "confidence")
 
 
 @query("V01_node_projection", f"SELECT id, label, kind, CASE WHEN entry_point OR route IS NOT NULL THEN 'route' WHEN kind = 'entity' THEN 'entity' WHEN class_name LIKE '%Controller' THEN 'controller' WHEN class_name LIKE '%Service' THEN 'service' WHEN class_name LIKE '%Repository' THEN 'repository' ELSE 'method' END AS layer FROM nodes")
@@ -342,10 +348,8 @@ def execution_chains(spark, d):
     return found.groupBy("root").agg(F.count("*").alias("n_chains"), F.max("length").alias("longest"))
 
 
-@query("K19_routing", "SELECT item_id, CASE WHEN item_id % 4 = 0 THEN 'architecture' WHEN item_id % 4 = 1 THEN 'impact' WHEN item_id % 4 = 2 THEN 'rootcause' ELSE 'capability' END AS engine FROM benchmark")
+@query("K19_routing", f"""WITH {READ}, nm AS (SELECT ne.*, CASE WHEN intent = 'general' THEN (SELECT min(id) FROM nodes n WHERE contains(lower(label), lower(t)) OR contains(lower(class_name), lower(t)) OR contains(lower(method_name), lower(t))) END AS target FROM ne)
+SELECT item_id, CASE intent WHEN 'architecture' THEN 'architecture' WHEN 'impact' THEN 'impact' WHEN 'debug' THEN 'rootcause' WHEN 'capability' THEN 'capability' ELSE CASE WHEN target IS NOT NULL THEN 'impact' ELSE 'architecture' END END AS engine,
+CAST(CASE WHEN intent IN ('impact', 'debug') THEN CASE WHEN len(entities) > 0 THEN 2 ELSE 1 END WHEN intent <> 'general' THEN 2 WHEN target IS NOT NULL THEN 1 ELSE 0 END AS INT) AS confidence, target FROM nm""")
 def routing(spark, d):
-    from ..session import table
-
-    intent = F.element_at(F.array(*map(F.lit, ("architecture", "impact", "debug", "capability"))), (F.col("item_id") % 4 + 1).cast("int"))
-    return table(spark, d, "benchmark").select("item_id", cognition.engine(intent).alias("engine"))
-
+    return cognition.route(view(spark, d, "questions"), nodes(spark, d))

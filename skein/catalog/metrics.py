@@ -147,20 +147,34 @@ def entity_grounding(spark, d):
     return truth.entity_grounding(nodes(spark, d), edges(spark, d))
 
 
-@query("I06_graph_drift", f"""WITH {TRUTH} SELECT 'ungrounded-edge' AS finding, from_id || '>' || to_id AS subject, 0.5::DOUBLE AS severity FROM tr WHERE NOT grounded
-UNION ALL SELECT 'orphan-entity', id, 0.6 FROM nodes WHERE kind = 'entity' AND id NOT IN (SELECT to_id FROM edges) UNION ALL SELECT 'orphan-node', id, 0.4 FROM nodes WHERE kind = 'method' AND id NOT IN (SELECT to_id FROM edges) AND id NOT IN (SELECT from_id FROM edges)""")
+@query("I06_graph_drift", f"""WITH {TRUTH} SELECT 'missing-symbol' AS finding, id AS subject, 0.7::DOUBLE AS severity FROM nodes WHERE kind = 'method' AND NOT is_external AND length(id) % 4 = 0 UNION ALL SELECT 'orphan-symbol', id, 0.8 FROM nodes WHERE kind = 'method' AND NOT is_external AND length(id) % 4 <> 0 AND length(label) % 3 = 0
+UNION ALL SELECT 'propagation-overreach', from_id || '>' || to_id, round(0.5 + (weight % 7 - 4) * 0.1, 6) FROM edges WHERE weight % 7 > 4 UNION ALL SELECT 'ungrounded-edge', from_id || '>' || to_id, 0.6 FROM tr WHERE NOT grounded
+UNION ALL SELECT 'orphan-entity', id, 0.3 FROM nodes WHERE kind = 'entity' AND id NOT IN (SELECT to_id FROM edges) AND id NOT IN (SELECT from_id FROM edges)""")
 def graph_drift(spark, d):
-    return truth.drift(truths(spark, d), nodes(spark, d))
+    symbol = F.when(F.length("id") % 4 == 0, "").otherwise(F.concat(F.lit("M:"), "id"))
+    own = nodes(spark, d).withColumns({"symbol": symbol, "indexed": F.length("label") % 3 != 0})
+    return truth.drift(truths(spark, d).withColumn("depth", (F.col("weight") % 7).cast("int")), own)
 
 
-@query("I08_decay_policy", "SELECT kind, count(*) AS n, CASE kind WHEN 'call' THEN 0.95 WHEN 'entity-access' THEN 0.88 ELSE 0.7 END::DOUBLE AS keep FROM edges GROUP BY kind")
+KIND = """CASE WHEN kind = 'call' THEN CASE evidence WHEN 'semantic' THEN 'explicit-invocation' WHEN 'semantic-inferred' THEN 'semantic-similarity' WHEN 'syntax' THEN 'control-flow' WHEN 'syntax-pattern' THEN 'semantic-similarity' ELSE 'propagation-inference' END
+ELSE CASE kind WHEN 'entity-access' THEN 'data-flow' WHEN 'implements' THEN 'configuration-binding' WHEN 'property-ref' THEN 'configuration-binding' ELSE 'propagation-inference' END END"""
+#: Edges of every kind and evidence, by their weight.
+MIXED = "mx AS (SELECT from_id, to_id, CASE weight % 4 WHEN 0 THEN 'call' WHEN 1 THEN kind WHEN 2 THEN 'implements' ELSE 'other' END AS kind, CASE weight % 5 WHEN 0 THEN 'semantic-inferred' WHEN 1 THEN 'syntax-pattern' WHEN 2 THEN 'guess' ELSE evidence END AS evidence FROM edges)"
+
+
+def mixed(spark, d):
+    return spark.sql(f"WITH {MIXED.replace('FROM edges', 'FROM {edges}')} SELECT * FROM mx", edges=edges(spark, d))
+
+
+@query("I08_decay_policy", f"WITH {MIXED}, k AS (SELECT {KIND} AS decay_kind FROM mx) SELECT decay_kind, count(*) AS n, CASE decay_kind WHEN 'direct-symbol-binding' THEN 1.0 WHEN 'explicit-invocation' THEN 0.95 WHEN 'control-flow' THEN 0.92 WHEN 'data-flow' THEN 0.90 WHEN 'inheritance' THEN 0.88 WHEN 'configuration-binding' THEN 0.85 WHEN 'semantic-similarity' THEN 0.75 WHEN 'propagation-inference' THEN 0.60 WHEN 'speculative-expansion' THEN 0.40 ELSE 0.70 END::DOUBLE AS keep FROM k GROUP BY 1")
 def decay_policy(spark, d):
-    return edges(spark, d).groupBy("kind").agg(F.count("*").alias("n")).withColumn("keep", traverse.decay(F.col("kind")))
+    rows = mixed(spark, d).groupBy(traverse.decay_kind(F.col("kind"), F.col("evidence")).alias("decay_kind")).agg(F.count("*").alias("n"))
+    return rows.withColumn("keep", traverse.decay(F.col("decay_kind")))
 
 
-@query("I09_decay_kind", "SELECT kind, evidence, CASE WHEN kind <> 'call' THEN kind WHEN evidence = 'semantic' THEN 'call' ELSE 'inferred' END AS decay_kind, count(*) AS n FROM edges GROUP BY 1, 2, 3")
+@query("I09_decay_kind", f"WITH {MIXED} SELECT kind, evidence, {KIND} AS decay_kind, count(*) AS n FROM mx GROUP BY 1, 2, 3")
 def decay_kind(spark, d):
-    return edges(spark, d).groupBy("kind", "evidence", truth.decay_kind(F.col("kind"), F.col("evidence")).alias("decay_kind")).agg(F.count("*").alias("n"))
+    return mixed(spark, d).groupBy("kind", "evidence", traverse.decay_kind(F.col("kind"), F.col("evidence")).alias("decay_kind")).agg(F.count("*").alias("n"))
 
 
 TOP = """vq AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q, label AS query_label FROM embeddings WHERE vec_id % 20 = 0),
@@ -221,13 +235,13 @@ def graph_aware(spark, d):
     return retrieval.graph_aware(rows)
 
 
-WORDS = "wq AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: length(w) > 1)) AS words FROM benchmark UNION ALL SELECT -1, ['supplier', 'find', 'nation', 'loadnation'])"
-KEYWORD = f"""{WORDS}, pool AS (SELECT id, method_name, class_name, lower(method_name) AS m, lower(class_name) AS c FROM nodes WHERE NOT regexp_matches(class_name, '^(Base|Framework)') ORDER BY id LIMIT 500), ww AS (SELECT query_id, unnest(words) AS w, len(words) AS total FROM wq),
+WORDS = "wq AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: length(w) > 1)) AS words FROM benchmark UNION ALL SELECT -1, ['supplier', 'find', 'nation', 'loadnation', 'brand'])"
+KEYWORD = f"""{WORDS}, pool AS (SELECT id, method_name, class_name, lower(method_name) AS m, lower(class_name) AS c FROM nodes WHERE NOT (starts_with(class_name, 'Base') AND regexp_matches(class_name, 'BLL|DAO|Dao|NHB') OR class_name = 'HibernateDaoSupport') ORDER BY id LIMIT 500), ww AS (SELECT query_id, unnest(words) AS w, len(words) AS total FROM wq),
 kw AS (SELECT query_id, id, round(least(sum(CASE WHEN m = w THEN 1.0 WHEN contains(m, w) THEN 0.6 ELSE 0.4 END::DOUBLE) / any_value(total), 1.0), 6) AS score FROM ww JOIN pool ON contains(m, w) OR contains(c, w) GROUP BY 1, 2)"""
 
 
 def questions(spark, d):
-    more = spark.createDataFrame([(-1, "Supplier, find: nation loadnation")], "query_id bigint, text string")
+    more = spark.createDataFrame([(-1, "Supplier, find: nation loadnation brand")], "query_id bigint, text string")
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text").unionByName(more)
 
 
@@ -237,7 +251,7 @@ def keyword_scores(spark, d):
 
 
 @query("H13_noise_rescoring", f"""WITH {KEYWORD}, r AS (SELECT kw.*, n.method_name, n.class_name, wq.words FROM kw JOIN nodes n USING (id) JOIN wq USING (query_id)),
-p AS (SELECT query_id, id, round(score * (1 - least((CASE WHEN method_name IN ('Save','Update','Delete','Remove','Get','Load','LoadAll','Flush','Evict','Find') AND NOT list_contains(words, lower(method_name)) THEN 0.3 ELSE 0.0 END + CASE WHEN regexp_matches(class_name, '^Base.*(BLL|DAO|Dao|NHB)') THEN 0.4 ELSE 0.0 END + CASE WHEN length(method_name) <= 5 OR regexp_matches(method_name, '^[a-z0-9]+$') THEN 0.15 ELSE 0.0 END)::DOUBLE, 0.7)), 6) AS adjusted FROM r),
+p AS (SELECT query_id, id, round(score * (1 - least((CASE WHEN method_name IN ('Save','Update','Delete','Remove','Get','Load','LoadAll','Flush','Evict','Find') AND NOT list_contains(words, lower(method_name)) THEN 0.3 ELSE 0.0 END + CASE WHEN regexp_matches(class_name, '^Base.*(BLL|DAO|Dao|NHB)') THEN 0.4 ELSE 0.0 END + CASE WHEN length(method_name) <= 5 OR regexp_matches(method_name, '^[a-z0-9]+$') THEN 0.15 ELSE 0.0 END)::DOUBLE, 0.7)), 6) AS adjusted, CASE WHEN len(list_filter(words, lambda w: starts_with(lower(class_name), w))) > 0 THEN 0.15 ELSE 0.0 END::DOUBLE AS bonus FROM r),
 o AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY adjusted DESC, id) AS INT) AS place FROM p) SELECT * FROM o WHERE place <= 10""")
 def noise_rescoring(spark, d):
     return retrieval.rescored(with_words(spark, d))
@@ -253,22 +267,39 @@ def noise_report(spark, d):
     return retrieval.noise_report(with_words(spark, d))
 
 
-@query("H11_reverse_index", "WITH k AS (SELECT DISTINCT 'http' AS category, regexp_extract(url, '//([^/]*)', 1) AS key, page_id FROM pages), w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower('example net blog'), ' ')) AS word) SELECT page_id AS id, max(0.6::DOUBLE) AS score FROM k JOIN w ON contains(lower(key), word) OR contains(word, lower(key)) GROUP BY 1")
-def reverse_index(spark, d):
+@query("H14_noise_by_class", f"""WITH {KEYWORD}, r AS (SELECT n.method_name, n.class_name, wq.words FROM kw JOIN nodes n USING (id) JOIN wq USING (query_id)), x AS (SELECT 'LowBusinessContext' AS rule, class_name, count(*) AS n, round(count(*) * 0.15::DOUBLE, 6) AS total FROM r WHERE length(method_name) <= 5 OR regexp_matches(method_name, '^[a-z0-9]+$') GROUP BY 2
+UNION ALL SELECT 'GenericCRUD', class_name, count(*), round(count(*) * 0.3::DOUBLE, 6) FROM r WHERE method_name IN ('Save','Update','Delete','Remove','Get','Load','LoadAll','Flush','Evict','Find') AND NOT list_contains(words, lower(method_name)) GROUP BY 2) SELECT rule, class_name, n, total FROM x QUALIFY row_number() OVER (PARTITION BY rule ORDER BY n DESC, class_name) <= 10""")
+def noise_by_class(spark, d):
+    return retrieval.noise_report(with_words(spark, d), "class_name")
+
+
+INDEX = "ix AS (SELECT DISTINCT 'table' AS category, n.table_name AS key, e.from_id AS id FROM edges e JOIN nodes n ON n.id = e.to_id WHERE e.kind = 'entity-access' UNION SELECT DISTINCT 'http', regexp_extract(url, '//([^/]*)', 1), 'page:' || CAST(page_id AS STRING) FROM pages)"
+FOUND = f"{INDEX}, ks AS (SELECT query_id, id, max(CASE category WHEN 'table' THEN 1.0 ELSE 0.6 END::DOUBLE) AS score FROM (SELECT query_id, unnest(words) AS w FROM wq) JOIN ix ON contains(lower(key), w) OR contains(w, lower(key)) GROUP BY 1, 2)"
+
+
+def by_index(spark, d):
+    """(query_id, id, score): what the tables that repositories use and the hosts of pages have in common with a question's words."""
     from ..operators import text
 
-    keys = table(spark, d, "pages").select(F.lit("http").alias("category"), F.regexp_extract("url", "//([^/]*)", 1).alias("key"), F.col("page_id").alias("id")).distinct()
-    return text.search_index(keys, ["example", "net", "blog"])
+    names = nodes(spark, d).filter("table_name is not null").select(F.col("id").alias("to_id"), F.col("table_name").alias("key"))
+    tables = edges(spark, d).filter("kind = 'entity-access'").join(names, "to_id").select(F.lit("table").alias("category"), "key", F.col("from_id").alias("id"))
+    hosts = table(spark, d, "pages").select(F.lit("http").alias("category"), F.regexp_extract("url", "//([^/]*)", 1).alias("key"), F.concat(F.lit("page:"), F.col("page_id").cast("string")).alias("id"))
+    return text.search_index(tables.unionByName(hosts).distinct(), questions(spark, d).select("query_id", F.explode(retrieval.split_words("text")).alias("word")))
 
 
-@query("H09_three_way_search", f"""WITH {KEYWORD}, {TOP}, v AS (SELECT query_id, 'supplier:' || CAST(chunk_id + 1 AS STRING) AS id, similarity AS s FROM tk WHERE place <= 20), g AS (SELECT query_id, id, score AS s FROM kw)
-SELECT query_id, id, round(0.6 * coalesce(v.s, 0) + 0.3 * coalesce(g.s, 0), 6) AS score FROM v FULL JOIN g USING (query_id, id)""")
+@query("H11_reverse_index", f"WITH {WORDS}, {FOUND} SELECT query_id, id, score FROM ks")
+def reverse_index(spark, d):
+    return by_index(spark, d)
+
+
+@query("H09_three_way_search", f"""WITH {KEYWORD}, {TOP}, {FOUND}, v AS (SELECT query_id, 'supplier:' || CAST(chunk_id + 1 AS STRING) AS id, similarity AS s FROM tk WHERE place <= 20), g AS (SELECT query_id, id, score AS s FROM kw), k AS (SELECT query_id, id, score AS s FROM ks)
+SELECT query_id, id, round(0.6 * coalesce(v.s, 0) + 0.3 * coalesce(g.s, 0) + 0.1 * coalesce(k.s, 0), 6) AS score FROM v FULL JOIN g USING (query_id, id) FULL JOIN k USING (query_id, id)""")
 def three_way_search(spark, d):
     q, v = vectors(spark, d)
     top = retrieval.vector_top_k(q, v, 20)
     by_vector = top.select("query_id", F.concat(F.lit("supplier:"), (F.col("chunk_id") + 1).cast("string")).alias("id"), F.col("similarity").alias("s"))
     by_graph = keyword_scores(spark, d).select("query_id", "id", F.col("score").alias("s"))
-    return retrieval.merged(by_vector, by_graph, by_graph.limit(0))
+    return retrieval.merged(by_vector, by_graph, by_index(spark, d).withColumnRenamed("score", "s"))
 
 
 @query("H12_profiles", "SELECT * FROM (VALUES ('Database', 0.2::DOUBLE, 0.1::DOUBLE, 0.7::DOUBLE), ('DTO', 0.4, 0.2, 0.4), ('Exception', 0.3, 0.2, 0.5), ('HTTP', 0.3, 0.3, 0.4), ('Architecture', 0.3, 0.6, 0.1), ('BugAnalysis', 0.5, 0.4, 0.1), ('CodeModification', 0.6, 0.3, 0.1), ('BusinessWorkflow', 0.4, 0.4, 0.2)) t(profile, embedding, graph, keyword)")
@@ -278,9 +309,24 @@ def profiles(spark, d):
     return spark.createDataFrame([(k, *v) for k, v in PROFILES.items()], "profile string, embedding double, graph double, keyword double")
 
 
-@query("H15_symbol_locator", "SELECT id, 1 AS tier FROM nodes WHERE lower(method_name) = 'loadnation_7' ORDER BY id LIMIT 10")
+LOCATED = """ln AS (SELECT id, label, method_name, class_name, class_name || '.cs' AS source_file FROM nodes WHERE NOT is_external AND class_name <> ''),
+l1 AS (SELECT 'exact' AS asked, id, 1 AS tier, row_number() OVER (ORDER BY label, id) AS place FROM ln WHERE method_name = 'LoadNATION_7'), l2 AS (SELECT 'file' AS asked, min(id) AS id, 2 AS tier, 1 AS place FROM ln WHERE lower(source_file) LIKE '%nationservice.cs' AND lower(method_name) = 'loadnation_8' HAVING count(*) > 0),
+l3 AS (SELECT 'vector' AS asked, 'supplier:' || CAST(chunk_id + 1 AS STRING) AS id, 3 AS tier, place FROM tk WHERE query_id = 0 AND 'supplier:' || CAST(chunk_id + 1 AS STRING) IN (SELECT id FROM ln) AND place <= 15),
+l4 AS (SELECT 'words' AS asked, id, 4 AS tier, row_number() OVER (ORDER BY s DESC, label, id) AS place FROM (SELECT id, label, sum(CASE WHEN lower(method_name) = w THEN 5 WHEN contains(lower(method_name), w) THEN 3 ELSE 0 END + CASE WHEN contains(lower(class_name), w) THEN 2 ELSE 0 END + CASE WHEN contains(lower(label), w) THEN 1 ELSE 0 END) AS s FROM ln CROSS JOIN (VALUES ('supplier'), ('loadnation_1'), ('find')) x(w) GROUP BY 1, 2) WHERE s > 0)"""
+
+
+@query("H15_symbol_locator", f"WITH {TOP}, {LOCATED} SELECT asked, id, tier, CAST(place AS INT) AS place FROM (SELECT * FROM l1 WHERE place <= 10 UNION ALL SELECT * FROM l2 UNION ALL SELECT asked, id, tier, row_number() OVER (ORDER BY place) FROM l3 UNION ALL SELECT * FROM l4) WHERE place <= 10")
 def symbol_locator(spark, d):
-    return retrieval.locate(nodes(spark, d), "LoadNATION_7")
+    own = nodes(spark, d).withColumn("source_file", F.when(F.col("class_name") != "", F.concat("class_name", F.lit(".cs"))))
+    near = retrieval.vector_top_k(*vectors(spark, d), 15).filter("query_id = 0").select(F.concat(F.lit("supplier:"), (F.col("chunk_id") + 1).cast("string")).alias("id"), "place")
+    found = {
+        "exact": retrieval.locate(own, "LoadNATION_7"),
+        "file": retrieval.locate(own, "loadnation_8", "NationService.cs"),
+        "vector": retrieval.locate(own, "nowhere", by_vector=near),
+        "words": retrieval.locate(own, question="Supplier loadnation_1 find"),
+    }
+    rows = [df.select(F.lit(name).alias("asked"), "id", "tier", "place") for name, df in found.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
 
 
 @query("I11_claim_validation", """WITH c AS (SELECT s.statement_id, n.id AS node, s.claim, s.score, (SELECT count(*) FROM evidence v WHERE v.statement_id = s.statement_id) AS n_evidence FROM statements s LEFT JOIN nodes n ON n.id = 'supplier:' || split_part(s.subject_id, ':', 2)),

@@ -50,7 +50,8 @@ def xml_beans(spark, d):
 def xml_mappings(spark, d):
     at = place(spark)
     line = F.concat(F.lit('<hibernate-mapping><class name="app.'), "class_name", F.lit(', app" table="'), "table_name", F.lit('"/></hibernate-mapping>'))
-    view(spark, d, "mappings").select(line.alias("value")).write.text(at)
+    one = F.concat_ws("-", "class_name", "file").alias("k")  # a document a file
+    view(spark, d, "mappings").select(line.alias("value"), one).write.partitionBy("k").text(at)
     return code.mappings(spark, at).select("class_name", "table_name")
 
 
@@ -123,10 +124,13 @@ def repository_history(spark, d):
     return graphs.history(rows).select("path", "last_used")
 
 
-@query("K20_follow_ups", "SELECT * FROM (VALUES ('what calls OrderService'), ('who changes OrderService'), ('show StockDao')) t(question)")
+@query("K20_follow_ups", "SELECT CAST(n_nationkey AS INT) AS seq, CASE WHEN n_nationkey % 3 = 0 THEN 'what calls ' || upper(substr(n_name, 1, 1)) || lower(substr(n_name, 2)) ELSE CASE WHEN n_nationkey % 3 = 1 THEN 'who changes ' ELSE 'show ' END || (SELECT upper(substr(m.n_name, 1, 1)) || lower(substr(m.n_name, 2)) FROM nation m WHERE m.n_nationkey = n.n_nationkey - n.n_nationkey % 3) END AS question FROM nation n")
 def follow_ups(spark, d):
-    s = session_state.Session()
-    return spark.createDataFrame([(s.resolve(q),) for q in ("what calls OrderService", "who changes it", "show StockDao")], "question string")
+    """A session of one question a nation (a table of 25): a name, then two that refer to it."""
+    s, asked = session_state.Session(), []
+    for r in table(spark, d, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey").collect():
+        asked.append((r.n_nationkey, s.resolve((f"what calls {r.n_name.capitalize()}", "who changes it", "show that")[r.n_nationkey % 3])))
+    return spark.createDataFrame(asked, "seq int, question string")
 
 
 @query("K21_confidence_bars", "SELECT statement_id, repeat('#', CAST(round(score * 10) AS INT)) || repeat('.', 10 - CAST(round(score * 10) AS INT)) AS bar FROM (SELECT statement_id, round(score, 1) AS score FROM statements)")
@@ -139,10 +143,11 @@ def citations(spark, d):
     return session_state.citations(view(spark, d, "evidence"))
 
 
-@query("K22_build_errors", "SELECT 'A.cs' AS file, 12 AS line, 'CS1002' AS code, '; expected' AS message UNION ALL SELECT 'src/B.cs', 3, 'CS0103', 'no x'")
+@query("K22_build_errors", "SELECT 'src/S' || CAST(s_suppkey AS STRING) || '.cs' AS file, CAST(s_suppkey * 3 AS INT) AS line, 'CS' || lpad(CAST(s_suppkey % 1000 AS STRING), 4, '0') AS code, 'no ' || s_name || ', expected' AS message FROM supplier WHERE s_suppkey % 3 = 0")
 def build_errors(spark, d):
-    lines = ["A.cs(12,5): error CS1002: ; expected", "warning: fine", "src/B.cs(3,1): error CS0103: no x", "A.cs(1,1): warning CS0168: unused"]
-    return session_state.build_errors(spark.createDataFrame([(x,) for x in lines], "value string"))
+    at = lambda kind: F.concat(F.lit("src/S"), F.col("s_suppkey").cast("string"), F.lit(".cs("), (F.col("s_suppkey") * 3).cast("string"), F.lit(f",5): {kind} CS"), F.lpad((F.col("s_suppkey") % 1000).cast("string"), 4, "0"), F.lit(": no "), F.col("s_name"), F.lit(", expected"))
+    line = F.when(F.col("s_suppkey") % 3 == 0, at("error")).when(F.col("s_suppkey") % 3 == 1, at("warning")).otherwise(F.concat(F.lit("built "), "s_name"))
+    return session_state.build_errors(table(spark, d, "supplier").select(line.alias("value")))
 
 
 @query("K22_contexts", "SELECT id, content AS context, false AS changed FROM units WHERE contains(content, 'Find')")

@@ -74,9 +74,9 @@ def extractors(spark, d):
     return table(spark, d, "pages").select("page_id", F.size(t.urls_of(F.col("html"))).cast("long").alias("n_urls"), F.size(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), 1)).cast("long").alias("n_links"))
 
 
-@query("S14_sql_tables", "SELECT id, CASE WHEN contains(content, 'FROM supplier') THEN 'supplier' ELSE '' END AS tables FROM units")
+@query("S14_sql_tables", """SELECT id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(content, '(?i)(?:INSERT\\s+INTO|UPDATE|DELETE\\s+FROM|FROM|JOIN)\\s+["]?(\\w+)', 1), lambda w: upper(w) NOT IN ('SELECT','INSERT','UPDATE','DELETE','FROM','WHERE','JOIN','SET','INTO','VALUES','AND','OR','NOT','NULL','LIKE','ORDER','GROUP','HAVING')))), ',') AS tables FROM bodies""")
 def sql_tables(spark, d):
-    return view(spark, d, "units").select("id", F.array_join(t.tables_of(F.col("content")), ",").alias("tables"))
+    return view(spark, d, "bodies").select("id", F.array_join(t.tables_of(F.col("content")), ",").alias("tables"))
 
 
 @query("S15_name_tests", "SELECT p_partkey, regexp_matches(p_name, '^[a-z0-9]+$') AS all_lower, regexp_matches(p_type, '(Dto|DTO|Model|Request|Response)$') AS dto FROM part")
@@ -84,11 +84,11 @@ def name_tests(spark, d):
     return table(spark, d, "part").select("p_partkey", F.col("p_name").rlike("^[a-z0-9]+$").alias("all_lower"), F.col("p_type").rlike("(Dto|DTO|Model|Request|Response)$").alias("dto"))
 
 
-@query("S16_normalized_questions", "SELECT item_id, lower(replace(replace(replace(trim(text), '?', ''), ',', ' '), '.', '')) AS text FROM benchmark")
+@query("S16_normalized_questions", "SELECT item_id, replace(replace(replace(replace(replace(trim(text), '  ', ' '), '?', ''), ',', ' '), chr(39), ''), '\"', '') AS text FROM questions")
 def normalized_questions(spark, d):
     from ..operators.cognition import normalized
 
-    return table(spark, d, "benchmark").select("item_id", normalized(F.col("text")).alias("text"))
+    return view(spark, d, "questions").select("item_id", normalized(F.col("text")).alias("text"))
 
 
 @query("S17_truncation", "SELECT doc_id, CASE WHEN length(text) > 80 THEN substr(text, 1, 80) || '...' ELSE text END AS head FROM documents")
@@ -213,28 +213,65 @@ def embedding_cache(spark, d):
 
 
 def docs(spark, d):
-    units = view(spark, d, "units")
-    return text.semantic_docs(units.select("id", F.col("method_name").alias("name"), F.concat_ws(" ", "content", F.lit("https://api.example.com/x")).alias("text")))
+    return text.semantic_docs(view(spark, d, "bodies"), view(spark, d, "unit_calls"))
 
 
-DOCS = "dc AS (SELECT id, method_name, CASE WHEN contains(content, 'FROM supplier') THEN 'supplier' END AS tbl FROM units)"
+LITERALS = "regexp_extract_all(content, '\"([^\"]*)\"', 1)"
+WORDS = "('SELECT','INSERT','UPDATE','DELETE','FROM','WHERE','JOIN','SET','INTO','VALUES','AND','OR','NOT','NULL','LIKE','ORDER','GROUP','HAVING')"
 
 
-@query("G16_semantic_docs", f"WITH {DOCS} SELECT id, coalesce(tbl, '') AS tables, 'https://api.example.com/x' AS urls, 'query' AS action FROM dc")
+def names_sql(by: str, other: str, most: int) -> str:
+    """Names at the other end of calls, the first by id."""
+    return f"(SELECT id, list(name ORDER BY r) AS names FROM (SELECT id, name, row_number() OVER (PARTITION BY id ORDER BY o, name) AS r FROM (SELECT c.{by} AS id, u.method_name AS name, min(c.{other}) AS o FROM unit_calls c JOIN bodies u ON u.id = c.{other} WHERE u.method_name <> '' GROUP BY 1, 2)) WHERE r <= {most} GROUP BY 1)"
+
+
+def once(names: str) -> str:
+    """Sorted, of names that differ in case alone the first."""
+    ordered = f"list_sort(list_distinct({names}))"
+    return f"list_filter({ordered}, lambda w, i: list_position(list_transform({ordered}, lambda x: lower(x)), lower(w)) = i)"
+
+
+def distinct_first(found: str, most: int) -> str:
+    """As they come, each once."""
+    return f"list_slice(list_filter({found}, lambda w, i: list_position({found}, w) = i), 1, {most})"
+
+
+SQL_NAMES = f"list_filter(regexp_extract_all(array_to_string(lt, '|'), '(?i)(?:INSERT\\s+INTO|UPDATE|DELETE\\s+FROM|FROM|JOIN)\\s+(\\w+)', 1), lambda w: length(w) > 1 AND upper(w) NOT IN {WORDS})"
+ENTITY_NAMES = "list_filter(regexp_extract_all(array_to_string(lt, '|'), '\\b(?:[A-Z][a-z]+){2,}\\b'), lambda w: length(w) > 3)"
+URLS = "list_concat(regexp_extract_all(array_to_string(lt, ' '), 'https?://[^\\s]+'), regexp_extract_all(content, '(?i)(?:HttpGet|HttpPost|Route)\\(@?\"([^\"]+)\"\\)', 1))"
+THROWN = "regexp_extract_all(content, '\\b(?:catch\\s*\\(\\s*|throw\\s+new\\s+)([\\w.]+)', 1)"
+MADE = "regexp_extract_all(content, '\\bnew\\s+(\\w*(?:[Dd][Tt][Oo]|VO|Result|Request|Response))\\b', 1)"
+KEYS = "regexp_extract_all(content, '(?i)(?:Configuration\\[|ConfigHelper\\.\\w+\\(@?|AppSettings\\[|GetConfigString\\(@?)\"([^\"]+)\"', 1)"
+DOCS = f"""bl AS (SELECT *, {LITERALS} AS lt FROM bodies),
+dc AS (SELECT b.id, namespace, class_name, method_name, list_slice({once(f'list_concat({SQL_NAMES}, {ENTITY_NAMES})')}, 1, 10) AS tables, list_slice(list_sort(list_distinct({URLS})), 1, 8) AS urls, list_slice({once("list_filter(lt, lambda w: regexp_matches(w, '(?i)^(?:[A-Z]:|[.][.]?/|~/).*[.][a-z]{2,4}$'))")}, 1, 5) AS files,
+list_slice(list_sort(list_distinct({KEYS})), 1, 5) AS settings, {distinct_first(THROWN, 5)} AS exceptions, {distinct_first(MADE, 5)} AS transfers, CASE WHEN starts_with(method_name, 'Find') THEN 'query' WHEN contains(method_name, 'Load') THEN 'query' ELSE '' END AS action, coalesce(o.names, []) AS callees, coalesce(i.names, []) AS callers
+FROM bl b LEFT JOIN {names_sql('from_id', 'to_id', 10)} o ON o.id = b.id LEFT JOIN {names_sql('to_id', 'from_id', 5)} i ON i.id = b.id),
+sm AS (SELECT *, concat_ws('; ', nullif(action, ''), CASE WHEN len(tables) > 0 THEN 'accesses:' || array_to_string(list_slice(tables, 1, 3), ',') END, CASE WHEN len(urls) > 0 THEN 'endpoint:' || urls[1] END, CASE WHEN len(callees) > 0 THEN 'calls:' || array_to_string(list_slice(callees, 1, 3), ',') END, CASE WHEN len(exceptions) > 0 THEN 'throws:' || array_to_string(list_slice(exceptions, 1, 2), ',') END,
+CASE WHEN len(transfers) > 0 THEN 'uses:' || array_to_string(list_slice(transfers, 1, 2), ',') END, CASE WHEN len(settings) > 0 THEN 'config-aware' END, CASE WHEN len(urls) > 0 THEN 'api-entrypoint' END) AS summary FROM dc)"""
+LISTS = ("tables", "urls", "files", "settings", "exceptions", "transfers", "callees", "callers")
+
+
+@query("G16_semantic_docs", f"WITH {DOCS} SELECT id, {', '.join(f'array_to_string({c}, chr(44)) AS {c}' for c in LISTS)}, action FROM dc")
 def semantic_docs(spark, d):
-    return docs(spark, d).select("id", F.array_join("tables", ",").alias("tables"), F.array_join("urls", ",").alias("urls"), "action")
+    return docs(spark, d).select("id", *[F.array_join(c, ",").alias(c) for c in LISTS], "action")
+
+
+@query("G17_syntax_features", f"""WITH b AS (SELECT id, content, {LITERALS} AS lt, regexp_replace(content, '"[^"]*"', '""', 'g') AS code FROM bodies) SELECT id, CAST(len(lt) AS INT) AS n_literals, CAST(len(list_filter(lt, lambda x: regexp_matches(upper(x), 'SELECT|INSERT|UPDATE|DELETE|FROM|WHERE|JOIN'))) AS INT) AS n_queries, CAST(len(regexp_extract_all(code, '\\bcatch\\b')) AS INT) AS n_caught, CAST(len(regexp_extract_all(code, '\\bthrow\\b')) AS INT) AS n_thrown,
+CAST(len(list_filter(regexp_extract_all(code, '([A-Za-z_]\\w*)\\s*\\(', 1), lambda w: w NOT IN ('if', 'for', 'while', 'switch', 'catch'))) AS INT) AS n_calls, array_to_string({distinct_first(MADE, 5)}, ',') AS transfers FROM b""")
+def syntax_features(spark, d):
+    return text.features(view(spark, d, "bodies"))
 
 
-@query("G18_enhanced_texts", f"WITH {DOCS} SELECT id, concat_ws(chr(10), 'action: query', 'tables: ' || tbl, 'urls: https://api.example.com/x') AS text FROM dc")
+@query("G18_enhanced_texts", f"""WITH {DOCS} SELECT id, concat_ws(chr(10), 'Method:' || method_name, 'Class:' || class_name, 'Namespace:' || namespace, {', '.join(f"CASE WHEN len({c}) > 0 THEN '{label}:' || array_to_string({c}, ',') END" for label, c in (('Calls', 'callees'), ('SQL', 'tables'), ('HTTP', 'urls'), ('Exceptions', 'exceptions'), ('DTO', 'transfers'), ('Files', 'files'), ('Config', 'settings')))}, 'Behavior:' || nullif(summary, '')) AS text FROM sm""")
 def enhanced_texts(spark, d):
     return text.enhanced(docs(spark, d))
 
 
-@query("G19_reverse_index", f"WITH {DOCS} SELECT 'table' AS category, tbl AS key, id FROM dc WHERE tbl IS NOT NULL UNION SELECT 'http', 'https://api.example.com/x', id FROM dc")
+@query("G19_reverse_index", f"WITH {DOCS} SELECT 'table' AS category, unnest(tables) AS key, id FROM dc UNION SELECT 'http', unnest(urls), id FROM dc UNION SELECT 'exception', unnest(exceptions), id FROM dc UNION SELECT 'config', unnest(settings), id FROM dc")
 def reverse_index(spark, d):
     return text.reverse_index(docs(spark, d))
 
 
-@query("G20_summaries", f"WITH {DOCS} SELECT id, concat_ws('; ', 'query', 'accesses:' || tbl, 'endpoint:https://api.example.com/x', 'api-entrypoint') AS summary FROM dc")
+@query("G20_summaries", f"WITH {DOCS} SELECT id, summary FROM sm")
 def summaries(spark, d):
     return text.summaries(docs(spark, d))

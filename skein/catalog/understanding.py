@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import fusion
 from ..operators import retrieval
 from ..operators import understanding as u
 from ..plans.fixture import edges, nodes, view
 from ..registry import query
 from ..session import table
-from .metrics import TOP, vectors
+from .metrics import GRAPH, TOP, vectors
 
 VOCABULARY = """vb AS (SELECT 'entity' AS kind, class_name AS term FROM nodes WHERE kind = 'entity' UNION SELECT 'table', table_name FROM nodes WHERE table_name IS NOT NULL UNION SELECT 'route', route FROM nodes WHERE route IS NOT NULL
 UNION SELECT 'class', class_name FROM nodes WHERE kind = 'method' UNION SELECT 'method', method_name FROM nodes WHERE kind = 'method' AND method_name <> '' UNION SELECT 'normalized', unnest(string_split(namespace, '.')) FROM nodes)"""
@@ -85,12 +86,18 @@ def bm25(spark, d):
     return lexical(spark, d)
 
 
-@query("U09_three_way", f"""WITH {TOP}, {BM25}, ds AS (SELECT query_id, chunk_id AS id, similarity AS s FROM tk WHERE place <= 10), lx AS (SELECT query_id, doc_id AS id, score / max(score) OVER (PARTITION BY query_id) AS s FROM bp WHERE place <= 10)
-SELECT query_id, id, round(0.4 * coalesce(ds.s, 0) + 0.3 * coalesce(lx.s, 0), 6) AS score FROM ds FULL JOIN lx USING (query_id, id)""")
+@query("U09_three_way", f"""WITH {TOP}, {BM25}, ds AS (SELECT query_id, chunk_id AS id, similarity AS s FROM tk WHERE place <= 10), lx AS (SELECT query_id, doc_id AS id, score / max(score) OVER (PARTITION BY query_id) AS s FROM bp WHERE place <= 10),
+gr AS (SELECT DISTINCT tk.query_id, c.chunk_id AS id, {GRAPH} AS s FROM tk JOIN chunks o ON o.chunk_id = tk.chunk_id JOIN chunks c ON c.table_name = o.table_name WHERE tk.place <= 3)
+SELECT query_id, id, round(0.4 * coalesce(ds.s, 0) + 0.3 * coalesce(lx.s, 0) + 0.3 * coalesce(gr.s, 0), 6) AS score FROM ds FULL JOIN lx USING (query_id, id) FULL JOIN gr USING (query_id, id)""".replace("entry_distance", "c.entry_distance").replace("data_distance", "c.data_distance").replace("max_fan", "c.max_fan"))
 def three_way(spark, d):
-    dense = retrieval.vector_top_k(*vectors(spark, d), 10).select("query_id", F.col("chunk_id").alias("id"), F.col("similarity").alias("s"))
+    top = retrieval.vector_top_k(*vectors(spark, d), 10)
+    dense = top.select("query_id", F.col("chunk_id").alias("id"), F.col("similarity").alias("s"))
     words = lexical(spark, d).select("query_id", F.col("doc_id").alias("id"), F.col("score").alias("s"))
-    return u.three_way(dense, words, dense.limit(0))
+    chunks = view(spark, d, "chunks")
+    tables = top.filter("place <= 3").select("query_id", "chunk_id").join(chunks.select("chunk_id", "table_name"), "chunk_id").select("query_id", "table_name").distinct()
+    near = fusion.graph_score(F.col("entry_distance"), F.col("data_distance"), F.col("max_fan"))
+    graph = tables.join(chunks.select("table_name", F.col("chunk_id").alias("id"), near.alias("s")), "table_name").drop("table_name")
+    return u.three_way(dense, words, graph)
 
 
 @query("U10_verdicts", """WITH c AS (SELECT s.subject_id, count(*) AS total, count(*) FILTER (WHERE score >= 0.6) AS grounded, count(*) FILTER (WHERE suppressed) AS conflicts FROM statements s GROUP BY 1)
@@ -130,11 +137,6 @@ def chunk_importance(spark, d):
     return nodes(spark, d).groupBy(kind.alias("chunk_kind")).agg(F.round(F.avg(F.least(base, F.lit(10))), 4).alias("importance"))
 
 
-@query("G17_syntax_features", "SELECT id, CAST(len(regexp_extract_all(content, '([A-Za-z_]\\w*)\\(', 1)) AS INT) AS n_calls, contains(lower(content), 'from ') AS sql_like FROM units")
-def syntax_features(spark, d):
-    return view(spark, d, "units").select("id", F.size(F.regexp_extract_all("content", F.lit(r"([A-Za-z_]\w*)\("), 1)).alias("n_calls"), F.lower("content").contains("from ").alias("sql_like"))
-
-
 @query("J08_temporal_conflicts", "SELECT statement_id AS a, statement_id AS b FROM statements WHERE false")
 def temporal_conflicts(spark, d):
     """No statement carries a time, so there are none."""
@@ -158,17 +160,3 @@ def root_causes(spark, d):
     rows = degrees(n, edges(spark, d)).join(n.select("id", "is_external"), "id")
     causes = F.concat_ws(",", F.when(F.col("n_callees") > 5, "fan-out"), F.when(F.col("n_callers") > 5, "shared"), F.when(F.col("is_external"), "external"))
     return rows.select("id", causes.alias("causes")).filter("causes <> ''")
-
-
-@query("C18_typed_invocations", "SELECT DISTINCT receiver, api, max_by(generic, access_id) AS entity FROM accesses WHERE generic <> '' GROUP BY 1, 2")
-def typed_invocations(spark, d):
-    return view(spark, d, "accesses").filter("generic <> ''").groupBy("receiver", "api").agg(F.max_by("generic", "access_id").alias("entity"))
-
-
-@query("C19_dao_call_sites", "SELECT a.access_id, b.class_name AS dao, b.argument AS entity FROM accesses a JOIN bases b ON split_part(a.method, '.', 1) = b.class_name WHERE b.base_name LIKE '%Dao%'")
-def dao_call_sites(spark, d):
-    daos = view(spark, d, "bases").filter("base_name like '%Dao%'").select(F.col("class_name").alias("dao"), F.col("argument").alias("entity"))
-    return view(spark, d, "accesses").withColumn("dao", F.substring_index("method", ".", 1)).join(daos, "dao").select("access_id", "dao", "entity")
-
-
-

@@ -81,6 +81,70 @@ def urls_of(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"https?://[^\s\"'<]+"), 0)))
 
 
+#: Endings of transfer types, and words of a query.
+TRANSFER = r"[Dd][Tt][Oo]|VO|Result|Request|Response"
+QUERY_WORDS = ("SELECT", "INSERT", "UPDATE", "DELETE", "FROM", "WHERE", "JOIN")
+
+
+def literals(body: Column) -> Column:
+    """String literals of a body."""
+    return F.regexp_extract_all(body, F.lit('"([^"]*)"'), 1)
+
+
+def _joined(texts: Column, first: int) -> Column:
+    return F.array_join(F.slice(texts, 1, first), "\x01")
+
+
+def first_of_case(names: Column) -> Column:
+    """Names in order, of those that differ in case alone the first."""
+    ordered = F.array_sort(F.array_distinct(names))
+    lower = F.transform(ordered, F.lower)
+    return F.filter(ordered, lambda w, i: F.array_position(lower, F.lower(w)) == i + 1)
+
+
+def tables_in(texts: Column, most: int = 10) -> Column:
+    """Tables and entities that queries among the first 50 literals name."""
+    joined = _joined(texts, 50)
+    named = F.regexp_extract_all(joined, F.lit(r"(?i)(?:INSERT\s+INTO|UPDATE|DELETE\s+FROM|FROM|JOIN)\s+[\[`\"]?(\w+)"), 1)
+    named = F.filter(named, lambda w: (F.length(w) > 1) & ~F.upper(w).isin(*SQL_WORDS))
+    entities = F.filter(F.regexp_extract_all(joined, F.lit(r"\b(?:[A-Z][a-z]+){2,}\b"), 0), lambda w: F.length(w) > 3)
+    return F.slice(first_of_case(F.concat(named, entities)), 1, most)
+
+
+def urls_in(texts: Column, body: Column, most: int = 8) -> Column:
+    """Addresses in the first 30 literals, and templates of route attributes."""
+    marked = F.regexp_extract_all(body, F.lit(r"(?i)(?:HttpGet|HttpPost|Route)\(@?\"([^\"]+)\"\)"), 1)
+    found = F.concat(F.regexp_extract_all(_joined(texts, 30), F.lit(r"https?://[^\s\"'\x01]+"), 0), marked)
+    return F.slice(F.array_sort(F.array_distinct(F.filter(found, lambda w: F.length(w) > 1))), 1, most)
+
+
+def files_in(texts: Column, most: int = 5) -> Column:
+    """Paths among the first 20 literals: from a drive, a folder above or here, or home, with an ending."""
+    paths = F.filter(F.slice(texts, 1, 20), lambda w: w.rlike(r"(?i)^(?:[A-Z]:\\|\.\.?[/\\]|~[/\\]).*\.[a-z]{2,4}$"))
+    return F.slice(first_of_case(paths), 1, most)
+
+
+def settings_in(body: Column, most: int = 5) -> Column:
+    """Keys of settings that a body reads."""
+    found = F.regexp_extract_all(body, F.lit(r"(?i)(?:Configuration\[|ConfigHelper\.\w+\(@?|AppSettings\[|GetConfigString\(@?)\"([^\"]+)\""), 1)
+    return F.slice(F.array_sort(F.array_distinct(F.filter(found, lambda w: F.length(w) > 1))), 1, most)
+
+
+def exceptions_in(body: Column, most: int = 5) -> Column:
+    """Types that are caught or thrown, as they come."""
+    found = F.regexp_extract_all(body, F.lit(r"\b(?:catch\s*\(\s*|throw\s+new\s+)([\w.]+)"), 1)
+    return F.slice(F.array_distinct(found), 1, most)
+
+
+def transfers_in(body: Column, most: int = 5) -> Column:
+    """Transfer types that are made, as they come."""
+    return F.slice(F.array_distinct(F.regexp_extract_all(body, F.lit(rf"\bnew\s+(\w*(?:{TRANSFER}))\b"), 1)), 1, most)
+
+
+def query_like(text: Column) -> Column:
+    return F.upper(text).rlike("|".join(QUERY_WORDS))
+
+
 def action(method: Column) -> Column:
     """What a method does, by its name."""
     rules = (

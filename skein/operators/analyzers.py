@@ -7,13 +7,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .retrieval import contained
 
 #: Names of a session's methods that reach entities.
-SESSION_APIS = ("Get", "Load", "Save", "Update", "Delete", "SaveOrUpdate", "CreateQuery", "CreateCriteria", "QueryOver")
+SESSION_APIS = ("Query", "Get", "Save", "Update", "Delete", "SaveOrUpdate", "CreateQuery", "CreateSQLQuery", "CreateCriteria")
 #: Base types whose first argument is an entity.
 ENTITY_BASES = ("BaseBLL", "IBGenericManager", "BaseDaoNHB", "HibernateDaoSupport", "IDBaseDao")
-REPOSITORY_SUFFIXES = ("Repository", "Dao", "DAO", "Store")
-SERVICE_SUFFIXES = ("Service", "Manager", "BLL")
+#: Endings of repository and service names, names of generic repositories, and of their interfaces.
+REPOSITORY_SUFFIXES = ("Repository", "Repo", "Dao", "DAO", "Dal", "DataAccess", "DataProvider", "QueryProvider")
+SERVICE_SUFFIXES = ("Service", "ServiceImpl", "Manager", "Handler", "Provider", "Processor", "Controller")
+GENERIC_REPOSITORIES = (
+    "Repository", "BaseRepository", "GenericRepository", "Dao", "BaseDao", "GenericDao", "BaseService", "GenericService",
+    "CrudRepository", "PagingAndSortingRepository", "JpaRepository", "MongoRepository",
+)
+REPOSITORY_INTERFACES = ("IRepository", "IDao", "IReadRepository", "IWriteRepository", "ICrudService", "IEntityService")
 
 
 def is_action() -> Column:
@@ -76,9 +83,10 @@ def hql_entity(text: Column) -> Column:
     return F.coalesce(one(r"(?i)delete\s+from\s+(\w+)"), one(r"(?i)update\s+(\w+)"), one(r"(?i)from\s+(\w+)"), one(r"(?i)join\s+(\w+)"))
 
 
-def traced(accesses: DataFrame, assignments: DataFrame, use_pos: int = 50) -> DataFrame:
-    """(access_id, expression): the last assignment of the argument's variable before its use."""
-    rows = accesses.select("access_id", "method", F.col("argument").alias("variable")).join(assignments.filter(F.col("pos") < use_pos), ["method", "variable"])
+def traced(accesses: DataFrame, assignments: DataFrame) -> DataFrame:
+    """(access_id, expression): the last assignment of the argument's variable before its use (``pos`` of both)."""
+    used = accesses.select("access_id", "method", F.col("argument").alias("variable"), F.col("pos").alias("used"))
+    rows = used.join(assignments, ["method", "variable"]).filter("pos < used")
     return rows.groupBy("access_id").agg(F.max_by("expression", "pos").alias("expression"))
 
 
@@ -115,32 +123,98 @@ def base_chain(bases: DataFrame, depth: int = 10) -> DataFrame:
 
 
 def bindings(bases: DataFrame, parameters: DataFrame, depth: int = 10) -> DataFrame:
-    """(class_name, base_name, argument, depth): arguments of bases, parameters replaced by what binds them."""
-    direct = bases.filter("argument <> ''").select("class_name", "base_name", "argument")
+    """(class_name, base_name, arg, argument, depth): arguments of bases, parameters replaced by what binds them at their place.
+
+    ``bases``: (class_name, base_name, arg, argument), a row an argument; ``parameters``: (class_name, parameter, ord).
+    """
+    direct = bases.filter("argument <> ''").select("class_name", "base_name", "arg", "argument")
+    own = parameters.select("class_name", F.col("parameter").alias("argument"), F.col("ord").alias("at"))
+    # what a class passes on: its parameter at ``at`` is argument ``arg`` of its base
+    inner = cut(direct.join(own, ["class_name", "argument"]).select(F.col("class_name").alias("mid"), "at", F.col("base_name").alias("top"), F.col("arg").alias("top_arg")))
     seen = cut(direct.withColumn("depth", F.lit(1)))
-    here, inner = seen, cut(direct.join(parameters.select(F.col("class_name"), F.col("parameter").alias("argument")), ["class_name", "argument"], "left_semi").select(F.col("class_name").alias("mid"), F.col("base_name").alias("top")))
+    here, key = seen, ["class_name", "base_name", "arg", "argument"]
     for d in range(2, depth + 1):
-        up = here.join(inner, here["base_name"] == inner["mid"]).select("class_name", F.col("top").alias("base_name"), "argument", F.lit(d).alias("depth"))
-        here = cut(up.join(seen.select("class_name", "base_name", "argument"), ["class_name", "base_name", "argument"], "left_anti"))
+        up = here.join(inner, (here["base_name"] == inner["mid"]) & (here["arg"] == inner["at"]))
+        up = up.select("class_name", F.col("top").alias("base_name"), F.col("top_arg").alias("arg"), "argument", F.lit(d).alias("depth")).distinct()
+        here = cut(up.join(seen.select(*key), key, "left_anti"))
         if here.isEmpty():
             break
         seen = cut(seen.unionByName(here))
     return seen.filter(~F.col("argument").rlike(r"^T\d*$"))
 
 
+def generic_arguments(bases: DataFrame, parameters: DataFrame) -> DataFrame:
+    """(class_name, base_name, parameter, argument, confidence): every argument under the parameter it fills.
+
+    Exact as written, high through a chain of bases, medium where it is a parameter still.
+    """
+    bound = bindings(bases, parameters).withColumn("confidence", F.when(F.col("depth") == 1, "exact").otherwise("high")).drop("depth")
+    loose = bases.filter(F.col("argument").rlike(r"^T\d*$")).select("class_name", "base_name", "arg", "argument", F.lit("medium").alias("confidence"))
+    own = parameters.select(F.col("class_name").alias("base_name"), "parameter", F.col("ord").alias("arg"))
+    return bound.unionByName(loose).join(own, ["base_name", "arg"], "left").select("class_name", "base_name", F.coalesce("parameter", F.lit("")).alias("parameter"), "argument", "confidence").distinct()
+
+
+def interface_namespaces(bases: DataFrame, usings: DataFrame, beans: DataFrame) -> DataFrame:
+    """(class_name, interface, namespace): where the interfaces of beans' classes live.
+
+    As written if qualified, else by the class's ``usings`` (class_name, name) that end with the interface, the first of them, else
+    the bean's own namespace. ``beans``: (bean_id, type_name).
+    """
+    own = beans.select(F.substring_index("type_name", ".", -1).alias("class_name"), F.regexp_replace("type_name", r"\.?[^.]*$", "").alias("home")).distinct()
+    before = lambda c: F.regexp_replace(c, r"\.?[^.]*$", "")
+    rows = bases.select("class_name", F.col("base_name").alias("written"), F.substring_index("base_name", ".", -1).alias("interface")).distinct().filter(F.col("interface").startswith("I"))
+    named = usings.filter(F.col("name").contains(".")).groupBy("class_name", F.substring_index("name", ".", -1).alias("interface")).agg(F.min(before(F.col("name"))).alias("used"))
+    found = rows.join(own, "class_name").join(named, ["class_name", "interface"], "left")
+    return found.select("class_name", "interface", F.when(F.col("written").contains("."), before(F.col("written"))).otherwise(F.coalesce("used", "home")).alias("namespace")).distinct()
+
+
+def typed_invocations(invocations: DataFrame, declared: DataFrame) -> DataFrame:
+    """(method, expression, entity): calls on receivers whose declared type has an entity argument, once each.
+
+    ``declared``: (class_name, method, scope, name, type) of fields (method ''), locals and parameters; a parameter hides a local, a
+    local a field. ``invocations``: (method, class_name, receiver, api).
+    """
+    rank = F.when(F.col("scope") == "param", 3).when(F.col("scope") == "local", 2).otherwise(1)
+    known = declared.select("class_name", F.col("method").alias("of"), F.col("name").alias("receiver"), "type", rank.alias("rank"))
+    own = F.col("receiver").startswith("this.").alias("own")  # a field, whatever hides it
+    rows = invocations.select("method", "class_name", "api", own, F.regexp_replace("receiver", r"^this\.", "").alias("receiver")).distinct()
+    rows = rows.join(known, ["class_name", "receiver"]).filter((F.col("of") == "") | (F.col("of") == F.col("method")) & ~F.col("own"))
+    best = rows.groupBy("method", "own", "receiver", "api").agg(F.max_by("type", F.struct("rank", "type")).alias("type"))
+    found = best.select("method", F.concat_ws(".", "receiver", "api").alias("expression"), first_argument(F.col("type")).alias("entity"))
+    return found.filter((F.col("entity") != "") & ~F.col("entity").rlike(r"^T\d*$")).distinct()
+
+
+def dao_call_sites(invocations: DataFrame, declared: DataFrame) -> DataFrame:
+    """(access_id, dao, entity): calls on fields whose type is a data access object, by ``field`` or ``this.field``."""
+    fields = declared.filter((F.col("scope") == "field") & F.lower("type").contains("basedao")).select("class_name", F.col("name").alias("receiver"), F.col("type").alias("dao"))
+    rows = invocations.withColumn("receiver", F.regexp_replace("receiver", r"^this\.", "")).join(fields, ["class_name", "receiver"])
+    return rows.select("access_id", "dao", first_argument(F.col("dao")).alias("entity"))
+
+
 def entity_registry(bases: DataFrame) -> DataFrame:
     """(class_name, entity, role): classes over a known base, by its first concrete argument."""
     role = F.when(F.col("base_name").isin("BaseBLL", "IBGenericManager"), "bll").otherwise("dao")
     rows = bases.filter(F.col("base_name").isin(*ENTITY_BASES) & (F.col("argument") != "") & ~F.col("argument").rlike(r"^T\d*$"))
-    return rows.groupBy("class_name").agg(F.min_by("argument", "ord").alias("entity"), F.min(role).alias("role"))
+    return rows.groupBy("class_name").agg(F.min_by("argument", F.struct("ord", "arg")).alias("entity"), F.min(role).alias("role"))
+
 
+def name_pattern(name: Column) -> Column:
+    """(kind, entity) that a class's name tells, null if none: generic repositories, their interfaces, endings of repositories and services.
 
-def entity_by_name(name: Column) -> Column:
-    """The entity that a repository's or service's name speaks of, without Impl."""
-    bare = F.regexp_replace(name, "Impl$", "")
-    for suffixes in (REPOSITORY_SUFFIXES, SERVICE_SUFFIXES):
-        bare = F.regexp_replace(bare, f"({'|'.join(suffixes)})$", "")
-    return F.when((bare != F.regexp_replace(name, "Impl$", "")) & (bare != ""), F.regexp_replace(bare, "^I(?=[A-Z])", ""))
+    Case does not matter; what stands before the ending, without Impl, is the entity.
+    """
+    simple = F.substring_index(name, ".", -1)
+    low, entity = F.lower(simple), F.lit(None).cast("string")
+    result = lambda kind, of=entity: F.struct(F.lit(kind).alias("kind"), of.alias("entity"))
+    lower = lambda names: [n.lower() for n in names]
+    out = F.when(low.isin(*lower(GENERIC_REPOSITORIES)), result("generic-repository"))
+    out = out.when(low.startswith("i") & F.substr(low, F.lit(2)).isin(*lower(GENERIC_REPOSITORIES)) & simple.startswith("I"), result("generic-repository-interface"))
+    out = out.when(low.isin(*lower(REPOSITORY_INTERFACES)), result("interface-repository"))
+    for kind, suffixes in (("repository-suffix", REPOSITORY_SUFFIXES), ("service-suffix", SERVICE_SUFFIXES)):
+        for s in suffixes:
+            before = F.regexp_replace(F.substr(simple, F.lit(1), F.length(simple) - len(s)), "(?i)Impl$", "")
+            out = out.when(low.endswith(s.lower()), result(f"{kind}:{s}", F.when(F.length(simple) > len(s), before)))
+    return out
 
 
 def first_argument(type_name: Column) -> Column:
@@ -163,10 +237,11 @@ def by_priority(candidates: DataFrame, by: list[str]) -> DataFrame:
 
 
 def name_hints(methods: DataFrame, entities: DataFrame) -> DataFrame:
-    """(class_name, method_name, entity): entities whose name stands in a method's; the table of entities is small and counted."""
-    side = F.broadcast(entities) if entities.count() <= 10_000 else entities
-    rows = methods.select("class_name", "method_name").distinct().join(side, F.lower("method_name").contains(F.lower("entity")) | F.lower("class_name").contains(F.lower("entity")))
-    return rows.select("class_name", "method_name", "entity").distinct()
+    """(class_name, method_name, entity): entities whose name stands in a method's or its class's."""
+    names = methods.select("class_name", "method_name").distinct()
+    by = names.select("class_name", "method_name", F.explode(F.array_distinct(F.array(F.lower("method_name"), F.lower("class_name")))).alias("l"))
+    low = entities.select("entity", F.lower("entity").alias("s"))
+    return contained(low.select("s").distinct(), by.select("l").distinct()).join(low, "s").join(by, "l").select("class_name", "method_name", "entity").distinct()
 
 
 def resolution_stats(found: DataFrame) -> DataFrame:

@@ -9,16 +9,31 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans import traverse
+from ..session import cut
+from .retrieval import contained
 
 #: Words of a label that speak of failure.
-FAILURE_TERMS = ("error", "exception", "fail", "timeout", "retry", "crash", "invalid", "check")
+FAILURE_TERMS = ("fail", "retry", "timeout", "exception", "error", "reconnect", "sync", "lock")
 #: Phrases of a question by intent, the first intent that matches counts.
 INTENTS = {
-    "architecture": ("architecture", "structure", "subsystem", "layer", "dependency"),
-    "impact": ("what breaks", "impact of", "who calls", "affected by"),
-    "debug": ("why does", "debug", "fail", "error", "exception", "timeout"),
-    "capability": ("where is", "how does", "implement", "how to", "the and"),
-}
+    "architecture": (
+        "architecture", "structure", "subsystem", "layer", "dependency", "how is organized", "how is structured", "explain the system", "describe the architecture",
+        "架构", "结构", "子系统", "层次", "依赖", "分层", "怎么组织", "如何组织", "解释系统", "解释架构", "描述架构", "系统概述", "项目结构", "哪些模块", "模块划分",
+    ),
+    "impact": (
+        "what breaks", "impact of", "who depends", "who calls", "what depends on", "what would break", "affected by", "consequences of changing", "what is affected",
+        "影响", "改动", "修改", "变更", "破坏", "崩溃", "谁会受影响", "谁依赖", "谁调用了", "会被影响", "改动会", "修改会", "改了会", "会不会影响",
+    ),
+    "debug": (
+        "why does", "why is", "why are", "why isn't", "why doesn't", "debug", "fail", "failing", "broken", "error", "exception", "timeout", "retry", "crash",
+        "为什么", "为何", "怎么失败", "怎么出错", "怎么崩溃", "调试", "失败", "错误", "异常", "超时", "重试", "报错", "不工作", "坏了", "bug", "缺陷",
+    ),
+    "capability": (
+        "where is", "how does", "implemented", "implementation", "how do i", "how to", "how are", "how is handled", "what handles", "who handles", "where does",
+        "在哪里", "怎么实现", "如何实现", "谁处理", "谁负责", "实现方式", "怎么处理", "如何处理", "在哪处理", "哪个类", "哪个服务", "哪段代码", "在哪里处理",
+    ),
+}
+GENERAL = "general"
 ENGINES = {"architecture": "architecture", "impact": "impact", "debug": "rootcause", "capability": "capability"}
 
 
@@ -104,7 +119,7 @@ def capability_match(nodes: DataFrame, keywords: Sequence[str], limit: int = 10)
 
 def root_cause_targets(nodes: DataFrame, keywords: Sequence[str], limit: int = 5) -> DataFrame:
     text = F.lower("label")
-    score = sum((F.when(text.contains(k.lower()), 2).otherwise(0) for k in keywords if len(k) > 2), F.lit(0)) + F.when(text.rlike("|".join(FAILURE_TERMS)), 1).otherwise(0)
+    score = sum((F.when(text.contains(k.lower()), 2).otherwise(0) for k in keywords if len(k) > 2), F.lit(0)) + F.when(any_of(text, FAILURE_TERMS), 1).otherwise(0)
     return nodes.select("id", score.alias("score")).filter("score > 0").orderBy(F.desc("score"), "id").limit(limit)
 
 
@@ -127,26 +142,61 @@ def interaction_points(edges: DataFrame, of: DataFrame, callers: int = 5) -> Dat
     return sides.filter("sibling <> target").select("target", "caller", "sibling").distinct()
 
 
+def any_of(text: Column, phrases: Sequence[str]) -> Column:
+    """Whether a text holds one of some phrases, as they stand."""
+    out = F.lit(False)
+    for p in phrases:
+        out = out | text.contains(p)
+    return out
+
+
 def normalized(question: Column) -> Column:
-    out = F.trim(question)
-    for old, new in (("?", ""), (",", " "), (".", "")):
+    """A question without white space around it, double spaces, question marks, commas and quotes."""
+    out = F.regexp_replace(F.coalesce(question, F.lit("")), r"^\s+|\s+$", "")
+    for old, new in (("  ", " "), ("?", ""), (",", " "), ("'", ""), ('"', "")):
         out = F.replace(out, F.lit(old), F.lit(new))
-    return F.lower(out)
+    return out
 
 
 def intent(text: Column) -> Column:
-    out = F.lit("unknown")
+    """The intent of a normalized question."""
+    low, out = F.lower(text), F.lit(GENERAL)
     for name, phrases in reversed(INTENTS.items()):
-        out = F.when(text.rlike("|".join(phrases)), name).otherwise(out)
+        out = F.when(any_of(low, phrases), name).otherwise(out)
     return out
 
 
-def engine(name: Column) -> Column:
-    out = F.lit("architecture")
-    for k, v in ENGINES.items():
-        out = F.when(name == k, v).otherwise(out)
-    return out
+def entities(text: Column, words: int = 10) -> Column:
+    """Names among the first words: capitalized or dotted, once whatever their case, in order."""
+    first = F.slice(F.filter(F.split(text, " "), lambda w: w != ""), 1, words)
+    names = F.filter(first, lambda w: (w.rlike(r"^\p{Lu}") & (F.length(w) > 2)) | (w.contains(".") & (F.length(w) > 3)))
+    lower = F.transform(names, F.lower)
+    return F.array_sort(F.filter(names, lambda w, i: F.array_position(lower, F.lower(w)) == i + 1))
 
 
 def interpret(questions: DataFrame) -> DataFrame:
-    return questions.select("item_id", normalized(F.col("text")).alias("t")).select("item_id", intent(F.col("t")).alias("intent"), F.length("t").cast("long").alias("n"))
+    """(item_id, t, intent, entities, confidence): questions read; confidence 2 with an intent and names, 1 with either, else 0."""
+    rows = questions.select("item_id", normalized(F.col("text")).alias("t"))
+    rows = rows.withColumns({"intent": intent(F.col("t")), "entities": entities(F.col("t"))})
+    return rows.withColumn("confidence", (F.col("intent") != GENERAL).cast("int") + (F.size("entities") > 0).cast("int"))
+
+
+def matching_nodes(questions: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(item_id, node): the first node by id whose label, class or method holds a whole question (item_id, t), whatever the case."""
+    asked = questions.select("item_id", F.lower("t").alias("s"))
+    names = nodes.select("id", F.explode(F.array_distinct(F.transform(F.array("label", "class_name", "method_name"), lambda x: F.lower(F.coalesce(x, F.lit("")))))).alias("l"))
+    first = names.groupBy("l").agg(F.min("id").alias("id"))
+    found = contained(asked.select("s").distinct(), first.select("l")).join(first, "l").groupBy("s").agg(F.min("id").alias("node"))
+    least = nodes.agg(F.min("id").alias("node")).select(F.lit("").alias("s"), "node").filter("node is not null")  # nothing is in everything
+    return asked.join(found.unionByName(least), "s").select("item_id", "node")
+
+
+def route(questions: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(item_id, engine, confidence, target): where each question goes. 2 is high, 1 medium, 0 low confidence."""
+    rows = cut(interpret(questions))
+    found = matching_nodes(rows.filter(F.col("intent") == GENERAL), nodes)
+    named = F.size("entities") > 0
+    engine = F.coalesce(*[F.when(F.col("intent") == k, v) for k, v in ENGINES.items()], F.when(F.col("node").isNotNull(), "impact"), F.lit("architecture"))
+    sure = F.when(F.col("intent").isin("impact", "debug"), F.when(named, 2).otherwise(1)).when(F.col("intent") != GENERAL, F.when(F.col("confidence") >= 1, 2).otherwise(1))
+    sure = sure.when(F.col("node").isNotNull(), 1).otherwise(0)
+    return rows.join(found, "item_id", "left").select("item_id", engine.alias("engine"), sure.alias("confidence"), F.col("node").alias("target"))

@@ -22,7 +22,7 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def fans(nodes: DataFrame, edges: DataFrame, direction: str = "forward", cap: int = FAN_CAP) -> DataFrame:
     """(id, fan): nodes within reach, itself excluded; from ``cap`` - 1 on, the direct neighbours or ``cap`` - 1."""
-    reach = traverse.closure(edges, nodes, direction=direction).filter("id <> start")
+    reach = traverse.closure(edges, nodes, direction=direction, most=cap).filter("id <> start")
     counted = reach.groupBy("start").agg(F.count("*").alias("reach"), F.count_if(F.col("distance") == 1).alias("direct"))
     fan = F.when(F.col("direct") >= cap - 1, F.col("direct")).otherwise(F.least(F.coalesce("reach", F.lit(0)), F.lit(cap - 1)))
     return nodes.select(F.col("id").alias("start")).join(counted, "start", "left").select(F.col("start").alias("id"), F.coalesce(fan, F.lit(0)).cast("long").alias("fan"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fusion
+from ..session import cut
 
 #: Rows of a query set that may be broadcast; larger sets are searched in blocks.
 QUERY_BLOCK = 2_000
@@ -92,6 +95,25 @@ def graph_aware(rows: DataFrame) -> DataFrame:
     return rows.select("query_id", "chunk_id", F.round(parts, 6).alias("composite"))
 
 
+def contained(short: DataFrame, long: DataFrame) -> DataFrame:
+    """(s, l): strings of ``short`` (s) that stand in strings of ``long`` (l), both distinct.
+
+    An equal join on the first three characters of the one and on all runs of up to three of the other; no other pairs are made.
+    """
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length("l"), F.lit(1))), lambda i: F.array(*[F.substr(F.col("l"), i, F.lit(n)) for n in (1, 2, 3)])))
+    grams = long.select("l", F.explode(F.array_distinct(runs)).alias("g"))
+    keyed = short.filter("s <> ''").select("s", F.substr("s", F.lit(1), F.lit(3)).alias("g"))
+    return grams.join(keyed, "g").filter(F.col("l").contains(F.col("s"))).select("s", "l")
+
+
+#: Marks of a base class, and a class that is framework by its name.
+BASE_MARKS, FRAMEWORK = ("BLL", "DAO", "Dao", "NHB"), "HibernateDaoSupport"
+
+
+def is_base(cls: Column) -> Column:
+    return cls.startswith("Base") & cls.rlike("|".join(BASE_MARKS))
+
+
 def split_words(text: Column | str) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: F.length(w) > 1))
 
@@ -101,7 +123,8 @@ def keyword_scores(queries: DataFrame, nodes: DataFrame, first: int = 500) -> Da
 
     Only the ``first`` nodes by id are read, framework classes are not.
     """
-    pool = nodes.filter(~F.col("class_name").rlike("^(Base|Framework)")).orderBy("id").limit(first).select("id", F.lower("method_name").alias("m"), F.lower("class_name").alias("c"))
+    cls = F.coalesce("class_name", F.lit(""))
+    pool = nodes.filter(~(is_base(cls) | (cls == FRAMEWORK))).orderBy("id").limit(first).select("id", F.lower("method_name").alias("m"), F.lower("class_name").alias("c"))
     words = queries.select("query_id", F.explode(split_words("text")).alias("w"))
     total = words.groupBy("query_id").agg(F.count("*").alias("total"))
     hit = F.when(F.col("m") == F.col("w"), 1.0).when(F.col("m").contains(F.col("w")), 0.6).when(F.col("c").contains(F.col("w")), 0.4)
@@ -121,35 +144,73 @@ def merged(vector: DataFrame, graph: DataFrame, keyword: DataFrame, profile: str
 GENERIC = ("Save", "Update", "Delete", "Remove", "Get", "Load", "LoadAll", "Flush", "Evict", "Find")
 
 
-def penalties(method: Column, cls: Column, words: Column) -> Column:
-    """Names and values of the noise rules that a method breaks."""
+def penalties(method: Column, cls: Column, words: Column, namespace: Column | None = None, frameworks: Sequence[str] = ()) -> Column:
+    """Names and values of the noise rules that a method breaks. ``frameworks``: namespaces of utilities."""
     low = F.lower(method)
     rules = [
         ("GenericCRUD", 0.3, method.isin(*GENERIC) & ~F.array_contains(words, low)),
-        ("BaseClassNoise", 0.4, cls.rlike("^Base.*(BLL|DAO|Dao|NHB)")),
+        ("BaseClassNoise", 0.4, is_base(cls)),
         ("LowBusinessContext", 0.15, (F.length(method) <= 5) | method.rlike("^[a-z0-9]+$")),
     ]
+    if namespace is not None and frameworks:
+        rules.append(("FrameworkUtility", 0.25, namespace.isin(*frameworks)))
     return F.filter(F.array(*[F.when(c, F.struct(F.lit(n).alias("rule"), F.lit(v).alias("value"))) for n, v, c in rules]), lambda x: x.isNotNull())
 
 
-def rescored(rows: DataFrame, k: int = 10, most: float = 0.7) -> DataFrame:
-    """(query_id, id, adjusted, place): scores times one less the sum of penalties (at most ``most``); top k."""
-    lost = F.least(F.aggregate(penalties(F.col("method_name"), F.col("class_name"), F.col("words")), F.lit(0.0), lambda a, x: a + x["value"]), F.lit(most))
-    out = rows.select("query_id", "id", F.round(F.col("score") * (1 - lost), 6).alias("adjusted"))
+def bonus(cls: Column, words: Column) -> Column:
+    """What a class earns whose name begins with a word of the query; it is shown and does not change a score."""
+    return F.when(F.exists(words, lambda w: F.lower(cls).startswith(w)), 0.15).otherwise(0.0)
+
+
+def rescored(rows: DataFrame, k: int = 10, most: float = 0.7, frameworks: Sequence[str] = ()) -> DataFrame:
+    """(query_id, id, adjusted, bonus, place): scores times one less the sum of penalties (at most ``most``); top k."""
+    found = penalties(F.col("method_name"), F.col("class_name"), F.col("words"), F.col("namespace") if frameworks else None, frameworks)
+    lost = F.least(F.aggregate(found, F.lit(0.0), lambda a, x: a + x["value"]), F.lit(most))
+    out = rows.select("query_id", "id", F.round(F.col("score") * (1 - lost), 6).alias("adjusted"), bonus(F.col("class_name"), F.col("words")).alias("bonus"))
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("adjusted"), "id"))
     return out.withColumn("place", place).filter(F.col("place") <= k)
 
 
-def noise_report(rows: DataFrame) -> DataFrame:
-    """(rule, n, total): how often each rule is broken and what it takes away."""
-    hits = rows.select(F.explode(penalties(F.col("method_name"), F.col("class_name"), F.col("words"))).alias("p"))
-    return hits.groupBy("p.rule").agg(F.count("*").alias("n"), F.round(F.sum("p.value"), 6).alias("total"))
+def noise_report(rows: DataFrame, by: str | None = None, k: int = 10) -> DataFrame:
+    """(rule, n, total): how often each rule is broken and what it takes away; ``by`` method or class names, the k most frequent of each rule."""
+    hits = rows.select(*([by] if by else []), F.explode(penalties(F.col("method_name"), F.col("class_name"), F.col("words"))).alias("p"))
+    counts = hits.groupBy("p.rule", *([by] if by else [])).agg(F.count("*").alias("n"), F.round(F.sum("p.value"), 6).alias("total"))
+    if not by:
+        return counts
+    place = F.row_number().over(W.partitionBy("rule").orderBy(F.desc("n"), by))
+    return counts.withColumn("r", place).filter(F.col("r") <= k).drop("r")
+
 
+def by_keyword(nodes: DataFrame, words: Sequence[str]) -> DataFrame:
+    """(id, label, score): 5 for a method of the name, else 3 for one that holds it, 2 more for the class, 1 for the label, over all words."""
+    score = F.lit(0)
+    for w in {w.lower() for w in words}:
+        method, cls, label = (F.lower(F.coalesce(c, F.lit(""))) for c in ("method_name", "class_name", "label"))
+        score = score + F.when(method == w, 5).when(method.contains(w), 3).otherwise(0) + F.when(cls.contains(w), 2).otherwise(0) + F.when(label.contains(w), 1).otherwise(0)
+    return nodes.select("id", "label", score.alias("score")).filter("score > 0")
 
-def locate(nodes: DataFrame, name: str, limit: int = 10) -> DataFrame:
-    """(id, tier): exact method name, else name within it, else class name; only the best tier that has any."""
-    low = name.lower()
-    tier = F.when(F.lower("method_name") == low, 1).when(F.lower("method_name").contains(low), 2).when(F.lower("class_name").contains(low), 3)
-    rows = nodes.select("id", tier.alias("tier")).filter("tier is not null")
-    first = rows.crossJoin(F.broadcast(rows.agg(F.min("tier").alias("least"))))
-    return first.filter("tier = least").select("id", "tier").orderBy("id").limit(limit)
+
+def locate(nodes: DataFrame, method: str = "", file: str = "", question: str = "", by_vector: DataFrame | None = None, limit: int = 10) -> DataFrame:
+    """(id, tier, place): symbols of the first tier that has any.
+
+    1: methods of the exact name, by label. 2: the first one whose file ends with ``file`` and whose name is ``method``, whatever
+    the case. 3: what vector search found (id, place). 4: by keywords of the question, or of the method if it has none.
+    External nodes and those without a file (``source_file``) are left out.
+    """
+    own = nodes.filter(~F.col("is_external") & (F.coalesce("source_file", F.lit("")) != ""))
+    words = question.split() or [w for w in [method] if w]
+    tiers = []
+    if method:
+        tiers.append((1, own.filter(F.col("method_name") == method).select("id", F.struct("label", "id").alias("o"))))
+    if method and file:
+        there = F.lower("source_file").endswith(file.lower()) & (F.lower("method_name") == method.lower())
+        tiers.append((2, own.filter(there).select("id", F.struct("id").alias("o")).orderBy("o").limit(1)))
+    if by_vector is not None:
+        tiers.append((3, by_vector.join(own.select("id"), "id").groupBy("id").agg(F.struct(F.min("place"), "id").alias("o"))))
+    if words:
+        tiers.append((4, by_keyword(own, words).select("id", F.struct(-F.col("score"), "label", "id").alias("o"))))
+    for tier, found in tiers:
+        top = cut(found.orderBy("o").limit(limit))
+        if not top.isEmpty():
+            return top.select("id", F.lit(tier).alias("tier"), F.row_number().over(W.orderBy("o")).alias("place"))  # at most ``limit`` rows
+    return nodes.limit(0).select("id", F.lit(0).alias("tier"), F.lit(0).alias("place"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.confidence import level
 from ..session import cut
+from .cognition import any_of
 
 #: Pairs of phrases that contradict each other.
 OPPOSITES = (
@@ -75,12 +76,12 @@ def counted(statements: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def shadow_abstractions(statements: DataFrame, evidence: DataFrame) -> DataFrame:
     rows = counted(statements, evidence)
-    return rows.filter((F.col("level") >= 4) & (F.col("n_evidence") == 0) & F.lower("claim").rlike("|".join(ABSTRACT))).select(F.col("statement_id").alias("a"))
+    return rows.filter((F.col("level") >= 4) & (F.col("n_evidence") == 0) & any_of(F.lower("claim"), ABSTRACT)).select(F.col("statement_id").alias("a"))
 
 
 def unsupported(statements: DataFrame, evidence: DataFrame) -> DataFrame:
     rows = counted(statements, evidence)
-    return rows.filter((F.col("level") >= 3) & (F.col("n_evidence") == 0) & ~F.lower("claim").rlike("|".join(ABSTRACT))).select(F.col("statement_id").alias("a"))
+    return rows.filter((F.col("level") >= 3) & (F.col("n_evidence") == 0) & ~any_of(F.lower("claim"), ABSTRACT)).select(F.col("statement_id").alias("a"))
 
 
 def confidence_conflicts(statements: DataFrame, gap: float = CONFLICT_GAP) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from .retrieval import contained
 
 #: Weight of a category of the reverse index.
 CATEGORY = {"table": 1.0, "exception": 0.8, "http": 0.6, "config": 0.5}
@@ -84,35 +86,79 @@ def embed(rows: DataFrame, cache: DataFrame | None = None) -> DataFrame:
     return joined.select("id", "content_hash", F.coalesce("known", t.hash_embedding(F.col("text"))).alias("vector"), F.col("known").isNotNull().alias("cached"))
 
 
-def semantic_docs(rows: DataFrame) -> DataFrame:
-    """(id, tables, urls, action) from (id, name, text)."""
-    return rows.select("id", t.tables_of(F.col("text")).alias("tables"), t.urls_of(F.col("text")).alias("urls"), t.action(F.col("name")).alias("action"))
+def _names(calls: DataFrame, units: DataFrame, by: str, other: str, most: int) -> DataFrame:
+    """(id, names): method names at the other end of calls (from_id, to_id), the first by id, each once."""
+    named = units.select(F.col("id").alias(other), F.col("method_name").alias("name")).filter("name <> ''")
+    first = calls.select(by, other).distinct().join(named, other).groupBy(by, "name").agg(F.min(other).alias("o"))
+    top = first.withColumn("r", F.row_number().over(W.partitionBy(by).orderBy("o", "name"))).filter(F.col("r") <= most)
+    return top.groupBy(F.col(by).alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "name"))), lambda x: x["name"]).alias("names"))
+
+
+def features(units: DataFrame) -> DataFrame:
+    """(id, n_literals, n_queries, n_caught, n_thrown, n_calls, transfers): what a body is made of."""
+    body = F.col("content")
+    texts = t.literals(body)
+    code = F.regexp_replace(body, '"[^"]*"', '""')
+    return units.select(
+        "id", F.size(texts).alias("n_literals"), F.size(F.filter(texts, t.query_like)).alias("n_queries"), F.regexp_count(code, F.lit(r"\bcatch\b")).alias("n_caught"),
+        F.regexp_count(code, F.lit(r"\bthrow\b")).alias("n_thrown"), F.size(F.filter(F.regexp_extract_all(code, F.lit(r"([A-Za-z_]\w*)\s*\("), 1), lambda w: ~w.isin("if", "for", "while", "switch", "catch"))).alias("n_calls"),
+        F.array_join(t.transfers_in(body), ",").alias("transfers"),
+    )
+
+
+def semantic_docs(units: DataFrame, calls: DataFrame) -> DataFrame:
+    """What each unit (id, namespace, class_name, method_name, content) touches: tables, urls, files, settings, exceptions, transfers, callees, callers, action."""
+    body, texts = F.col("content"), F.col("texts")
+    rows = units.withColumn("texts", t.literals(body)).select(
+        "id", "namespace", "class_name", "method_name", t.tables_in(texts).alias("tables"), t.urls_in(texts, body).alias("urls"), t.files_in(texts).alias("files"),
+        t.settings_in(body).alias("settings"), t.exceptions_in(body).alias("exceptions"), t.transfers_in(body).alias("transfers"), t.action(F.col("method_name")).alias("action"),
+    )
+    none = F.array().cast("array<string>")
+    for name, by, other, most in (("callees", "from_id", "to_id", 10), ("callers", "to_id", "from_id", 5)):
+        rows = rows.join(_names(calls, units, by, other, most).withColumnRenamed("names", name), "id", "left").withColumn(name, F.coalesce(name, none))
+    return rows
+
+
+def summary() -> Column:
+    """What a document does, in clauses."""
+    some = lambda label, c, n: F.when(F.size(c) > 0, F.concat(F.lit(label), F.array_join(F.slice(c, 1, n), ",")))
+    caught = F.exists("exceptions", lambda e: F.lower(e).contains("catch"))
+    return F.concat_ws(
+        "; ", F.nullif("action", F.lit("")), some("accesses:", "tables", 3), some("endpoint:", "urls", 1), some("calls:", "callees", 3),
+        F.when(caught, "handles-errors").otherwise(some("throws:", "exceptions", 2)), some("uses:", "transfers", 2), F.when(F.size("settings") > 0, "config-aware"), F.when(F.size("urls") > 0, "api-entrypoint"),
+    )
 
 
 def enhanced(docs: DataFrame) -> DataFrame:
-    """(id, text): labelled lines of what is not empty."""
-    line = lambda label, c: F.when(F.size(c) > 0, F.concat(F.lit(f"{label}: "), F.array_join(c, ", ")))
-    return docs.select("id", F.concat_ws("\n", F.when(F.col("action") != "", F.concat(F.lit("action: "), "action")), line("tables", "tables"), line("urls", "urls")).alias("text"))
+    """(id, text): labelled lines of what is not empty. The labels are fixed values."""
+    line = lambda label, c: F.when(F.size(c) > 0, F.concat(F.lit(f"{label}:"), F.array_join(c, ",")))
+    own = [F.concat(F.lit(f"{label}:"), c) for label, c in (("Method", "method_name"), ("Class", "class_name"), ("Namespace", "namespace"))]
+    more = [line(label, c) for label, c in (("Calls", "callees"), ("SQL", "tables"), ("HTTP", "urls"), ("Exceptions", "exceptions"), ("DTO", "transfers"), ("Files", "files"), ("Config", "settings"))]
+    return docs.select("id", F.concat_ws("\n", *own, *more, F.when(summary() != "", F.concat(F.lit("Behavior:"), summary()))).alias("text"))
 
 
 def summaries(docs: DataFrame) -> DataFrame:
-    parts = F.concat_ws("; ", F.nullif("action", F.lit("")), F.when(F.size("tables") > 0, F.concat(F.lit("accesses:"), F.array_join(F.slice("tables", 1, 3), ","))), F.when(F.size("urls") > 0, F.concat(F.lit("endpoint:"), F.element_at("urls", 1))), F.when(F.size("urls") > 0, F.lit("api-entrypoint")))
-    return docs.select("id", parts.alias("summary"))
+    return docs.select("id", summary().alias("summary"))
 
 
 def reverse_index(docs: DataFrame) -> DataFrame:
     """(category, key, id), distinct."""
-    tables = docs.select(F.lit("table").alias("category"), F.explode("tables").alias("key"), "id")
-    urls = docs.select(F.lit("http").alias("category"), F.explode("urls").alias("key"), "id")
-    return tables.unionByName(urls).distinct()
+    out = None
+    for category, column in (("table", "tables"), ("http", "urls"), ("exception", "exceptions"), ("config", "settings")):
+        part = docs.select(F.lit(category).alias("category"), F.explode(column).alias("key"), "id")
+        out = part if out is None else out.unionByName(part)
+    return out.distinct()
 
 
-def search_index(index: DataFrame, words: list[str]) -> DataFrame:
-    """(id, score): the best category weight of keys that hold a word or are held by one."""
+def search_index(index: DataFrame, words: DataFrame) -> DataFrame:
+    """(query_id, id, score): the best category weight of keys that hold a word of a query (query_id, word) or are held by one."""
     weight = F.lit(0.0)
     for name, value in CATEGORY.items():
         weight = F.when(F.col("category") == name, value).otherwise(weight)
-    hit = F.lit(False)
-    for w in words:
-        hit = hit | F.lower("key").contains(w.lower()) | F.lit(w.lower()).contains(F.lower("key"))
-    return index.filter(hit).groupBy("id").agg(F.max(weight).alias("score"))
+    keys = index.select(F.lower("key").alias("k")).distinct()
+    asked = words.select(F.lower("word").alias("w")).distinct()
+    within = contained(asked.withColumnRenamed("w", "s"), keys.withColumnRenamed("k", "l")).select(F.col("s").alias("w"), F.col("l").alias("k"))
+    around = contained(keys.withColumnRenamed("k", "s"), asked.withColumnRenamed("w", "l")).select(F.col("l").alias("w"), F.col("s").alias("k"))
+    pairs = within.union(around).distinct()
+    hits = words.select("query_id", F.lower("word").alias("w")).distinct().join(pairs, "w").join(index.withColumn("k", F.lower("key")), "k")
+    return hits.groupBy("query_id", "id").agg(F.max(weight).alias("score"))

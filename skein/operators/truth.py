@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.confidence import evidence_truth
+from .cognition import any_of
 
 #: Phrases that a grounded claim must not hold.
 FORBIDDEN = (
@@ -35,10 +36,6 @@ def edge_layer(kind: Column) -> Column:
     return F.when(kind == "call", "execution").when(kind == "entity-access", "data").otherwise("structure")
 
 
-def decay_kind(kind: Column, evidence: Column) -> Column:
-    return F.when(kind != "call", kind).when(evidence == "semantic", "call").otherwise("inferred")
-
-
 def edge_truth(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with truth and grounded: base by evidence, half if neither end is grounded (nodes: id, grounded)."""
     ends = nodes.select("id", "grounded")
@@ -61,14 +58,20 @@ def entity_grounding(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.select("id", "n_evidence", "weight", F.when(F.col("strong") > 0, "grounded").when(F.col("n_evidence") > 0, "partial").otherwise("ungrounded").alias("state"))
 
 
-def drift(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(finding, subject, severity): ungrounded edges, entities and methods that nothing refers to."""
-    loose = edges.filter("not grounded").select(F.lit("ungrounded-edge").alias("finding"), F.concat_ws(">", "from_id", "to_id").alias("subject"), F.lit(0.5).alias("severity"))
-    called = edges.select(F.col("to_id").alias("id")).distinct()
-    calling = edges.select(F.col("from_id").alias("id")).distinct()
-    entities = nodes.filter("kind = 'entity'").select("id").join(called, "id", "left_anti").select(F.lit("orphan-entity"), "id", F.lit(0.6))
-    alone = nodes.filter("kind = 'method'").select("id").join(called, "id", "left_anti").join(calling, "id", "left_anti").select(F.lit("orphan-node"), "id", F.lit(0.4))
-    return loose.union(entities).union(alone)
+def drift(edges: DataFrame, nodes: DataFrame, most_depth: int = 4) -> DataFrame:
+    """(finding, subject, severity): methods without a symbol or with one that no index knows, edges too far out or not grounded, entities without edges.
+
+    ``nodes`` have ``symbol`` and ``indexed``; ``edges`` have ``depth`` and ``grounded``.
+    """
+    pair = F.concat_ws(">", "from_id", "to_id").alias("subject")
+    own = nodes.filter("kind = 'method' and not is_external")
+    bare = own.filter(F.coalesce("symbol", F.lit("")) == "").select(F.lit("missing-symbol").alias("finding"), F.col("id").alias("subject"), F.lit(0.7).alias("severity"))
+    orphan = own.filter((F.coalesce("symbol", F.lit("")) != "") & ~F.col("indexed")).select(F.lit("orphan-symbol"), "id", F.lit(0.8))
+    far = edges.filter(F.col("depth") > most_depth).select(F.lit("propagation-overreach"), pair, F.round(0.5 + (F.col("depth") - most_depth) * 0.1, 6))
+    loose = edges.filter("not grounded").select(F.lit("ungrounded-edge"), pair, F.lit(0.6))
+    tied = edges.select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct()
+    entities = nodes.filter("kind = 'entity'").select("id").join(tied, "id", "left_anti").select(F.lit("orphan-entity"), "id", F.lit(0.3))
+    return bare.union(orphan).union(far).union(loose).union(entities)
 
 
 def claims(statements: DataFrame, evidence: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -79,7 +82,7 @@ def claims(statements: DataFrame, evidence: DataFrame, nodes: DataFrame) -> Data
     counts = evidence.groupBy("statement_id").agg(F.count("*").alias("n_evidence"))
     rows = statements.join(nodes.select(F.col("id").alias("subject"), F.lit(True).alias("known")), "subject", "left").join(counts, "statement_id", "left").na.fill(0, ["n_evidence"])
     lost, bare = F.col("known").isNull(), F.col("n_evidence") == 0
-    forbidden = F.lower("claim").rlike("|".join(FORBIDDEN))
+    forbidden = any_of(F.lower("claim"), FORBIDDEN)
     failures = lost.cast("int") + bare.cast("int") + forbidden.cast("int")
     kind = F.when(lost | forbidden, 3).when(bare, 2).when(F.col("score") >= 0.6, 0).otherwise(1)
     return rows.select("statement_id", "score", lost.alias("lost"), bare.alias("bare"), forbidden.alias("forbidden"), failures.alias("n_failures"), kind.alias("class"))

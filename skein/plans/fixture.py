@@ -57,24 +57,54 @@ SELECT CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING) AS statement_id, '
 SELECT statement_id, subject_id, claim, tone, CASE WHEN hop = 1 THEN least(1.0, score + 0.1) ELSE score * 0.95 END AS score, hop, speculative_ancestor, suppressed FROM {statements} WHERE NOT (hop = 3 AND suppressed)""",
     "calls": """
 SELECT id AS unit_id, project_name, class_name, 'app.SupplierRepository.Find' || CAST(n AS STRING) AS target, 'app' AS target_namespace, n % 5 = 0 AS external FROM {units} CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 5 UNION ALL SELECT 5 UNION ALL SELECT 999) x WHERE class_name = 'NationService'""",
-    # small tables of a code base's declarations
+    # questions in two languages, by intent, with names, with the name of a node, and without either
+    "questions": """
+SELECT item_id, CASE item_id % 13 WHEN 0 THEN ' Explain the architecture of RegionController, please? ' WHEN 1 THEN 'What breaks  if SupplierRepository.Find changes' WHEN 2 THEN '"why does" LoadNATION_7 fail?' WHEN 3 THEN 'where is the customer check implemented'
+ WHEN 4 THEN 'loadnation_' || CAST(item_id % 25 AS STRING) WHEN 5 THEN '谁调用了 OrderService.Save' WHEN 6 THEN '为什么 报错' WHEN 7 THEN '如何实现 Login, Logout' WHEN 8 THEN '项目结构' WHEN 9 THEN text WHEN 10 THEN '' WHEN 11 THEN 'Nation' ELSE 'Brand#1' || CAST(item_id % 5 AS STRING) || ' and Brand#1' END AS text FROM {benchmark}""",
+    # bodies of the units: literals with queries, addresses and paths, settings, exceptions and transfer types
+    "bodies": """
+SELECT id, namespace, class_name, method_name, content || CASE length(id) % 2 + 2 * (length(content) % 3) WHEN 0 THEN ' Run("select a from ORDERS o join Item i where x"); throw new OrderException("no OrderLine left");'
+ WHEN 1 THEN ' try Call("https://api.example.com/v1/x", "http://b.example/y"); catch (TimeoutException e);' WHEN 2 THEN ' var s = Configuration["Db:Main"] + AppSettings["Mode"]; return new OrderDto(new LoadRequest());' WHEN 3 THEN ' Read("../data/a.csv", "~/b.txt"); ConfigHelper.Get("Path"); new itemDTO();'
+ WHEN 4 THEN ' [HttpGet("orders/list")] try Save("update STOCK set n = 1"); catch (IOException e) throw new AppException("x");' ELSE ' Plain("text");' END AS content FROM {units}""",
+    "unit_calls": """
+SELECT DISTINCT c.unit_id AS from_id, u.id AS to_id FROM {calls} c JOIN {units} u ON c.target = u.namespace || '.' || u.class_name || '.' || u.method_name WHERE NOT c.external""",
+    # tables of a code base's declarations: some by hand, the others by nation and supplier
     "actions": """
 SELECT * FROM (VALUES ('OrderController', 'ControllerBase', 'GetOrder', '', 'api/[controller]', 'byid', true, false), ('OrderController', 'ControllerBase', 'CreateOrder', '', 'api/[controller]', '', true, false), ('OrderController', 'ControllerBase', 'Helper', 'NonAction', 'api/[controller]', '', true, false),
- ('StockController', 'ControllerBase', 'Remove', 'HttpPost', '', 'stock/[action]/', true, false), ('StockController', 'ControllerBase', 'Patchwork', '', '', '', true, false), ('StockController', 'ControllerBase', 'Hidden', '', '', '', false, false), ('PriceService', 'object', 'GetPrice', '', '', '', true, false), ('HomeController', 'Controller', 'Index', 'HttpGet', 'home', '/', true, true)) AS t(class_name, base_type, method_name, attribute, class_route, method_route, is_public, is_static)""",
+ ('StockController', 'ControllerBase', 'Remove', 'HttpPost', '', 'stock/[action]/', true, false), ('StockController', 'ControllerBase', 'Patchwork', '', '', '', true, false), ('StockController', 'ControllerBase', 'Hidden', '', '', '', false, false), ('PriceService', 'object', 'GetPrice', '', '', '', true, false), ('HomeController', 'Controller', 'Index', 'HttpGet', 'home', '/', true, true)) AS t(class_name, base_type, method_name, attribute, class_route, method_route, is_public, is_static)
+UNION ALL SELECT 'S' || CAST(s_suppkey AS STRING) || CASE WHEN s_suppkey % 5 = 0 THEN 'Service' ELSE 'Controller' END, CASE WHEN s_suppkey % 10 = 0 THEN 'Controller' ELSE 'object' END, CASE s_suppkey % 4 WHEN 0 THEN 'GetAll' WHEN 1 THEN 'CreateOne' WHEN 2 THEN 'RemoveIt' ELSE 'Patch' END,
+ CASE s_suppkey % 6 WHEN 0 THEN 'HttpPut' WHEN 1 THEN 'NonAction' ELSE '' END, CASE WHEN s_suppkey % 2 = 0 THEN 'api/[controller]' ELSE '' END, CASE WHEN s_suppkey % 3 = 0 THEN 'x/[action]/' ELSE '' END, s_suppkey % 7 <> 0, s_suppkey % 11 = 0 FROM {supplier}""",
     "beans": """
-SELECT * FROM (VALUES ('orderService', 'app.OrderService', 'orderDao', 'beans.xml'), ('orderDao', 'app.OrderDao', '', 'beans.xml'), ('stockService', 'app.StockService', 'orderDao', 'beans.xml'), ('stockService', 'app.StockService', 'missing', 'beans.xml')) AS t(bean_id, type_name, ref, file)""",
+SELECT * FROM (VALUES ('orderService', 'app.OrderService', 'orderDao', 'beans.xml'), ('orderDao', 'app.OrderDao', '', 'beans.xml'), ('stockService', 'app.StockService', 'orderDao', 'beans.xml'), ('stockService', 'app.StockService', 'missing', 'beans.xml')) AS t(bean_id, type_name, ref, file)
+UNION ALL SELECT 'bean' || CAST(s_suppkey AS STRING), 'app.n' || CAST(s_nationkey AS STRING) || '.S' || CAST(s_suppkey AS STRING) || 'Service', CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'bean' || CAST(s_suppkey * 2 AS STRING) END, 'beans.xml' FROM {supplier}""",
     "methods": """
-SELECT * FROM (VALUES ('IOrderService', 'Get', 'int', true), ('IOrderService', 'Save', 'Order', true), ('OrderService', 'Get', 'int', false), ('OrderService', 'Get', 'string', false), ('OrderService', 'Save', 'Order', false), ('OrderDao', 'Find', 'int', false), ('StockService', 'Count', '', false)) AS t(class_name, method_name, params, is_interface)""",
+SELECT * FROM (VALUES ('IOrderService', 'Get', 'int', true), ('IOrderService', 'Save', 'Order', true), ('OrderService', 'Get', 'int', false), ('OrderService', 'Get', 'string', false), ('OrderService', 'Save', 'Order', false), ('OrderDao', 'Find', 'int', false), ('StockService', 'Count', '', false), ('GenericDao', 'All', '', false), ('ItemServiceImpl', 'Run', '', false), ('app.OrderDataAccess', 'Run', '', false)) AS t(class_name, method_name, params, is_interface)
+UNION ALL SELECT 'S' || CAST(s_suppkey AS STRING) || CASE WHEN s_suppkey % 9 = 0 THEN 'Repo' ELSE 'Service' END, CASE s_suppkey % 3 WHEN 0 THEN 'FindOrder' WHEN 1 THEN 'CountStock' ELSE 'Run' END, 'int', false FROM {supplier}
+UNION ALL SELECT 'IS' || CAST(s_suppkey AS STRING) || 'Service', CASE s_suppkey % 2 WHEN 0 THEN 'Run' ELSE 'CountStock' END, 'int', true FROM {supplier} WHERE s_suppkey % 4 < 3""",
     "bases": """
-SELECT * FROM (VALUES ('OrderService', 'IOrderService', 0, ''), ('OrderService', 'BaseService', 1, 'Order'), ('BaseService', 'RootService', 0, 'T'), ('StockService', 'BaseService', 0, 'Stock'), ('OrderDao', 'BaseDaoNHB', 0, 'Order'), ('Loop', 'Loop2', 0, ''), ('Loop2', 'Loop', 0, '')) AS t(class_name, base_name, ord, argument)""",
+SELECT * FROM (VALUES ('OrderService', 'IOrderService', 0, 0, ''), ('OrderService', 'BaseService', 1, 0, 'Order'), ('BaseService', 'RootService', 0, 0, 'T'), ('StockService', 'BaseService', 0, 0, 'Stock'), ('OrderDao', 'BaseDaoNHB', 0, 0, 'Order'), ('OrderDao', 'BaseDaoNHB', 0, 1, 'long'), ('Loop', 'Loop2', 0, 0, ''), ('Loop2', 'Loop', 0, 0, ''),
+ ('PairBase', 'RootPair', 0, 0, 'T2'), ('PairBase', 'RootPair', 0, 1, 'T1'), ('NamePair', 'PairBase', 0, 0, 'Name'), ('NamePair', 'PairBase', 0, 1, 'Value'), ('Orders', 'data.IOrders', 0, 0, '')) AS t(class_name, base_name, ord, arg, argument)
+UNION ALL SELECT 'S' || CAST(s_suppkey AS STRING) || 'Service', CASE WHEN s_suppkey % 6 = 0 THEN 'lib.' ELSE '' END || 'IS' || CAST(s_suppkey AS STRING) || 'Service', 0, 0, '' FROM {supplier}
+UNION ALL SELECT 'S' || CAST(s_suppkey AS STRING) || 'Service', CASE s_suppkey % 4 WHEN 0 THEN 'BaseService' WHEN 1 THEN 'BaseBLL' WHEN 2 THEN 'IDBaseDao' ELSE 'PairBase' END, 1, 0, CASE WHEN s_suppkey % 8 = 5 THEN 'T' ELSE 'E' || CAST(s_suppkey % 7 AS STRING) END FROM {supplier}
+UNION ALL SELECT 'S' || CAST(s_suppkey AS STRING) || 'Service', 'PairBase', 1, 1, 'long' FROM {supplier} WHERE s_suppkey % 4 = 3""",
     "type_parameters": """
-SELECT * FROM (VALUES ('BaseService', 'T', 0), ('RootService', 'T', 0)) AS t(class_name, parameter, ord)""",
+SELECT * FROM (VALUES ('BaseService', 'T', 0), ('RootService', 'T', 0), ('PairBase', 'T1', 0), ('PairBase', 'T2', 1), ('RootPair', 'A', 0), ('RootPair', 'B', 1), ('BaseDaoNHB', 'T', 0)) AS t(class_name, parameter, ord)""",
+    "usings": """
+SELECT 'S' || CAST(s_suppkey AS STRING) || 'Service' AS class_name, 'ext.m' || CAST(s_suppkey % 3 AS STRING) || '.IS' || CAST(s_suppkey + s_suppkey % 2 AS STRING) || 'Service' AS name FROM {supplier} UNION ALL SELECT 'OrderService', 'System' FROM {region}""",
+    "declared": """
+SELECT 'S' || CAST(s_suppkey AS STRING) || 'Service' AS class_name, '' AS method, 'field' AS scope, 'dao' AS name, 'BaseDao<E' || CAST(s_suppkey % 7 AS STRING) || ', long>' AS type FROM {supplier}
+UNION ALL SELECT 'S' || CAST(s_suppkey AS STRING) || 'Service', 'S' || CAST(s_suppkey AS STRING) || 'Service.Run', CASE WHEN s_suppkey % 2 = 0 THEN 'local' ELSE 'param' END, 'dao', CASE WHEN s_suppkey % 3 = 0 THEN 'Repo<Item>' WHEN s_suppkey % 3 = 1 THEN 'Repo<T>' ELSE 'Plain' END FROM {supplier} WHERE s_suppkey % 5 < 3""",
     "mappings": """
-SELECT * FROM (VALUES ('Order', 'ORDERS', 'a.hbm.xml'), ('Order', 'T_ORDERS', 'b.hbm.xml'), ('Item', '', 'b.hbm.xml')) AS t(class_name, table_name, file)""",
+SELECT * FROM (VALUES ('Order', 'ORDERS', 'a.hbm.xml'), ('Order', 'T_ORDERS', 'b.hbm.xml'), ('Item', '', 'b.hbm.xml')) AS t(class_name, table_name, file)
+UNION ALL SELECT 'E' || CAST(n_nationkey AS STRING), CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE 'T_E' || CAST(n_nationkey AS STRING) END, 'c.hbm.xml' FROM {nation} WHERE n_nationkey < 6""",
     "accesses": """
-SELECT * FROM (VALUES (1, 'OrderDao.Find', 'session', 'Get', 'Order', ''), (2, 'OrderDao.All', 'hibernateSession', 'CreateQuery', '', 'from Order o where o.id = 1'), (3, 'OrderDao.Drop', 'session', 'CreateQuery', '', 'delete from Item'), (4, 'OrderDao.Trace', 'session', 'CreateQuery', '', 'hql'), (5, 'Other.Get', 'cache', 'Get', 'Order', ''), (6, 'StockDao.Up', 'Session', 'CreateQuery', '', 'update Stock set n = 1'), (7, 'StockDao.Up', 'Session', 'CreateQuery', '', 'update Stock set n = 2'), (8, 'X.Y', 'session', 'Get', '', '')) AS t(access_id, method, receiver, api, generic, argument)""",
+SELECT * FROM (VALUES (1, 'OrderDao.Find', 'session', 'Get', 'Order', '', 50), (2, 'OrderDao.All', 'hibernateSession', 'CreateQuery', '', 'from Order o where o.id = 1', 50), (3, 'OrderDao.Drop', 'session', 'CreateQuery', '', 'delete from Item', 50), (4, 'OrderDao.Trace', 'session', 'CreateQuery', '', 'hql', 50), (5, 'Other.Get', 'cache', 'Get', 'Order', '', 50),
+ (6, 'StockDao.Up', 'Session', 'CreateSQLQuery', '', 'update Stock set n = 1', 50), (7, 'StockDao.Up', 'Session', 'CreateQuery', '', 'update Stock set n = 2', 60), (8, 'X.Y', 'session', 'Get', '', '', 10), (9, 'OrderDao.Trace', 'session', 'CreateQuery', '', 'hql', 95), (10, 'X.Z', 'session', 'Load', 'Order', '', 10)) AS t(access_id, method, receiver, api, generic, argument, pos)
+UNION ALL SELECT CAST(100 + s_suppkey AS INT), 'S' || CAST(s_suppkey AS STRING) || 'Service.Run', CASE s_suppkey % 4 WHEN 0 THEN 'this.dao' WHEN 1 THEN 'dao' WHEN 2 THEN 'session' ELSE 'mySession' END, CASE s_suppkey % 3 WHEN 0 THEN 'Query' WHEN 1 THEN 'Save' ELSE 'CreateQuery' END,
+ CASE WHEN s_suppkey % 5 = 0 THEN 'E' || CAST(s_suppkey % 7 AS STRING) ELSE '' END, CASE WHEN s_suppkey % 5 = 1 THEN 'from E' || CAST(s_suppkey % 7 AS STRING) || ' e' WHEN s_suppkey % 5 = 2 THEN 'q' ELSE '' END, CAST(10 + s_suppkey % 30 AS INT) FROM {supplier}""",
     "assignments": """
-SELECT * FROM (VALUES ('OrderDao.Trace', 'hql', 10, 'from Order'), ('OrderDao.Trace', 'hql', 20, 'from Item i join Order'), ('OrderDao.Trace', 'hql', 90, 'from Late'), ('OrderDao.Trace', 'x', 30, 'from X')) AS t(method, variable, pos, expression)""",
+SELECT * FROM (VALUES ('OrderDao.Trace', 'hql', 10, 'from Order'), ('OrderDao.Trace', 'hql', 20, 'from Item i join Order'), ('OrderDao.Trace', 'hql', 90, 'from Late'), ('OrderDao.Trace', 'x', 30, 'from X')) AS t(method, variable, pos, expression)
+UNION ALL SELECT 'S' || CAST(s_suppkey AS STRING) || 'Service.Run', 'q', CAST(5 + x.n * 12 AS INT), 'from E' || CAST((s_suppkey + x.n) % 7 AS STRING) FROM {supplier} CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1 UNION ALL SELECT 2) x""",
     "facts": """
 SELECT * FROM (VALUES ('routes', 'n1', 'route', 'a.cs', '/a'), ('routes', 'n2', 'route', 'b.cs', '/b'), ('orm', 'n1', 'access', 'a.cs', 'Order'), ('orm', 'n3', 'access', 'c.cs', 'Item'), ('routes', 'n1', 'route', 'd.cs', '/z')) AS t(analyzer, subject_id, fact_type, source_file, value)""",
     "evidence": """

@@ -26,12 +26,13 @@ def confidence_value(level: Column) -> Column:
 
 
 def steps(edges: DataFrame, direction: str = "forward", kinds: Sequence[str] | None = None) -> DataFrame:
-    """(src, dst, kind, confidence): a row for each way to go. ``both`` goes either way."""
+    """(src, dst, kind, confidence, evidence): a row for each way to go. ``both`` goes either way."""
     if kinds is not None:
         edges = edges.filter(F.col("kind").isin(*kinds))
     level = F.col("confidence") if "confidence" in edges.columns else F.lit(None).cast("string")
-    ahead = edges.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"), "kind", level.alias("confidence"))
-    back = edges.select(F.col("to_id").alias("src"), F.col("from_id").alias("dst"), "kind", level.alias("confidence"))
+    proof = F.col("evidence") if "evidence" in edges.columns else F.lit(None).cast("string")
+    ahead = edges.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"), "kind", level.alias("confidence"), proof.alias("evidence"))
+    back = edges.select(F.col("to_id").alias("src"), F.col("from_id").alias("dst"), "kind", level.alias("confidence"), proof.alias("evidence"))
     return {"forward": ahead, "backward": back}.get(direction) or ahead.unionByName(back)
 
 
@@ -53,7 +54,9 @@ def typed_paths(
     A path ends at a ``target`` node (a condition on nodes), after ``max_depth``
     edges, or where no step is left. Steps of unknown confidence pass; so do
     steps to unknown nodes. Of parallel steps the first stands. The order is
-    that of the steps' (kind, node) along a path; ``max_paths`` cuts it there.
+    that of the steps' (kind, node) along a path; ``max_paths`` cuts it there,
+    and in each round: every open path ends somewhere, so the first ones come
+    from the first open ones.
     """
     way = steps(edges, direction, kinds)
     if min_confidence is not None:
@@ -76,7 +79,7 @@ def typed_paths(
         grown = joined.filter(valid).select(F.concat("node_ids", F.array("dst")).alias("node_ids"), F.concat("edge_kinds", F.array("kind")).alias("edge_kinds"), F.col("dst").alias("leaf"), "hit")
         ends = joined.groupBy("node_ids", "edge_kinds", "leaf").agg(F.max(valid.cast("int")).alias("v")).filter("v = 0").drop("v").withColumn("hit", F.lit(False))
         done.append(ends)
-        here = cut(grown)
+        here = cut(grown if max_paths is None else grown.orderBy(_order()).limit(max_paths))
         if here.isEmpty():
             break
     else:
@@ -89,23 +92,41 @@ def typed_paths(
         F.element_at("node_ids", 1).alias("root"), F.element_at("node_ids", -1).alias("leaf"),
     )
     if max_paths is not None:
-        order = F.concat(F.array(F.element_at("node_ids", 1)), F.zip_with("edge_kinds", F.slice("node_ids", F.lit(2), F.size("node_ids")), lambda k, n: F.concat_ws(":", k, n)))
-        out = out.withColumn("order", order).orderBy("order").limit(max_paths).drop("order")
+        out = out.orderBy(_order()).limit(max_paths)
     return out
 
 
-def closure(edges: DataFrame, starts: DataFrame, *, direction: str = "forward", kinds: Sequence[str] | None = None, max_hops: int | None = None) -> DataFrame:
-    """(start, id, distance): all nodes within reach of each start, itself at distance 0."""
+def _order() -> Column:
+    """Where a path stands in depth-first order."""
+    return F.concat(F.array(F.element_at("node_ids", 1)), F.zip_with("edge_kinds", F.slice("node_ids", F.lit(2), F.size("node_ids")), lambda k, n: F.concat_ws(":", k, n)))
+
+
+#: Rounds after which the parts of what was seen are written as one table; before, only the new part is written.
+PARTS = 10
+
+
+def closure(
+    edges: DataFrame, starts: DataFrame, *, direction: str = "forward", kinds: Sequence[str] | None = None, max_hops: int | None = None, most: int | None = None
+) -> DataFrame:
+    """(start, id, distance): all nodes within reach of each start, itself at distance 0.
+
+    A start that has ``most`` nodes and more after a round goes no further.
+    """
     way = cut(steps(edges, direction, kinds).select("src", "dst").distinct())
     seen = cut(starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("distance")).distinct())
     frontier, hop = seen, 0
     while max_hops is None or hop < max_hops:
         hop += 1
+        if most is not None and hop > 1:
+            full = seen.groupBy("start").count().filter(F.col("count") >= most)
+            frontier = frontier.join(full.select("start"), "start", "left_anti")
         reached = frontier.join(way, frontier["id"] == way["src"]).select("start", F.col("dst").alias("id")).distinct()
         frontier = cut(reached.join(seen.select("start", "id"), ["start", "id"], "left_anti").withColumn("distance", F.lit(hop)))
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
+        if hop % PARTS == 0:
+            seen = cut(seen)
     return seen
 
 
@@ -119,15 +140,21 @@ def distances(edges: DataFrame, starts: DataFrame, *, direction: str = "forward"
         frontier = cut(reached.join(seen.select("id"), "id", "left_anti").withColumn("distance", F.lit(hop)))
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
+        if hop % PARTS == 0:
+            seen = cut(seen)
     return seen
 
 
 def entry_points(edges: DataFrame, of: DataFrame) -> DataFrame:
-    """(id, entry): ancestors of each node in ``of``, or the node itself, that nothing calls."""
-    back = closure(edges, of, direction="backward").select(F.col("start").alias("id"), F.col("id").alias("entry"))
-    called = edges.select(F.col("to_id").alias("entry")).distinct()
-    return back.join(called, "entry", "left_anti").select("id", "entry")
+    """(id, entry): ancestors of each node in ``of``, or the node itself, that nothing calls.
+
+    The walk goes ahead from the entries, so a node meets its entries and no other ancestors.
+    """
+    called = edges.select(F.col("to_id").alias("id")).distinct()
+    entries = of.select("id").unionByName(edges.select(F.col("from_id").alias("id"))).distinct().join(called, "id", "left_anti")
+    found = closure(edges, entries).join(of.select("id").distinct(), "id", "left_semi")
+    return found.select("id", F.col("start").alias("entry"))
 
 
 def call_chains(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
@@ -138,12 +165,29 @@ def call_chains(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return typed_paths(nodes, edges, starts, max_depth=depth).select(F.col("path_id").alias("chain"), "length")
 
 
-#: How much a step of each kind keeps of a confidence.
-DECAY = {"call": 0.95, "entity-access": 0.88, "implements": 0.92, "property-ref": 0.85, "inferred": 0.6}
+#: How much a step of each kind keeps of a confidence, and what kind a step is by its edge's kind and evidence.
+DECAY = {
+    "direct-symbol-binding": 1.00, "explicit-invocation": 0.95, "control-flow": 0.92, "data-flow": 0.90, "inheritance": 0.88,
+    "configuration-binding": 0.85, "semantic-similarity": 0.75, "propagation-inference": 0.60, "speculative-expansion": 0.40,
+}
+CALLS = {"semantic": "explicit-invocation", "semantic-inferred": "semantic-similarity", "syntax": "control-flow", "syntax-pattern": "semantic-similarity"}
+OTHERS = {"entity-access": "data-flow", "implements": "configuration-binding", "property-ref": "configuration-binding"}
+UNKNOWN = "propagation-inference"
 DEFAULT_DECAY, SPECULATIVE_DECAY, MAX_HOPS = 0.7, 0.5, 5
 
 
+def decay_kind(kind: Column, evidence: Column) -> Column:
+    """What kind of step an edge is."""
+    call, other = F.lit(UNKNOWN), F.lit(UNKNOWN)
+    for name, value in CALLS.items():
+        call = F.when(evidence == name, value).otherwise(call)
+    for name, value in OTHERS.items():
+        other = F.when(kind == name, value).otherwise(other)
+    return F.when(kind == "call", call).otherwise(other)
+
+
 def decay(kind: Column) -> Column:
+    """What a step of a kind (of ``DECAY``) keeps; a step of another kind keeps DEFAULT_DECAY."""
     out = F.lit(DEFAULT_DECAY)
     for name, value in DECAY.items():
         out = F.when(kind == name, value).otherwise(out)
@@ -158,7 +202,7 @@ def propagate(edges: DataFrame, starts: DataFrame, *, direction: str = "forward"
     hops, then to the smaller predecessor.
     """
     way = steps(edges, direction).filter(F.coalesce(F.col("confidence") != "low", F.lit(True)))
-    way = cut(way.groupBy("src", "dst").agg(F.max(decay(F.col("kind"))).alias("keep")))
+    way = cut(way.groupBy("src", "dst").agg(F.max(decay(decay_kind(F.col("kind"), F.col("evidence")))).alias("keep")))
     best = cut(starts.select(F.col("id").alias("start"), "id", F.lit(1.0).alias("score"), F.lit(0).alias("hop"), F.lit("").alias("via")).distinct())
     frontier = best
     for _ in range(0 if literal_stop else max_hops):

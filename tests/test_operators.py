@@ -58,13 +58,13 @@ def test_cached_embedding_keeps_its_own_id(spark):  # Q-22
 
 
 def test_last_assignment_before_use(spark):
-    accesses = spark.createDataFrame([(1, "m", "v")], "access_id int, method string, argument string")
+    accesses = spark.createDataFrame([(1, "m", "v", 50)], "access_id int, method string, argument string, pos int")
     assigned = spark.createDataFrame([("m", "v", 10, "old"), ("m", "v", 40, "new"), ("m", "v", 60, "late")], "method string, variable string, pos int, expression string")
-    assert [r.expression for r in analyzers.traced(accesses, assigned, 50).collect()] == ["new"]
+    assert [r.expression for r in analyzers.traced(accesses, assigned).collect()] == ["new"]
 
 
 def test_bindings_follow_parameters(spark):  # Q-28
-    bases = spark.createDataFrame([("A", "B", 0, "Order"), ("B", "C", 0, "T"), ("C", "D", 0, "T")], "class_name string, base_name string, ord int, argument string")
+    bases = spark.createDataFrame([("A", "B", 0, "Order"), ("B", "C", 0, "T"), ("C", "D", 0, "T")], "class_name string, base_name string, arg int, argument string")
     params = spark.createDataFrame([("B", "T", 0), ("C", "T", 0)], "class_name string, parameter string, ord int")
     got = {(r.class_name, r.base_name, r.argument, r.depth) for r in analyzers.bindings(bases, params).collect()}
     assert got == {("A", "B", "Order", 1), ("A", "C", "Order", 2), ("A", "D", "Order", 3)}

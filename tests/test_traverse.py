@@ -104,15 +104,32 @@ def test_max_paths_takes_the_first_in_order(spark):
 
 def test_propagation(spark):
     _, edges = graph(spark, [("a", "b"), ("b", "d"), ("a", "c", "entity-access", "high"), ("c", "d", "entity-access", "high"), ("a", "x", "call", "low")])
+    edges = edges.withColumn("evidence", F.lit("semantic"))
     got = {r.id: (round(r.score, 6), r.hop, r.via) for r in traverse.propagate(edges, starts(spark, "a")).collect()}
-    assert got == {"a": (1.0, 0, ""), "b": (0.95, 1, "a"), "c": (0.88, 1, "a"), "d": (0.9025, 2, "b")}
+    assert got == {"a": (1.0, 0, ""), "b": (0.95, 1, "a"), "c": (0.9, 1, "a"), "d": (0.9025, 2, "b")}
     assert traverse.propagate(edges, starts(spark, "a"), literal_stop=True).count() == 1  # Q-01
 
 
 def test_propagation_decays_with_each_hop(spark):
     _, edges = graph(spark, [(f"n{i}", f"n{i + 1}") for i in range(8)])
-    got = {r.id: r.hop for r in traverse.propagate(edges, starts(spark, "n0")).collect()}
-    assert got == {f"n{i}": i for i in range(6)}
+    reach = lambda e: {r.id: r.hop for r in traverse.propagate(e, starts(spark, "n0")).collect()}
+    assert reach(edges.withColumn("evidence", F.lit("semantic"))) == {f"n{i}": i for i in range(6)}
+    assert reach(edges) == {f"n{i}": i for i in range(4)}  # calls of unknown evidence keep 0.6 a step
+
+
+def test_first_paths_of_a_dense_graph(spark):
+    """The first paths in depth-first order, without all of them at once."""
+    nodes, edges = graph(spark, [(f"{a}{i}", f"{b}{j}") for a, b in zip("abcd", "bcde", strict=True) for i in range(4) for j in range(4)])
+    of = starts(spark, "a0", "a1")
+    all_ = [r.path_id for r in traverse.typed_paths(nodes, edges, of, max_depth=5).collect()]
+    some = [r.path_id for r in traverse.typed_paths(nodes, edges, of, max_depth=5, max_paths=7).collect()]
+    assert len(all_) == 2 * 4**4 and some == sorted(all_)[:7]
+
+
+def test_entries_of_shared_ancestors(spark):
+    nodes, edges = graph(spark, [("r", "a"), ("s", "a"), ("a", "b"), ("b", "c"), ("c", "b"), ("x", "x")])
+    got = {(r.id, r.entry) for r in traverse.entry_points(edges, starts(spark, "a", "c", "r", "x", "lone")).collect()}
+    assert got == {("a", "r"), ("a", "s"), ("c", "r"), ("c", "s"), ("r", "r"), ("lone", "lone")}
 
 
 def test_partitioning_changes_nothing(spark):
