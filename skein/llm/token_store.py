@@ -13,18 +13,20 @@ over their hashes. Everything is Parquet below one folder:
   manifest/         a row a recipe file: tokens, documents, Merkle root of its roots
 
 ``read_store`` puts documents together again and checks every digest, length
-and root, and each recipe file against the manifest. ``verify_store`` does so, manifest included, without moving ids: it reads each stored
-chunk once where it lies, checks its digest and takes its CRC; a document's CRC
-follows from those of its chunks.
+and root, and each recipe file against the manifest. ``verify_store`` does so,
+manifest included, without moving ids: it reads each stored chunk once where it
+lies, checks its digest and takes its CRC; a document's CRC follows from those of
+its chunks. A store stays until its folder is deleted.
 
 Scale: texts are encoded once. A task sends a chunk at most once, so a passage
 that a third of all documents share is sent once a task; recipes are ordered by
 range; the totals that ``start`` needs are one number a file. All keys follow
 from content, so a task that runs again sends the same rows.
 
-Defined results: null and empty texts hold the end id alone; null doc_ids come
-first; repeated rows are documents of their own, in an order of their content;
-an empty table gives empty files; other columns are ignored.
+Defined results: null and empty texts hold the end id alone; a very long text is
+encoded whole, as a block of its own; null doc_ids come first; repeated rows are
+documents of their own, in an order of their content; an empty table gives empty
+files; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ from functools import cache, lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import library, plain_classes, tokenizer_path
@@ -256,10 +259,50 @@ def _data(spark: SparkSession, path: str, doc_id: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{path}/data")
 
 
+class Tree:
+    """The root that ``merkle`` gives, of leaves that come one by one; it holds one hash a level."""
+
+    def __init__(self) -> None:
+        self.tops: list[tuple[int, bytes]] = []  # leaves below, and hash, of whole subtrees from left to right
+
+    def add(self, leaf: bytes) -> None:
+        size = 1
+        while self.tops and self.tops[-1][0] == size:
+            leaf, size = hashlib.sha256(self.tops.pop()[1] + leaf).digest(), 2 * size
+        self.tops.append((size, leaf))
+
+    def root(self) -> bytes:
+        if not self.tops:
+            return merkle([])
+        root = self.tops[-1][1]
+        for _, left in self.tops[-2::-1]:
+            root = hashlib.sha256(left + root).digest()
+        return root
+
+
 def totals(recipes: DataFrame) -> DataFrame:
-    """(file, n_tokens, documents, root) of each recipe file."""
-    files = recipes.groupBy("file").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("documents"), F.sort_array(F.collect_list(F.struct("row", "root"))).alias("roots"))
-    return arrow_map(files, lambda it: (b | {"root": [merkle([r["root"] for r in x]) for x in b["roots"]]} for b in it), "file int, n_tokens bigint, documents bigint, root binary")
+    """(file, n_tokens, documents, root) of each recipe file, whose rows are read in order and not held."""
+
+    def run(batches):
+        file, tokens, documents, tree = None, 0, 0, Tree()
+        out: dict[str, list] = {c: [] for c in ("file", "n_tokens", "documents", "root")}
+
+        def done():
+            if file is not None:
+                _put(out, file, tokens, documents, tree.root())
+
+        for b in batches:
+            for f, n, root in zip(b["file"], b["n_tokens"], b["root"], strict=True):
+                if f != file:
+                    done()
+                    file, tokens, documents, tree = f, 0, 0, Tree()
+                tokens, documents = tokens + n, documents + 1
+                tree.add(root)
+        done()
+        yield out
+
+    rows = recipes.select("file", "row", "n_tokens", "root").repartition("file").sortWithinPartitions("file", "row").drop("row")
+    return arrow_map(rows, run, "file int, n_tokens bigint, documents bigint, root binary")
 
 
 def check_manifest(spark: SparkSession, path: str) -> None:
@@ -275,9 +318,8 @@ def check_manifest(spark: SparkSession, path: str) -> None:
 
 def offsets(spark: SparkSession, path: str) -> DataFrame:
     """(file, first): the ids before each recipe file. There are as many rows as files."""
-    m = spark.read.parquet(f"{path}/manifest").select("file", "n_tokens")
-    other = m.select(F.col("file").alias("other"), F.col("n_tokens").alias("n"))
-    return m.join(F.broadcast(other), F.col("other") < F.col("file"), "left").groupBy("file").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("first"))
+    before = W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)
+    return spark.read.parquet(f"{path}/manifest").select("file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("first"))
 
 
 def _stored(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -112,6 +112,20 @@ def test_stages_on_odd_rows(spark, small):
             part.collect()
 
 
+def test_rows_that_share_an_id(spark, small):
+    """Near copies of one id are one row, unlike texts of it stay; without n_chars and with odd columns."""
+    rng = np.random.default_rng(3)
+    word = lambda n: " ".join(f"q{x}" for x in rng.integers(0, 10**6, n))
+    a, b = word(100), word(100)
+    rows = [(1, a), (1, f"{a} x"), (1, b), (2, f"{b} y"), (3, word(40)), (None, a)]
+    docs = spark.createDataFrame([(i, t, {"k": i}) for i, t in rows], "doc_id bigint, text string, m map<string,bigint>").withColumns({c: F.lit(1) for c in ("kept", "spans", "key", "row", "digest")})
+    got = pipeline.near_duplicates(spark, docs, small)
+    assert got.columns == docs.columns and sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted([(1, min(a, f"{a} x")), (1, b), (3, rows[4][1]), (0, a)])
+    for _, run in pipeline.STAGES[2:4]:
+        got = run(spark, got, small)
+        assert got.columns == docs.columns and got.count() == 4
+
+
 def test_decontamination_in_blocks_as_in_one(spark, tmp_path):
     a, b = [f"a{i}" for i in range(10)], [f"b{i}" for i in range(10)]
     spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b))], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))

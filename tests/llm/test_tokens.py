@@ -98,6 +98,12 @@ def test_merkle():
     assert token_store.merkle([a]) == a and token_store.merkle([a, b]) == both
     assert token_store.merkle([a, b, c]) == hashlib.sha256(both + c).digest()
     assert token_store.merkle([]) == hashlib.sha256(b"").digest()
+    leaves = [bytes([i]) * 32 for i in range(70)]
+    for n in range(len(leaves) + 1):
+        tree = token_store.Tree()
+        for x in leaves[:n]:
+            tree.add(x)
+        assert tree.root() == token_store.merkle(leaves[:n])
 
 
 def table(spark):
