@@ -2,6 +2,12 @@
 
 Each stage reads what its predecessor kept. Labels are only looked up by doc_id,
 and never for rows that are held out.
+
+Defined results, of every stage: other columns than doc_id and text are carried
+along, whatever their names and kinds, and ``n_chars`` follows a text that is
+cut, where there is such a column; null and empty texts and very long ones are
+rows like others; an empty table gives an empty one. What else holds is said at
+each stage.
 """
 
 from __future__ import annotations
@@ -19,7 +25,10 @@ SHINGLE, PERCENT = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier of operator 8 does not reject. A stage of one map: the score is joined to nothing."""
+    """Documents that the classifier of operator 8 does not reject. A stage of one map: the score is joined to nothing.
+
+    Each row is judged by its own text, null doc_ids and repeats too; without usable labels nothing is rejected.
+    """
     model = quality_pu.learn(docs, table(spark, sf_dir, "labels"))
     sent = spark.sparkContext.broadcast(model)  # some hundred numbers
 
@@ -36,21 +45,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest doc_id; repeated rows of it are one."""
-    found = near_dup.near_duplicates(docs, SHINGLE, PERCENT).filter("kept").select("doc_id")
-    named = docs.filter("doc_id is not null").join(found.filter("doc_id is not null").distinct(), "doc_id", "left_semi")
-    if not docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty():
-        named = named.groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("r")).select("doc_id", "r.*")
-    return named.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    """One row of each group of near duplicates, the one with the smallest doc_id, of equal ones the first text.
+
+    Rows that share a doc_id go only if their texts are linked; rows without words or doc_id stay.
+    """
+    rows, key = docs.filter("doc_id is not null"), "doc_id"
+    if not rows.groupBy("doc_id").count().filter("count > 1").isEmpty():  # then rows are told apart by their order
+        key = "row_" + "_" * max(map(len, docs.columns))  # longer than any of the table's
+        rows = cut(rows.repartitionByRange("doc_id", F.md5("text")).sortWithinPartitions("doc_id", "text").withColumn(key, F.monotonically_increasing_id()))
+    found = near_dup.near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), SHINGLE, PERCENT).filter("kept").select(F.col("doc_id").alias(key))
+    return rows.join(found, key, "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that an earlier one has."""
+    """Documents without the passages that an earlier one has; those that are nothing else go.
+
+    Rows without doc_id pass as they are; rows that share one are cut each by its own text.
+    """
     return substring_dedup.remove(docs, substring_dedup.passages(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str, block_bytes: int = decontam.BLOCK_BYTES) -> DataFrame:
-    """Documents without benchmark passages; those that are nothing else go."""
+    """Documents without benchmark passages; those that are nothing else go. Each row is cut by its own text, whatever its doc_id."""
     benchmark = table(spark, sf_dir, "benchmark")
     out, held = docs, None
     while True:  # a later block's cuts can join a window of an earlier one: until a whole round cuts nothing
@@ -85,14 +101,16 @@ def _clean(spark: SparkSession, docs: DataFrame, items: list[tuple]) -> DataFram
                     texts[i] = decontam.without_spans(texts[i], spans)
                 hit.update(todo)
             keep = [i for i, t in enumerate(texts) if i not in hit or alnum_words(t)]
-            out = shard | {"text": texts, "n_chars": [len(t) if i in hit else n for i, (t, n) in enumerate(zip(texts, shard["n_chars"], strict=True))]}
+            out = shard | {"text": texts}
+            if "n_chars" in shard:
+                out["n_chars"] = [len(t) if i in hit else n for i, (t, n) in enumerate(zip(texts, shard["n_chars"], strict=True))]
             yield {c: [v[i] for i in keep] for c, v in out.items()}
 
     return arrow_map(docs, run, _schema(docs))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and the hashes of ids and of the decoded text."""
+    """doc_id, n_tokens, ids and the hashes of ids and of the decoded text, of each row."""
     return bpe_codec.encode_decode(docs, decoded=False)
 
 
