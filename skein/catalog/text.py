@@ -181,7 +181,9 @@ def token_estimates(spark, d):
     return table(spark, d, "documents").select("doc_id", t.token_estimate(F.col("text")).cast("int").alias("tokens"))
 
 
-@query("G11_batches")
+@query("G11_batches", """WITH RECURSIVE rw AS (SELECT source, doc_id AS id, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, c + (length(text) - c) // 4 + m // 2) END AS tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM (SELECT source, doc_id, text, len(regexp_extract_all(text, '[\\x{4e00}-\\x{9fff}]')) AS c, len(regexp_extract_all(text, '[(){};.,><  /\\\\_:]')) AS m FROM documents)),
+fo AS (SELECT source, id, rn, 0 AS batch, 1 AS n, tokens AS t FROM rw WHERE rn = 1 UNION ALL SELECT source, id, rn, CASE WHEN brk THEN batch + 1 ELSE batch END, CASE WHEN brk THEN 1 ELSE n + 1 END, CASE WHEN brk THEN tokens ELSE t + tokens END FROM (SELECT r.source, r.id, r.rn, r.tokens, f.batch, f.n, f.t, f.n >= 32 OR f.t + r.tokens > 8192 AS brk FROM fo f JOIN rw r ON r.source = f.source AND r.rn = f.rn + 1))
+SELECT source, id, CAST(batch AS INT) AS batch FROM fo""")
 def batches(spark, d):
     rows = table(spark, d, "documents").select("source", F.col("doc_id").alias("id"), t.token_estimate(F.col("text")).alias("tokens"))
     return text.batches(rows, "source")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,24 +13,69 @@ from pyspark.sql import functions as F
 from ..functions import fusion
 from ..session import cut
 
-#: Rows of a query set that may be broadcast; larger sets are searched in blocks.
-QUERY_BLOCK = 2_000
+#: Rows of a query set that are sent to every task; larger sets are searched in blocks. Vectors multiplied at once.
+QUERY_BLOCK, ROWS = 2_000, 4_096
+
+
+def unit(vectors: list) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of one length as rows of length 1 (or 0), and the places they stand at; those of another length than the first are left out."""
+    size = len(vectors[0]) if vectors and vectors[0] is not None else 0
+    at = np.array([i for i, v in enumerate(vectors) if v is not None and len(v) == size], np.int64)
+    x = np.array([vectors[i] for i in at], np.float64).reshape(len(at), size)
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0), at
+
+
+class Best:
+    """The k best (similarity, chunk) of each of some queries of one length, over batches of vectors."""
+
+    def __init__(self, queries: list, k: int) -> None:
+        self.q, _ = unit(queries)
+        self.k, self.held = k, [(np.zeros(0), np.zeros(0, object)) for _ in queries]
+
+    def add(self, ids: np.ndarray, vectors: list) -> None:
+        near = np.zeros((len(ids), len(self.q)))
+        alike = [i for i, v in enumerate(vectors) if v is not None and len(v) == self.q.shape[1]]
+        if alike:  # others have a similarity of 0
+            own, _ = unit([vectors[i] for i in alike])
+            near[alike] = np.round(own @ self.q.T, 6) + 0.0
+        for j in range(near.shape[1]):
+            s, i = near[:, j], np.arange(len(ids))
+            if len(s) > self.k:
+                i = np.flatnonzero(s >= np.partition(s, -self.k)[-self.k])
+            s, names = np.r_[self.held[j][0], s[i]], np.r_[self.held[j][1], ids[i]]
+            first = sorted(range(len(s)), key=lambda x, s=s, names=names: (-s[x], names[x]))[: self.k]
+            self.held[j] = s[first], names[first]
 
 
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
-    """(query_id, chunk_id, similarity, place): exact nearest by cosine, ties by id.
+    """(query_id, chunk_id, similarity, place): exact nearest by cosine, ties by id; 0 for vectors of another length or of zeros.
 
-    ``queries``: (query_id, q); ``vectors``: (chunk_id, v). Queries are counted
-    and broadcast in blocks. Each task keeps its k best a query before the
-    shuffle, so what is moved does not grow with the vectors of a task.
+    ``queries``: (query_id, q); ``vectors``: (chunk_id, v). Queries are counted and sent to all tasks in blocks, normalised once.
+    A task multiplies batches of its vectors with them and keeps its k best a query, so what is moved does not grow with its vectors.
     """
-    n = max(1, -(-queries.count() // block))
-    out = None
+    spark, kinds = vectors.sparkSession, (queries.schema["query_id"].dataType.simpleString(), vectors.schema["chunk_id"].dataType.simpleString())
+    n, out = max(1, -(-queries.count() // block)), None
     for i in range(n):
         part = queries if n == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)
-        scored = vectors.crossJoin(F.broadcast(part)).select("query_id", "chunk_id", F.round(fusion.cosine("q", "v"), 6).alias("similarity"))
+        sent = spark.sparkContext.broadcast([(r[0], list(r[1]) if r[1] is not None else []) for r in part.select("query_id", "q").collect()])  # a block at most
+
+        def run(parts, sent=sent):
+            by_size: dict[int, list[int]] = {}
+            for place, (_, q) in enumerate(sent.value):
+                by_size.setdefault(len(q), []).append(place)
+            best = [(places, Best([sent.value[p][1] for p in places], k)) for places in by_size.values()]
+            for frame in parts:
+                for at in range(0, len(frame), ROWS):
+                    ids, own = frame["chunk_id"].to_numpy(object)[at : at + ROWS], frame["v"].tolist()[at : at + ROWS]
+                    for _, b in best:
+                        b.add(ids, own)
+            rows = [(sent.value[p][0], c, s) for places, b in best for p, held in zip(places, b.held, strict=True) for s, c in zip(*held, strict=True)]
+            yield pd.DataFrame(rows, columns=["query_id", "chunk_id", "similarity"])
+
+        found = vectors.select("chunk_id", "v").mapInPandas(run, f"query_id {kinds[0]}, chunk_id {kinds[1]}, similarity double")
         order = W.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id")
-        top = scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+        top = found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
         out = top if out is None else out.unionByName(top)
     return out
 

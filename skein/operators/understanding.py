@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import CAMEL
 from ..plans import traverse
+from .retrieval import contained
 
 #: Words that speak of each intent, the first intent winning ties.
 INTENTS = {
@@ -75,16 +76,14 @@ def expand_aliases(links: DataFrame, starts: DataFrame, depth: int = 2) -> DataF
 
 
 def expansions(words: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, word, term, score): terms for each word, by the best of the ways that find them.
-
-    Equal, shared-prefix and contained terms; terms are read once against the
-    distinct words, which are counted before they are broadcast.
-    """
-    distinct = words.select("word").distinct()
-    side = F.broadcast(distinct) if distinct.count() <= 50_000 else distinct
-    low = F.lower("term")
-    score = F.when(low == F.col("word"), EXACT).when(low.startswith(F.col("word")) | F.col("word").startswith(low), PREFIX).when(low.contains(F.col("word")), CONTAINS)
-    found = terms.select("term").distinct().join(side, low.contains(F.col("word")) | F.col("word").startswith(low)).select("word", "term", score.alias("score"))
+    """(query_id, word, term, score): terms for each word, by the best of the ways that find them: equal, shared-prefix and contained ones."""
+    low = terms.select("term", F.lower("term").alias("t")).distinct()
+    asked, names = words.select("word").distinct(), low.select("t").distinct()
+    within = contained(asked.withColumnRenamed("word", "s"), names.withColumnRenamed("t", "l")).select(F.col("s").alias("word"), F.col("l").alias("t"))
+    around = contained(names.withColumnRenamed("t", "s"), asked.withColumnRenamed("word", "l")).select(F.col("l").alias("word"), F.col("s").alias("t"))
+    pairs = within.union(around.filter(F.col("word").startswith(F.col("t")))).distinct()
+    score = F.when(F.col("t") == F.col("word"), EXACT).when(F.col("t").startswith(F.col("word")) | F.col("word").startswith(F.col("t")), PREFIX).otherwise(CONTAINS)
+    found = pairs.join(low, "t").select("word", "term", score.alias("score"))
     return words.select("query_id", "word").distinct().join(found, "word").groupBy("query_id", "word", "term").agg(F.max("score").alias("score"))
 
 

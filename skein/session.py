@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,10 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of this machine only where it is unset (tests, local mode)."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset, one of this machine if the master is local (tests), else an error."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not re.match(r"local($|\[)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = os.path.join(tempfile.gettempdir(), f"skein-checkpoints-{os.getpid()}")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(found)
