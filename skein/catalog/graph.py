@@ -122,12 +122,11 @@ def impact_by_method(spark, d):
     return found.groupBy("root").agg(F.count("*").alias("n"), F.sum("length").alias("total"))
 
 
-@query("D12_semantic_path", f"WITH RECURSIVE {paths_sql('entry_point', 'from_id,to_id', 3)} SELECT * FROM paths WHERE leaf = (SELECT min(id) FROM nodes WHERE kind = 'entity')")
+@query("D12_semantic_path", f"WITH RECURSIVE {paths_sql('entry_point', 'from_id,to_id', 3)} SELECT * FROM paths WHERE leaf IN (SELECT id FROM nodes WHERE kind = 'entity')")
 def semantic_path(spark, d):
     n = nodes(spark, d)
-    to = n.filter("kind = 'entity'").agg(F.min("id").alias("leaf"))
     found = traverse.typed_paths(n, edges(spark, d), n.filter("entry_point"), max_depth=3)
-    return found.join(to, "leaf", "left_semi").select(*PATH_COLUMNS)
+    return found.join(n.filter("kind = 'entity'").select(F.col("id").alias("leaf")), "leaf", "left_semi").select(*PATH_COLUMNS)
 
 
 @query("D13_entities_by_table", "SELECT id, table_name FROM nodes WHERE kind = 'entity' AND starts_with(table_name, 'Brand#1')")
@@ -321,23 +320,29 @@ def path_totals(spark, d):
     return views.path_totals(impact(spark, d))
 
 
-@query("S08_path_summary", f"WITH RECURSIVE {paths_sql('entry_point', 'from_id,to_id', 2)} SELECT path_id, array_to_string(list_transform(string_split(path_id, '|'), lambda x: string_split(x, ':')[-1]), ' -> ') AS summary FROM paths")
+SHORT = "CASE WHEN length(string_split(x, '::')[-1]) > 40 THEN substr(string_split(x, '::')[-1], 1, 37) || '...' ELSE string_split(x, '::')[-1] END"
+
+
+@query("S08_path_summary", f"WITH RECURSIVE {paths_sql('entry_point', 'from_id,to_id', 3)} SELECT path_id, array_to_string(list_transform(string_split(path_id, '|'), lambda x, i: CASE WHEN i = 1 THEN '' WHEN starts_with(x, 'brand:') THEN ' ─[entity-access]→ ' ELSE ' ─[call]→ ' END || {SHORT}), '') AS summary FROM paths")
 def path_summary(spark, d):
+    from ..functions import text
+
     n = nodes(spark, d)
-    found = traverse.typed_paths(n, edges(spark, d), n.filter("entry_point"), max_depth=2)
-    return found.select("path_id", F.concat_ws(" -> ", F.transform("node_ids", lambda x: F.element_at(F.split(x, ":"), -1))).alias("summary"))
+    found = traverse.typed_paths(n, edges(spark, d), n.filter("entry_point"), max_depth=3)
+    return found.select("path_id", text.path_summary(F.col("node_ids"), F.col("edge_kinds")).alias("summary"))
 
 
 @query("H08_path_scores", f"""WITH RECURSIVE {paths_sql('entry_point', 'from_id,to_id', 3)}, s AS (SELECT path_id, length, unnest(list_slice(string_split(path_id, '|'), 1, -2)) AS a, unnest(list_slice(string_split(path_id, '|'), 2, -1)) AS b FROM paths WHERE length > 0),
 f AS (SELECT from_id, to_id, max(CASE confidence WHEN 'exact' THEN 1.0 WHEN 'high' THEN 0.75 WHEN 'medium' THEN 0.5 ELSE 0.25 END::DOUBLE) AS c FROM edges GROUP BY 1, 2),
 p AS (SELECT path_id, any_value(length) AS length, product(c) AS conf FROM s JOIN f ON f.from_id = a AND f.to_id = b GROUP BY path_id),
-r AS (SELECT path_id, round(0.4 * conf + 0.35 + 0.25 * CASE WHEN length <= 3 THEN 1.0 WHEN length <= 6 THEN 0.7 ELSE 0.4 END, 6) AS score FROM p)
+g AS (SELECT path_id, avg((NOT starts_with(x, 'customer:'))::INT) AS grounded FROM (SELECT path_id, unnest(string_split(path_id, '|')) AS x FROM paths) GROUP BY 1),
+r AS (SELECT path_id, round(0.4 * conf + 0.35 * grounded + 0.25 * CASE WHEN length <= 3 THEN 1.0 WHEN length <= 6 THEN 0.7 ELSE 0.4 END, 6) AS score FROM p JOIN g USING (path_id))
 SELECT path_id, score FROM r WHERE score >= 0.3 ORDER BY score DESC, path_id LIMIT 20""")
 def path_scores(spark, d):
     n = nodes(spark, d)
     e = edges(spark, d)
     found = traverse.typed_paths(n, e, n.filter("entry_point"), max_depth=3).filter("length > 0")
-    return views.path_scores(found, e, limit=20)
+    return views.path_scores(found, e, n.select("id", (~F.col("id").startswith("customer:")).alias("grounded")), limit=20)
 
 
 @query("K12_execution_chains", f"WITH RECURSIVE {paths_sql(chr(105) + 'd IN (SELECT id FROM nodes n9 WHERE n9.class_name LIKE ' + chr(39) + '%Service' + chr(39) + ' ORDER BY n9.label, n9.id LIMIT 5)', 'from_id,to_id', 3)} SELECT root, count(*) AS n_chains, CAST(max(length) AS INT) AS longest FROM paths GROUP BY root")

@@ -83,12 +83,10 @@ def business_score(spark, d):
     return metrics.features(nodes(spark, d), edges(spark, d)).select("id", "business")
 
 
-@query("F09_related_tables", "SELECT n.class_name, n.project_name, count(DISTINCT m.table_name) AS n_tables, min(m.table_name) AS first_table FROM nodes n JOIN edges e ON e.from_id = n.id JOIN nodes m ON m.id = e.to_id WHERE m.kind = 'entity' GROUP BY 1, 2")
-def related_tables(spark, d):
+@query("F09_related", """SELECT n.class_name, n.project_name, count(DISTINCT m.id) AS n_entities, count(DISTINCT m.table_name) AS n_tables, min(m.table_name) AS first_table, count(DISTINCT n.route) AS n_routes, min(n.route) AS first_route FROM nodes n LEFT JOIN edges e ON e.from_id = n.id LEFT JOIN nodes m ON m.id = e.to_id AND m.kind = 'entity' GROUP BY 1, 2""")
+def related(spark, d):
     n = nodes(spark, d)
-    tables = n.filter("kind = 'entity'").select(F.col("id").alias("to_id"), "table_name")
-    own = n.select(F.col("id").alias("from_id"), "class_name", "project_name")
-    return edges(spark, d).join(tables, "to_id").join(own, "from_id").groupBy("class_name", "project_name").agg(F.countDistinct("table_name").alias("n_tables"), F.min("table_name").alias("first_table"))
+    return metrics.related(n, edges(spark, d), n.select("id", "class_name", "project_name"), ["class_name", "project_name"])
 
 
 @query("F10_class_metadata", f"""{FEATURES} SELECT project_name, namespace, class_name, count(*) AS n, CAST(sum(n_callers) AS BIGINT) AS n_callers, CAST(sum(n_callees) AS BIGINT) AS n_callees, coalesce(min(entry_distance) FILTER (WHERE entry_distance >= 0), -1) AS entry_distance,
@@ -346,7 +344,13 @@ def classification_counts(spark, d):
     return truth.claims(claim_rows(spark, d), view(spark, d, "evidence"), nodes(spark, d)).groupBy("class").agg(F.count("*").alias("n"))
 
 
-@query("I13_block_decision", """WITH c AS (SELECT s.statement_id, s.score, n.id IS NULL AS lost, (SELECT count(*) FROM evidence v WHERE v.statement_id = s.statement_id) = 0 AS bare FROM statements s LEFT JOIN nodes n ON n.id = 'supplier:' || split_part(s.subject_id, ':', 2))
-SELECT statement_id, concat_ws(',', CASE WHEN lost THEN 'subject' END, CASE WHEN bare THEN 'evidence' END, CASE WHEN score < 0.4 THEN 'confidence' END) AS reasons, lost OR bare OR score < 0.4 AS blocked FROM c""")
+@query("I12_combined", """WITH e AS (SELECT statement_id, min(CASE WHEN score <= 0.3 THEN 3 WHEN score >= 0.8 AND symbol <> '' THEN 0 WHEN score >= 0.4 AND score < 0.8 THEN 1 ELSE 2 END) AS best FROM evidence GROUP BY 1) SELECT statement_id, CAST(coalesce(best, 3) AS INT) AS class FROM statements LEFT JOIN e USING (statement_id)""")
+def combined(spark, d):
+    return truth.combined(view(spark, d, "statements"), view(spark, d, "evidence"))
+
+
+@query("I13_block_decision", """WITH v AS (SELECT statement_id, count(*) AS n, count(DISTINCT source_file) AS files, count(DISTINCT symbol) AS symbols FROM evidence GROUP BY 1), c AS (SELECT s.statement_id, n.id IS NULL AS lost, coalesce(v.n, 0) AS n, coalesce(files, 0) AS files, coalesce(symbols, 0) AS symbols, regexp_matches(claim, 'inferred from|primary workflow|probable pattern') AS forbidden, regexp_matches(claim, 'primary workflow') AS abstract
+FROM statements s LEFT JOIN nodes n ON n.id = 'supplier:' || split_part(s.subject_id, ':', 2) LEFT JOIN v USING (statement_id)), r AS (SELECT statement_id, concat_ws(',', CASE WHEN lost OR forbidden THEN 'hallucinated' END, CASE WHEN n < 1 THEN 'edges' END, CASE WHEN files < 1 THEN 'files' END, CASE WHEN symbols = 0 THEN 'symbol' END, CASE WHEN lost THEN 'graph' END, CASE WHEN n = 0 THEN 'provenance' END,
+CASE WHEN forbidden THEN 'forbidden' END, CASE WHEN n = 0 AND files = 0 AND symbols = 0 THEN 'nothing' END, CASE WHEN abstract THEN 'abstraction' END) AS reasons FROM c) SELECT statement_id, reasons, reasons <> '' AS blocked FROM r""")
 def block_decision(spark, d):
     return truth.blocked(truth.claims(claim_rows(spark, d), view(spark, d, "evidence"), nodes(spark, d)))

@@ -79,9 +79,15 @@ def sql_tables(spark, d):
     return view(spark, d, "bodies").select("id", F.array_join(t.tables_of(F.col("content")), ",").alias("tables"))
 
 
-@query("S15_name_tests", "SELECT p_partkey, regexp_matches(p_name, '^[a-z0-9]+$') AS all_lower, regexp_matches(p_type, '(Dto|DTO|Model|Request|Response)$') AS dto FROM part")
+NAMES = "nm AS (SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN replace(p_type, ' ', '') || 'Dto' WHEN 1 THEN 'Base' || replace(p_brand, '#', '') || 'DAO' WHEN 2 THEN 'OrderResponse' WHEN 3 THEN lower(replace(p_brand, '#', '')) WHEN 4 THEN 'select ' || p_name WHEN 5 THEN 'ItemVO' WHEN 6 THEN 'Basement' ELSE p_name END AS name FROM part)"
+
+
+@query("S15_name_tests", f"WITH {NAMES} SELECT p_partkey, regexp_matches(name, '^[a-z0-9]+$') AS all_lower, regexp_matches(name, '([Dd][Tt][Oo]|VO|Result|Request|Response)$') AS transfer, regexp_matches(upper(name), 'SELECT|INSERT|UPDATE|DELETE|FROM|WHERE|JOIN') AS query, starts_with(name, 'Base') AND regexp_matches(name, 'BLL|DAO|Dao|NHB') AS base FROM nm")
 def name_tests(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.col("p_name").rlike("^[a-z0-9]+$").alias("all_lower"), F.col("p_type").rlike("(Dto|DTO|Model|Request|Response)$").alias("dto"))
+    from ..operators.retrieval import is_base
+
+    rows, name = spark.sql(f"WITH {NAMES.replace('FROM part', 'FROM {part}')} SELECT * FROM nm", part=table(spark, d, "part")), F.col("name")
+    return rows.select("p_partkey", name.rlike("^[a-z0-9]+$").alias("all_lower"), name.rlike(f"(?:{t.TRANSFER})$").alias("transfer"), t.query_like(name).alias("query"), is_base(name).alias("base"))
 
 
 @query("S16_normalized_questions", "SELECT item_id, replace(replace(replace(replace(replace(trim(text), '  ', ' '), '?', ''), ',', ' '), chr(39), ''), '\"', '') AS text FROM questions")
@@ -132,15 +138,21 @@ def truth_from_level(spark, d):
     return edges(spark, d).select("confidence").distinct().withColumn("truth", confidence.truth_from_level(F.col("confidence")))
 
 
-@query("G01_method_chunks", f"WITH {DEGREE} SELECT n.id, n.label AS title, least(2.0 + CASE WHEN route IS NOT NULL THEN 3.0 ELSE 0.0 END + CASE WHEN entry_point THEN 2.0 ELSE 0.0 END + least(0.5 * n_callers, 3.0), 10.0)::DOUBLE AS importance FROM nodes n JOIN dg ON dg.id = n.id WHERE NOT is_external")
+ACCESSING = "ax AS (SELECT DISTINCT from_id AS id FROM edges WHERE kind = 'entity-access')"
+
+
+@query("G01_method_chunks", f"WITH {DEGREE}, {ACCESSING} SELECT n.id, n.label AS title, least(1.0 + CASE WHEN n.id IN (SELECT id FROM ax) THEN 2.0 ELSE 0.0 END + CASE WHEN route IS NOT NULL THEN 3.0 ELSE 0.0 END + CASE WHEN entry_point THEN 2.0 ELSE 0.0 END + least(0.5 * n_callers, 3.0), 10.0)::DOUBLE AS importance FROM nodes n JOIN dg ON dg.id = n.id WHERE NOT is_external")
 def method_chunks(spark, d):
-    n = nodes(spark, d)
-    return text.method_chunks(n, metrics.degrees(n, edges(spark, d))).select("id", "title", "importance")
+    n, e = nodes(spark, d), edges(spark, d)
+    return text.method_chunks(n, e, metrics.degrees(n, e)).select("id", "title", "importance")
 
 
-@query("G02_class_chunks", "SELECT project_name, class_name, count(*) AS n, round(least(2 + 0.3 * count(*) + CASE WHEN bool_or(entry_point) THEN 3.0 ELSE 0.0 END, 10.0)::DOUBLE, 4) AS importance FROM nodes WHERE NOT is_external GROUP BY project_name, namespace, class_name HAVING count(*) >= 2")
+@query("G02_class_chunks", f"""WITH {ACCESSING}, own AS (SELECT * FROM nodes WHERE NOT is_external), ks AS (SELECT project_name, namespace, class_name, string_agg(DISTINCT e.kind, ',' ORDER BY e.kind) AS kinds FROM own JOIN edges e ON e.from_id = own.id GROUP BY 1, 2, 3)
+SELECT project_name, class_name, count(*) AS n, round(least(2 + 0.3 * count(*) + CASE WHEN bool_or(entry_point) THEN 3.0 ELSE 0.0 END + CASE WHEN bool_or(id IN (SELECT id FROM ax)) THEN 2.0 ELSE 0.0 END, 10.0)::DOUBLE, 4) AS importance, coalesce(any_value(kinds), '') AS kinds, coalesce(string_agg(DISTINCT route, ',' ORDER BY route), '') AS routes, contains(lower(class_name), lower(class_name)) AS named
+FROM own LEFT JOIN ks USING (project_name, namespace, class_name) GROUP BY project_name, namespace, class_name HAVING count(*) >= 2""")
 def class_chunks(spark, d):
-    return text.class_chunks(nodes(spark, d))
+    rows = text.class_chunks(nodes(spark, d), edges(spark, d))
+    return rows.select("project_name", "class_name", "n", "importance", F.array_join("kinds", ",").alias("kinds"), F.array_join("routes", ",").alias("routes"), F.array_contains("keywords", F.lower("class_name")).alias("named"))
 
 
 @query("G03_path_chunks", f"WITH RECURSIVE {IMPACT} SELECT path_id, length, (6.0 + least(0.5 * length, 4.0))::DOUBLE AS importance FROM paths")
@@ -161,7 +173,13 @@ def route_chunks(spark, d):
     return text.group_chunks(impact(spark, d), "leaf", 8.0, 0.3, 2.0)
 
 
-@query("G06_contents", "SELECT n.id, '# ' || n.label || coalesce(chr(10) || array_to_string(list_transform(list_slice(list_sort(c.l), 1, 20), lambda x: '- ' || x), chr(10)), '') AS content FROM nodes n LEFT JOIN (SELECT from_id, list(DISTINCT to_id) AS l FROM edges GROUP BY 1) c ON c.from_id = n.id")
+def ends_sql(by: str, other: str, most: int) -> str:
+    return f"(SELECT id, list(label ORDER BY r) AS l FROM (SELECT {by} AS id, coalesce(n.label, {other}) AS label, row_number() OVER (PARTITION BY {by} ORDER BY {other}) AS r FROM (SELECT DISTINCT from_id, to_id FROM edges) e LEFT JOIN nodes n ON n.id = e.{other}) WHERE r <= {most} GROUP BY 1)"
+
+
+@query("G06_contents", f"""SELECT n.id, '## ' || n.label || chr(10) || chr(10) || '- **Namespace**: ' || n.namespace || chr(10) || '- **Class**: ' || n.class_name || chr(10) || '- **Method**: ' || n.method_name || chr(10) || '- **Kind**: ' || n.kind || chr(10) || '- **Project**: ' || n.project_name
+|| coalesce(chr(10) || chr(10) || '### Calls' || chr(10) || array_to_string(list_transform(o.l, lambda x: '  → ' || x), chr(10)), '') || coalesce(chr(10) || chr(10) || '### Called By' || chr(10) || array_to_string(list_transform(i.l, lambda x: '  ← ' || x), chr(10)), '') AS content
+FROM nodes n LEFT JOIN {ends_sql('from_id', 'to_id', 20)} o ON o.id = n.id LEFT JOIN {ends_sql('to_id', 'from_id', 10)} i ON i.id = n.id""")
 def contents(spark, d):
     return text.content(nodes(spark, d), edges(spark, d))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import fusion
+from ..functions import fusion, text
 from ..operators import retrieval
 from ..operators import understanding as u
 from ..plans.fixture import edges, nodes, view
@@ -124,17 +124,31 @@ def entity_parts(spark, d):
     return nodes(spark, d).select("id", F.get(parts, F.lit(0)).alias("kind"), F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("")).alias("name"))
 
 
-@query("S11_entity_types", "SELECT DISTINCT argument AS name, argument NOT IN ('string', 'int', 'T') AND regexp_matches(argument, '^[A-Z]') AS is_entity FROM bases WHERE argument <> ''")
+TYPES = "ty AS (SELECT DISTINCT argument AS name FROM bases UNION SELECT base_name FROM bases UNION SELECT class_name || 'Exception' FROM methods UNION SELECT class_name || 'EventArgs' FROM methods UNION SELECT class_name FROM methods UNION SELECT argument || 'Handler' FROM bases UNION SELECT 'Guid' FROM bases)"
+PLAIN = "name IN ('int','string','bool','long','double','float','object','void','decimal','DateTime','Guid','byte','T','TEntity','TKey','TValue')"
+
+
+@query("S11_entity_types", f"""WITH {TYPES} SELECT name, regexp_matches(name, '^[A-Z]') AND NOT {PLAIN} AND NOT regexp_matches(name, '^T\\d*$') AND NOT regexp_matches(name, '(Exception|Attribute|EventArgs|Delegate)$') AS resolver,
+regexp_matches(name, '^[A-Z]') AND NOT {PLAIN} AND name <> 'T1' AND NOT regexp_matches(name, '(Exception|Attribute|EventArgs|Delegate|Handler|Controller|Service)$') AND length(name) >= 3 AND NOT starts_with(name, 'I') AS registry,
+regexp_matches(name, '^[A-Z]') AND NOT {PLAIN} AND NOT regexp_matches(name, '^T\\d*$') AND NOT regexp_matches(name, '(Exception|Attribute|Service|BLL|Dao)$') AND length(name) >= 3 AND NOT starts_with(name, 'I') AS field FROM ty""")
 def entity_types(spark, d):
-    ok = ~F.col("argument").isin("string", "int", "T") & F.col("argument").rlike("^[A-Z]")
-    return view(spark, d, "bases").filter("argument <> ''").select(F.col("argument").alias("name"), ok.alias("is_entity")).distinct()
+    sql = TYPES.replace("FROM bases", "FROM {bases}").replace("FROM methods", "FROM {methods}")
+    rows = spark.sql(f"WITH {sql} SELECT name FROM ty", bases=view(spark, d, "bases"), methods=view(spark, d, "methods"))
+    return rows.select("name", *[text.entity_type(F.col("name"), test).alias(test) for test in ("resolver", "registry", "field")])
 
 
-@query("G08_chunk_importance", "SELECT CASE WHEN entry_point THEN 'route' WHEN kind = 'entity' THEN 'entity' ELSE 'method' END AS chunk_kind, round(avg(least(CASE WHEN entry_point THEN 2 + 3 + 2 WHEN kind = 'entity' THEN 2 + 2 ELSE 2 END, 10)), 4)::DOUBLE AS importance FROM nodes GROUP BY 1")
+@query("G08_chunk_importance", """WITH c AS (SELECT n.id, CASE WHEN entry_point THEN 'route' WHEN kind = 'entity' THEN 'entity' ELSE 'method' END AS chunk_kind, kind = 'entity' OR id IN (SELECT from_id FROM edges WHERE kind = 'entity-access') AS has_entity, route IS NOT NULL AS has_route, entry_point, (SELECT count(DISTINCT from_id) FROM edges e WHERE e.to_id = n.id) AS callers FROM nodes n),
+i AS (SELECT chunk_kind, least(CASE chunk_kind WHEN 'route' THEN 5.0 WHEN 'entity' THEN 4.0 ELSE 1.0 END + CASE WHEN has_entity THEN 2.0 ELSE 0.0 END + CASE WHEN has_route THEN 3.0 ELSE 0.0 END + CASE WHEN entry_point THEN 2.0 ELSE 0.0 END + least(0.5 * callers, 3.0), 10.0)::DOUBLE AS importance FROM c) SELECT chunk_kind, count(*) AS n, round(avg(importance), 4) AS importance FROM i GROUP BY 1""")
 def chunk_importance(spark, d):
+    from ..operators import text as chunks
+    from ..operators.metrics import degrees
+
+    n, e = nodes(spark, d), edges(spark, d)
+    rows = n.join(degrees(n, e), "id").join(chunks.accessing(e), "id", "left").na.fill(False, ["has_entity"])
     kind = F.when(F.col("entry_point"), "route").when(F.col("kind") == "entity", "entity").otherwise("method")
-    base = F.lit(2) + F.when(F.col("kind") == "entity", 2).otherwise(0) + F.when(F.col("route").isNotNull(), 3).otherwise(0) + F.when(F.col("entry_point"), 2).otherwise(0)
-    return nodes(spark, d).groupBy(kind.alias("chunk_kind")).agg(F.round(F.avg(F.least(base, F.lit(10))), 4).alias("importance"))
+    base = F.coalesce(*[F.when(kind == k, v) for k, v in chunks.BASES.items()])
+    value = chunks.chunk_importance(base, F.col("has_entity") | (F.col("kind") == "entity"), F.col("route").isNotNull(), F.col("entry_point"), F.col("n_callers"))
+    return rows.groupBy(kind.alias("chunk_kind")).agg(F.count("*").alias("n"), F.round(F.avg(value), 4).alias("importance"))
 
 
 @query("J08_temporal_conflicts", "SELECT statement_id AS a, statement_id AS b FROM statements WHERE false")

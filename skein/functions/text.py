@@ -171,6 +171,30 @@ def folder_of(cls: Column) -> Column:
     return out
 
 
+#: Types that are no entities, endings of types that are none, and those that only some tests leave out.
+PLAIN_TYPES = ("int", "string", "bool", "long", "double", "float", "object", "void", "decimal", "DateTime", "Guid", "byte", "T", "TEntity", "TKey", "TValue")
+NO_ENTITY = {
+    "resolver": ("Exception", "Attribute", "EventArgs", "Delegate"),
+    "registry": ("Exception", "Attribute", "EventArgs", "Delegate", "Handler", "Controller", "Service"),
+    "field": ("Exception", "Attribute", "Service", "BLL", "Dao"),
+}
+
+
+def entity_type(name: Column, test: str = "resolver") -> Column:
+    """Whether a type's name can be an entity's, by one of three tests; the last two want three letters and no I in front."""
+    bare = name.isin(*PLAIN_TYPES) | ((name == "T1") if test == "registry" else type_parameter(name))
+    out = name.rlike(r"^\p{Lu}") & ~bare & ~name.rlike(f"(?:{'|'.join(NO_ENTITY[test])})$")
+    return out if test == "resolver" else out & (F.length(name) >= 3) & ~name.startswith("I")
+
+
+def path_summary(node_ids: Column, kinds: Column) -> Column:
+    """Short names of a path's nodes, 40 characters at most, with the kinds of the steps between them."""
+    short = F.transform(node_ids, lambda x: F.substring_index(x, "::", -1))
+    short = F.transform(short, lambda x: F.when(F.length(x) > 40, F.concat(F.substr(x, F.lit(1), F.lit(37)), F.lit("..."))).otherwise(x))
+    steps = F.zip_with(kinds, F.slice(short, F.lit(2), F.size(short)), lambda k, x: F.concat(F.lit(" ─["), k, F.lit("]→ "), x))
+    return F.concat(F.element_at(short, 1), F.array_join(steps, ""))
+
+
 def truncated(text: Column, n: int) -> Column:
     return F.when(F.length(text) > n, F.concat(F.substr(text, F.lit(1), F.lit(n)), F.lit("..."))).otherwise(text)
 

@@ -28,6 +28,16 @@ def fans(nodes: DataFrame, edges: DataFrame, direction: str = "forward", cap: in
     return nodes.select(F.col("id").alias("start")).join(counted, "start", "left").select(F.col("start").alias("id"), F.coalesce(fan, F.lit(0)).cast("long").alias("fan"))
 
 
+def related(nodes: DataFrame, edges: DataFrame, members: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n_entities, n_tables, first_table, n_routes, first_route): what the nodes of each set (id, by) reach in one step, and their routes."""
+    entities = nodes.filter("kind = 'entity'").select(F.col("id").alias("to_id"), F.col("table_name").alias("t"))
+    reached = edges.select(F.col("from_id").alias("id"), "to_id").distinct().join(entities, "to_id")
+    rows = members.join(nodes.select("id", "route"), "id").join(reached, "id", "left")
+    return rows.groupBy(*by).agg(
+        F.countDistinct("to_id").alias("n_entities"), F.countDistinct("t").alias("n_tables"), F.min("t").alias("first_table"), F.countDistinct("route").alias("n_routes"), F.min("route").alias("first_route"),
+    )
+
+
 def centrality(degree: DataFrame) -> DataFrame:
     """(id, centrality): (callers + callees) / (3 x the largest of both), at most 1."""
     top = degree.agg(F.greatest(F.max("n_callers"), F.max("n_callees")).alias("top"))

@@ -17,19 +17,39 @@ CATEGORY = {"table": 1.0, "exception": 0.8, "http": 0.6, "config": 0.5}
 BATCH_ROWS, BATCH_TOKENS = 32, 8192
 
 
-def method_chunks(nodes: DataFrame, degree: DataFrame) -> DataFrame:
+#: What a chunk of each kind weighs before its features.
+BASES = {"method": 1.0, "class": 2.0, "path": 4.0, "entity": 4.0, "route": 5.0}
+
+
+def chunk_importance(base: Column, has_entity: Column, has_route: Column, is_entry: Column, n_callers: Column) -> Column:
+    """A base by kind, more for entities, routes, entries and callers, 10 at most."""
+    more = F.when(has_entity, 2.0).otherwise(0.0) + F.when(has_route, 3.0).otherwise(0.0) + F.when(is_entry, 2.0).otherwise(0.0)
+    return F.least(base + more + F.least(0.5 * n_callers, F.lit(3.0)), F.lit(10.0))
+
+
+def accessing(edges: DataFrame) -> DataFrame:
+    """(id, has_entity): nodes that reach an entity."""
+    return edges.filter("kind = 'entity-access'").select(F.col("from_id").alias("id")).distinct().withColumn("has_entity", F.lit(True))
+
+
+def method_chunks(nodes: DataFrame, edges: DataFrame, degree: DataFrame) -> DataFrame:
     """(id, title, n_keywords, importance): a chunk for each internal method."""
-    rows = nodes.filter("not is_external").join(degree, "id")
+    rows = nodes.filter("not is_external").join(degree, "id").join(accessing(edges), "id", "left").na.fill(False, ["has_entity"])
     words = t.keywords(F.concat_ws(".", "namespace", "class_name", "method_name"))
-    base = F.lit(2.0) + F.when(F.col("route").isNotNull(), 3.0).otherwise(0.0) + F.when(F.col("entry_point"), 2.0).otherwise(0.0) + F.least(0.5 * F.col("n_callers"), F.lit(3.0))
-    return rows.select("id", F.col("label").alias("title"), F.size(words).alias("n_keywords"), F.least(base, F.lit(10.0)).alias("importance"))
+    value = chunk_importance(F.lit(BASES["method"]), F.col("has_entity"), F.col("route").isNotNull(), F.col("entry_point"), F.col("n_callers"))
+    return rows.select("id", F.col("label").alias("title"), F.size(words).alias("n_keywords"), value.alias("importance"))
 
 
-def class_chunks(nodes: DataFrame) -> DataFrame:
-    """(project_name, class_name, n, importance): classes of two members and more."""
-    rows = nodes.filter("not is_external").groupBy("project_name", "namespace", "class_name").agg(F.count("*").alias("n"), F.bool_or("entry_point").alias("entry"))
-    score = 2 + 0.3 * F.col("n") + F.when(F.col("entry"), 3.0).otherwise(0.0)
-    return rows.filter("n >= 2").select("project_name", "class_name", "n", F.round(F.least(score, F.lit(10.0)), 4).alias("importance"))
+def class_chunks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(project_name, namespace, class_name, n, importance, keywords, kinds, routes): classes of two members and more, and what their members have."""
+    by = ["project_name", "namespace", "class_name"]
+    own = nodes.filter("not is_external").join(accessing(edges), "id", "left").na.fill(False, ["has_entity"])
+    rows = own.groupBy(*by).agg(F.count("*").alias("n"), F.bool_or("entry_point").alias("entry"), F.bool_or("has_entity").alias("entity"), F.array_sort(F.collect_set("route")).alias("routes"))
+    kinds = edges.select(F.col("from_id").alias("id"), "kind").distinct().join(own.select("id", *by), "id").groupBy(*by).agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+    score = 2 + 0.3 * F.col("n") + F.when(F.col("entry"), 3.0).otherwise(0.0) + F.when(F.col("entity"), 2.0).otherwise(0.0)
+    words = t.keywords(F.concat_ws(".", "namespace", "class_name"))
+    found = rows.filter("n >= 2").join(kinds, by, "left")
+    return found.select(*by, "n", F.round(F.least(score, F.lit(10.0)), 4).alias("importance"), words.alias("keywords"), F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"), "routes")
 
 
 def path_chunks(paths: DataFrame, base: float = 6.0) -> DataFrame:
@@ -44,11 +64,22 @@ def group_chunks(paths: DataFrame, by: str, base: float, step: float, most: floa
     return found.withColumn("importance", F.round(base + F.least(step * F.col("n_paths"), F.lit(most)), 4))
 
 
-def content(nodes: DataFrame, edges: DataFrame, callees: int = 20) -> DataFrame:
-    """(id, content): a node's label and its first callees as Markdown."""
-    called = edges.select("from_id", "to_id").distinct().groupBy("from_id").agg(F.slice(F.array_sort(F.collect_list("to_id")), 1, callees).alias("to"))
-    rows = nodes.select("id", "label").join(called, F.col("id") == F.col("from_id"), "left")
-    lines = F.concat(F.array(F.concat(F.lit("# "), "label")), F.transform(F.coalesce("to", F.array().cast("array<string>")), lambda x: F.concat(F.lit("- "), x)))
+def _labels(edges: DataFrame, nodes: DataFrame, by: str, other: str, most: int) -> DataFrame:
+    """(id, labels): labels at the other end of edges, the first by id."""
+    named = nodes.select(F.col("id").alias(other), "label")
+    first = edges.select(by, other).distinct().withColumn("r", F.row_number().over(W.partitionBy(by).orderBy(other))).filter(F.col("r") <= most)
+    rows = first.join(named, other, "left").select(by, "r", F.coalesce("label", other).alias("label"))
+    return rows.groupBy(F.col(by).alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "label"))), lambda x: x["label"]).alias("labels"))
+
+
+def content(nodes: DataFrame, edges: DataFrame, callees: int = 20, callers: int = 10) -> DataFrame:
+    """(id, content): a node as Markdown: its label and names, its first callees and callers. Headings and names are fixed values."""
+    none = F.array().cast("array<string>")
+    rows = nodes.join(_labels(edges, nodes, "from_id", "to_id", callees).withColumnRenamed("labels", "calls"), "id", "left").join(_labels(edges, nodes, "to_id", "from_id", callers).withColumnRenamed("labels", "called"), "id", "left")
+    head = [F.concat(F.lit("## "), "label"), F.lit("")]
+    head += [F.concat(F.lit(f"- **{name}**: "), F.coalesce(c, F.lit(""))) for name, c in (("Namespace", "namespace"), ("Class", "class_name"), ("Method", "method_name"), ("Kind", "kind"), ("Project", "project_name"))]
+    part = lambda title, mark, c: F.when(F.size(F.coalesce(c, none)) > 0, F.concat(F.array(F.lit(""), F.lit(f"### {title}")), F.transform(c, lambda x: F.concat(F.lit(f"  {mark} "), x)))).otherwise(none)
+    lines = F.concat(F.array(*head), part("Calls", "→", "calls"), part("Called By", "←", "called"))
     return rows.select("id", F.array_join(lines, "\n").alias("content"))
 
 

@@ -79,17 +79,33 @@ def claims(statements: DataFrame, evidence: DataFrame, nodes: DataFrame) -> Data
 
     Class 0 grounded, 1 plausible, 2 unsupported, 3 hallucinated.
     """
-    counts = evidence.groupBy("statement_id").agg(F.count("*").alias("n_evidence"))
-    rows = statements.join(nodes.select(F.col("id").alias("subject"), F.lit(True).alias("known")), "subject", "left").join(counts, "statement_id", "left").na.fill(0, ["n_evidence"])
+    counts = evidence.groupBy("statement_id").agg(F.count("*").alias("n_evidence"), F.countDistinct("source_file").alias("n_files"), F.countDistinct(F.nullif("symbol", F.lit(""))).alias("n_symbols"))
+    rows = statements.join(nodes.select(F.col("id").alias("subject"), F.lit(True).alias("known")), "subject", "left").join(counts, "statement_id", "left").na.fill(0, ["n_evidence", "n_files", "n_symbols"])
     lost, bare = F.col("known").isNull(), F.col("n_evidence") == 0
     forbidden = any_of(F.lower("claim"), FORBIDDEN)
     failures = lost.cast("int") + bare.cast("int") + forbidden.cast("int")
     kind = F.when(lost | forbidden, 3).when(bare, 2).when(F.col("score") >= 0.6, 0).otherwise(1)
-    return rows.select("statement_id", "score", lost.alias("lost"), bare.alias("bare"), forbidden.alias("forbidden"), failures.alias("n_failures"), kind.alias("class"))
+    abstract = any_of(F.lower("claim"), FORBIDDEN[:8])
+    names = ("n_evidence", "n_files", "n_symbols")
+    return rows.select("statement_id", "score", *names, lost.alias("lost"), bare.alias("bare"), forbidden.alias("forbidden"), abstract.alias("abstract"), failures.alias("n_failures"), kind.alias("class"))
 
 
-def blocked(rows: DataFrame, least: float = 0.4) -> DataFrame:
-    """(statement_id, reasons, blocked)."""
-    low = F.col("score") < least
-    reasons = F.concat_ws(",", F.when(F.col("lost"), "subject"), F.when(F.col("bare"), "evidence"), F.when(low, "confidence"))
-    return rows.select("statement_id", reasons.alias("reasons"), (F.col("lost") | F.col("bare") | low).alias("blocked"))
+def derived(score: Column, bound: Column) -> Column:
+    """What a piece of evidence makes of a claim: 3 hallucinated, 0 grounded, 1 inferred, 2 speculative."""
+    return F.when(score <= 0.3, 3).when((score >= 0.8) & bound, 0).when((score >= 0.4) & (score < 0.8), 1).otherwise(2)
+
+
+def combined(statements: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(statement_id, class): the best of what a statement's evidence makes of it, hallucinated without any."""
+    best = evidence.groupBy("statement_id").agg(F.min(derived(F.col("score"), F.col("symbol") != "")).alias("best"))
+    return statements.select("statement_id").join(best, "statement_id", "left").select("statement_id", F.coalesce("best", F.lit(3)).alias("class"))
+
+
+def blocked(rows: DataFrame, edges: int = 1, files: int = 1) -> DataFrame:
+    """(statement_id, reasons, blocked): claims that may not be made, and why. ``edges`` and ``files``: least evidence."""
+    none = (F.col("n_evidence") == 0) & (F.col("n_files") == 0) & (F.col("n_symbols") == 0)
+    reasons = F.concat_ws(
+        ",", F.when(F.col("class") == 3, "hallucinated"), F.when(F.col("n_evidence") < edges, "edges"), F.when(F.col("n_files") < files, "files"), F.when(F.col("n_symbols") == 0, "symbol"), F.when(F.col("lost"), "graph"),
+        F.when(F.col("bare"), "provenance"), F.when(F.col("forbidden"), "forbidden"), F.when(none, "nothing"), F.when(F.col("abstract"), "abstraction"),
+    )
+    return rows.select("statement_id", reasons.alias("reasons")).withColumn("blocked", F.col("reasons") != "")
