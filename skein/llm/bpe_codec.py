@@ -27,7 +27,7 @@ from .common import Recent, arrow_map, blocks, looked_up, plain
 
 TOKENIZER = "word_bpe_49k.json"
 #: Units kept encoded per worker and round, and characters of text in work at once.
-KEPT_UNITS, BLOCK_CHARS = 250_000, 4_000_000
+KEPT_UNITS, BLOCK_CHARS = 400_000, 4_000_000
 #: Python's own lower-casing and white space agree with the library's on Latin-1 without these, and normalisation changes nothing there.
 _CONTROLS = b"\x1c\x1d\x1e\x1f"
 #: Units that the library splits.
@@ -77,7 +77,9 @@ class TrieCodec:
     def _learn_units(self, new: set[str]) -> None:
         units = self.units.now
         parts = {u: self.pieces(u) for u in self.units.recall(new)}
-        words = self._learn({p for ps in parts.values() for p in ps})
+        # an ASCII piece of one unit can be a unit of its own, as in "word," and "word"; of others the stand-ins could be taken for one
+        words = {p: units[p] for ps in parts.values() if len(ps) > 1 for p in ps if p in units and p.isascii() and p.isprintable()}
+        words.update(self._learn({p for ps in parts.values() for p in ps}.difference(words)))
         for u, ps in parts.items():
             units[u] = words[ps[0]] if len(ps) == 1 else b"".join([words[p] for p in ps])
 

@@ -30,8 +30,8 @@ from .bpe import Bpe, library, load, plain_classes, tokenizer_path
 from .common import Recent, arrow_map, blocks, looked_up, single_spaced, units
 
 TOKENIZER, LIMIT = "byte_bpe_50k.json", 512
-#: Units kept per worker and round, pieces kept per worker, and characters of text in work at once.
-KEPT_UNITS, KEPT_PIECES, BLOCK_CHARS = 250_000, 100_000, 4_000_000
+#: Units and pieces kept per worker and round, and characters of text in work at once.
+KEPT_UNITS, KEPT_PIECES, BLOCK_CHARS = 400_000, 250_000, 4_000_000
 _RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2,}")
 _CONTRACTIONS = {"'re", "'ve", "'ll"}
 
@@ -47,21 +47,20 @@ class PrefixCounter:
         letters, numbers = plain_classes()
         #: The file's pattern for units without characters from U+0180 on and without runs of white space.
         self.pattern = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^\\s{letters}{numbers}]+|\\s+")
-        self.known: dict[str, list[int]] = {}
-        #: By unit, its counts at one byte each; units of more than 255 tokens have none.
+        #: By piece and by unit, its counts, at one byte each where they fit; longer units have none.
+        self.piece = Recent(KEPT_PIECES)
         self.unit = Recent(KEPT_UNITS)
 
     def learn(self, pieces: Iterable[str]) -> None:
         """Counts after each code point of new pieces of the pattern, by one walk over their trie."""
-        stand_in, known = self.bpe.stand_in, self.known
+        stand_in, known = self.bpe.stand_in, self.piece.now
         space = stand_in[32]
         new = {}
-        for p in pieces:
-            if p not in known:
-                if p.isascii() and p.isprintable():  # the space alone has another stand-in
-                    new[p.replace(" ", space)] = p
-                else:
-                    new["".join([stand_in[x] for x in p.encode("utf-8", "replace")])] = p
+        for p in self.piece.recall(set(pieces).difference(known)):
+            if p.isascii() and p.isprintable():  # the space alone has another stand-in
+                new[p.replace(" ", space)] = p
+            else:
+                new["".join([stand_in[x] for x in p.encode("utf-8", "replace")])] = p
         for coded, _, counts in self.bpe.walk(new, ends=False):
             piece = new[coded]
             if len(piece) == len(coded):
@@ -73,14 +72,14 @@ class PrefixCounter:
                     found.append(counts[at])
             if piece in _CONTRACTIONS:  # cut short, it is a quote and a letter
                 found[1] = 2
-            known[piece] = found
+            known[piece] = bytes(found) if max(found, default=0) < 256 else found
 
     def _joined(self, pieces: list[str]) -> list[int]:
         """Counts over consecutive pieces, each raised by the totals before it."""
         out: list[int] = []
         before = 0
         for p in pieces:
-            own = self.known[p]
+            own = self.piece.now[p]
             out.extend([before + x for x in own] if before else own)
             before += own[-1]
         return out
@@ -94,20 +93,22 @@ class PrefixCounter:
         starts, start, before = {}, 0, 0
         for p in pieces:
             starts[start] = before
-            before += self.known[p][-1]
+            before += self.piece.now[p][-1]
             start += len(p)
         for m in runs:
             if m.end() < len(text) and m.start() in starts:
-                out[m.end() - 1] = starts[m.start()] + self.known[m.group()][-1]
+                out[m.end() - 1] = starts[m.start()] + self.piece.now[m.group()][-1]
         return out
 
     def learn_units(self, new: set[str]) -> None:
         parts = {u: [u] if (w := u[u[0] == " " :]).isascii() and w.isalpha() else self.pattern.findall(u) for u in self.unit.recall(new)}
         self.learn({p for ps in parts.values() for p in ps})
-        known, unit = self.known, self.unit.now
+        known, unit = self.piece.now, self.unit.now
         for u, ps in parts.items():
             own = known[ps[0]] if len(ps) == 1 else self._joined(ps)
-            if own[-1] < 250 and max(own) < 256:
+            if type(own) is bytes:
+                unit[u] = own
+            elif max(own) < 256:
                 unit[u] = bytes(own)
 
     def plain(self, found: list[str], vectors: list[bytes | None]) -> np.ndarray:
@@ -144,8 +145,7 @@ class PrefixCounter:
     def counts(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """For each text, tokens of ``text[:i + 1]`` at ``i``."""
         self.unit.turn()
-        if len(self.known) > KEPT_PIECES:  # units keep their own counts
-            self.known.clear()
+        self.piece.turn()
         plain = [None if not t or "<|" in t or not single_spaced(t) else units(t) for t in texts]
         vectors = iter(looked_up(self.unit.now, [x for x in plain if x is not None], self.learn_units))
         for text, found in zip(texts, plain, strict=True):
