@@ -275,10 +275,13 @@ def external_dependencies(spark, d):
     return cognition.external_dependencies(nodes(spark, d), edges(spark, d))
 
 
-@query("K16_interaction_points", f"""WITH {TARGET_SQL}, p AS (SELECT DISTINCT from_id, to_id FROM edges), c AS (SELECT to_id AS target, from_id AS caller, row_number() OVER (PARTITION BY to_id ORDER BY from_id) AS r FROM p WHERE to_id IN (SELECT id FROM tg))
+CALLED = TARGET_SQL.replace("'region'", "'nation'").replace("'get'", "'load'")
+
+
+@query("K16_interaction_points", f"""WITH {CALLED}, p AS (SELECT DISTINCT from_id, to_id FROM edges), c AS (SELECT to_id AS target, from_id AS caller, row_number() OVER (PARTITION BY to_id ORDER BY from_id) AS r FROM p WHERE to_id IN (SELECT id FROM tg))
 SELECT DISTINCT c.target, c.caller, p.to_id AS sibling FROM c JOIN p ON p.from_id = c.caller WHERE c.r <= 5 AND p.to_id <> c.target""")
 def interaction_points(spark, d):
-    return cognition.interaction_points(edges(spark, d), cognition.root_cause_targets(nodes(spark, d), TARGETS))
+    return cognition.interaction_points(edges(spark, d), cognition.root_cause_targets(nodes(spark, d), ["nation", "load"]))
 
 
 def phrases_sql(intent: str) -> str:
