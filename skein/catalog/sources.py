@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import functions as F
@@ -37,6 +38,34 @@ def source_files(spark, d):
     return code.methods(code.files(spark, at, "*.txt")).select("method_name")
 
 
+def sources(spark, d):
+    """A file a nation: a class of two methods in blocks and one by an expression, with comments and literals that look like code."""
+    k, j = F.col("n_nationkey").cast("string"), ((F.col("n_nationkey") + 1) % 25).cast("string")
+    text = F.concat(
+        F.lit("using System;\nnamespace App.N { // class Gone { void No() { } }\n  public class N"), k, F.lit("Service : Base { /* int Old(int x) { return 1; } */\n    private int count = 0;\n    public int Load"), k,
+        F.lit("(int x, string y = \"(\") { if (x > 0) { return Find(x); } return N"), j, F.lit("Service.Load"), j, F.lit("(1, \"a(b)}\"); }\n    static void Find(int z) { other.Load3(z, null); done.Invoke(z); Log.Write(); }\n    int Twice(Map<int, string> m) => Find(2);\n  }\n}\n"),
+    )
+    return table(spark, d, "nation").select(F.concat(F.lit("N"), k, F.lit(".cs")).alias("path"), text.alias("text"))
+
+
+BODIES = """un AS (SELECT n_nationkey AS k, CAST(n_nationkey AS STRING) AS s, CAST((n_nationkey + 1) % 25 AS STRING) AS j FROM nation),
+bd AS (SELECT 'N' || s || '.cs' AS path, 'App.N' AS namespace, 'N' || s || 'Service' AS class_name, 'Load' || s AS method_name, 'int,string' AS parameters, 'if (x > 0) { return Find(x); } return N' || j || 'Service.Load' || j || '(1, "a(b)}");' AS content FROM un
+UNION ALL SELECT 'N' || s || '.cs', 'App.N', 'N' || s || 'Service', 'Find', 'int', 'other.Load3(z, null); done.Invoke(z); Log.Write();' FROM un UNION ALL SELECT 'N' || s || '.cs', 'App.N', 'N' || s || 'Service', 'Twice', 'Map<int, string>', 'Find(2)' FROM un)"""
+
+
+@query("A03_code_units", f"WITH {BODIES} SELECT * FROM bd")
+def code_units(spark, d):
+    return code.units(sources(spark, d)).withColumn("parameters", F.array_join("parameters", ","))
+
+
+@query("A04_invocations", """WITH un AS (SELECT n_nationkey AS k, CAST(n_nationkey AS STRING) AS s, CAST((n_nationkey + 1) % 25 AS STRING) AS j FROM nation)
+SELECT 'N' || s || 'Service.Load' || s AS unit_id, 0 AS seq, 'N' || s || 'Service.Find' AS target, 'symbol' AS way FROM un UNION ALL SELECT 'N' || s || 'Service.Load' || s, 1, 'N' || j || 'Service.Load' || j, 'symbol' FROM un UNION ALL SELECT 'N' || s || 'Service.Find', 0, 'N3Service.Load3', 'candidate' FROM un
+UNION ALL SELECT 'N' || s || 'Service.Find', 1, 'done', 'delegate' FROM un UNION ALL SELECT 'N' || s || 'Service.Find', 2, 'Write', 'external' FROM un UNION ALL SELECT 'N' || s || 'Service.Twice', 0, 'N' || s || 'Service.Find', 'symbol' FROM un""")
+def invocations(spark, d):
+    found = code.units(sources(spark, d)).withColumn("unit_id", F.concat_ws(".", "class_name", "method_name"))
+    return code.resolved(code.invocations(found), found).select("unit_id", "seq", "target", "way")
+
+
 @query("A07_xml_beans", "SELECT DISTINCT bean_id, type_name, ref FROM beans")
 def xml_beans(spark, d):
     at = place(spark)
@@ -94,11 +123,33 @@ def graph_json(spark, d):
     return back.select("from", "to", "kind", F.col("attributes")["confidence"].alias("confidence"))
 
 
-@query("A13_chunk_sink", "SELECT vec_id AS chunk_id, 'chunk:' || CAST(vec_id AS STRING) AS title FROM embeddings")
+@query("A13_chunk_sink", "SELECT chunk_id, title, table_name, entity_name, importance, n_nodes FROM chunks")
 def chunk_sink(spark, d):
+    at, chunks = place(spark), view(spark, d, "chunks")
+    graphs.write_chunks(chunks, at)
+    return spark.read.schema(chunks.schema).json(at).select("chunk_id", "title", "table_name", "entity_name", "importance", "n_nodes")
+
+
+@query("A13_embedding_sink", "SELECT vec_id AS chunk_id, 64 AS dimensions, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings")
+def embedding_sink(spark, d):
     at = place(spark)
-    graphs.write_chunks(view(spark, d, "chunks").select("chunk_id", "title"), at)
-    return spark.read.schema("chunk_id bigint, title string").json(at)
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.size("embedding").alias("dimensions"), F.col("embedding").alias("vector"))
+    graphs.write_chunks(rows, at)
+    return spark.read.schema("chunk_id bigint, dimensions int, vector array<float>").json(at).select("chunk_id", "dimensions", F.round(F.element_at("vector", 1).cast("double"), 6).alias("first"))
+
+
+@query("A17_tools", "SELECT tool, id FROM (SELECT 'callees' AS tool, to_id AS id FROM edges WHERE from_id = 'region:1' UNION SELECT 'callers', from_id FROM edges WHERE to_id = 'nation:2' UNION SELECT 'entry_points', 'region:' || CAST(n_regionkey AS STRING) FROM nation WHERE n_nationkey = 2 UNION SELECT 'search', id FROM nodes WHERE contains(lower(label), 'loadnation_1'))")
+def tools(spark, d):
+    """Tools called as an agent calls them: a request of JSON each."""
+    from .. import tools as agent
+
+    server = agent.Server(nodes(spark, d), edges(spark, d))
+    asked = (("callees", {"id": "region:1"}), ("callers", {"id": "nation:2"}), ("entry_points", {"id": "nation:2"}), ("search", {"text": "LoadNATION_1", "limit": 100}))
+    rows = []
+    for i, (name, arguments) in enumerate(asked):
+        answer = json.loads(server.handle(json.dumps({"jsonrpc": "2.0", "id": i, "method": "tools/call", "params": {"name": name, "arguments": arguments}})))
+        rows += [(name, r["id"]) for r in json.loads(answer["result"]["content"][0]["text"])]
+    return spark.createDataFrame(rows, "tool string, id string")
 
 
 @query("A14_view_sink", "SELECT from_id || '→' || to_id || '|' || kind AS id FROM edges")

@@ -144,3 +144,42 @@ def test_graph_document(spark, tmp_path):
     (tmp_path / "g.json").write_text('{"schemaVersion": 1, "nodes": [{"id": "a", "attributes": {"route": "/x"}}], "edges": [{"from": "a", "to": "b", "kind": "call"}], "facts": []}')
     nodes, edges, facts = graphs.read_graph_json(spark, str(tmp_path / "g.json"))
     assert nodes.first().attributes == {"route": "/x"} and edges.first()["to"] == "b" and facts.count() == 0
+
+
+def test_units_of_a_source():
+    from skein.sources import code
+
+    text = """namespace A.B;
+    public class C<T> : D where T : new() {
+        string s = "void No() {"; char c = '{';
+        public C(int x) { }
+        [Route("x")] public async Task<List<int>> Get(Dictionary<int, string> m, ref int n, T t = default(T)) where T : class { foreach (var x in m) { Run(x, "a, b"); } return new List<int>(Make()); }
+        int Twice(int x) => x * Mul(2);
+        class Inner { void Deep() { /* } */ base.Go(); } }
+    }"""
+    found = list(code.declared_units(text))
+    assert [u[:4] for u in found] == [("A.B", "C", "Get", ["Dictionary<int, string>", "int", "T"]), ("A.B", "C", "Twice", ["int"]), ("A.B", "C.Inner", "Deep", [])]
+    body = dict((u[2], u[4]) for u in found)
+    assert body["Twice"] == "x * Mul(2)" and list(code.invocations_of(body["Get"])) == [("", "Run", 2), ("", "Make", 0)]
+    assert list(code.invocations_of(body["Deep"])) == [("base", "Go", 0)] and list(code.declared_units("")) == []
+
+
+def test_tools(spark):
+    import json
+
+    from skein.tools import Server
+
+    nodes = spark.createDataFrame([("a", "method", "A.Get", "P", "n", "AController", "Get", True, "/a", None, False), ("b", "method", "B.Load", "Q", "n", "BService", "Load", False, None, None, False), ("t", "entity", "T", "Q", "n", "T", "", False, None, "T", True)], "id string, kind string, label string, project_name string, namespace string, class_name string, method_name string, entry_point boolean, route string, table_name string, is_external boolean")
+    edges = spark.createDataFrame([("a", "b", "call", "exact", "semantic", 1), ("b", "t", "entity-access", "high", "analyzer", 1)], "from_id string, to_id string, kind string, confidence string, evidence string, weight int")
+    server = Server(nodes, edges)
+    ask = lambda method, **params: json.loads(server.handle(json.dumps({"jsonrpc": "2.0", "id": 1, "method": method, "params": params})))
+    rows = lambda tool, **a: json.loads(ask("tools/call", name=tool, arguments=a)["result"]["content"][0]["text"])
+    assert {t["name"] for t in ask("tools/list")["result"]["tools"]} == set(server.tools) and "protocolVersion" in ask("initialize")["result"]
+    assert rows("callees", id="a") == [{"id": "b"}] and rows("entry_points", id="t") == [{"id": "a"}]
+    assert rows("table_impact", table="T") == [{"path_id": "t|b|a", "length": 2, "root": "t", "leaf": "a"}]
+    assert rows("route", text="What breaks if BService.Load changes")[0]["engine"] == "impact"
+    some = {"id": "a", "text": "load", "table": "T", "name": "T"}
+    for name, (_, needed, _) in server.tools.items():
+        assert isinstance(rows(name, **{n: some[n] for n in needed}), list)
+    assert ask("tools/call", name="none")["error"]["code"] == ask("tools/call", name="node")["error"]["code"] == ask("tools/call", name="node", arguments={"id": "zz"})["error"]["code"] == -32602
+    assert ask("nothing")["error"]["code"] == -32601 and json.loads(server.handle("{"))["error"]["code"] == -32700 and server.handle('{"method": "ping"}') is None
