@@ -292,6 +292,24 @@ def test_whole_passages_whose_parts_are_in_smaller_documents(spark):
     assert want and want <= got
 
 
+def test_passages_of_documents_against_brute_force(spark, small):
+    """Every word of every repeated stretch of 50 words is found, and what is found is alike."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    words = {r.doc_id: alnum_words(r.text) for r in docs.orderBy("doc_id").collect()}
+    first, want = {}, set()
+    for i, w in words.items():
+        for x in range(len(w) - 49):
+            if first.setdefault(tuple(w[x : x + 50]), i) != i:
+                want.update((i, y) for y in range(x, x + 50))
+    found = substring_dedup.passages(docs).collect()
+    assert want and want <= {(r.doc_id, y) for r in found for y in range(r.start, r.end)}
+    for r in found:
+        a, b = words[r.doc_id][r.start : r.end], words[r.source_id][r.source_start : r.source_end]
+        known = {w: i for i, w in enumerate({*a, *b})}
+        equal = len(substring_dedup.common([known[w] for w in a], [known[w] for w in b]))
+        assert len(a) == r.n_words >= 50 and equal >= 0.8 * max(len(a), len(b)) and equal >= r.similarity * max(len(a), len(b)) - 1e-6
+
+
 @pytest.mark.parametrize("edits", [0.1, 0.15, 0.2])
 def test_edited_passages(spark, edits):
     """Passages of 50 to 110 words with a fifth of them edited at most; each pair is similar enough by construction."""
