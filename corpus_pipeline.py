@@ -12,13 +12,11 @@ each stage.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import bpe_codec, decontam, near_dup, quality_pu, substring_dedup
-from skein.llm.common import alnum_words, arrow_map, cut, shared_dir, table
+from skein.llm.common import Tables, alnum_words, arrow_map, cut, table
 
 #: Word shingles and percent of similarity of the near-duplicate stage.
 SHINGLE, PERCENT = 5, 80
@@ -131,9 +129,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written as Parquet below the shared folder and read again."""
-    docs, base = table(spark, sf_dir, "documents"), f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    """The stages over documents, each written as Parquet below the shared folder and read again; a stage's table goes when the next one stands."""
+    docs, tables = table(spark, sf_dir, "documents"), Tables(spark, "pipeline")
     for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}")
-        docs = spark.read.parquet(f"{base}/{i}")
+        docs = tables.keep(str(i), stage(spark, docs, sf_dir))
+        if i:
+            tables.drop(str(i - 1))
     return docs
