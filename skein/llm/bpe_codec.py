@@ -27,7 +27,7 @@ from .common import Recent, arrow_map, blocks, looked_up, plain
 
 TOKENIZER = "word_bpe_49k.json"
 #: Units kept encoded per worker and round, and characters of text in work at once.
-KEPT_UNITS, BLOCK_CHARS = 400_000, 4_000_000
+KEPT_UNITS, BLOCK_CHARS = 200_000, 4_000_000
 #: Python's own lower-casing and white space agree with the library's on Latin-1 without these, and normalisation changes nothing there.
 _CONTROLS = b"\x1c\x1d\x1e\x1f"
 #: Units that the library splits.
