@@ -1,6 +1,7 @@
 """Operators 1, 3, 7 and 10."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -328,6 +329,50 @@ def test_edited_passages(spark, edits):
     assert len(got) >= 0.97 * len(want)
 
 
+def test_edited_passages_whose_seeds_many_documents_have(spark):
+    """An edited passage is found where the first and the nearest holders of each of its seeds are others than the document that has it."""
+    rng = random.Random(12)
+    word = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    rows, want = [], {}
+    for i in range(12):
+        p = word(55)
+        q = [w if y % 9 else f"e{rng.randrange(10**6)}" for y, w in enumerate(p)]  # no LEAST equal words
+        # every run of eight and nine words of it stands alone in other documents, before and after the one that has it
+        alone = lambda: [p[y : y + 10] + word(60) for y in range(0, 55, 9)]
+        texts = [*alone(), *alone(), word(20) + p + word(30), *alone(), *alone(), *alone(), word(40) + q + word(20)]
+        rows += [(100 * i + j, " ".join(t)) for j, t in enumerate(texts)]
+        want[100 * i + len(texts) - 1] = 100 * i + 14
+    got = {r.doc_id: r for r in substring_dedup.passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {d: r.source_id for d, r in got.items()} == want
+    assert all(r.n_words >= 50 and r.similarity >= 0.8 for r in got.values())
+
+
+def test_edited_passage_beside_many_places_of_its_seeds(spark):
+    """A passage is found whatever the number of places that its seeds have in both documents."""
+    rng = random.Random(13)
+    word = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    p = word(55)
+    q = [w if y % 9 else f"e{rng.randrange(10**6)}" for y, w in enumerate(p)]
+    alone = lambda n: [w for _ in range(n) for y in range(0, 55, 9) for w in p[y : y + 10] + word(60)]
+    first, second = alone(7) + p + alone(4), alone(2) + q + alone(9)
+    found = substring_dedup.passages(spark.createDataFrame([(1, " ".join(first)), (2, " ".join(second))], "doc_id bigint, text string")).collect()
+    at = len(alone(2))
+    assert any(r.doc_id == 2 and r.start <= at + 5 and r.end >= at + 50 for r in found)
+
+
+def test_pairs_left_out_have_too_few_words_in_common():
+    """The bound is never below the number of words that two stretches have in common."""
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        x, a = (rng.integers(0, rng.choice([5, 60, 10**6]), rng.integers(1, 120)).astype(np.uint64) for _ in range(2))
+        x[: len(a) // 2] = a[: len(x[: len(a) // 2])]
+        equal = sum((Counter(x.tolist()) & Counter(a.tolist())).values())
+        (p, n), (q, m) = substring_dedup.bag(x), substring_dedup.bag(a)
+        row = lambda raw: np.frombuffer(raw, np.uint64)[None]
+        assert substring_dedup.enough_common(row(p), np.array([n]), row(q), np.array([m]), equal).all()
+        assert not substring_dedup.enough_common(row(p), np.array([n]), row(q), np.array([m]), len(x) + 1).any()
+
+
 def test_links_of_hot_seeds():
     """A hot seed is linked in each part, and its first documents over all parts."""
     row = lambda part: pa.RecordBatch.from_pydict({c: list(v) for c, v in zip(("seed", "doc_id", "at"), zip(*part, strict=True), strict=True)})
