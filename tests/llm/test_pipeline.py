@@ -136,3 +136,19 @@ def test_decontamination_in_blocks_as_in_one(spark, tmp_path):
     for size in (8, 10**6):
         got = rows(pipeline.decontamination(spark, docs, str(tmp_path), size))
         assert {i: r.text for i, r in got.items()} == {0: "x y", 1: "x y", 2: " ".join(texts[2])}
+
+
+def test_edited_passage_whose_seeds_many_documents_have(spark, small):
+    """The passage is cut, though the first and the nearest holders of each of its seeds are other documents."""
+    rng = np.random.default_rng(12)
+    word = lambda n: [f"v{x}" for x in rng.integers(0, 10**6, n)]
+    p = word(55)
+    q = [w if y % 9 else f"e{y}" for y, w in enumerate(p)]
+    alone = lambda: [p[y : y + 10] + word(60) for y in range(0, 55, 9)]
+    before, after = word(40), word(20)
+    texts = [*alone(), *alone(), word(20) + p + word(30), *alone(), *alone(), *alone(), before + q + after]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    left = {r.doc_id: r.text.split() for r in pipeline.substrings(spark, docs, small).collect()}
+    assert len(left) == len(texts) and all(left[i] == t for i, t in enumerate(texts[:-1]))
+    last = left[len(texts) - 1]
+    assert len(set(last) & set(q)) <= 5 and set(before) <= set(last) and set(after) <= set(last)
