@@ -373,6 +373,57 @@ def test_pairs_left_out_have_too_few_words_in_common():
         assert not substring_dedup.enough_common(row(p), np.array([n]), row(q), np.array([m]), len(x) + 1).any()
 
 
+def _rest(spark, texts, places):
+    """``rest`` over texts of words, with given seeds, all of them capped, and no passages."""
+    number: dict[str, int] = {}
+    rows = [(i, len(t), np.array([number.setdefault(w, len(number)) for w in t], np.uint32).tobytes()) for i, t in enumerate(texts)]
+    shared = spark.createDataFrame([(i, seed, at, True) for i, found in enumerate(places) for seed, at in found], "doc_id bigint, seed bigint, at int, capped boolean")
+    found = spark.createDataFrame([], "doc_id bigint, start int, end int")
+    tables = substring_dedup.Tables(spark, "rest-test")
+    out = substring_dedup.rest(shared, found, spark.createDataFrame(rows, "doc_id bigint, n_words int, words binary"), tables).collect()
+    tables.drop()
+    return out
+
+
+def test_rest_grows_with_the_documents(spark):
+    """Of n documents that all share an edited passage each comes with the smallest one, not with all before it; one alike in other words is compared on."""
+    word = lambda i, n: [f"w{i}_{y}" for y in range(n)]
+    p = [f"p{y}" for y in range(60)]
+    texts = [[*p[20:24], *word(0, 60), *p[30:34]], [*word(1, 30), *p[20:34], *word(-1, 30)]]  # both seeds, and no passage
+    texts += [[*word(i, 9), *p[: i % 20], f"e{i}", *p[i % 20 + 1 :]] for i in range(2, 42)]
+    got = _rest(spark, texts, [[(1, t.index("p20")), (2, t.index("p30"))] for t in texts])
+    assert {r.doc_id: r.source for r in got} == dict.fromkeys(range(3, 42), 2) and len(got) == 2 * 39
+
+
+def test_two_seeds_further_apart_in_the_source(spark):
+    """A passage's source may be longer than the passage, and so may be the way between two seeds."""
+    p = [f"p{y}" for y in range(50)]
+    own = [f"e{y}" if y in (10, 20, 30) else w for y, w in enumerate(p)]
+    source = [x for y, w in enumerate(p) for x in ([w, f"i{y}"] if y in (5, 8, 13, 17, 25, 28, 35, 40) else [w])]
+    got = _rest(spark, [source, own], [[(1, 0), (2, 54)], [(1, 0), (2, 46)]])
+    assert {(r.doc_id, r.source, r.at, r.source_at) for r in got} == {(1, 0, 0, 0), (1, 0, 46, 54)}
+
+
+def test_bound_on_the_words_of_a_passage():
+    """Where alignment finds a passage that holds two matches, the bound lets the pair through."""
+    rng = np.random.default_rng(1)
+    held = out = 0
+    for _ in range(800):
+        u = rng.integers(0, rng.choice([40, 400, 10**6]), rng.integers(45, 117)).astype(np.uint32)
+        x = int(rng.integers(0, len(u) - 20))
+        y, rate, v, ways = x + int(rng.integers(4, 16)), rng.choice([0.05, 0.1, 0.2, 0.3]), [], {}
+        for i, w in enumerate(u.tolist()):
+            ways[i] = len(v)
+            edit = 3 if x <= i < x + 4 or y <= i < y + 4 or rng.random() > rate else rng.integers(0, 3)
+            v += [[int(rng.integers(10**7))], [], [w, int(rng.integers(10**7))], [w]][edit]
+        v, a, c = np.array(v, np.uint32), ways[x], ways[y]
+        found = [p for p in substring_dedup.align(u, v, [(x, a), (y, c)]) if p[0] <= x and y + 4 <= p[1] and p[2] <= a and c + 4 <= p[3]]
+        can = substring_dedup.can_hold(u, v, x, y + 4, a, 50, 0.8)
+        assert can or not found
+        held, out = held + bool(found), out + (not can)
+    assert held > 500 and out > 20
+
+
 def test_links_of_hot_seeds():
     """A hot seed is linked in each part, and its first documents over all parts."""
     row = lambda part: pa.RecordBatch.from_pydict({c: list(v) for c, v in zip(("seed", "doc_id", "at"), zip(*part, strict=True), strict=True)})
