@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import functions as F
 
 from skein.llm import decontam, html_extract, license_scan, substring_dedup
-from skein.llm.common import alnum_words
+from skein.llm.common import alnum_hashes, alnum_words
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; x</title><style>p{}</style></head><body class="has-sidebar">
 <header><h1>Site</h1><nav><ul><li><a href=x>Menu</a></ul></nav></header><div class="cookie-notice">We use cookies</div>
@@ -424,6 +424,28 @@ def test_bound_on_the_words_of_a_passage():
     assert held > 500 and out > 20
 
 
+def test_groups_stay_together():
+    """Batches by the first column come in order of all columns, no value of the first one in two of them."""
+    rng = np.random.default_rng(3)
+    seed = np.sort(rng.integers(-40, 40, 400_000))
+    rows = {"seed": seed, "doc_id": rng.integers(0, 90, len(seed)), "at": rng.integers(0, 9, len(seed))}
+    whole = pa.RecordBatch.from_pydict(rows)
+    out = list(substring_dedup.in_order((whole.slice(i, 9_000) for i in range(0, len(seed), 9_000)), "seed", "doc_id", "at"))
+    got = [np.concatenate([b.column(c).to_numpy() for b in out]) for c in rows]
+    order = np.lexsort((rows["at"], rows["doc_id"], rows["seed"]))
+    assert len(out) > 1 and all((x == v[order]).all() for x, v in zip(got, rows.values(), strict=True))
+    assert all(a.column(0)[-1] != b.column(0)[0] for a, b in zip(out, out[1:], strict=False))
+
+
+def test_hashes_are_those_of_the_words():
+    """Equal words have equal hashes, others not, whatever stands around them."""
+    texts = [None, "", "  ", "Ab ab,AB", "x" * 40 + " " + "x" * 41 + " " + "x" * 40, "é日本 a-b é", "start ab"]
+    got, want = alnum_hashes(texts), [alnum_words(t) for t in texts]
+    assert [len(x) for x in got] == [len(x) for x in want]
+    pairs = {(w, int(h)) for ws, hs in zip(want, got, strict=True) for w, h in zip(ws, hs, strict=True)}
+    assert len(pairs) == len({w for w, _ in pairs}) == len({h for _, h in pairs})
+
+
 def test_links_of_hot_seeds():
     """A hot seed is linked in each part, and its first documents over all parts."""
     row = lambda part: pa.RecordBatch.from_pydict({c: list(v) for c, v in zip(("seed", "doc_id", "at"), zip(*part, strict=True), strict=True)})
