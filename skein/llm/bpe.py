@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+
+from .common import outlives
 
 
 def byte_alphabet() -> list[str]:
@@ -127,12 +128,12 @@ class Bpe:
             before = word
 
 
-@lru_cache(maxsize=4)
+@outlives
 def load(path: str) -> Bpe:
     return Bpe(path)
 
 
-@lru_cache(maxsize=4)
+@outlives
 def library(path: str):
     """The tokenizers library's reading of the file, without truncation and padding, on one thread."""
     import os

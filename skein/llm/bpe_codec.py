@@ -18,12 +18,11 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
 from .bpe import Bpe, library, load, plain_classes, tokenizer_path
-from .common import Recent, arrow_map, blocks, looked_up, plain
+from .common import Recent, arrow_map, blocks, looked_up, outlives, plain
 
 TOKENIZER = "word_bpe_49k.json"
 #: Units kept encoded per worker and round, and characters of text in work at once.
@@ -106,7 +105,7 @@ class TrieCodec:
         return " ".join(map(self.names.__getitem__, memoryview(ids).cast("I")))
 
 
-@lru_cache(maxsize=1)
+@outlives
 def codec(path: str) -> TrieCodec:
     """One codec a worker: its table serves all the worker's tasks."""
     return TrieCodec(path)

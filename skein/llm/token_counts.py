@@ -21,13 +21,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 
 from .bpe import Bpe, library, load, plain_classes, tokenizer_path
-from .common import Recent, arrow_map, blocks, looked_up, single_spaced, units
+from .common import Recent, arrow_map, blocks, looked_up, outlives, single_spaced, units
 
 TOKENIZER, LIMIT = "byte_bpe_50k.json", 512
 #: Units and pieces kept per worker and round, and characters of text in work at once.
@@ -157,7 +156,7 @@ class PrefixCounter:
                 yield self.with_specials(text) if "<|" in text else self.segment(text)
 
 
-@lru_cache(maxsize=1)
+@outlives
 def counter(path: str) -> PrefixCounter:
     """One counter a worker: its tables serve all the worker's tasks."""
     return PrefixCounter(path)

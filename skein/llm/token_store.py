@@ -34,7 +34,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
-from functools import cache, lru_cache
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -42,7 +42,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import library, plain_classes, tokenizer_path
-from .common import Recent, arrow_map, blocks, looked_up, mix64, release, shared_dir, single_spaced, units
+from .common import Recent, arrow_map, blocks, looked_up, mix64, outlives, release, shared_dir, single_spaced, units
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 #: Ids in the rolling window; one cut in MEAN ids on average, none before LEAST or after MOST.
@@ -87,7 +87,7 @@ class Encoder:
         return [next(whole) if x is None else b"".join(next(joined)) for x in plain]
 
 
-@lru_cache(maxsize=1)
+@outlives
 def encoder(path: str) -> Encoder:
     """One encoder a worker: its table serves all the worker's tasks."""
     return Encoder(path)

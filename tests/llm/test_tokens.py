@@ -2,14 +2,16 @@
 
 import hashlib
 import random
+import weakref
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from skein.llm import bpe_codec, token_counts, token_store
+from skein.llm import bpe_codec, common, token_counts, token_store
 from skein.llm.bpe import library, load, tokenizer_path
-from skein.llm.common import single_spaced, units
+from skein.llm.common import arrow_map, outlives, single_spaced, units
 
 WORDS, BYTES = tokenizer_path("word_bpe_49k.json"), tokenizer_path("byte_bpe_50k.json")
 PARTS = [
@@ -190,3 +192,38 @@ def test_store_fails_where_recipes_are_lost(spark, tmp_path, lost):
     for read in (token_store.read_store, token_store.verify_store):
         with pytest.raises(Exception, match="does not match the manifest"):
             read(spark, str(tmp_path / "s")).collect()
+
+
+def test_a_workers_tables_go_with_their_step():
+    """A task of another step lets the tables of an encoder go, before its second batch."""
+
+    class Rows:
+        def mapInArrow(self, run, schema):
+            return run
+
+    class Table:
+        pass
+
+    made = outlives(lambda name: Table())
+
+    def task(ask):
+        def run(batches):
+            seen.append(weakref.ref(made("a")) if ask else None)
+            for _ in batches:
+                yield {"x": [1]}
+
+        seen = []
+        outs = arrow_map(Rows(), run, "x int")(iter([pa.record_batch({"x": [1]})] * 2))
+        next(outs)
+        still = bool(table_) and table_() is not None
+        list(outs)
+        return seen[0], still
+
+    table_ = None
+    table_, _ = task(True)
+    again, still = task(True)
+    assert again() is table_() is not None and still
+    _, still = task(False)
+    assert not still and table_() is None
+    for kept in (load, library, bpe_codec.codec, token_counts.counter, token_store.encoder):
+        assert any(c.cell_contents in common._HELD for c in kept.__closure__)
