@@ -32,6 +32,7 @@ files; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import pickle
 import uuid
 import zlib
 from functools import cache
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import library, plain_classes, tokenizer_path
+from .bpe import byte_alphabet, library, plain_classes, tokenizer_path
 from .common import Recent, arrow_map, blocks, looked_up, mix64, outlives, release, shared_dir, single_spaced, units
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
@@ -61,6 +62,11 @@ class Encoder:
         self.letters = frozenset(letters)
         self.feed = self._library(["\n"])[0]
         self.marks = {c: self._library([c])[0] for c in ".,"}
+        # a run of letters is one piece, which the library's model encodes without the steps around it; new words come once, so nothing is cached
+        self.model = pickle.loads(pickle.dumps(self.library.model))
+        self.model._resize_cache(0)
+        self.stand_in = dict(enumerate(byte_alphabet()))
+        self.known_ids = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -69,7 +75,12 @@ class Encoder:
         """Ids of new runs. A mark after a letter is a piece of its own, and a line feed between two runs is one token."""
         new, known = self.units.recall(new), self.units.now
         ends = {u for u in new if u[-1] in self.marks and u[-2:-1] in self.letters}
-        words = list({u[:-1] if u in ends else u for u in new}.difference(known))
+        words = {u[:-1] if u in ends else u for u in new}.difference(known)
+        letters = [w for w in words if w.isalpha() or w[:1] == " " and w[1:].isalpha()]
+        tokenize, stand_in, ids = self.model.tokenize, self.stand_in, self.known_ids
+        for w in letters:
+            known[w] = b"".join([ids[t.id] for t in tokenize(w.encode().decode("latin-1").translate(stand_in))])
+        words = list(words.difference(letters))
         for i in range(0, len(words), 50_000):
             part = [w for w in words[i : i + 50_000] if w != "\n"]
             raw = self._library(["\n".join(part)])[0]
@@ -209,16 +220,21 @@ def _put(out: dict[str, list], *values) -> None:
 
 
 def _once(batches):
-    """Sorted rows without repeated chunks."""
+    """Sorted rows, Arrow batches, without repeated chunks."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
     last = None
     for b in batches:
-        keep = []
-        for i, (kind, key) in enumerate(zip(b["kind"], b["key"], strict=True)):
-            if kind != "chunk" or key != last:
-                keep.append(i)
-            if kind == "chunk":
-                last = key
-        yield b if len(keep) == len(b["kind"]) else {c: [v[i] for i in keep] for c, v in b.items()}
+        key, chunk = b.column("key"), pc.equal(b.column("kind"), "chunk")
+        first = np.ones(b.num_rows, bool)
+        first[1:] = pc.not_equal(key.slice(1), key.slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False)
+        first[0] = key[0].as_py() != last
+        b = b.filter(pc.or_(pc.invert(chunk), pa.array(first)))
+        # chunks come before recipes
+        if (n := pc.sum(chunk).as_py()) and n == len(key):
+            last = key[-1].as_py()
+        yield {c: b.column(c) for c in b.schema.names}
 
 
 def write_store(documents: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> None:
@@ -228,7 +244,7 @@ def write_store(documents: DataFrame, path: str, tokenizer: str = TOKENIZER, end
     leaf = "array<struct<digest:binary,n:int>>"
     rows = rows_of(documents, tokenizer, end_id)
     sent = rows.repartition("key").sortWithinPartitions("kind", "key")
-    unique = arrow_map(sent, _once, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema))
+    unique = arrow_map(sent, _once, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema), lists=False)
     unique.write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/data")
     release(spark)
     # recipes in order of doc_id; those of a repeated id in order of content

@@ -227,3 +227,13 @@ def test_a_workers_tables_go_with_their_step():
     assert not still and table_() is None
     for kept in (load, library, bpe_codec.codec, token_counts.counter, token_store.encoder):
         assert any(c.cell_contents in common._HELD for c in kept.__closure__)
+
+
+def test_repeated_chunks_across_batches():
+    """Arrow batches in, each chunk once, every recipe kept."""
+    rows = [("chunk", b"a"), ("chunk", b"a"), ("chunk", b"b"), ("chunk", b"c"), ("recipe", b"c"), ("recipe", b"r"), ("recipe", b"r"), ("recipe", b"r")]
+    want = [("chunk", b"a"), ("chunk", b"b"), ("chunk", b"c"), *rows[4:]]
+    for size in range(1, len(rows) + 1):
+        batches = [pa.record_batch({"kind": [k for k, _ in part], "key": pa.array([x for _, x in part], pa.binary())}) for part in (rows[i : i + size] for i in range(0, len(rows), size))]
+        got = [(k, x) for out in token_store._once(iter(batches)) for k, x in zip(out["kind"].to_pylist(), out["key"].to_pylist(), strict=True)]
+        assert got == want, size
