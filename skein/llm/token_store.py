@@ -42,8 +42,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import byte_alphabet, library, plain_classes, tokenizer_path
-from .common import Recent, arrow_map, blocks, looked_up, mix64, outlives, release, shared_dir, single_spaced, units
+from .bpe import byte_alphabet, library, tokenizer_path
+from .common import Recent, arrow_map, blocks, mix64, outlives, release, runs, shared_dir, single_spaced
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 #: Ids in the rolling window; one cut in MEAN ids on average, none before LEAST or after MOST.
@@ -58,10 +58,7 @@ class Encoder:
     def __init__(self, path: str) -> None:
         self.library = library(path)
         self.units = Recent(KEPT_UNITS)
-        letters, _ = plain_classes()
-        self.letters = frozenset(letters)
         self.feed = self._library(["\n"])[0]
-        self.marks = {c: self._library([c])[0] for c in ".,"}
         # a run of letters is one piece, which the library's model encodes without the steps around it; new words come once, so nothing is cached
         self.model = pickle.loads(pickle.dumps(self.library.model))
         self.model._resize_cache(0)
@@ -72,14 +69,16 @@ class Encoder:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: set[str]) -> None:
-        """Ids of new runs. A mark after a letter is a piece of its own, and a line feed between two runs is one token."""
-        new, known = self.units.recall(new), self.units.now
-        ends = {u for u in new if u[-1] in self.marks and u[-2:-1] in self.letters}
-        words = {u[:-1] if u in ends else u for u in new}.difference(known)
+        """Ids of new runs. A line feed between two runs is one token."""
+        words, known = self.units.recall(new), self.units.now
         letters = [w for w in words if w.isalpha() or w[:1] == " " and w[1:].isalpha()]
         tokenize, stand_in, ids = self.model.tokenize, self.stand_in, self.known_ids
+        space = stand_in[32]
         for w in letters:
-            known[w] = b"".join([ids[t.id] for t in tokenize(w.encode().decode("latin-1").translate(stand_in))])
+            coded = space + w[1:] if w[0] == " " else w
+            if not w.isascii():  # of ASCII letters each is its own stand-in
+                coded = w.encode().decode("latin-1").translate(stand_in)
+            known[w] = b"".join([ids[t.id] for t in tokenize(coded)])
         words = list(words.difference(letters))
         for i in range(0, len(words), 50_000):
             part = [w for w in words[i : i + 50_000] if w != "\n"]
@@ -88,14 +87,37 @@ class Encoder:
             bounds = zip([0, *(4 * x + 4 for x in at)], [*(4 * x for x in at), len(raw)], strict=True)
             known.update(zip(part, [raw[a:b] for a, b in bounds], strict=True))
         known["\n"] = self.feed
-        known.update((u, known[u[:-1]] + self.marks[u[-1]]) for u in ends)
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def _joined(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of single-spaced texts, one after the other, and the bounds of each."""
+        found, first = runs(texts)
+        words, which = found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy()
+        values = list(map(self.units.now.get, words))
+        if new := {w for w, v in zip(words, values, strict=True) if v is None}:
+            self._learn(new)
+            values = [self.units.now[w] if v is None else v for w, v in zip(words, values, strict=True)]
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        n, starts = sizes[which], (np.cumsum(sizes) - sizes)[which]
+        ends = np.cumsum(n)
+        at = np.repeat(starts - ends + n, n)
+        at += np.arange(ends[-1])
+        return np.frombuffer(b"".join(values), "<u4")[at], np.r_[0, ends][first]
+
+    def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and the end of each."""
         self.units.turn()
-        plain = [units(t) if t and "<|" not in t and single_spaced(t) else None for t in texts]
-        joined = iter(looked_up(self.units.now, [x for x in plain if x is not None], self._learn))
-        whole = iter(self._library([t or "" for t, x in zip(texts, plain, strict=True) if x is None]))
-        return [next(whole) if x is None else b"".join(next(joined)) for x in plain]
+        plain = [bool(t) and "<|" not in t and single_spaced(t) for t in texts]
+        whole = iter(self._library([t or "" for t, p in zip(texts, plain, strict=True) if not p]))
+        joined, bounds = self._joined([t for t, p in zip(texts, plain, strict=True) if p]) if any(plain) else (np.zeros(0, "<u4"), [0])
+        if all(plain):
+            return joined, np.asarray(bounds[1:], np.int64)
+        own = iter(np.split(joined, bounds[1:-1]))
+        parts = [next(own) if p else np.frombuffer(next(whole), "<u4") for p in plain]
+        return np.concatenate(parts), np.cumsum([len(p) for p in parts])
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        found, ends = self.ids(texts)
+        return [x.tobytes() for x in np.split(found, ends[:-1])] if texts else []
 
 
 @outlives
@@ -104,26 +126,32 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of a stream, the last one its length."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Where the hash of the WINDOW ids before meets the mask."""
     rolling = mix64(ids.astype(np.uint64) + np.uint64(1))
     size = 1
     while size < WINDOW:  # the sum over a window, each id shifted by its age, by windows of doubled length
         rolling[size:] += rolling[:-size] << np.uint64(size)
         size *= 2
-    marks = np.flatnonzero(rolling >> np.uint64(64 - (MEAN.bit_length() - 1)) == 0) + 1
-    ends, start = [], 0
-    for m in [*marks.tolist(), n]:
+    return np.flatnonzero(rolling >> np.uint64(64 - (MEAN.bit_length() - 1)) == 0) + 1
+
+
+def cuts(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of a stream, the last one its length."""
+    return cuts_at(marks(ids).tolist(), 0, len(ids))
+
+
+def cuts_at(places: list[int], start: int, n: int) -> list[int]:
+    """Ends of the chunks of a stream that goes from ``start`` to ``n``, of its marks. Windows of LEAST ids on are its own, whatever stands before it."""
+    ends = []
+    for m in [*places, n]:
         while m - start > MOST:
             start += MOST
             ends.append(start)
         if m - start >= LEAST and m < n:
             ends.append(m)
             start = m
-    if start < n:
+    if start < n or not ends:
         ends.append(n)
     return ends
 
@@ -188,27 +216,47 @@ def rows_of(documents: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_
     """(kind, key, doc_id, n_tokens, chunks, ids): a recipe of each document and the chunks that are new to the task."""
 
     def run(batches):
+        import pyarrow as pa
+
         own, seen = encoder(tokenizer_path(tokenizer)), set()
-        tail = end_id.to_bytes(4, "little")
         for b in batches:
             for part in blocks(b["text"], BLOCK_CHARS):
-                out: dict[str, list] = {k: [] for k in ("kind", "key", "doc_id", "n_tokens", "chunks", "ids")}
-                for doc_id, raw in zip(b["doc_id"][part], own.encode(b["text"][part]), strict=True):
-                    raw += tail
-                    chunks, start = [], 0
-                    for end in cuts(np.frombuffer(raw, "<u4")):
+                found, ends = own.ids(b["text"][part])
+                ids = np.insert(found, ends, end_id).astype("<u4", copy=False)
+                ends += np.arange(1, len(ends) + 1)
+                starts = np.r_[0, ends[:-1]]
+                raw, small = ids.tobytes(), ids.astype("<u2").tobytes() if ids.max() < 65536 else None
+                at = marks(ids)
+                bounds = zip(starts.tolist(), ends.tolist(), np.searchsorted(at, starts, "right").tolist(), np.searchsorted(at, ends, "right").tolist(), strict=True)
+                digests, sizes, counts, new, bodies, named = [], [], [], [], [], []
+                at = at.tolist()
+                for doc_id, (start, stop, i, j) in zip(b["doc_id"][part], bounds, strict=True):
+                    leaves = []
+                    for end in cuts_at(at[i:j], start, stop):
                         body = raw[4 * start : 4 * end]
-                        digest = hashlib.sha256(body).digest()
-                        chunks.append({"digest": digest, "n": end - start})
+                        leaves.append(digest := hashlib.sha256(body).digest())
+                        sizes.append(end - start)
                         if digest not in seen:
                             seen.add(digest)
-                            _put(out, "chunk", digest, None, None, None, packed(body))
+                            new.append(digest)
+                            bodies.append(packed(body) if small is None else small[2 * start : 2 * end])
                         start = end
-                    named = hashlib.sha256(repr(doc_id).encode() + merkle([c["digest"] for c in chunks])).digest()
-                    _put(out, "recipe", named, doc_id, len(raw) // 4, chunks, None)
+                    digests += leaves
+                    counts.append(len(leaves))
+                    named.append(hashlib.sha256(repr(doc_id).encode() + merkle(leaves)).digest())
                     if len(seen) > 500_000:
                         seen.clear()
-                yield out
+                each = pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(sizes, pa.int32())], ["digest", "n"])
+                recipes = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), each)
+                none = [None] * len(new)
+                yield {
+                    "kind": ["chunk"] * len(new) + ["recipe"] * len(named),
+                    "key": new + named,
+                    "doc_id": none + b["doc_id"][part],
+                    "n_tokens": none + (ends - starts).tolist(),
+                    "chunks": pa.concat_arrays([pa.nulls(len(new), recipes.type), recipes]),
+                    "ids": bodies + [None] * len(named),
+                }
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return arrow_map(documents.select("doc_id", "text"), run, f"kind string, key binary, doc_id {kind}, n_tokens bigint, chunks array<struct<digest:binary,n:int>>, ids binary")
@@ -219,6 +267,11 @@ def _put(out: dict[str, list], *values) -> None:
         column.append(value)
 
 
+def _objects(column) -> list:
+    """An Arrow column's values; of strings and bytes this is faster than ``to_pylist``."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def _once(batches):
     """Sorted rows, Arrow batches, without repeated chunks."""
     import pyarrow as pa
@@ -243,7 +296,9 @@ def write_store(documents: DataFrame, path: str, tokenizer: str = TOKENIZER, end
     kind = documents.schema["doc_id"].dataType.simpleString()
     leaf = "array<struct<digest:binary,n:int>>"
     rows = rows_of(documents, tokenizer, end_id)
-    sent = rows.repartition("key").sortWithinPartitions("kind", "key")
+    # chunks first, as one binary value: its first bytes, by which Spark sorts, tell rows apart
+    chunk_first = F.concat(F.when(F.col("kind") == "chunk", F.lit(b"\0")).otherwise(F.lit(b"\1")), "key")
+    sent = rows.repartition("key").sortWithinPartitions(chunk_first)
     unique = arrow_map(sent, _once, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema), lists=False)
     unique.write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/data")
     release(spark)
@@ -254,15 +309,13 @@ def write_store(documents: DataFrame, path: str, tokenizer: str = TOKENIZER, end
     def number(batches):
         row = at = 0
         for b in batches:
-            out: dict[str, list] = {"row": [], "at": [], "root": []}
-            for n, chunks in zip(b["n_tokens"], b["chunks"], strict=True):
-                out["row"].append(row)
-                out["at"].append(at)
-                out["root"].append(merkle([c["digest"] for c in chunks]))
-                row, at = row + 1, at + n
-            yield b | out
-
-    numbered = arrow_map(ordered, number, f"doc_id {kind}, key binary, n_tokens bigint, chunks {leaf}, row bigint, at bigint, root binary")
+            n, chunks = b.column("n_tokens").to_numpy(), b.column("chunks")
+            leaves, ends = _objects(chunks.flatten().field("digest")), np.cumsum(chunks.value_lengths().to_numpy()).tolist()
+            out = {c: b.column(c) for c in b.schema.names} | {"row": np.arange(row, row + len(n)), "at": at + np.cumsum(n) - n}
+            yield out | {"root": [merkle(leaves[i:j]) for i, j in zip([0, *ends[:-1]], ends, strict=True)]}
+            row, at = row + len(n), at + int(n.sum())
+
+    numbered = arrow_map(ordered, number, f"doc_id {kind}, key binary, n_tokens bigint, chunks {leaf}, row bigint, at bigint, root binary", lists=False)
     numbered.drop("key").withColumn("file", F.spark_partition_id()).write.parquet(f"{path}/recipes")
     # a total a file
     manifest = totals(spark.read.parquet(f"{path}/recipes"))
@@ -356,6 +409,8 @@ def _assemble(recipes: DataFrame, chunks: DataFrame, value: str, kind: str, buil
     names = ("doc_id", "n_tokens", "at", "file", "ids_crc32", "ids")
 
     def run(batches):
+        import pyarrow as pa
+
         head, leaves, values = None, [], []
 
         def done(out):
@@ -369,21 +424,25 @@ def _assemble(recipes: DataFrame, chunks: DataFrame, value: str, kind: str, buil
 
         out: dict[str, list] = {k: [] for k in names}
         for b in batches:
-            for i, seq in enumerate(b["seq"]):
-                if seq < 0:
+            seq, found = b.column("seq").to_numpy(), b.column(value)
+            lost = found.is_null().to_numpy(zero_copy_only=False)
+            n, digests, found = (_objects(c) for c in (b.column("n"), b.column("digest"), found if kind == "binary" else found.fill_null(0)))
+            own = np.flatnonzero(seq < 0)
+            heads_ = b.take(pa.array(own)).select(["doc_id", "n_tokens", "at", "file", "digest"]).to_pylist()
+            for i, j, new in zip([0, *(own + 1).tolist()], [*own.tolist(), len(seq)], [None, *heads_], strict=True):
+                if new:
                     done(out)
-                    head, leaves, values = {k: b[k][i] for k in ("doc_id", "n_tokens", "at", "file", "digest")}, [], []
-                elif b[value][i] is None:
+                    head, leaves, values = new, [], []
+                if lost[i:j].any():
                     raise ValueError(f"a chunk of document {head and head['doc_id']} is missing or altered")
-                else:
-                    leaves.append(b["digest"][i])
-                    values.append((b["n"][i], b[value][i], b["digest"][i]))
+                leaves += digests[i:j]
+                values += zip(n[i:j], found[i:j], digests[i:j], strict=True)
             yield out
             out = {k: [] for k in names}
         done(out)
         yield out
 
-    built = arrow_map(rows, run, f"doc_id {doc_id}, n_tokens bigint, at bigint, file int, ids_crc32 bigint, ids binary")
+    built = arrow_map(rows, run, f"doc_id {doc_id}, n_tokens bigint, at bigint, file int, ids_crc32 bigint, ids binary", lists=False)
     return built.select("doc_id", "n_tokens", "at", "file", "ids_crc32", "ids")
 
 
@@ -393,12 +452,18 @@ def verify_store(spark: SparkSession, path: str) -> DataFrame:
 
     def check(batches):
         for b in batches:
+            digests, raws = _objects(b.column("digest")), _objects(b.column("ids"))
+            even = [raw if len(raw) % 2 == 0 else b"" for raw in raws]
+            wide, start = np.frombuffer(b"".join(even), "<u2").astype("<u4").tobytes(), 0
             out: dict[str, list] = {"digest": [], "crc": []}
-            for digest, raw in zip(b["digest"], b["ids"], strict=True):
-                wide = raw if hashlib.sha256(raw).digest() == digest else np.frombuffer(raw, "<u2").astype("<u4").tobytes() if len(raw) % 2 == 0 else b""
-                if hashlib.sha256(wide).digest() == digest:
-                    out["digest"].append(digest)
-                    out["crc"].append(zlib.crc32(wide))
+            for digest, raw, half in zip(digests, raws, even, strict=True):
+                body = wide[start : (start := start + 2 * len(half))]
+                if hashlib.sha256(body).digest() != digest:
+                    body = raw
+                    if hashlib.sha256(body).digest() != digest:
+                        continue
+                out["digest"].append(digest)
+                out["crc"].append(zlib.crc32(body))
             yield out
 
     def build(values):
@@ -407,7 +472,7 @@ def verify_store(spark: SparkSession, path: str) -> DataFrame:
             crc = crc_joined(crc, c, 4 * n)
         return crc, None
 
-    built = _assemble(recipes, arrow_map(stored, check, "digest binary, crc bigint"), "crc", "bigint", build)
+    built = _assemble(recipes, arrow_map(stored, check, "digest binary, crc bigint", lists=False), "crc", "bigint", build)
     found = built.join(offsets(spark, path), "file")
     return found.select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 

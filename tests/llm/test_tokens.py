@@ -11,7 +11,7 @@ import pytest
 
 from skein.llm import bpe_codec, common, token_counts, token_store
 from skein.llm.bpe import library, load, tokenizer_path
-from skein.llm.common import arrow_map, outlives, single_spaced, units
+from skein.llm.common import arrow_map, outlives, runs, single_spaced, units
 
 WORDS, BYTES = tokenizer_path("word_bpe_49k.json"), tokenizer_path("byte_bpe_50k.json")
 PARTS = [
@@ -237,3 +237,34 @@ def test_repeated_chunks_across_batches():
         batches = [pa.record_batch({"kind": [k for k, _ in part], "key": pa.array([x for _, x in part], pa.binary())}) for part in (rows[i : i + size] for i in range(0, len(rows), size))]
         got = [(k, x) for out in token_store._once(iter(batches)) for k, x in zip(out["kind"].to_pylist(), out["key"].to_pylist(), strict=True)]
         assert got == want, size
+
+
+def test_runs_of_a_block():
+    """All texts' units by columns, a mark after a letter apart; the store's encoder keeps a word once, with and without its mark."""
+    some = ["Hello, world.\nThis is, a. test", ",", "a", "x.", "é, ×, ÷. ª. 1. a.. a'.", "\n,\n.", " lead é."]
+    found, first = runs(some)
+    every = found.to_pylist()
+    assert len(first) == len(some) + 1
+    for t, i, j in zip(some, first[:-1], first[1:], strict=True):
+        apart = [x for u in units(t) for x in ([u[:-1], u[-1]] if u[-1] in ".," and u[-2:-1].isalpha() and u[-2:-1] != "ª" else [u])]
+        assert every[i:j] == apart and "".join(every[i:j]) == t
+    encoder, lib = token_store.Encoder(BYTES), library(BYTES)
+    encoder.encode(["word, word. word"])
+    assert {" word", "word", ",", "."} <= encoder.units.now.keys() and not {"word,", " word."} & encoder.units.now.keys()
+    rng = random.Random(3)
+    parts = [*(chr(i) for i in range(33, 256) if chr(i) not in "\x85\xa0"), *" ,.\n" * 30]
+    odd = [t for t in ("".join(rng.choices(parts, k=rng.randint(1, 40))).strip() for _ in range(3000)) if single_spaced(t)]
+    assert len(odd) > 500
+    for t, raw in zip(odd, encoder.encode(odd), strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, t
+
+
+def test_cuts_of_streams_end_to_end():
+    """Streams cut in one go are cut as each alone."""
+    rng = np.random.default_rng(4)
+    streams = [rng.integers(0, 50000, n).astype("<u4") for n in (1, 5, 63, 64, 65, 700, 9000, 2, 4000)] + [np.full(6000, 7, "<u4")]
+    ends = np.cumsum([len(x) for x in streams])
+    at = token_store.marks(np.concatenate(streams))
+    for x, start, end in zip(streams, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+        own = at[(at > start) & (at <= end)].tolist()
+        assert [e - start for e in token_store.cuts_at(own, start, end)] == token_store.cuts(x)
