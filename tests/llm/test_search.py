@@ -497,3 +497,19 @@ def test_chains_against_brute_force():
         top = found[0]
         value = 4 * len(top) - sum(0.1 * (q[0] - p[0] + q[1] - p[1]) for p, q in zip(top, top[1:], strict=False))
         assert value == pytest.approx(best(points))
+
+
+def test_seeds_go_in_bundles(spark):
+    """Occurrences of seeds go as a few rows of bytes and come out as they were, a seed in one bucket, a hot one dealt out by documents."""
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.integers(0, 50, 400).astype(np.uint32).tobytes(), [3] if i % 3 else None) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, words binary, inside array<int>").repartition(3)
+    want = sorted(map(tuple, substring_dedup.seeds(docs).select("seed", "doc_id", "at").collect()))
+    for hot in ((), (want[0][0], want[-1][0])):
+        sent = spark.sparkContext.broadcast(frozenset(hot))
+        found = substring_dedup.bundled(docs, 7, sent).toArrow().sort_by("bucket").to_batches()
+        assert sum(b.num_rows for b in found) <= 7 * 3 < len(want)
+        got = [list(zip(*(b.column(c).to_pylist() for c in ("seed", "doc_id", "at")), strict=True)) for b in substring_dedup.unbundled(found)]
+        assert all(part == sorted(part) for part in got) and sorted(r for part in got for r in part) == want
+        held = [{s for s, _, _ in part} for part in got]
+        assert all(sum(s in h for h in held) == 1 for s in set().union(*held) if s not in hot)
